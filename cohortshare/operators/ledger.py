@@ -166,6 +166,8 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
         base = state.where(F.col("owner").isNotNull()).select(
             "id", F.col("last_seq").alias("aseq"), F.posexplode("access_list").alias("gpos", "grantee"))
         grants = grants.unionByName(base.select("id", "aseq", "grantee", F.col("aseq").alias("gseq"), "gpos"))
+        grants = (grants.groupBy("id", "aseq", "grantee").agg(F.min(F.struct("gseq", "gpos")).alias("m"))
+                  .select("id", "aseq", "grantee", F.col("m.gseq").alias("gseq"), F.col("m.gpos").alias("gpos")))
     g = grants.select("id", F.col("aseq").alias("_gaseq"), F.col("grantee").alias("_gcaller"),
                       F.col("gseq"))
 

@@ -290,3 +290,42 @@ ORACLE = {
            FROM documents d LEFT JOIN nw USING (doc_id))
   SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_first AS BIGINT) AS n_first, labels FROM seqs""",
 }
+
+
+# --------------------------------------------------------------------------- record CSV round trip
+
+def customer_records(spark, sf_dir):
+    from ..sources.tables import table as t
+    c = t(spark, sf_dir, "customer")
+    n = t(spark, sf_dir, "nation")
+    k = F.col("c_custkey")
+    raw = (F.when(k % 5 == 0, F.lit("NA")).when(k % 5 == 1, F.lit("N/A")).when(k % 5 == 2, F.lit("NaN"))
+           .when(k % 10 == 3, F.lit("")).otherwise(F.col("c_mktsegment")))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.concat(F.lit("C"), k.cast("string")).alias("patient_id"),
+        F.when(k % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("c_acctbal")).alias("age_months"),
+        F.concat(F.col("c_name"), F.lit(", "), F.col("n_name")).alias("location"),
+        F.concat(F.lit("2024-"), F.lpad((k % 12 + 1).cast("string"), 2, "0"), F.lit("-15")).alias("diagnosis_date"),
+        raw.alias("disease_name_raw"),
+        F.when(k % 9 == 0, F.lit(None).cast("double")).otherwise(F.col("c_acctbal") / 10).alias("lab_value"),
+        F.concat(F.lit('Note "'), F.col("c_mktsegment"), F.lit('", line one\nline two, '), F.col("c_name"))
+        .alias("clinical_note"))
+
+
+def q_csv_roundtrip(spark, sf_dir):
+    from ..sources import records
+    path = scratch_path(spark, "records")
+    records.write_records(customer_records(spark, sf_dir), path)
+    return records.read_records(spark, path)
+
+
+QUERIES["csv_roundtrip"] = q_csv_roundtrip
+ORACLE["csv_roundtrip"] = """
+  SELECT 'C' || CAST(c_custkey AS VARCHAR) AS patient_id,
+         CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS age_months,
+         c_name || ', ' || n_name AS location,
+         '2024-' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '-15' AS diagnosis_date,
+         CASE WHEN c_custkey % 5 IN (0, 1, 2) OR c_custkey % 10 = 3 THEN NULL ELSE c_mktsegment END AS disease_name_raw,
+         CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal / 10 END AS lab_value,
+         'Note "' || c_mktsegment || '", line one' || chr(10) || 'line two, ' || c_name AS clinical_note
+  FROM customer JOIN nation ON c_nationkey = n_nationkey"""
