@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["deid_queries", "term_queries", "bio_queries", "ledger_queries", "impute_queries", "stream_queries"]
+_MODULES = ["deid_queries", "term_queries", "bio_queries", "ledger_queries", "impute_queries", "stream_queries", "learn_queries"]
 
 
 def _mods():
