@@ -37,24 +37,27 @@ def spans_to_bio(text, entities, type_map: dict | None = None) -> Column:
     """B10-B12 + C3: array<struct<ch, tag>>, one entry per character of ``text``.
 
     Entities of unmapped/missing type or invalid span (start < 0, end >= len,
-    start > end; end inclusive) are ignored.  The tag at i comes from the last
-    entity covering i, which is what applying them in order with overwrite leaves.
+    start > end; end inclusive) are ignored; the others are applied in list
+    order, later ones overwriting earlier ones (a fold over the entities, each
+    step one pass over the tag array: O(entities x length), every array
+    evaluated once).
     """
     text = col_of(text)
     tm = map_lit(TYPE_MAP if type_map is None else type_map)
-    n = F.length(text)
+    cs = chars(text)
+    n = F.size(cs)
     ents = F.transform(F.coalesce(col_of(entities), F.array()),
                        lambda e: F.struct(e["start_idx"].alias("s"), e["end_idx"].alias("e"),
                                           F.element_at(tm, e["type"]).alias("t")))
     ents = F.filter(ents, lambda e: e["t"].isNotNull() & (e["s"] >= 0) & (e["e"] < n) & (e["s"] <= e["e"]))
-    cover = F.transform(chars(text), lambda ch, i: F.struct(
-        ch.alias("ch"), F.try_element_at(F.filter(ents, lambda e: (e["s"] <= i) & (i <= e["e"])),
-                                         F.lit(-1)).alias("e"), i.alias("i")))
-    return F.transform(cover, lambda p: F.struct(
-        p["ch"].alias("ch"),
-        F.when(p["e"].isNull(), F.lit("O"))
-        .when(p["e"]["s"] == p["i"], F.concat(F.lit("B-"), p["e"]["t"]))
-        .otherwise(F.concat(F.lit("I-"), p["e"]["t"])).alias("tag")))
+    init = F.transform(cs, lambda c: F.lit("O"))
+
+    def apply(acc, e):
+        return F.transform(acc, lambda t, i: F.when(i == e["s"], F.concat(F.lit("B-"), e["t"]))
+                           .when((i > e["s"]) & (i <= e["e"]), F.concat(F.lit("I-"), e["t"]))
+                           .otherwise(t))
+    tags = F.aggregate(ents, init, apply)
+    return F.zip_with(cs, tags, lambda c, t: F.struct(c.alias("ch"), t.alias("tag")))
 
 
 def drop_whitespace(pairs) -> Column:
@@ -143,19 +146,16 @@ def _continues(tags: Column) -> Column:
     return F.zip_with(tags, shift_right(tags), f)
 
 
-def decode_bio(tokens, tags, mode: str = "strict", joiner: str = "") -> Column:
-    """array<struct<start, end, type, text>> of entities in one sentence.
+def island_starts(tags) -> Column:
+    """Positions where a new island starts (tag i does not continue tag i-1)."""
+    tags = col_of(tags)
+    return F.filter(F.transform(_continues(tags), lambda c, i: F.when(~c, i)), lambda i: i.isNotNull())
 
-    Islands: a new one starts wherever tag i does not continue tag i-1
-    (I-X after B-X/I-X).  ``strict`` keeps islands opened by ``B-`` (an orphan
-    ``I-`` run is dropped, as in the inference decoder); ``lenient`` keeps every
-    island opened by ``B-`` or ``I-`` (the default mode of the public scorer).
-    O(n) per sentence.  ``tokens`` and ``tags`` should be column references.
-    """
-    tokens, tags = col_of(tokens), col_of(tags)
-    n = F.size(tags)
-    starts = F.filter(F.transform(_continues(tags), lambda c, i: F.when(~c, i)), lambda i: i.isNotNull())
-    nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+
+def entities_from_starts(tokens, tags, starts, mode: str = "strict", joiner: str = "") -> Column:
+    """Islands [start_k, start_(k+1) - 1] kept by ``mode``; see :func:`decode_bio`."""
+    tokens, tags, starts = col_of(tokens), col_of(tags), col_of(starts)
+    nexts = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(tags)))
     islands = F.zip_with(starts, nexts, lambda s, nx: F.struct(
         s.alias("start"), (nx - 1).alias("end"), F.get(tags, s).alias("t0")))
     if mode == "strict":
@@ -168,3 +168,17 @@ def decode_bio(tokens, tags, mode: str = "strict", joiner: str = "") -> Column:
         e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"),
         F.substring(e["t0"], 3, 1 << 20).alias("type"),
         F.array_join(F.slice(tokens, e["start"] + 1, e["end"] - e["start"] + 1), joiner).alias("text")))
+
+
+def decode_bio(tokens, tags, mode: str = "strict", joiner: str = "") -> Column:
+    """array<struct<start, end, type, text>> of entities in one sentence.
+
+    Islands: a new one starts wherever tag i does not continue tag i-1
+    (I-X after B-X/I-X).  ``strict`` keeps islands opened by ``B-`` (an orphan
+    ``I-`` run is dropped, as in the inference decoder); ``lenient`` keeps every
+    island opened by ``B-`` or ``I-`` (the default mode of the public scorer).
+    O(n) per sentence.  ``tokens`` and ``tags`` should be column references;
+    :func:`operators.bio.with_entities` also stages the island starts as a
+    column so they are computed once.
+    """
+    return entities_from_starts(tokens, tags, island_starts(tags), mode, joiner)

@@ -25,10 +25,25 @@ def count_examples(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_examples"))
 
 
+def with_entities(df: DataFrame, tokens: str = "tokens", tags: str = "tags", mode: str = "strict",
+                  out: str = "entities", joiner: str = "") -> DataFrame:
+    """E2/E3 in array form: adds ``out`` array<struct<start, end, type, text>>.
+
+    The island starts are staged as their own column; the next projection
+    refers to them several times, so the optimizer keeps them computed once.
+    """
+    st = f"_starts_{out}"
+    staged = df.withColumn(st, tg.island_starts(tags))
+    return staged.withColumn(out, tg.entities_from_starts(tokens, tags, st, mode, joiner)).drop(st)
+
+
 def sentence_entities(df: DataFrame, tokens: str = "tokens", tags: str = "tags", mode: str = "strict",
                       keys=("sent_id",), joiner: str = "") -> DataFrame:
     """E2/E3 as rows: (keys..., start, end, type, text)."""
-    return (df.select(*keys, F.inline(tg.decode_bio(tokens, tags, mode, joiner)))
+    e = with_entities(df.select(*keys, tokens, tags), tokens, tags, mode, "_ents", joiner)
+    # inline_outer: a plain inline makes the optimizer infer size(_ents) > 0 and push
+    # it below the projections, re-inlining the tag arrays into every lambda call
+    return (e.select(*keys, F.inline_outer("_ents")).where(F.col("start").isNotNull())
             .select(*keys, "start", "end", "type", "text"))
 
 
@@ -65,9 +80,10 @@ def prf_from_tags(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags
     """
     def spans(t):
         # string keys: array_intersect hashes atomic elements, but compares structs pairwise
-        return F.transform(tg.decode_bio(t, t, mode),
-                           lambda e: F.concat_ws(":", e["start"].cast("string"), e["end"].cast("string"), e["type"]))
-    per = df.select(spans(gold).alias("g"), spans(pred).alias("p"))
+        return F.transform(t, lambda e: F.concat_ws(":", e["start"].cast("string"), e["end"].cast("string"),
+                                                    e["type"]))
+    staged = with_entities(with_entities(df.select(gold, pred), gold, gold, mode, "_g"), pred, pred, mode, "_p")
+    per = staged.select(spans("_g").alias("g"), spans("_p").alias("p"))
     counts = per.agg(F.sum(F.size("g")).alias("n_gold"), F.sum(F.size("p")).alias("n_pred"),
                      F.sum(F.size(F.array_intersect("g", "p"))).alias("tp"))
     return _prf(counts.na.fill(0))
@@ -86,3 +102,27 @@ def metrics_from_logits(df: DataFrame, logits: str = "logits", labels: str = "la
 def char_rows(df: DataFrame, text: str = "text", keys=()) -> DataFrame:
     """One row per character with its position (the relational form of a text)."""
     return df.select(*keys, F.posexplode(chars(text)).alias("pos", "ch"))
+
+
+def spans_to_bio_rows(examples: DataFrame, key: str = "ex_id", text: str = "text", entities: str = "entities",
+                      type_map: dict | None = None) -> DataFrame:
+    """C3 relational form of B12: characters range-joined to the valid spans of the
+    same example; the last covering span (largest list index) sets the tag.
+
+    Equal to :func:`convert_examples`' array form (tested).  The join is an
+    equi-join on the example key plus a range predicate, so it never pairs rows
+    of different examples.
+    """
+    tm = tg.map_lit(tg.TYPE_MAP if type_map is None else type_map)
+    ch = examples.select(key, F.posexplode(chars(text)).alias("pos", "ch"))
+    sp = (examples.select(key, F.length(text).alias("n"), F.posexplode(F.coalesce(entities, F.array()))
+                          .alias("k", "e"))
+          .select(key, "k", F.col("e.start_idx").alias("s"), F.col("e.end_idx").alias("en"),
+                  F.element_at(tm, F.col("e.type")).alias("t"), "n")
+          .where(F.col("t").isNotNull() & (F.col("s") >= 0) & (F.col("en") < F.col("n")) & (F.col("s") <= F.col("en"))))
+    j = ch.join(sp, (ch[key] == sp[key]) & (ch.pos >= sp.s) & (ch.pos <= sp.en), "left")
+    best = j.groupBy(ch[key].alias(key), "pos", "ch").agg(F.max_by(F.struct("s", "t"), F.col("k")).alias("b"))
+    tag = (F.when(F.col("b").isNull(), F.lit("O"))
+           .when(F.col("b.s") == F.col("pos"), F.concat(F.lit("B-"), F.col("b.t")))
+           .otherwise(F.concat(F.lit("I-"), F.col("b.t"))))
+    return best.select(key, "pos", "ch", tag.alias("tag"))

@@ -57,6 +57,11 @@ def add_grantee(access_list, grantee) -> Column:
     return F.array_union(access_list, F.array(grantee))
 
 
+def is_owner(owner, caller) -> Column:
+    """B21."""
+    return F.col(owner) == F.col(caller) if isinstance(owner, str) else owner == caller
+
+
 def rfc3339(ts) -> Column:
     """UTC timestamp text at second precision."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

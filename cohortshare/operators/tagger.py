@@ -71,5 +71,5 @@ def tag_notes(model: PipelineModel, df: DataFrame, key: str = "patient_id", text
     del type_map
     s = df.select(F.col(key), chars(text).alias("tokens")).where(F.size("tokens") > 0)
     tagged = predict_tags(model, s, "tokens", keys=(key,))
-    return (tagged.select(key, F.inline(tg.decode_bio("tokens", "pred_tags", mode)))
-            .select(key, "start", "end", "type", "text"))
+    from .bio import sentence_entities
+    return sentence_entities(tagged, "tokens", "pred_tags", mode, keys=(key,))

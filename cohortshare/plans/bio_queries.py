@@ -26,7 +26,9 @@ TYPES3 = ["DIS", "SYM", "DRUG"]
 def char_tag(c):
     """Gold rule: non-letter -> O; vowel -> B-T; other letter -> I-T; T by code point mod 3."""
     t = F.element_at(F.array(*[F.lit(x) for x in TYPES3]), (F.ascii(c) % 3 + 1).cast("int"))
-    return (F.when(c.isNull() | ~c.rlike("^[A-Za-z]$"), F.lit("O"))
+    a = F.ascii(c)
+    letter = (F.length(c) == 1) & (a.between(65, 90) | a.between(97, 122))
+    return (F.when(c.isNull() | ~letter, F.lit("O"))
             .when(F.lower(c).isin("a", "e", "i", "o", "u"), F.concat(F.lit("B-"), t))
             .otherwise(F.concat(F.lit("I-"), t)))
 
@@ -163,7 +165,7 @@ QUERIES = {
 
 # ----------------------------------------------------------------------------- oracles
 
-_TAG_SQL = """CASE WHEN NOT regexp_matches({c}, '^[A-Za-z]$') THEN 'O'
+_TAG_SQL = """CASE WHEN NOT (length({c}) = 1 AND (ascii({c}) BETWEEN 65 AND 90 OR ascii({c}) BETWEEN 97 AND 122)) THEN 'O'
        WHEN lower({c}) IN ('a', 'e', 'i', 'o', 'u') THEN 'B-' || (['DIS', 'SYM', 'DRUG'])[ascii({c}) % 3 + 1]
        ELSE 'I-' || (['DIS', 'SYM', 'DRUG'])[ascii({c}) % 3 + 1] END"""
 

@@ -63,3 +63,29 @@ ORACLE = {
          CASE WHEN u_kind < 0.8 THEN '[MASK]' WHEN u_kind < 0.9 THEN v.rtoken ELSE token END AS input
   FROM u LEFT JOIN v USING (ridx) WHERE u_sel < 0.15""",
 }
+
+
+def q_governance_run(spark, sf_dir):
+    """Impute -> tag notes -> map terms -> de-identify over one record table."""
+    from .bio_queries import customer_records
+    from .jobs import governance_run
+    from .term_queries import part_vocab
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    r = table(spark, sf_dir, "region")
+    geo = (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+           .select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("patient_id"),
+                   F.concat(F.col("r_name"), F.lit(", "), F.col("n_name")).alias("geo")))
+    recs = (customer_records(spark, sf_dir).join(geo, "patient_id")
+            .withColumn("location", F.col("geo")).drop("geo")
+            .withColumn("age_months", F.col("age_months") / 100)
+            .withColumn("diagnosis_date", F.concat(F.lit("2024-0"),
+                        (F.substring("patient_id", -1, 1).cast("int") % 3 + 1).cast("string"), F.lit("-15"))))
+    model = tagger.train_tagger(doc_sentences(spark, sf_dir), max_iter=5)
+    data, ents, report = governance_run(spark, recs, vocab=part_vocab(spark, sf_dir), tagger=model,
+                                        salt="cohortshare-test-salt")
+    del ents, report
+    return data
+
+
+QUERIES["governance_run"] = q_governance_run
