@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import chars, col_of
+from .text import chars, col_of, is_space_char
 
 # The label set (id = position) and the entity type maps.
 LABELS = ["O", "B-DIS", "I-DIS", "B-SYM", "I-SYM", "B-DRUG", "I-DRUG"]
@@ -62,7 +62,7 @@ def spans_to_bio(text, entities, type_map: dict | None = None) -> Column:
 
 def drop_whitespace(pairs) -> Column:
     """Characters that strip to nothing are not emitted."""
-    return F.filter(col_of(pairs), lambda p: ~p["ch"].rlike(r"(?U)^\s*$"))
+    return F.filter(col_of(pairs), lambda p: ~is_space_char(p["ch"]))
 
 
 def encode_tags(tags, failfast: bool = True) -> Column:
@@ -139,10 +139,8 @@ def _continues(tags: Column) -> Column:
     inside a lambda (which would make the step quadratic).
     """
     def f(t, prev):
-        typ = F.substring(t, 3, 1 << 20)
-        return F.coalesce(t.startswith("I-") & prev.isNotNull()
-                          & ((prev == F.concat(F.lit("B-"), typ)) | (prev == F.concat(F.lit("I-"), typ))),
-                          F.lit(False))
+        return F.coalesce(t.startswith("I-") & (prev.startswith("B-") | prev.startswith("I-"))
+                          & (F.substring(prev, 3, 1 << 20) == F.substring(t, 3, 1 << 20)), F.lit(False))
     return F.zip_with(tags, shift_right(tags), f)
 
 

@@ -10,6 +10,15 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Characters that Python's str.strip() removes (str.isspace), built from the rule.
+WHITESPACE_CHARS = sorted(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+
+
+def is_space_char(c) -> Column:
+    """TRUE when a one-character string is white space (a set lookup, no regex)."""
+    return col_of(c).isin(WHITESPACE_CHARS)
+
+
 def ustrip(c) -> Column:
     """Strip Unicode white space at both ends (Spark ``trim`` removes only spaces)."""
     return F.regexp_replace(col_of(c), r"(?U)^\s+|\s+$", "")

@@ -39,12 +39,29 @@ def with_entities(df: DataFrame, tokens: str = "tokens", tags: str = "tags", mod
 
 def sentence_entities(df: DataFrame, tokens: str = "tokens", tags: str = "tags", mode: str = "strict",
                       keys=("sent_id",), joiner: str = "") -> DataFrame:
-    """E2/E3 as rows: (keys..., start, end, type, text)."""
-    e = with_entities(df.select(*keys, tokens, tags), tokens, tags, mode, "_ents", joiner)
-    # inline_outer: a plain inline makes the optimizer infer size(_ents) > 0 and push
-    # it below the projections, re-inlining the tag arrays into every lambda call
-    return (e.select(*keys, F.inline_outer("_ents")).where(F.col("start").isNotNull())
-            .select(*keys, "start", "end", "type", "text"))
+    """E2/E3 as rows: (keys..., start, end, type, text).
+
+    Only the island starts are found with a lambda; the islands themselves are
+    exploded as (start, next start) pairs and finished with plain column
+    functions, which run in generated code.  ``explode_outer`` keeps the
+    optimizer from inferring a size filter and pushing a second copy of the
+    starts computation below the projection.
+    """
+    if mode not in ("strict", "lenient"):
+        raise ValueError(f"mode must be strict or lenient, not {mode!r}")
+    staged = df.select(*keys, tokens, tags).withColumn("_st", tg.island_starts(tags))
+    nxt = F.concat(F.slice("_st", 2, F.greatest(F.size("_st") - 1, F.lit(0))), F.array(F.size(tags)))
+    ex = staged.select(*keys, tokens, tags,
+                       F.explode_outer(F.arrays_zip(F.col("_st").alias("s"), nxt.alias("nx"))).alias("z"))
+    ex = ex.where(F.col("z").isNotNull()).select(
+        *keys, tokens, F.col("z.s").cast("int").alias("start"), (F.col("z.nx") - 1).cast("int").alias("end"),
+        F.element_at(tags, F.col("z.s") + 1).alias("_t0"))
+    keep = F.col("_t0").startswith("B-")
+    if mode == "lenient":
+        keep = keep | F.col("_t0").startswith("I-")
+    return ex.where(keep).select(
+        *keys, "start", "end", F.substring("_t0", 3, 1 << 20).alias("type"),
+        F.array_join(F.slice(tokens, F.col("start") + 1, F.col("end") - F.col("start") + 1), joiner).alias("text"))
 
 
 def entity_prf(gold: DataFrame, pred: DataFrame, keys=("sent_id",)) -> DataFrame:
@@ -72,21 +89,19 @@ def _prf(counts: DataFrame) -> DataFrame:
                          f1.alias("f1"))
 
 
-def prf_from_tags(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags", mode: str = "lenient") -> DataFrame:
+def prf_from_tags(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags", mode: str = "lenient",
+                  keys=None) -> DataFrame:
     """D7 when gold and predicted tags sit in the same sentence row.
 
-    Entities are compared inside the row (``array_intersect`` on (start, end,
-    type)), so the only shuffle is the final one-row aggregate.
+    Both tag arrays are decoded into entity rows and scored by
+    :func:`entity_prf` (one grouping on sentence, span and type).
     """
-    def spans(t):
-        # string keys: array_intersect hashes atomic elements, but compares structs pairwise
-        return F.transform(t, lambda e: F.concat_ws(":", e["start"].cast("string"), e["end"].cast("string"),
-                                                    e["type"]))
-    staged = with_entities(with_entities(df.select(gold, pred), gold, gold, mode, "_g"), pred, pred, mode, "_p")
-    per = staged.select(spans("_g").alias("g"), spans("_p").alias("p"))
-    counts = per.agg(F.sum(F.size("g")).alias("n_gold"), F.sum(F.size("p")).alias("n_pred"),
-                     F.sum(F.size(F.array_intersect("g", "p"))).alias("tp"))
-    return _prf(counts.na.fill(0))
+    if keys is None:
+        df = df.withColumn("_sid", F.monotonically_increasing_id())
+        keys = ("_sid",)
+    g = sentence_entities(df, gold, gold, mode, keys=keys)
+    p = sentence_entities(df, pred, pred, mode, keys=keys)
+    return entity_prf(g, p, keys=keys)
 
 
 def metrics_from_logits(df: DataFrame, logits: str = "logits", labels: str = "labels") -> DataFrame:

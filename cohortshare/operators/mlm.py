@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chars
+from ..functions.text import chars, is_space_char
 
 MLM_PROBABILITY = 0.15
 MASK_TOKEN = "[MASK]"
@@ -24,7 +24,7 @@ MAX_VOCAB = 2_000_000
 
 def corpus_tokens(corpus: DataFrame, key: str = "doc_id", text: str = "text", max_len: int = MAX_LEN) -> DataFrame:
     """(key, block, pos, token): pos 1.. within a block (0 is the leading special token)."""
-    toks = F.filter(chars(text), lambda c: ~c.rlike(r"(?U)^\s$"))
+    toks = F.filter(chars(text), lambda c: ~is_space_char(c))
     width = max_len - 2
     t = corpus.select(key, F.posexplode(toks).alias("i", "token"))
     return t.select(key, F.floor(F.col("i") / width).cast("long").alias("block"),
@@ -35,22 +35,32 @@ def _h(m, a, b):
     return F.conv(F.substring(m, a, b), 16, 10).cast("long")
 
 
+def corpus_vocab(corpus: DataFrame, text: str = "text", limit: int = MAX_VOCAB) -> list[str]:
+    """Distinct non-space characters of the corpus in byte order (per-text distinct
+    first, so the shuffle carries at most one row per text and character).
+    Raises when the vocabulary exceeds ``limit``: it is broadcast."""
+    v = (corpus.select(F.explode(F.array_distinct(F.filter(chars(text), lambda c: ~is_space_char(c))))
+                       .alias("token")).distinct())
+    got = [r.token for r in v.limit(limit + 1).collect()]
+    if len(got) > limit:
+        raise ValueError(f"vocabulary exceeds {limit} tokens")
+    return sorted(got, key=lambda t: t.encode("utf-8"))
+
+
 def mlm_examples(corpus: DataFrame, key: str = "doc_id", text: str = "text", *, salt: str = "",
                  probability: float = MLM_PROBABILITY, max_len: int = MAX_LEN) -> DataFrame:
     """Sparse rows of the chosen positions: (key, block, pos, label, input)."""
-    toks = corpus_tokens(corpus, key, text, max_len)
-    vocab = toks.select("token").distinct()
-    n = vocab.count()
-    if n > MAX_VOCAB:
-        raise ValueError(f"vocabulary of {n} tokens exceeds {MAX_VOCAB}")
+    vlist = corpus_vocab(corpus, text)
     spark = corpus.sparkSession
-    vlist = [r.token for r in vocab.orderBy("token").collect()]     # bounded by the check above
     vdf = F.broadcast(spark.createDataFrame(list(enumerate(vlist)), "ridx long, rtoken string"))
+    toks = corpus_tokens(corpus, key, text, max_len)
     m = F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"), F.col("block").cast("string"),
                           F.col("pos").cast("string")))
-    u = lambda a: (_h(m, a, 8).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
-    chosen = toks.select(key, "block", "pos", "token", u(1).alias("u_sel"), u(9).alias("u_kind"),
-                         (_h(m, 17, 8) % F.lit(len(vlist))).alias("ridx")).where(F.col("u_sel") < probability)
+    u = lambda a: (_h(F.col("_m"), a, 8).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    hashed = toks.select(key, "block", "pos", "token", m.alias("_m"))
+    chosen = (hashed.where(u(1) < probability)
+              .select(key, "block", "pos", "token", u(9).alias("u_kind"),
+                      (_h(F.col("_m"), 17, 8) % F.lit(len(vlist))).alias("ridx")))
     j = chosen.join(vdf, "ridx", "left")
     inp = (F.when(F.col("u_kind") < 0.8, F.lit(MASK_TOKEN)).when(F.col("u_kind") < 0.9, F.col("rtoken"))
            .otherwise(F.col("token")))

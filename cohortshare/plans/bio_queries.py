@@ -99,7 +99,8 @@ def _round_prf(df):
 
 
 def q_bio_prf(spark, sf_dir):
-    return _round_prf(bio.prf_from_tags(doc_tags(spark, sf_dir), "gold_tags", "pred_tags", "lenient"))
+    return _round_prf(bio.prf_from_tags(doc_tags(spark, sf_dir), "gold_tags", "pred_tags", "lenient",
+                                      keys=("doc_id",)))
 
 
 def q_bio_prf_strict_join(spark, sf_dir):

@@ -29,7 +29,7 @@ def q_tagger_prf(spark, sf_dir):
     model = tagger.train_tagger(s, max_iter=10)
     pred = tagger.predict_tags(model, s.select("sent_id", "tokens"))
     both = pred.join(s.select("sent_id", F.col("tags").alias("gold_tags")), "sent_id")
-    return bio.prf_from_tags(both, "gold_tags", "pred_tags", "strict")
+    return bio.prf_from_tags(both, "gold_tags", "pred_tags", "strict", keys=("sent_id",))
 
 
 def q_mlm_examples(spark, sf_dir):
