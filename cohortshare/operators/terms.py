@@ -129,7 +129,7 @@ def map_distinct_terms(terms: DataFrame, vocab: DataFrame, *, threshold: float =
     names = v.select(F.col("std_name").alias("term"), "code")
     exact = terms.join(F.broadcast(names) if small else names, "term")
     exact = exact.select("term", "code", F.lit(1.0).alias("best"), F.lit("exact").alias("match_type"))
-    rest = terms.join(exact.select("term"), "term", "left_anti")
+    rest = terms.join(F.broadcast(names.select("term")) if small else names.select("term"), "term", "left_anti")
     if exact_only:
         approx = rest.select("term", F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("best"),
                              F.lit(None).cast("string").alias("match_type"))
