@@ -151,6 +151,12 @@ def _risk_expr(n_classes: Column, n_rows: Column) -> Column:
 class Deidentified:
     data: DataFrame      # anonymised rows
     report: DataFrame    # one row: records_in, records_out, classes_out, information_loss, reid_risk
+    cached: tuple = ()
+
+    def release(self) -> None:
+        """Drop the persisted class table once the outputs are written."""
+        for d in self.cached:
+            d.unpersist()
 
 
 def deidentify(df: DataFrame, *, k: int = K, epsilon: float = DP_EPSILON, width: int = AGE_BIN_WIDTH,
@@ -204,4 +210,4 @@ def deidentify(df: DataFrame, *, k: int = K, epsilon: float = DP_EPSILON, width:
     anonymised = gen.join(keep, list(qi), "left_semi")
     anonymised = laplace_noise(anonymised, nums, epsilon, key=key, salt=salt, seed=seed,
                                sensitivity=sens, bounds=bounds)
-    return Deidentified(anonymised.drop(*drop), report)
+    return Deidentified(anonymised.drop(*drop), report, (classes,))

@@ -108,6 +108,12 @@ class LedgerResult:
     results: DataFrame   # RESULT rows, one per request
     assets: DataFrame    # ASSET rows: final state of existing assets
     state: DataFrame     # LEDGER_STATE rows: carried to the next micro-batch
+    cached: tuple = ()
+
+    def release(self) -> None:
+        """Drop the persisted intermediate once the outputs are written."""
+        for d in self.cached:
+            d.unpersist()
 
 
 def _anchors(reqs: DataFrame, state: DataFrame | None) -> DataFrame:
@@ -218,4 +224,4 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
         seen = (seen.unionByName(state.select("id", "last_seq"))
                 .groupBy("id").agg(F.max("last_seq").alias("last_seq")))
     new_state = seen.join(assets, "id", "left").select(*[f.name for f in LEDGER_STATE.fields])
-    return LedgerResult(results, assets, new_state)
+    return LedgerResult(results, assets, new_state, (based,))

@@ -37,7 +37,9 @@ def deidentify_job(spark: SparkSession, inp: str, out: str, fmt: str = "csv", **
     """Read, de-identify, write; returns the report as a dict."""
     res = deid.deidentify(records.read_records(spark, inp, fmt=fmt), **kw)
     records.write_records(res.data, out, fmt=fmt)
-    return res.report.first().asDict()
+    report = res.report.first().asDict()
+    res.release()
+    return report
 
 
 def governance_run(spark: SparkSession, records_df: DataFrame, *, vocab: DataFrame | None = None,

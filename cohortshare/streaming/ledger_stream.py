@@ -62,6 +62,7 @@ def apply_requests_stream(requests: DataFrame, out_dir: str, checkpoint: str, *,
         res = lg.apply_requests(batch, state=prev)
         res.results.write.mode("overwrite").parquet(os.path.join(res_root, f"epoch={epoch_id}"))
         res.state.write.mode("overwrite").parquet(os.path.join(state_root, f"epoch={epoch_id}"))
+        res.release()
 
     w = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
