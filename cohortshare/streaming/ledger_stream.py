@@ -1,13 +1,16 @@
 """The ledger over an unbounded request log (Structured Streaming).
 
 Each micro-batch is applied with the batch fold of :mod:`operators.ledger`,
-seeded by the state the previous batch left.  That state is a Parquet table
-per epoch under the shared output folder, so:
+seeded by the ledger state that earlier batches left.  The state is a Parquet
+table bucketed by a hash of the asset id, one folder per epoch holding only
+the buckets that epoch touched (``state/epoch=E/bucket=B``):
 
 * every step is the skew-safe batch plan (aggregates + equi-joins), never one
   Python group per asset;
-* a retried epoch rewrites the same result and state folders (idempotent);
-* lineage is cut at every epoch by the written state table.
+* an epoch reads and rewrites only the buckets its requests touch, so the cost
+  follows the batch, not the size of the ledger;
+* a retried epoch rewrites the same folders (idempotent), and lineage is cut
+  at every epoch by the written tables.
 
 A request whose ``seq`` is at or below the last one applied for its asset is
 answered ``late`` and changes nothing.  Feed the log in ``seq`` order per asset
@@ -24,45 +27,69 @@ from pyspark.sql import functions as F
 from ..operators import ledger as lg
 from ..schemas import LEDGER_STATE
 
+N_BUCKETS = 64
 
-def _committed_epochs(spark: SparkSession, root: str) -> list[int]:
+
+def bucket_of(col: str = "id", n: int = N_BUCKETS):
+    return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
+
+
+def _fs(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(conf)
+    return jvm, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _bucket_versions(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
+    """bucket -> latest committed epoch (below ``before``) that wrote it."""
+    jvm, path, fs = _fs(spark, root)
     if not fs.exists(path):
-        return []
-    out = []
+        return {}
+    latest: dict[int, int] = {}
     for st in fs.listStatus(path):
         name = st.getPath().getName()
-        if name.startswith("epoch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
-
-
-def _state_before(spark: SparkSession, root: str, epoch: int) -> DataFrame | None:
-    prior = [e for e in _committed_epochs(spark, root) if e < epoch]
-    if not prior:
+        if not name.startswith("epoch="):
+            continue
+        ep = int(name.split("=", 1)[1])
+        if before is not None and ep >= before:
+            continue
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            continue
+        for b in fs.listStatus(st.getPath()):
+            bn = b.getPath().getName()
+            if bn.startswith("bucket="):
+                k = int(bn.split("=", 1)[1])
+                latest[k] = max(latest.get(k, -1), ep)
+    return latest
+
+
+def _read_buckets(spark: SparkSession, root: str, versions: dict[int, int], buckets) -> DataFrame | None:
+    paths = [os.path.join(root, f"epoch={versions[b]}", f"bucket={b}") for b in buckets if b in versions]
+    if not paths:
         return None
-    return spark.read.schema(LEDGER_STATE).parquet(os.path.join(root, f"epoch={prior[-1]}"))
+    return spark.read.schema(LEDGER_STATE).parquet(*paths)
 
 
-def apply_requests_stream(requests: DataFrame, out_dir: str, checkpoint: str, *,
+def apply_requests_stream(requests: DataFrame, out_dir: str, checkpoint: str, *, n_buckets: int = N_BUCKETS,
                           available_now: bool = True, processing_time: str | None = None):
-    """Start the stream; results go to ``out_dir/results`` (append, one folder per
-    epoch) and the ledger state to ``out_dir/state``.  Returns the StreamingQuery."""
+    """Start the stream; results go to ``out_dir/results`` (one folder per epoch)
+    and the bucketed ledger state to ``out_dir/state``.  Returns the StreamingQuery."""
     spark = requests.sparkSession
     state_root = os.path.join(out_dir, "state")
     res_root = os.path.join(out_dir, "results")
 
     def step(batch: DataFrame, epoch_id: int) -> None:
-        prev = _state_before(spark, state_root, epoch_id)
+        batch = batch.persist()
+        touched = [r.b for r in batch.select(bucket_of("id", n_buckets).alias("b")).distinct().collect()]
+        prev = _read_buckets(spark, state_root, _bucket_versions(spark, state_root, before=epoch_id), touched)
         if prev is not None:
             prev = prev.withColumn("ts", F.col("ts").cast(batch.schema["ts"].dataType))
         res = lg.apply_requests(batch, state=prev)
         res.results.write.mode("overwrite").parquet(os.path.join(res_root, f"epoch={epoch_id}"))
-        res.state.write.mode("overwrite").parquet(os.path.join(state_root, f"epoch={epoch_id}"))
+        (res.state.withColumn("bucket", bucket_of("id", n_buckets))
+         .write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(state_root, f"epoch={epoch_id}")))
         res.release()
+        batch.unpersist()
 
     w = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
@@ -74,6 +101,7 @@ def read_results(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    """The current ledger state: the latest version of every bucket."""
     root = os.path.join(out_dir, "state")
-    ep = _committed_epochs(spark, root)
-    return spark.read.parquet(os.path.join(root, f"epoch={ep[-1]}")) if ep else None
+    v = _bucket_versions(spark, root)
+    return _read_buckets(spark, root, v, sorted(v))

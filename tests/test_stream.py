@@ -26,6 +26,9 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in read_results(spark, out).select("seq", "status", "message").collect()}
     exp = {tuple(r) for r in batch.results.select("seq", "status", "message").collect()}
     assert got == exp
+    epochs = sorted(os.listdir(os.path.join(out, "state")))
+    assert all(len([b for b in os.listdir(os.path.join(out, "state", e)) if b.startswith("bucket=")]) <= 64
+               for e in epochs)
     st = read_state(spark, out).where(F.col("owner").isNotNull()).select("id", "owner", "access_list").collect()
     assert sorted(map(tuple, st)) == sorted(map(tuple, batch.assets.select("id", "owner", "access_list").collect()))
 
@@ -41,3 +44,18 @@ def test_out_of_order_files_give_late(spark, tmp_path):
     res = read_results(spark, out)
     assert res.count() == reqs.count()
     assert res.where(F.col("status") == "late").count() > 0
+
+
+def test_epoch_rewrites_only_touched_buckets(spark, tmp_path):
+    reqs = event_requests(spark, SF_SMALL)
+    one = reqs.agg(F.min("id")).first()[0]
+
+    def writer(src):
+        reqs.where(F.col("id") != one).coalesce(1).write.mode("append").parquet(src)
+        reqs.where(F.col("id") == one).coalesce(1).write.mode("append").parquet(src)
+    out = _run(spark, tmp_path, writer)
+    epochs = sorted(os.listdir(os.path.join(out, "state")), key=lambda e: int(e.split("=")[1]))
+    last = [b for b in os.listdir(os.path.join(out, "state", epochs[-1])) if b.startswith("bucket=")]
+    assert len(last) == 1                       # the second epoch touched one asset, one bucket
+    full = {r.id for r in read_state(spark, out).collect()}
+    assert full == {r.id for r in reqs.select("id").distinct().collect()}
