@@ -67,8 +67,30 @@ QUERIES = {
 }
 
 
-def _unrolled_ols(src: str, key: str, x: str, y: str, first: str, max_iter: int = 10, tol: float = 1e-3) -> str:
-    """Chained OLS rounds as CTEs; ``first`` is the column visited first (fewer missing)."""
+def _br_fit_ctes(name: str, tab: str, tgt: str, feat: str) -> list[str]:
+    """Bayesian ridge with one feature as CTEs: moments, the evidence iteration as a
+    recursive CTE (stop when |coef change| < 1e-3, at most 300 steps), final coef."""
+    return [
+        f"{name}_m AS MATERIALIZED (SELECT count(*) AS n, avg({feat}) AS mx, avg({tgt}_obs) AS my, "
+        f"var_pop({feat}) * count(*) AS xtx, covar_pop({feat}, {tgt}_obs) * count(*) AS xty, "
+        f"var_pop({tgt}_obs) * count(*) AS yty FROM {tab} WHERE {tgt}_obs IS NOT NULL)",
+        f"{name}_it(it, alpha, lam, pc, stop) AS ("
+        f"SELECT CAST(0 AS INTEGER), CAST(1.0 / (yty / n + {2.0 ** -52!r}) AS DOUBLE), CAST(1.0 AS DOUBLE), "
+        f"CAST(NULL AS DOUBLE), false FROM {name}_m "
+        f"UNION ALL SELECT it + 1, "
+        f"(n - alpha * xtx / (lam + alpha * xtx) + 2e-6) / (greatest(yty - 2 * c * xty + c * c * xtx, 0.0) + 2e-6), "
+        f"(alpha * xtx / (lam + alpha * xtx) + 2e-6) / (c * c + 2e-6), c, it <> 0 AND abs(pc - c) < 1e-3 "
+        f"FROM (SELECT *, xty / (xtx + lam / alpha) AS c FROM {name}_it, {name}_m) s "
+        f"WHERE NOT stop AND it < 300)",
+        f"{name} AS MATERIALIZED (SELECT my - mx * b AS a, b FROM (SELECT m.mx, m.my, "
+        f"m.xty / (m.xtx + i.lam / i.alpha) AS b FROM {name}_m m, "
+        f"(SELECT * FROM {name}_it ORDER BY it DESC LIMIT 1) i) z)",
+    ]
+
+
+def _unrolled_ols(src: str, key: str, x: str, y: str, first: str, max_iter: int = 10, tol: float = 1e-3,
+                  fit: str = "ols") -> str:
+    """Chained regression rounds as CTEs; ``first`` is the column visited first (fewer missing)."""
     second = y if first == x else x
     ctes = [f"s0 AS MATERIALIZED (SELECT *, coalesce({x}_obs, avg({x}_obs) OVER ()) AS {x}0, "
             f"coalesce({y}_obs, avg({y}_obs) OVER ()) AS {y}0 FROM ({src}) src)"]
@@ -77,8 +99,12 @@ def _unrolled_ols(src: str, key: str, x: str, y: str, first: str, max_iter: int
     for r in range(1, max_iter + 1):
         for step, (tgt, feat) in enumerate([(first, second), (second, first)]):
             tab = f"s{r}_{step}"
-            ctes.append(f"f{r}_{step} AS MATERIALIZED (SELECT regr_slope({tgt}_obs, {cur[feat]}) AS b, "
-                        f"regr_intercept({tgt}_obs, {cur[feat]}) AS a FROM {prev_tab} WHERE {tgt}_obs IS NOT NULL)")
+            if fit == "ols":
+                ctes.append(f"f{r}_{step} AS MATERIALIZED (SELECT regr_slope({tgt}_obs, {cur[feat]}) AS b, "
+                            f"regr_intercept({tgt}_obs, {cur[feat]}) AS a FROM {prev_tab} "
+                            f"WHERE {tgt}_obs IS NOT NULL)")
+            else:
+                ctes.extend(_br_fit_ctes(f"f{r}_{step}", prev_tab, tgt, cur[feat]))
             ctes.append(f"{tab} AS MATERIALIZED (SELECT {prev_tab}.*, coalesce({tgt}_obs, f.a + f.b * {cur[feat]}) "
                         f"AS {tgt}{r} FROM {prev_tab}, f{r}_{step} f)")
             cur[tgt] = f"{tgt}{r}"
@@ -91,7 +117,7 @@ def _unrolled_ols(src: str, key: str, x: str, y: str, first: str, max_iter: int
     def pick(c):
         whens = " ".join(f"WHEN (SELECT v FROM n{r}) < (SELECT t FROM tolv) THEN {c}{r}" for r in range(1, max_iter + 1))
         return f"CASE {whens} ELSE {c}{max_iter} END"
-    return ("WITH " + ",\n".join(ctes) +
+    return ("WITH RECURSIVE " + ",\n".join(ctes) +
             f"\nSELECT {key}, round({pick(x)}, 4) AS {x}, round({pick(y)}, 4) AS {y} FROM {prev_tab}")
 
 
@@ -118,4 +144,6 @@ ORACLE = {
     "mice_two_columns": _unrolled_ols(_LI_TWO, "l_orderkey, l_linenumber", "l_quantity", "l_extendedprice",
                                       first="l_extendedprice"),
     "mice_customer": _unrolled_ols(_CUST, "c_custkey", "c_acctbal", "c_nationkey", first="c_nationkey"),
+    "mice_bayes": _unrolled_ols(_LI_TWO, "l_orderkey, l_linenumber", "l_quantity", "l_extendedprice",
+                                first="l_extendedprice", fit="bayes_ridge"),
 }
