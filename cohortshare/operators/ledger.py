@@ -35,6 +35,12 @@ SEED_OWNER = "Org1MSP"
 ZERO_HASH = "0x" + "0" * 64
 SEED_DESCRIPTION = "Initial rare-disease cohort record"
 
+# The refusal messages of the contract.
+MSG_ALREADY_EXISTS = "asset %s already exists"
+MSG_NOT_FOUND = "asset %s does not exist"
+MSG_ACCESS_DENIED = "access denied for %s on asset %s"
+MSG_NOT_OWNER = "only owner %s may grant access"
+
 OK, ALREADY_EXISTS, NOT_FOUND, ACCESS_DENIED, NOT_OWNER, LATE, INVALID = (
     "ok", "already_exists", "not_found", "access_denied", "not_owner", "late", "invalid_op")
 
@@ -198,10 +204,10 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
                     .otherwise(F.lit(ACCESS_DENIED)))
               .otherwise(F.lit(INVALID)))
     message = (F.when(op == "exists", F.when(has, F.lit("true")).otherwise(F.lit("false")))
-               .when(status == ALREADY_EXISTS, F.format_string("asset %s already exists", idq))
-               .when(status == NOT_FOUND, F.format_string("asset %s does not exist", idq))
-               .when(status == ACCESS_DENIED, F.format_string("access denied for %s on asset %s", caller, idq))
-               .when(status == NOT_OWNER, F.format_string("only owner %s may grant access", owner)))
+               .when(status == ALREADY_EXISTS, F.format_string(MSG_ALREADY_EXISTS, idq))
+               .when(status == NOT_FOUND, F.format_string(MSG_NOT_FOUND, idq))
+               .when(status == ACCESS_DENIED, F.format_string(MSG_ACCESS_DENIED, caller, idq))
+               .when(status == NOT_OWNER, F.format_string(MSG_NOT_OWNER, owner)))
     results = res.select("seq", "op", "id", "caller", status.alias("status"), message.alias("message"))
     if late is not None:
         results = results.unionByName(late.select("seq", "op", "id", "caller", F.lit(LATE).alias("status"),
