@@ -6,7 +6,7 @@ until the final global counts, and a long sentence costs O(length).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags as tg
@@ -141,3 +141,38 @@ def spans_to_bio_rows(examples: DataFrame, key: str = "ex_id", text: str = "text
            .when(F.col("b.s") == F.col("pos"), F.concat(F.lit("B-"), F.col("b.t")))
            .otherwise(F.concat(F.lit("I-"), F.col("b.t"))))
     return best.select(key, "pos", "ch", tag.alias("tag"))
+
+
+def token_rows(sentences: DataFrame, tokens: str = "tokens", tags: str = "tags", keys=("sent_id",)) -> DataFrame:
+    """BIO_SENT -> BIO_TOK: one row per token (keys..., pos, ch, tag)."""
+    z = F.arrays_zip(F.col(tokens).alias("ch"), F.col(tags).alias("tag"))
+    return sentences.select(*keys, F.posexplode(z).alias("pos", "z")).select(
+        *keys, F.col("pos").cast("int").alias("pos"), F.col("z.ch").alias("ch"), F.col("z.tag").alias("tag"))
+
+
+def decode_bio_rows(tokens_df: DataFrame, mode: str = "strict", keys=("sent_id",), joiner: str = "") -> DataFrame:
+    """E2/E3 over one row per token (keys..., pos, ch, tag): gaps and islands.
+
+    A row continues the island of the previous row iff its tag is I-X and the
+    previous tag is B-X or I-X; island id = running count of non-continuing
+    rows.  The window is partitioned by sentence, a group bounded by one
+    sentence's length; for whole sentences in one row, :func:`sentence_entities`
+    needs no shuffle at all.
+    """
+    if mode not in ("strict", "lenient"):
+        raise ValueError(f"mode must be strict or lenient, not {mode!r}")
+    w = Window.partitionBy(*keys).orderBy("pos")
+    prev = F.lag("tag").over(w)
+    cont = F.coalesce(F.col("tag").startswith("I-") & (prev.startswith("B-") | prev.startswith("I-"))
+                      & (F.substring(prev, 3, 1 << 20) == F.substring("tag", 3, 1 << 20)), F.lit(False))
+    marked = tokens_df.withColumn("_brk", (~cont).cast("int"))
+    marked = marked.withColumn("_isl", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    g = marked.groupBy(*keys, "_isl").agg(
+        F.min("pos").alias("start"), F.max("pos").alias("end"), F.min_by("tag", F.col("pos")).alias("t0"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), joiner)
+        .alias("text"))
+    keep = F.col("t0").startswith("B-")
+    if mode == "lenient":
+        keep = keep | F.col("t0").startswith("I-")
+    return g.where(keep).select(*keys, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
+                                F.substring("t0", 3, 1 << 20).alias("type"), "text")
