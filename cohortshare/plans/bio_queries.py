@@ -79,11 +79,32 @@ def q_bio_roundtrip(spark, sf_dir):
     return back.select(F.array_join("tokens", "").alias("tokens"), F.array_join("tags", " ").alias("tags"))
 
 
+def _rule_codes():
+    """The gold rule as a character translation: letter -> private-use code of its tag."""
+    labels = [f"{p}-{t}" for t in TYPES3 for p in ("B", "I")]
+    code = {lab: chr(0xE000 + i) for i, lab in enumerate(labels)}
+    src, dst = [], []
+    for c in map(chr, list(range(65, 91)) + list(range(97, 123))):
+        lab = ("B-" if c.lower() in "aeiou" else "I-") + TYPES3[ord(c) % 3]
+        src.append(c)
+        dst.append(code[lab])
+    return "".join(src), "".join(dst), {v: k for k, v in code.items()}
+
+
 def doc_tags(spark, sf_dir):
+    """Gold tags by the rule of :func:`char_tag`, predicted tags = the rule one character ahead.
+
+    The rule runs as one ``translate`` over the text (generated code) and one
+    map lookup per character, instead of string work per character.
+    """
+    src, dst, back = _rule_codes()
     d = table(spark, sf_dir, "documents")
-    d = d.select("doc_id", chars("text").alias("chs"))
-    return d.select("doc_id", "chs", F.transform("chs", char_tag).alias("gold_tags"),
-                    F.transform(tg.shift_left("chs"), char_tag).alias("pred_tags"))
+    d = d.select("doc_id", chars("text").alias("chs"), F.translate("text", src, dst).alias("_codes"))
+    m = tg.map_lit(back)
+    tag = lambda c: F.coalesce(F.element_at(m, c), F.lit("O"))
+    return d.select("doc_id", "chs", F.transform(chars("_codes"), tag).alias("gold_tags"),
+                    F.transform(chars(F.concat(F.substring("_codes", 2, 1 << 30), F.lit("O"))), tag)
+                    .alias("pred_tags"))
 
 
 def q_bio_decode(spark, sf_dir):
