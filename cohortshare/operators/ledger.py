@@ -53,19 +53,23 @@ def init_assets(spark: SparkSession, seq: int = 0, ts=None) -> DataFrame:
         [(seq, SEED_OWNER, "init", SEED_ID, ZERO_HASH, SEED_DESCRIPTION, None, ts)], REQUEST)
 
 
+def _c(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
 def has_access(access_list, caller) -> Column:
-    """B19."""
-    return F.array_contains(access_list, caller)
+    """Column names or Columns."""
+    return F.array_contains(_c(access_list), _c(caller))
 
 
 def add_grantee(access_list, grantee) -> Column:
     """Append unless present (order kept)."""
-    return F.array_union(access_list, F.array(grantee))
+    return F.array_union(_c(access_list), F.array(_c(grantee)))
 
 
 def is_owner(owner, caller) -> Column:
     """B21."""
-    return F.col(owner) == F.col(caller) if isinstance(owner, str) else owner == caller
+    return _c(owner) == _c(caller)
 
 
 def rfc3339(ts) -> Column:

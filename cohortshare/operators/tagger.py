@@ -73,3 +73,35 @@ def tag_notes(model: PipelineModel, df: DataFrame, key: str = "patient_id", text
     tagged = predict_tags(model, s, "tokens", keys=(key,))
     from .bio import sentence_entities
     return sentence_entities(tagged, "tokens", "pred_tags", mode, keys=(key,))
+
+
+_MODEL_CACHE: dict = {}
+
+
+def tag_notes_with_model(df: DataFrame, loader, key: str = "patient_id", text: str = "clinical_note",
+                         mode: str = "strict", batch_rows: int = 256) -> DataFrame:
+    """H3 with a user model: ``loader()`` returns ``predict(list[list[str]]) -> list[list[str]]``
+    (character lists in, tag lists out).
+
+    Runs through ``mapInPandas`` on Arrow batches; the model is loaded once per
+    Python worker and reused across batches and tasks (the reference reloads it
+    per call).  Decoding uses the array decoder.
+    """
+    import pandas as pd
+
+    token = id(loader)
+
+    def run(batches):
+        model = _MODEL_CACHE.get(token)
+        if model is None:
+            model = _MODEL_CACHE[token] = loader()
+        for b in batches:
+            for i in range(0, len(b), batch_rows):
+                part = b.iloc[i:i + batch_rows]
+                toks = [list(t) if t is not None else [] for t in part[text]]
+                yield pd.DataFrame({key: part[key].values, "tokens": toks, "pred_tags": model(toks)})
+
+    kt = df.schema[key].dataType.simpleString()
+    tagged = df.select(key, text).mapInPandas(run, f"{key} {kt}, tokens array<string>, pred_tags array<string>")
+    from .bio import sentence_entities
+    return sentence_entities(tagged.where(F.size("tokens") > 0), "tokens", "pred_tags", mode, keys=(key,))

@@ -103,3 +103,22 @@ def test_sources_corpus_requests(spark, tmp_path):
     requests.write_requests(init_assets(spark), str(tmp_path / "req"))
     got = requests.read_requests(spark, str(tmp_path / "req")).collect()
     assert got[0].id == "asset1" and got[0].op == "init"
+
+
+def test_user_model_plug(spark):
+    def _rule_model():   # nested, so it is shipped to the workers by value
+        def predict(batch):
+            return [["B-DIS" if c == "a" else "I-DIS" if c == "b" else "O" for c in toks] for toks in batch]
+        return predict
+    notes = spark.createDataFrame([("n1", "xabby"), ("n2", "ba"), ("n3", "")], "patient_id string, clinical_note string")
+    ents = tagger.tag_notes_with_model(notes, _rule_model).collect()
+    assert sorted((e.patient_id, e.start, e.end, e.text) for e in ents) == [("n1", 1, 3, "abb"), ("n2", 1, 1, "a")]
+
+
+def test_access_list_functions(spark):
+    from cohortshare.operators import ledger as lg
+    df = spark.createDataFrame([(["Org1MSP"], "Org2MSP", "Org1MSP")], "l array<string>, g string, o string")
+    r = df.select(lg.add_grantee("l", "g").alias("a"), lg.add_grantee("l", "o").alias("b"),
+                  lg.has_access("l", "o").alias("c"), lg.has_access("l", "g").alias("d"),
+                  lg.is_owner("o", "o").alias("e")).first()
+    assert r.a == ["Org1MSP", "Org2MSP"] and r.b == ["Org1MSP"] and r.c and not r.d and r.e
