@@ -122,3 +122,17 @@ def test_access_list_functions(spark):
                   lg.has_access("l", "o").alias("c"), lg.has_access("l", "g").alias("d"),
                   lg.is_owner("o", "o").alias("e")).first()
     assert r.a == ["Org1MSP", "Org2MSP"] and r.b == ["Org1MSP"] and r.c and not r.d and r.e
+
+
+def test_mlm_corpus_fixture(spark):
+    corpus = spark.createDataFrame([(1, ""), (2, "ab " * 700), (3, "短句")], "doc_id long, text string")
+    toks = mlm.corpus_tokens(corpus).collect()
+    per = {}
+    for t in toks:
+        per.setdefault(t.doc_id, []).append((t.block, t.pos))
+    assert 1 not in per                                   # empty text: no tokens
+    assert len(per[2]) == 1400 and max(b for b, _ in per[2]) == 2   # whole text kept, 510-token blocks
+    assert all(1 <= p <= 510 for _, p in per[2])
+    assert sorted(per[3]) == [(0, 1), (0, 2)]
+    rows = mlm.mlm_examples(corpus, salt="z").collect()
+    assert all(r.doc_id in (2, 3) for r in rows)
