@@ -50,7 +50,7 @@ def conversation_examples(spark, sf_dir):
 
 def _bio_out(df, keys=("conv_id", "turn")):
     return df.select(*keys,
-                     F.size("pairs").alias("n_tokens"),
+                     F.size("pairs").cast("bigint").alias("n_tokens"),
                      F.array_join(F.transform("pairs", lambda p: F.concat(p["ch"], F.lit(" "), p["tag"])), "\n")
                      .alias("bio"))
 
