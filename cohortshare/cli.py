@@ -10,6 +10,7 @@ Jobs mirror the reference's scripts, as Spark jobs over whole tables:
   train-tagger --train bio_path --output model_dir [--max-iter 20]
   tag          --model model_dir --input records.csv --output entities [--column clinical_note]
   ledger       --input requests.parquet --output out
+  mlm          --corpus corpus.txt --output out [--salt S] [--max-len 512] [--dense]
 
 Inside a cluster job the existing session is used (its ``spark.checkpoint.dir``
 is read, not replaced); run locally, a ``local[*]`` session is created.
@@ -70,6 +71,13 @@ def main(argv=None) -> int:
     p = sub.add_parser("ledger")
     p.add_argument("--input", required=True)
     p.add_argument("--output", required=True)
+    p = sub.add_parser("mlm")
+    p.add_argument("--corpus", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--salt", default="")
+    p.add_argument("--max-len", type=int, default=512)
+    p.add_argument("--probability", type=float, default=0.15)
+    p.add_argument("--dense", action="store_true")
     a = ap.parse_args(argv)
 
     spark = _spark()
@@ -120,6 +128,14 @@ def main(argv=None) -> int:
         res.assets.write.mode("overwrite").parquet(f"{a.output}/assets")
         res.release()
         print(json.dumps({"results": f"{a.output}/results", "assets": f"{a.output}/assets"}))
+    elif a.job == "mlm":
+        from pyspark.sql import functions as F
+        from .operators import mlm
+        from .sources.bio_io import read_corpus
+        corpus = read_corpus(spark, a.corpus).withColumn("doc_id", F.monotonically_increasing_id())
+        fn = mlm.mlm_blocks if a.dense else mlm.mlm_examples
+        fn(corpus, "doc_id", "text", salt=a.salt, max_len=a.max_len, probability=a.probability) \
+            .write.mode("overwrite").parquet(a.output)
     return 0
 
 

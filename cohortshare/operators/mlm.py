@@ -72,7 +72,7 @@ def mlm_blocks(corpus: DataFrame, key: str = "doc_id", text: str = "text", **kw)
 
     One group per block (at most ``max_len`` tokens), so no group is unbounded.
     """
-    toks = corpus_tokens(corpus, key, text, kw.get("max_len", MAX_LEN))
+    toks = corpus_tokens(corpus, key, text, kw.get("max_len", MAX_LEN))  # same blocks as the sparse rows
     ch = mlm_examples(corpus, key, text, **kw)
     full = toks.join(ch.select(key, "block", "pos", "label", "input"), [key, "block", "pos"], "left")
     rows = full.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct(

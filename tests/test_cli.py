@@ -25,3 +25,11 @@ def test_cli_jobs(spark, tmp_path, capsys):
     requests.write_requests(init_assets(spark), str(tmp_path / "req"))
     assert cli.main(["ledger", "--input", str(tmp_path / "req"), "--output", str(tmp_path / "led")]) == 0
     assert spark.read.parquet(str(tmp_path / "led" / "assets")).first().owner == "Org1MSP"
+
+
+def test_cli_mlm(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("第一行文本\n\n" + "长" * 600 + "\n", encoding="utf-8")
+    assert cli.main(["mlm", "--corpus", str(tmp_path / "c.txt"), "--output", str(tmp_path / "o"), "--salt", "x"]) == 0
+    assert cli.main(["mlm", "--corpus", str(tmp_path / "c.txt"), "--output", str(tmp_path / "d"), "--dense"]) == 0
+    dense = spark.read.parquet(str(tmp_path / "d")).collect()
+    assert sorted(len(r.input_tokens) for r in dense) == [7, 92, 512]
