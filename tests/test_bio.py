@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from cohortshare.functions import tags as tg
 from cohortshare.operators import bio

@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from cohortshare.operators import terms as tm
 from cohortshare.sources.vocab import default_vocab, read_vocab, write_vocab
