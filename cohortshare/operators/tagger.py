@@ -66,9 +66,8 @@ def predict_tags(model: PipelineModel, sentences: DataFrame, tokens: str = "toke
 
 
 def tag_notes(model: PipelineModel, df: DataFrame, key: str = "patient_id", text: str = "clinical_note",
-              type_map: dict | None = None, mode: str = "strict") -> DataFrame:
+              mode: str = "strict") -> DataFrame:
     """H3: notes -> characters -> tags -> entities (key, start, end, type, text); whole notes."""
-    del type_map
     s = df.select(F.col(key), chars(text).alias("tokens")).where(F.size("tokens") > 0)
     tagged = predict_tags(model, s, "tokens", keys=(key,))
     from .bio import sentence_entities

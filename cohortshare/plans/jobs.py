@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tags import SHORT_TYPE_MAP
 from ..operators import bio, deid, impute, terms
 from ..sources import bio_io, records
 from ..sources.vocab import default_vocab
@@ -50,7 +49,7 @@ def governance_run(spark: SparkSession, records_df: DataFrame, *, vocab: DataFra
     df = impute.impute(records_df)
     ents = None
     if tagger is not None and "clinical_note" in df.columns:
-        ents = tg_op.tag_notes(tagger, df, key=key, text="clinical_note", type_map=SHORT_TYPE_MAP)
+        ents = tg_op.tag_notes(tagger, df, key=key, text="clinical_note")
     if "disease_name_raw" in df.columns:
         df = map_terms_job(spark, df, "disease_name_raw", vocab).withColumnRenamed("code", "disease_code") \
             .drop("score", "status", "match_type")
