@@ -68,8 +68,18 @@ def q_ledger_seeded_state(spark, sf_dir):
     return _state_out(lg.apply_requests(event_requests(spark, sf_dir, seeded=True)).assets)
 
 
+def q_ledger_from_files(spark, sf_dir):
+    """The request log staged as Parquet files and read back through the request source."""
+    from ..session import scratch_path
+    from ..sources import requests
+    path = scratch_path(spark, "requests")
+    requests.write_requests(event_requests(spark, sf_dir), path)
+    return lg.apply_requests(requests.read_requests(spark, path)).results
+
+
 QUERIES = {
     "ledger_results": q_ledger_results,
+    "ledger_from_files": q_ledger_from_files,
     "ledger_status_counts": q_ledger_status_counts,
     "ledger_state": q_ledger_state,
     "ledger_all_assets": q_ledger_all_assets,
@@ -132,6 +142,7 @@ def _ledger_sql(seeded: bool) -> str:
 
 ORACLE = {
     "ledger_results": _ledger_sql(False) + " SELECT * FROM results",
+    "ledger_from_files": _ledger_sql(False) + " SELECT * FROM results",
     "ledger_status_counts": _ledger_sql(False) + """
   SELECT op, status, message, CAST(count(*) AS BIGINT) AS n FROM results
   WHERE message IS NULL OR message IN ('true', 'false') GROUP BY 1, 2, 3""",
