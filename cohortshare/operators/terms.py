@@ -70,8 +70,8 @@ def classify(best: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(best >= F.lit(threshold), F.lit("matched")).otherwise(F.lit("needs_manual_review"))
 
 
-def _char_bag(df: DataFrame, s: str) -> DataFrame:
-    """(s, ch, c) rows: the character bag of each distinct string."""
+def char_bag(df: DataFrame, s: str) -> DataFrame:
+    """(s, ch, c) rows, the character counts of each distinct string (empty string: no rows)."""
     return (df.select(s, F.explode(chars(s)).alias("ch"))
             .groupBy(s, "ch").agg(F.count(F.lit(1)).cast("double").alias("c")))
 
@@ -80,7 +80,7 @@ def _vocab_side(vocab: DataFrame, broadcast_rows: int):
     v = clean_vocab(vocab)
     n = v.count()                     # size check before any broadcast
     small = n <= broadcast_rows
-    vbag = _char_bag(v.select("std_name"), "std_name").withColumnRenamed("c", "cv")
+    vbag = char_bag(v.select("std_name"), "std_name").withColumnRenamed("c", "cv")
     vnorm = vbag.groupBy("std_name").agg(F.sum(F.col("cv") * F.col("cv")).alias("nv"))
     vfull = v.join(vnorm, "std_name")
     if small:
@@ -98,7 +98,7 @@ def score_candidates(terms: DataFrame, vocab: DataFrame, broadcast_rows: int = B
 
 
 def _score(terms: DataFrame, vbag: DataFrame, vfull: DataFrame) -> DataFrame:
-    tbag = _char_bag(terms, "term").withColumnRenamed("c", "ct")
+    tbag = char_bag(terms, "term").withColumnRenamed("c", "ct")
     tnorm = tbag.groupBy("term").agg(F.sum(F.col("ct") * F.col("ct")).alias("nt"))
     dots = (tbag.join(vbag, "ch")
             .groupBy("term", "std_name").agg(F.sum(F.col("ct") * F.col("cv")).alias("dot")))

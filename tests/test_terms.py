@@ -75,3 +75,9 @@ def test_embedding_blocks_equal_single_block(spark):
     a = {r.term: (r.code, round(r.score, 12)) for r in tm.match_by_embedding(terms, vocab).collect()}
     b = {r.term: (r.code, round(r.score, 12)) for r in tm.match_by_embedding(terms, vocab, block_rows=7).collect()}
     assert a == b and len(a) == 100
+
+
+def test_char_bag(spark):
+    df = spark.createDataFrame([("病病a",), ("",)], "t string")
+    got = sorted(tuple(r) for r in tm.char_bag(df, "t").collect())
+    assert got == [("病病a", "a", 1.0), ("病病a", "病", 2.0)]
