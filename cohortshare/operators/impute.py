@@ -18,7 +18,9 @@ of the observed values.  So:
    aggregation, centred co-moments via ``covar_pop``) yields every M_p;
 2. all rounds run on the driver over these small matrices; one aggregate
    then evaluates the exact stopping norm of every round at once;
-3. the output is one projection: a ``CASE`` on the pattern per column.
+3. the output is one projection: a ``CASE`` on the pattern per column, or,
+   with many patterns, a broadcast table of per-pattern coefficients joined
+   on the pattern id.
 
 Estimators: ``bayes_ridge`` (the library default, evidence maximisation after
 MacKay 1992, fitted from the Gram matrix) and ``ols``.
@@ -26,7 +28,6 @@ MacKay 1992, fitted from the Gram matrix) and ``ols``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -103,14 +104,6 @@ def fit_bayes_ridge(xtx: np.ndarray, xty: np.ndarray, yty: float, n: float, n_it
 ESTIMATORS = {"ols": fit_ols, "bayes_ridge": fit_bayes_ridge}
 
 
-@dataclass
-class ImputePlan:
-    cols: tuple
-    mean: np.ndarray                    # global means of the observed values
-    coefs: dict = field(default_factory=dict)   # pattern -> p x (p+1) matrix in centred coordinates
-    rounds: int = 0
-
-
 def _moment_matrices(rows, p):
     n_obs = np.zeros(p)
     s_obs = np.zeros(p)
@@ -198,9 +191,83 @@ def _affine(row: np.ndarray, cols, mu, pat) -> Column:
     return expr
 
 
+CASE_LIMIT = 256   # pattern x round branches above which coefficient tables replace CASE expressions
+
+
+def _centred(cols, mu) -> Column:
+    """[1, x1 - mu1, ..., xp - mup] with 0 for a missing value (its coefficient is 0 anyway)."""
+    return F.array(F.lit(1.0), *[F.coalesce(_num(c) - F.lit(float(mu[k])), F.lit(0.0)) for k, c in enumerate(cols)])
+
+
+def _dot(coefs: Column, z: Column) -> Column:
+    return F.aggregate(F.zip_with(coefs, z, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def _norms_by_case(df, cols, mu, history, pats):
+    p = len(cols)
+    pat_col = missing_pattern(cols)
+    norms = []
+    for rnd in range(1, len(history)):
+        per = None
+        for pat in pats:
+            d = history[rnd][pat] - history[rnd - 1][pat]
+            terms = [F.abs(_affine(d[j], cols, mu, pat)) for j in range(p) if (pat >> j) & 1 and np.any(d[j])]
+            if not terms:
+                continue
+            e = reduce(lambda x, y: x + y, terms)
+            per = F.when(pat_col == pat, e) if per is None else per.when(pat_col == pat, e)
+        norms.append(F.max(per).alias(f"r{rnd}") if per is not None else F.lit(0.0).alias(f"r{rnd}"))
+    return df.agg(*norms).first()
+
+
+def _norms_by_table(df, cols, mu, history, pats):
+    """The same norms with the per-pattern changes in a small broadcast table."""
+    p = len(cols)
+    rows = [(int(pat), [[(history[r][pat] - history[r - 1][pat])[j].tolist() for j in range(p) if (pat >> j) & 1]
+                        for r in range(1, len(history))]) for pat in pats]
+    cf = df.sparkSession.createDataFrame(rows, "_pat int, _d array<array<array<double>>>")
+    z = df.select(missing_pattern(cols).alias("_pat"), _centred(cols, mu).alias("_z"))
+    j = z.join(F.broadcast(cf), "_pat")
+    norms = [F.max(F.aggregate(F.transform(F.get(F.col("_d"), r - 1), lambda row: F.abs(_dot(row, F.col("_z")))),
+                               F.lit(0.0), lambda acc, x: acc + x)).alias(f"r{r}")
+             for r in range(1, len(history))]
+    return j.agg(*norms).first()
+
+
+def _project_by_case(df, cols, mu, final, pats):
+    pat_col = missing_pattern(cols)
+    out = {}
+    for j, c in enumerate(cols):
+        e = None
+        for pat in pats:
+            if (pat >> j) & 1:
+                val = F.lit(float(mu[j])) + _affine(final[pat][j], cols, mu, pat)
+                e = F.when(pat_col == pat, val) if e is None else e.when(pat_col == pat, val)
+        out[c] = e.otherwise(_num(c)) if e is not None else _num(c)
+    return df.withColumns(out)
+
+
+def _project_by_table(df, cols, mu, final, pats):
+    """Fill via a broadcast table pattern -> coefficient rows (a broadcast join keeps the row side in place)."""
+    p = len(cols)
+    rows = [(int(pat), [final[pat][j].tolist() for j in range(p)]) for pat in pats]
+    cf = df.sparkSession.createDataFrame(rows, "_pat int, _a array<array<double>>")
+    staged = df.withColumns({"_pat": missing_pattern(cols), "_z": _centred(cols, mu)})
+    j = staged.join(F.broadcast(cf), "_pat", "left")
+    out = {c: F.when(_num(c).isNull(), F.lit(float(mu[k])) + _dot(F.get(F.col("_a"), k), F.col("_z")))
+           .otherwise(_num(c)) for k, c in enumerate(cols)}
+    return j.withColumns(out).select(*df.columns)
+
+
 def impute(df: DataFrame, cols=NUMERIC_COLS, *, max_iter: int = MAX_ITER, tol: float = TOL,
-           estimator: str = "bayes_ridge") -> DataFrame:
-    """H1: every column in ``cols`` filled; other columns untouched; observed cells unchanged."""
+           estimator: str = "bayes_ridge", case_limit: int = CASE_LIMIT) -> DataFrame:
+    """H1: every column in ``cols`` filled; other columns untouched; observed cells unchanged.
+
+    With few missing patterns the stopping norms and the fill are CASE
+    expressions on the pattern; beyond ``case_limit`` pattern x round branches
+    the per-pattern coefficients go to a small broadcast table (<= 2^p rows)
+    joined on the pattern id, so the plan stays small for many columns.
+    """
     cols = tuple(cols)
     p = len(cols)
     mom = pattern_moments(df, cols).collect()          # <= 2^p rows
@@ -210,37 +277,16 @@ def impute(df: DataFrame, cols=NUMERIC_COLS, *, max_iter: int = MAX_ITER, tol: f
         return df
     mu, history, _ = plan_imputation([r.asDict() for r in mom], cols, max_iter=max_iter, estimator=estimator)
     pats = sorted(history[0])
+    use_table = len(pats) * max(len(history) - 1, 1) > case_limit
     chosen = len(history) - 1
     if p >= 2 and max_iter > 0:
         obs_max = max(max(abs(r[f"lo{j}"]), abs(r[f"hi{j}"])) for r in mom for j in range(p)
                       if r[f"lo{j}"] is not None)
         ntol = tol * obs_max
-        pat_col = missing_pattern(cols)
-        norms = []
-        for rnd in range(1, len(history)):
-            per = None
-            for pat in pats:
-                d = history[rnd][pat] - history[rnd - 1][pat]
-                terms = [F.abs(_affine(d[j], cols, mu, pat)) for j in range(p) if (pat >> j) & 1 and np.any(d[j])]
-                if not terms:
-                    continue
-                e = reduce(lambda x, y: x + y, terms)
-                per = F.when(pat_col == pat, e) if per is None else per.when(pat_col == pat, e)
-            norms.append(F.max(per).alias(f"r{rnd}") if per is not None else F.lit(0.0).alias(f"r{rnd}"))
-        got = df.agg(*norms).first()
+        got = (_norms_by_table if use_table else _norms_by_case)(df, cols, mu, history, pats)
         for rnd in range(1, len(history)):
             v = got[f"r{rnd}"] or 0.0
             if v < ntol:
                 chosen = rnd
                 break
-    final = history[chosen]
-    pat_col = missing_pattern(cols)
-    out = {}
-    for j, c in enumerate(cols):
-        e = None
-        for pat in pats:
-            if (pat >> j) & 1:
-                val = F.lit(float(mu[j])) + _affine(final[pat][j], cols, mu, pat)
-                e = F.when(pat_col == pat, val) if e is None else e.when(pat_col == pat, val)
-        out[c] = e.otherwise(_num(c)) if e is not None else _num(c)
-    return df.withColumns(out)
+    return (_project_by_table if use_table else _project_by_case)(df, cols, mu, history[chosen], pats)

@@ -91,3 +91,14 @@ def test_count_missing_and_errors(spark):
     out = im.impute(spark.createDataFrame([(1.0, 10.0), (2.0, 20.0), (3.0, None)],
                                           "age_months double, lab_value double"), estimator="ols")
     assert abs(out.where(F.col("age_months") == 3.0).first().lab_value - 30.0) < 1e-9
+
+
+def test_table_path_equals_case_path(spark):
+    X = _data(5, n=300)
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in X[i]]) for i in range(len(X))]
+    df = spark.createDataFrame(rows, "i long, a double, b double, c double")
+    a = im.impute(df, ["a", "b", "c"]).orderBy("i").collect()
+    b = im.impute(df, ["a", "b", "c"], case_limit=0).orderBy("i").collect()
+    assert len(a) == len(b) == 300
+    for x, y in zip(a, b):
+        assert x.i == y.i and all(abs(getattr(x, c) - getattr(y, c)) < 1e-9 for c in "abc")
