@@ -199,12 +199,15 @@ def match_by_embedding(terms: DataFrame, vocab: DataFrame, *, key: str = "term",
     exact for any vocabulary size without a cross join.
     """
     n = vocab.count()
-    nblocks = max(1, -(-n // block_rows))
+    # hashed ordinals spread any ord pattern evenly; blocks average half the limit
+    nblocks = 1 if n <= block_rows else -(-2 * n // block_rows)
     v = vocab.select(F.col("ord").cast("long").alias("ord"), "code", F.col(vec).alias("vec"))
     parts = []
     for b in range(nblocks):
-        blk = v.where(F.pmod(F.col("ord"), F.lit(nblocks)) == b) if nblocks > 1 else v
-        blk = blk.orderBy("ord").toPandas()   # bounded by block_rows, checked above
+        blk = v.where(F.pmod(F.xxhash64("ord"), F.lit(nblocks)) == b) if nblocks > 1 else v
+        blk = blk.limit(block_rows + 1).toPandas().sort_values("ord")   # hard bound on what reaches the driver
+        if len(blk) > block_rows:
+            raise ValueError(f"vocabulary block over {block_rows} rows; raise block_rows or check ord values")
         if blk.empty:
             continue
         udf = _cosine_best_udf(terms.sparkSession, blk)
