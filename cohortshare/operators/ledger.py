@@ -14,7 +14,8 @@ in one task.  An asset's life is cut into segments by its *anchors*: its first
 successful create and every ``init`` (plus the carried-in state in streaming).
 The anchors come from one partial aggregate per id.  Each request finds the
 latest anchor at or before it by an equi-join on id (AQE splits a hot id on
-the request side) and a grouping on the unique ``seq``.  Valid grants are
+the request side); only when the log holds seed puts, so that an id can have
+several anchors, is that followed by a grouping on the unique ``seq``.  Valid grants are
 reduced to the earliest one per (id, anchor, grantee) by another partial
 aggregate, and reads are resolved by an equi-join against that small table.
 """
@@ -155,6 +156,11 @@ def _anchors(reqs: DataFrame, state: DataFrame | None) -> DataFrame:
     return anchors
 
 
+def _has_inits(reqs: DataFrame) -> bool:
+    """Whether the log holds any seed put; a pushed-down filter on ``op`` that stops at the first hit."""
+    return bool(reqs.where(F.col("op") == "init").limit(1).count())
+
+
 def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> LedgerResult:
     """L5 (and the per-batch step of L6): one RESULT per request plus the final state.
 
@@ -173,8 +179,11 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
                        F.struct("aseq", "kind", "owner", "data_hash", "description", "ts").alias("a"))
     # as-of: the latest anchor at or before each request (seq is unique -> even shuffle)
     cand = reqs.join(a, (reqs.id == a._aid) & (a._aseq <= reqs.seq), "left").select(*REQ_COLS, "a")
-    based = (cand.groupBy(*REQ_COLS).agg(F.max_by("a", F.col("a.aseq")).alias("a"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    if _has_inits(reqs):
+        # several anchors per id possible: keep the latest one at or before each request
+        cand = cand.groupBy(*REQ_COLS).agg(F.max_by("a", F.col("a.aseq")).alias("a"))
+    # else: at most one anchor per id (first create or carried-in state), the join is one-to-one
+    based = cand.persist(StorageLevel.MEMORY_AND_DISK)
 
     op, caller, owner = F.col("op"), F.col("caller"), F.col("a.owner")
     has = F.col("a").isNotNull()
