@@ -31,6 +31,15 @@ def corpus_tokens(corpus: DataFrame, key: str = "doc_id", text: str = "text", ma
                     (F.col("i") % width + 1).cast("int").alias("pos"), "token")
 
 
+def _hex_threshold(p: float) -> str:
+    """Smallest 32-bit h with (h + 0.5) / 2^32 >= p, as 8 lowercase hex digits (exact)."""
+    from fractions import Fraction
+    from math import ceil
+    t = ceil(Fraction(p) * 4294967296 - Fraction(1, 2))
+    t = min(max(t, 0), 4294967296)
+    return "g" * 8 if t >= 4294967296 else format(t, "08x")   # 'g' sorts above every hex digit
+
+
 def _h(m, a, b):
     return F.conv(F.substring(m, a, b), 16, 10).cast("long")
 
@@ -58,7 +67,8 @@ def mlm_examples(corpus: DataFrame, key: str = "doc_id", text: str = "text", *,
                           F.col("pos").cast("string")))
     u = lambda a: (_h(F.col("_m"), a, 8).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
     hashed = toks.select(key, "block", "pos", "token", m.alias("_m"))
-    chosen = (hashed.where(u(1) < probability)
+    # (h + 0.5) / 2^32 < p  <=>  h < T  <=>  the 8 hex digits sort below hex(T): no conversion per token
+    chosen = (hashed.where(F.substring("_m", 1, 8) < F.lit(_hex_threshold(probability)))
               .select(key, "block", "pos", "token", u(9).alias("u_kind"),
                       (_h(F.col("_m"), 17, 8) % F.lit(len(vlist))).alias("ridx")))
     j = chosen.join(vdf, "ridx", "left")
