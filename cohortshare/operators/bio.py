@@ -53,12 +53,15 @@ def sentence_entities(df: DataFrame, tokens: str = "tokens", tags: str = "tags",
     nxt = F.concat(F.slice("_st", 2, F.greatest(F.size("_st") - 1, F.lit(0))), F.array(F.size(tags)))
     ex = staged.select(*keys, tokens, tags,
                        F.explode_outer(F.arrays_zip(F.col("_st").alias("s"), nxt.alias("nx"))).alias("z"))
-    ex = ex.where(F.col("z").isNotNull()).select(
+    # coalesce keeps the predicates out of null-constraint inference, which would otherwise
+    # push isnotnull(<tags expression>) below the projection and compute the tags twice
+    ex = ex.where(F.coalesce(F.col("z.s") >= 0, F.lit(False))).select(
         *keys, tokens, F.col("z.s").cast("int").alias("start"), (F.col("z.nx") - 1).cast("int").alias("end"),
         F.element_at(tags, F.col("z.s") + 1).alias("_t0"))
     keep = F.col("_t0").startswith("B-")
     if mode == "lenient":
         keep = keep | F.col("_t0").startswith("I-")
+    keep = F.coalesce(keep, F.lit(False))
     return ex.where(keep).select(
         *keys, "start", "end", F.substring("_t0", 3, 1 << 20).alias("type"),
         F.array_join(F.slice(tokens, F.col("start") + 1, F.col("end") - F.col("start") + 1), joiner).alias("text"))
