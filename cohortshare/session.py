@@ -57,3 +57,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder for one job's output."""
     base = shared_dir(spark)
     return os.path.join(base, "cohortshare", f"{name}-{uuid.uuid4().hex}")
+
+
+def spread(df):
+    """Spread rows over the session's cores when the input has fewer partitions
+    than that (a small input, or one row group per file); a no-op otherwise.
+
+    For CPU-heavy per-row work (text arrays): on a large input, which already
+    has at least as many splits as cores, no shuffle is added.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

@@ -14,3 +14,12 @@ def test_scratch_goes_under_the_checkpoint_dir(spark, tmp_path):
     finally:
         if before:
             sc.setCheckpointDir(before)
+
+
+def test_spread_only_small_inputs(spark):
+    from cohortshare.session import spread
+    par = spark.sparkContext.defaultParallelism
+    big = spark.range(0, 1000, 1, numPartitions=par * 4)
+    assert spread(big) is big                               # already split: no shuffle added
+    small = spark.range(0, 1000, 1, numPartitions=1)
+    assert spread(small).rdd.getNumPartitions() == par
