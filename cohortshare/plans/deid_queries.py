@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import deid
+from ..session import spread
 from ..sources.tables import table
 
 SALT = "cohortshare-test-salt"   # fixed for reproducible tests; secret in production
 
 
 def lineitem_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     return li.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
         .alias("patient_id"),
@@ -27,7 +28,7 @@ def lineitem_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
     return o.select(
         k,
