@@ -91,11 +91,11 @@ ASSET_JSON_SCHEMA = ("id string, owner string, dataHash string, description stri
 
 
 def assets_from_json(df: DataFrame, col: str = "json") -> DataFrame:
-    """A8 inverse: JSON documents -> asset rows (timestamp parsed back)."""
+    """A8 inverse: JSON documents -> asset rows (the UTC text parsed back as a zone-free timestamp)."""
     d = F.from_json(col, ASSET_JSON_SCHEMA)
     return df.select(d["id"].alias("id"), d["owner"].alias("owner"), d["dataHash"].alias("data_hash"),
                      d["description"].alias("description"), d["accessList"].alias("access_list"),
-                     F.to_timestamp(d["timestamp"], "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+                     F.to_timestamp_ntz(d["timestamp"], F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"))
 
 
 def lookup_asset(requests: DataFrame, assets: DataFrame) -> DataFrame:

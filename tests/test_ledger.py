@@ -66,6 +66,7 @@ def test_json_roundtrip_and_lookups(spark):
     assert doc.endswith('"timestamp":"2024-01-01T12:00:02Z"}')
     back = lg.assets_from_json(js).first()
     assert back.access_list == ["Org1MSP", "Org2MSP"] and back.owner == "Org1MSP"
+    assert back.ts == dt.datetime(2024, 1, 1, 12, 0, 2)
     q = spark.createDataFrame([("a",), ("zz",)], "id string")
     assert {r.id: r.found for r in lg.lookup_asset(q, res.assets).collect()} == {"a": True, "zz": False}
     assert [r.id for r in lg.asset_exists(q, res.assets).collect()] == ["a"]
