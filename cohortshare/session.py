@@ -66,7 +66,11 @@ def spread(df):
     For CPU-heavy per-row work (text arrays): on a large input, which already
     has at least as many splits as cores, no shuffle is added.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    if df.isStreaming:
+        return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        small = df.rdd.getNumPartitions() < target
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan as it is
+        return df
+    return df.repartition(target) if small else df
