@@ -162,3 +162,11 @@ def test_prf_forms_agree(spark):
     b = bio.entity_prf(g, p).first()
     assert (a.n_gold, a.n_pred, a.tp) == (b.n_gold, b.n_pred, b.tp) == (3, 2, 2)
     assert a.precision == 1.0 and abs(a.recall - 2 / 3) < 1e-12 and abs(a.f1 - 0.8) < 1e-12
+
+
+def test_small_tag_helpers(spark):
+    df = spark.createDataFrame([([0, 3, 4], "ab")], "ids array<int>, t string")
+    r = df.select(tg.decode_tags("ids").alias("d"), tg.indices(tg.decode_tags("ids")).alias("i")).first()
+    assert r.d == ["O", "B-SYM", "I-SYM"] and r.i == [0, 1, 2]
+    rows = bio.char_rows(df, "t").collect()
+    assert [(x.pos, x.ch) for x in rows] == [(0, "a"), (1, "b")]

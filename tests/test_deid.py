@@ -75,3 +75,15 @@ def test_bounds_clip_and_fix_scale(spark):
     df = spark.createDataFrame([(1, 100.0), (2, -50.0)], "k long, lab_value double")
     out = deid.laplace_noise(df, key="k", salt="s", bounds={"lab_value": (0.0, 10.0)}).collect()
     assert len(out) == 2
+
+
+def test_standalone_loss_and_risk(spark):
+    df = _sample(spark)
+    g = deid.apply_generalisation(df)
+    anon = deid.enforce_k_anonymity(g)
+    assert deid.information_loss(df).first().information_loss == 100.0
+    assert 0.0 <= deid.information_loss(df).first().information_loss <= 100.0
+    assert deid.reidentification_risk(anon).first().reid_risk == 10.0
+    assert deid.reidentification_risk(anon.where(F.lit(False))).first().reid_risk == 0.0
+    wide = spark.createDataFrame([(0.0,), (120.0,)], "age_months double")
+    assert deid.information_loss(wide).first().information_loss == 10.0
