@@ -105,3 +105,29 @@ def read_state(spark: SparkSession, out_dir: str) -> DataFrame | None:
     root = os.path.join(out_dir, "state")
     v = _bucket_versions(spark, root)
     return _read_buckets(spark, root, v, sorted(v))
+
+
+def vacuum_state(spark: SparkSession, out_dir: str) -> list[int]:
+    """Delete state epochs whose every bucket has a newer committed version.
+
+    Those folders can no longer be read by any epoch; the latest version of
+    each bucket (and any uncommitted folder of a running epoch) is kept.
+    Returns the removed epoch numbers.
+    """
+    root = os.path.join(out_dir, "state")
+    jvm, path, fs = _fs(spark, root)
+    if not fs.exists(path):
+        return []
+    latest = _bucket_versions(spark, root)
+    live = set(latest.values())
+    removed = []
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if not name.startswith("epoch="):
+            continue
+        ep = int(name.split("=", 1)[1])
+        committed = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+        if committed and ep not in live and ep < max(live, default=-1):
+            fs.delete(st.getPath(), True)
+            removed.append(ep)
+    return sorted(removed)

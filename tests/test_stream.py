@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cohortshare.operators import ledger as lg
 from cohortshare.plans.ledger_queries import event_requests
 from cohortshare.plans.stream_queries import stage_in_seq_order
-from cohortshare.streaming.ledger_stream import apply_requests_stream, read_results, read_state
+from cohortshare.streaming.ledger_stream import apply_requests_stream, read_results, read_state, vacuum_state
 
 from conftest import SF_SMALL
 
@@ -59,3 +59,14 @@ def test_epoch_rewrites_only_touched_buckets(spark, tmp_path):
     assert len(last) == 1                       # the second epoch touched one asset, one bucket
     full = {r.id for r in read_state(spark, out).collect()}
     assert full == {r.id for r in reqs.select("id").distinct().collect()}
+
+
+def test_vacuum_keeps_the_current_state(spark, tmp_path):
+    reqs = event_requests(spark, SF_SMALL)
+    out = _run(spark, tmp_path, lambda src: stage_in_seq_order(reqs, src, n_files=4))
+    before = sorted(map(tuple, read_state(spark, out).collect()))
+    removed = vacuum_state(spark, out)
+    after = sorted(map(tuple, read_state(spark, out).collect()))
+    assert before == after
+    assert removed                                   # superseded epochs were found and removed
+    assert all(f"epoch={e}" not in os.listdir(os.path.join(out, "state")) for e in removed)
