@@ -38,3 +38,15 @@ def test_hot_class_deid(spark):
     assert rep.records_in == 9000 and rep.records_out == kept
     assert res.data.where(F.col("location") == "Hot").count() == 3000
     res.release()
+
+
+def test_hot_term_mapping(spark):
+    from cohortshare.operators import terms as tm
+    from cohortshare.sources.vocab import default_vocab
+    rows = [("戈谢氏病" if i % 3 == 0 else ["庞贝病", "abc", "法布雷", f"x{i % 50}"][i % 4], i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "term string, rid long").repartition(12)
+    out = tm.map_terms(df, default_vocab(spark))
+    got = out.collect()
+    assert len(got) == 6000 and len({r.rid for r in got}) == 6000
+    hot = {(r.code, r.score) for r in got if r.term == "戈谢氏病"}
+    assert hot == {("ORPHA:355", 0.82)}
