@@ -102,3 +102,18 @@ def test_table_path_equals_case_path(spark):
     assert len(a) == len(b) == 300
     for x, y in zip(a, b):
         assert x.i == y.i and all(abs(getattr(x, c) - getattr(y, c)) < 1e-9 for c in "abc")
+
+
+def test_many_columns_table_path_equals_row_by_row(spark):
+    rng = np.random.default_rng(11)
+    n, p = 500, 6
+    z = rng.normal(size=(n, 2))
+    X = z @ rng.normal(size=(2, p)) + 0.3 * rng.normal(size=(n, p)) + np.arange(p) * 10
+    X[rng.random((n, p)) < 0.2] = np.nan
+    cols = [f"c{j}" for j in range(p)]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in X[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "i long, " + ", ".join(f"{c} double" for c in cols))
+    out = im.impute(df, cols, estimator="ols", case_limit=0).orderBy("i").collect()
+    got = np.array([[getattr(r, c) for c in cols] for r in out])
+    exp = brute_impute(X, _ols_fit)
+    assert np.max(np.abs(got - exp)) < 1e-6
