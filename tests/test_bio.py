@@ -170,3 +170,11 @@ def test_small_tag_helpers(spark):
     assert r.d == ["O", "B-SYM", "I-SYM"] and r.i == [0, 1, 2]
     rows = bio.char_rows(df, "t").collect()
     assert [(x.pos, x.ch) for x in rows] == [(0, "a"), (1, "b")]
+
+
+def test_read_bio_crlf_separator(spark, tmp_path):
+    p = tmp_path / "w.bio"
+    p.write_bytes("a B-DIS\r\nb I-DIS\r\n\r\nc O\r\nd B-SYM\r\n\r\n\r\ne O".encode("utf-8"))
+    got = sorted(("".join(r.tokens), " ".join(r.tags))
+                 for r in bio_io.read_bio(spark, str(p), line_sep="\r\n\r\n").collect())
+    assert got == [("ab", "B-DIS I-DIS"), ("cd", "O B-SYM"), ("e", "O")]
