@@ -31,7 +31,8 @@ def read_records(spark: SparkSession, path: str, numeric=None, fmt: str = "csv")
     na = F.array(*[F.lit(x) for x in NA_VALUES])
     cols = {}
     for c in df.columns:
-        v = F.when(F.array_contains(na, F.col(c)), F.lit(None).cast("string")).otherwise(F.col(c))
+        ref = F.col(f"`{c}`")                      # headers may hold dots or spaces
+        v = F.when(F.array_contains(na, ref), F.lit(None).cast("string")).otherwise(ref)
         if c in numeric:
             d = v.try_cast("double")
             v = F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)

@@ -136,3 +136,11 @@ def test_mlm_corpus_fixture(spark):
     assert sorted(per[3]) == [(0, 1), (0, 2)]
     rows = mlm.mlm_examples(corpus, salt="z").collect()
     assert all(r.doc_id in (2, 3) for r in rows)
+
+
+def test_read_records_odd_headers(spark, tmp_path):
+    src = tmp_path / "odd.csv"
+    src.write_text("patient_id,lab.value,age months\nP1,NA,3\nP2,1.5,N/A\n", encoding="utf-8")
+    rows = {r["patient_id"]: r for r in records.read_records(spark, str(src), numeric={"lab.value"}).collect()}
+    assert rows["P1"]["lab.value"] is None and rows["P2"]["lab.value"] == 1.5
+    assert rows["P2"]["age months"] is None and rows["P1"]["age months"] == "3"
