@@ -177,10 +177,10 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
     anchors = _anchors(reqs, state)
     a = anchors.select(F.col("id").alias("_aid"), F.col("aseq").alias("_aseq"),
                        F.struct("aseq", "kind", "owner", "data_hash", "description", "ts").alias("a"))
-    # as-of: the latest anchor at or before each request (seq is unique -> even shuffle)
+    # as-of: the anchors of the request's id at or before it (equi-join on id)
     cand = reqs.join(a, (reqs.id == a._aid) & (a._aseq <= reqs.seq), "left").select(*REQ_COLS, "a")
     if _has_inits(reqs):
-        # several anchors per id possible: keep the latest one at or before each request
+        # several anchors per id possible: keep the latest one per request (seq is unique -> even shuffle)
         cand = cand.groupBy(*REQ_COLS).agg(F.max_by("a", F.col("a.aseq")).alias("a"))
     # else: at most one anchor per id (first create or carried-in state), the join is one-to-one
     based = cand.persist(StorageLevel.MEMORY_AND_DISK)
