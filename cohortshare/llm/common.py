@@ -11,6 +11,11 @@ Conventions of every operator here
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from functools import lru_cache
+from pathlib import Path
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +28,22 @@ LOWER_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_TO = LOWER_FROM.lower()
 
 
+@lru_cache(maxsize=4)
+def _shipped(application_id: str) -> str:
+    root = Path(__file__).resolve().parents[2]
+    return shutil.make_archive(str(Path(tempfile.mkdtemp()) / "cohortshare"), "zip", root, "cohortshare")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package along with the job, once per application, as ``--py-files`` does."""
+    misses = _shipped.cache_info().misses
+    archive = _shipped(spark.sparkContext.applicationId)
+    if _shipped.cache_info().misses > misses:
+        spark.sparkContext.addPyFile(archive)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -67,6 +87,7 @@ def id_or_null(c: Column) -> Column:
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

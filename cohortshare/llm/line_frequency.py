@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fingerprint, fresh_name, raw_texts, signed64, small_or_shuffled, stored
+from .common import fingerprint, fresh_name, raw_texts, ship, signed64, small_or_shuffled, stored
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -84,6 +84,7 @@ def _profiles(batches):
 
 def profiles(docs: DataFrame) -> DataFrame:
     """One row per document with its base counts and its distinct normalised lines (stored once, used twice)."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("source")).alias("host"),
                        F.col("text").cast("string").alias("text"))
     return stored(rows.mapInArrow(_profiles, _PROFILE), "line-profiles")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import NULL_ID, fingerprint, fresh_name, id_and_text, id_or_null, ids_of, raw_texts
+from .common import NULL_ID, fingerprint, fresh_name, id_and_text, id_or_null, ids_of, raw_texts, ship
 
 _LOCAL = "n_bytes long, h long, content binary, min_id long, max_id long, n long, n_top long"
 _OWNERS = "sha binary, n_bytes long, min_id long, max_id long, n long, n_top long"
@@ -185,6 +185,7 @@ def _append_sha(position: int):
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest doc_id."""
+    ship(docs.sparkSession)
     sha = fresh_name(docs.columns, "cs_sha")
     out = StructType([*docs.schema.fields]).add(sha, BinaryType())
     rows = docs.mapInArrow(_append_sha(docs.columns.index("text")), out)

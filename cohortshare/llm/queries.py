@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grouped_packing, line_frequency, patricia, string_kernel
+from . import grouped_packing, induced_suffixes, line_frequency, patricia, string_kernel, window_dedup
 from .common import read_documents
 
 
@@ -10,6 +10,10 @@ def op1_line_frequency(spark, sf_dir):
     return line_frequency.judge_documents(read_documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return induced_suffixes.remove_earlier_strings(read_documents(spark, sf_dir)).drop("kept")
+
+
 def op5_language_id(spark, sf_dir):
     return string_kernel.identify_languages(read_documents(spark, sf_dir))
 
@@ -18,9 +22,14 @@ def op6_exact_dedup(spark, sf_dir):
     return patricia.exact_dedup(read_documents(spark, sf_dir)).drop("first_id")
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return window_dedup.remove_repeated_windows(read_documents(spark, sf_dir)).drop("text")
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return grouped_packing.best_fit_pack(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_frequency, op5_language_id, op6_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_frequency, op2_suffix_dedup, op5_language_id, op6_exact_dedup, op8_substring_dedup, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}

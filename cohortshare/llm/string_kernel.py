@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh_name, id_and_text, raw_texts, small_or_shuffled, stored
+from .common import fresh_name, id_and_text, raw_texts, ship, small_or_shuffled, stored
 
 BITS = 1 << 13              # presence places
 GRAMS = 4
@@ -99,6 +99,7 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE)
     The texts with the smallest hashes are drawn (a partial top-k per task, then one per language). What reaches the
     driver is one packed bit row of BITS / 8 bytes per drawn text.
     """
+    ship(docs.sparkSession)
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("draw"),
         F.col("text").cast("string").alias("text"))
