@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_or_null, raw_texts, stored
-from .super_kmers import Scheme, covered_ranges, in_buckets, keyed_texts, per_bucket, repeat_filter, string_name, string_rows, with_ranges
+from .repeats import repeat_filter
+from .super_kmers import (Scheme, covered_ranges, in_buckets, keyed_texts, minimiser_hashes, per_bucket, string_name,
+                          string_rows, with_ranges)
 
 BYTES = 50
 MINIMISER = 16
@@ -233,7 +235,7 @@ def _extremes(a, b):
 
 def earlier_ranges(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """doc_id, fp, cut_from, cut_to (byte positions) covered by a string that a document with a smaller id has."""
-    repeats = repeat_filter(docs, scheme)
+    repeats = repeat_filter(docs, minimiser_hashes(scheme), scheme.filter_bits)
     owners = stored(in_buckets(docs, scheme, repeats, _ids, _extremes)
                     .mapInArrow(per_bucket(_solve(scheme), _extremes), "string binary, mask long, owner_id long"), "string-owners")
     rows = keyed_texts(docs).mapInArrow(string_rows(scheme, repeats), "doc_id long, fp long, first long, string binary")

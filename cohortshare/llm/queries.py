@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import grouped_packing, induced_suffixes, line_frequency, patricia, string_kernel, window_dedup
+from . import (grouped_packing, induced_suffixes, line_frequency, multi_order_join, patricia, string_kernel,
+               window_dedup)
 from .common import read_documents
 
 
@@ -26,10 +27,15 @@ def op8_substring_dedup(spark, sf_dir):
     return window_dedup.remove_repeated_windows(read_documents(spark, sf_dir)).drop("text")
 
 
+def op9_jaccard_join(spark, sf_dir):
+    return multi_order_join.document_components(read_documents(spark, sf_dir)).drop("node")
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return grouped_packing.best_fit_pack(read_documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_frequency, op2_suffix_dedup, op5_language_id, op6_exact_dedup, op8_substring_dedup, op10_best_fit_packing)}
+    op1_line_frequency, op2_suffix_dedup, op5_language_id, op6_exact_dedup, op8_substring_dedup, op9_jaccard_join,
+    op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}

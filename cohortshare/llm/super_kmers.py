@@ -5,8 +5,8 @@ windows have equal minimisers, so whatever compares windows can work bucket by b
 hash of the minimiser. Consecutive windows with the same minimiser travel as one packed string.
 
 A run has at most k - m + 1 windows and no window twice, and a minimiser that occurs once in the corpus cannot
-belong to a repeated window. ``repeat_filter`` therefore marks, in a bitmap of fixed size, the minimisers that
-may occur twice; the others stay at home. A wrong mark costs time only.
+belong to a repeated window. A bitmap of fixed size (``repeats``) marks the minimisers that may occur twice; the
+others stay at home. A wrong mark costs time only.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from .common import id_and_text, raw_texts, small_or_shuffled
 _POS_BITS = 26
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
-SLICES = 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,7 +73,7 @@ class Scheme:
     k: int
     m: int
     words: bool              # tokens are words, else bytes
-    filter_bits: int         # log2 of the places of the repeat filter
+    filter_bits: int         # log2 of the places of the repeat filter (see ``repeats``)
 
     def tokens(self, raw: bytes):
         """(token hashes, byte offset where each token starts, where it ends)."""
@@ -127,99 +126,11 @@ def unpack(blob: bytes) -> tuple[list[bytes], list[tuple]]:
     return out, list(map(tuple, nums.tolist()))
 
 
-# ---------------------------------------------------------------- repeat filter
-
-def _slots(scheme: Scheme, minimisers: np.ndarray) -> np.ndarray:
-    return (spread_hash(minimisers) >> _U(64 - scheme.filter_bits)).astype(np.int64)
-
-
-def _slot_lists(scheme: Scheme):
-    """Per batch and slice of the bitmap: the places hit (and those hit twice), sorted and packed."""
-    per_slice = 1 << (scheme.filter_bits - 8)
-
-    def run(batches):
-        for b in batches:
-            found = [_slots(scheme, scheme.runs(scheme.tokens(raw)[0])[0]) for raw in raw_texts(b.column(1))]
-            slots = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
-            new = np.concatenate([[True], slots[1:] != slots[:-1]])[:len(slots)]
-            once, again = slots[new], np.unique(slots[~new])
-            cut = np.arange(SLICES + 1) * per_slice
-            a, t = np.searchsorted(once, cut), np.searchsorted(again, cut)
-            rows = [(i, _packed_places(once[a[i]:a[i + 1]] - cut[i]), _packed_places(again[t[i]:t[i + 1]] - cut[i]))
-                    for i in range(SLICES) if a[i + 1] > a[i]]
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()),
-                                              pa.array(cols[2], pa.binary())], ["slice", "once", "again"])
-    return run
-
-
-def _packed_places(places: np.ndarray) -> bytes:
-    """Sorted places as zstd-packed steps."""
-    if not len(places):
-        return b""
-    return zstandard.ZstdCompressor(1).compress(np.diff(places, prepend=0).astype("<u4").tobytes())
-
-
-def _places(blob: bytes) -> np.ndarray:
-    if not blob:
-        return np.zeros(0, np.int64)
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4").astype(np.int64))
-
-
-def _repeated_slices(scheme: Scheme):
-    per_slice = 1 << (scheme.filter_bits - 8)
-
-    def run(batches):
-        at, seen, twice = None, None, None
-
-        def finished():
-            blob = zstandard.ZstdCompressor(3).compress(np.packbits(twice).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([blob], pa.binary())], ["slice", "bits"])
-
-        for b in batches:
-            for i, once, again in zip(*(b.column(c).to_pylist() for c in range(3))):
-                if i != at:
-                    if at is not None:
-                        yield finished()
-                    at, seen, twice = i, np.zeros(per_slice, bool), np.zeros(per_slice, bool)
-                p = _places(once)
-                twice[p[seen[p]]] = True
-                seen[p] = True
-                twice[_places(again)] = True
-        if at is not None:
-            yield finished()
-    return run
-
-
-class RepeatFilter:
-    """Bitmap of the minimisers that may occur twice; its size depends on the scheme only."""
-
-    def __init__(self, scheme: Scheme, slices: dict[int, bytes]):
-        self.scheme, self.slices, self._bits = scheme, slices, None
-
-    def __getstate__(self):
-        return self.scheme, self.slices
-
-    def __setstate__(self, state):
-        (self.scheme, self.slices), self._bits = state, None
-
-    def may_repeat(self, minimisers: np.ndarray) -> np.ndarray:
-        if self._bits is None:
-            size = 1 << (self.scheme.filter_bits - 11)
-            bits = np.zeros(size * SLICES, np.uint8)
-            for i, blob in self.slices.items():
-                bits[i * size:(i + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-            self._bits = bits
-        s = _slots(self.scheme, minimisers)
-        return (self._bits[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 == 1
-
-
-def repeat_filter(docs: DataFrame, scheme: Scheme):
-    """Broadcast ``RepeatFilter`` of all documents: at most 2^filter_bits / 8 bytes, whatever the corpus."""
-    lists = id_and_text(docs).mapInArrow(_slot_lists(scheme), "slice int, once binary, again binary")
-    rows = (lists.repartition("slice").sortWithinPartitions("slice")
-            .mapInArrow(_repeated_slices(scheme), "slice int, bits binary").collect())
-    return docs.sparkSession.sparkContext.broadcast(RepeatFilter(scheme, {r["slice"]: bytes(r["bits"]) for r in rows}))
+def minimiser_hashes(scheme: Scheme):
+    """Function text -> even hashes of its runs' minimisers."""
+    def of(raw: bytes) -> np.ndarray:
+        return spread_hash(scheme.runs(scheme.tokens(raw)[0])[0])
+    return of
 
 
 # ---------------------------------------------------------------- strings of a document
@@ -228,7 +139,7 @@ def candidate_strings(scheme: Scheme, repeats: RepeatFilter, raw: bytes):
     """(minimisers, first windows, packed strings) of the runs whose minimiser may occur elsewhere."""
     hashes, starts, ends = scheme.tokens(raw)
     minimisers, first, count = scheme.runs(hashes)
-    may = repeats.may_repeat(minimisers)
+    may = repeats.may_repeat(spread_hash(minimisers))
     minimisers, first, count = minimisers[may], first[may], count[may]
     last = first + count + scheme.k - 2            # last token of the run's last window
     if scheme.words:

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import raw_texts, stored
-from .super_kmers import Scheme, covered_ranges, in_buckets, keyed_texts, per_bucket, repeat_filter, string_name, string_rows, with_ranges
+from .repeats import repeat_filter
+from .super_kmers import (Scheme, covered_ranges, in_buckets, keyed_texts, minimiser_hashes, per_bucket, string_name,
+                          string_rows, with_ranges)
 
 WORDS = 35
 MINIMISER = 8
@@ -77,7 +79,7 @@ def _solve(k: int):
 
 def repeated_ranges(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """doc_id, fp, cut_from, cut_to (word positions, end exclusive) of the documents with a repeated window."""
-    repeats = repeat_filter(docs, scheme)
+    repeats = repeat_filter(docs, minimiser_hashes(scheme), scheme.filter_bits)
     masks = stored(in_buckets(docs, scheme, repeats, _once, _twice_at_most)
                    .mapInArrow(per_bucket(_solve(scheme.k), _twice_at_most), "string binary, mask long"), "repeated-windows")
     rows = keyed_texts(docs).mapInArrow(string_rows(scheme, repeats), "doc_id long, fp long, first long, string binary")
