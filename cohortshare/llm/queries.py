@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (grouped_packing, induced_suffixes, line_frequency, multi_order_join, patricia, string_kernel,
-               window_dedup)
+from . import (disclosure, grouped_packing, induced_suffixes, license_index, line_frequency, multi_order_join, patricia,
+               string_kernel, window_dedup)
 from .common import read_documents
 
 
@@ -15,6 +15,14 @@ def op2_suffix_dedup(spark, sf_dir):
     return induced_suffixes.remove_earlier_strings(read_documents(spark, sf_dir)).drop("kept")
 
 
+def op3_license_scan(spark, sf_dir):
+    return license_index.scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_pii_disclosure(spark, sf_dir):
+    return disclosure.find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_language_id(spark, sf_dir):
     return string_kernel.identify_languages(read_documents(spark, sf_dir))
 
@@ -36,6 +44,6 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_frequency, op2_suffix_dedup, op5_language_id, op6_exact_dedup, op8_substring_dedup, op9_jaccard_join,
+    op1_line_frequency, op2_suffix_dedup, op3_license_scan, op4_pii_disclosure, op5_language_id, op6_exact_dedup, op8_substring_dedup, op9_jaccard_join,
     op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
