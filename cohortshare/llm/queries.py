@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (disclosure, grouped_packing, induced_suffixes, license_index, line_frequency, multi_order_join, patricia,
-               string_kernel, window_dedup)
+               piece_transducer, string_kernel, window_dedup)
 from .common import read_documents
 
 
@@ -31,6 +31,10 @@ def op6_exact_dedup(spark, sf_dir):
     return patricia.exact_dedup(read_documents(spark, sf_dir)).drop("first_id")
 
 
+def op7_sentencepiece(spark, sf_dir):
+    return piece_transducer.encode_and_check(read_documents(spark, sf_dir))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return window_dedup.remove_repeated_windows(read_documents(spark, sf_dir)).drop("text")
 
@@ -44,6 +48,6 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_frequency, op2_suffix_dedup, op3_license_scan, op4_pii_disclosure, op5_language_id, op6_exact_dedup, op8_substring_dedup, op9_jaccard_join,
+    op1_line_frequency, op2_suffix_dedup, op3_license_scan, op4_pii_disclosure, op5_language_id, op6_exact_dedup, op7_sentencepiece, op8_substring_dedup, op9_jaccard_join,
     op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
