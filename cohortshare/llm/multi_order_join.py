@@ -24,11 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import NULL_ID, fresh_name, id_and_text, id_or_null, raw_texts, ship, stored
+from .common import NULL_ID, fresh_name, id_or_null, raw_texts, small_or_shuffled, stored
 from .repeats import count_sketch, repeat_filter
-from .super_kmers import _mix, word_bounds, word_hashes
+from .super_kmers import keyed_texts, mix, word_bounds, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
@@ -54,7 +53,7 @@ def shingle_set(raw: bytes, size: int = SHINGLE) -> np.ndarray:
     out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
         out = out * _U(0x9E3779B97F4A7C15) + h[i:len(h) - n + 1 + i]
-    return np.unique(_mix(out + _U(n)))
+    return np.unique(mix(out + _U(n)))
 
 
 def needed(n, percent: int):
@@ -75,7 +74,7 @@ def _sampled(tokens: np.ndarray) -> np.ndarray:
 
 def _sampled_tokens(size: int):
     def of(raw: bytes) -> np.ndarray:
-        return _mix(_sampled(shingle_set(raw, size)))
+        return mix(_sampled(shingle_set(raw, size)))
     return of
 
 
@@ -84,30 +83,30 @@ def _tokens(blob: bytes) -> np.ndarray:
 
 
 def _token_hashes(blob: bytes) -> np.ndarray:
-    return _mix(_tokens(blob))
+    return mix(_tokens(blob))
 
 
 def _sets(size: int, percent: int, repeats):
-    """(doc_id, text) -> doc_id, n, node (128-bit name of the set), tokens; no node where a partner is ruled out."""
+    """(doc_id, text, fp) -> doc_id, fp, n, node (128-bit name of the set), tokens; no node where a partner is ruled out."""
     def run(batches):
         for b in batches:
             n, nodes, sets = [], [], []
             for raw in raw_texts(b.column(1)):
                 s = shingle_set(raw, size)
                 part = _sampled(s)
-                alone = np.count_nonzero(~repeats.value.may_repeat(_mix(part)))
+                alone = np.count_nonzero(~repeats.value.may_repeat(mix(part)))
                 keep = len(s) > 0 and alone <= len(s) - needed(len(s), percent)
                 blob = s.astype("<u8").tobytes() if keep else None
                 n.append(len(s))
                 sets.append(blob)
                 nodes.append(xxhash.xxh3_128_digest(blob) if keep else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()),
-                                              pa.array(sets, pa.binary())], ["doc_id", "n", "node", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()),
+                                              pa.array(sets, pa.binary())], ["doc_id", "fp", "n", "node", "tokens"])
     return run
 
 
 def _order(tokens: np.ndarray, level: np.ndarray, seed: int) -> np.ndarray:
-    return np.lexsort((_mix(tokens ^ _U(seed)), level))
+    return np.lexsort((mix(tokens ^ _U(seed)), level))
 
 
 def _leader_keys(sketch):
@@ -117,8 +116,8 @@ def _leader_keys(sketch):
             keys, rows = [], []
             for i, blob in enumerate(b.column(1).to_pylist()):
                 t = _tokens(blob)
-                t = t[sketch.value.level(_mix(t)) > 1]
-                for k in {int(_mix(t ^ _U(seed + 1)).argmin()) for seed in ORDERS[:LEADER_KEYS]} if len(t) else ():
+                t = t[sketch.value.level(mix(t)) > 1]
+                for k in {int(mix(t ^ _U(seed + 1)).argmin()) for seed in ORDERS[:LEADER_KEYS]} if len(t) else ():
                     keys.append(t[k])
                     rows.append(i)
             at = pa.array(rows, pa.int64())
@@ -159,7 +158,7 @@ def _prefixes(sketch, percent: int):
             which, toks, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, blob in enumerate(b.column(2).to_pylist()):
                 t = _tokens(blob)
-                level = sketch.value.level(_mix(t))
+                level = sketch.value.level(mix(t))
                 for o, seed in enumerate(ORDERS):
                     first = _order(t, level, seed)[:len(t) - needed(len(t), percent) + 1]
                     first = first[level[first] > 1]
@@ -251,21 +250,51 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame:
     return connect(labels, stored(_links_of(_across(pairs, labels), classes, percent), "other-links"))
 
 
+def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, n, node of every row; node, label of every class), both stored. Null node: linked with nothing."""
+    repeats = repeat_filter(docs, _sampled_tokens(size), FILTER_BITS)
+    sets = stored(keyed_texts(docs).mapInArrow(
+        _sets(size, percent, repeats), "doc_id long, fp long, n long, node binary, tokens binary"), "shingle-sets")
+    classes = stored(sets.where(F.col("node").isNotNull()).groupBy("node")
+                     .agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "shingle-classes")
+    return sets.drop("tokens"), class_components(classes, percent)
+
+
 def document_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node, component_id for every document (component_id: smallest linked-to doc_id).
+    """doc_id, n_shingles, component_id for every document (component_id: smallest linked-to doc_id).
 
     No word or null text: no shingles, a component of its own. Repeated rows and equal texts are linked. A null
     doc_id is larger than any number; component_id is null only where every doc_id of the component is. No rows: no rows.
     """
-    repeats = repeat_filter(docs, _sampled_tokens(size), FILTER_BITS)
-    sets = stored(id_and_text(docs).mapInArrow(_sets(size, percent, repeats), "doc_id long, n long, node binary, tokens binary"),
-                  "shingle-sets")
-    members = sets.where(F.col("node").isNotNull())
-    classes = stored(members.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "shingle-classes")
-    labels = class_components(classes, percent)
+    sets, labels = _labelled(docs, size, percent)
     ident = F.coalesce("doc_id", F.lit(NULL_ID))
-    lowest = members.groupBy("node").agg(F.min(ident).alias("low")).join(labels, "node")
-    lowest = lowest.groupBy("label").agg(F.min("low").alias("low"))
+    lowest = (sets.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(ident).alias("low")).join(labels, "node")
+              .groupBy("label").agg(F.min("low").alias("low")))
     root = labels.join(lowest, "label").select("node", "low")
-    return (sets.select("doc_id", "n", "node").join(root, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), "node", id_or_null(F.coalesce("low", ident)).alias("component_id")))
+    return (sets.join(root, "node", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), id_or_null(F.coalesce("low", ident)).alias("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of linked documents; that with the smallest doc_id stays.
+
+    Documents linked with nothing, those without words among them, all stay. Of repeated rows one stays.
+    """
+    sets, labels = _labelled(docs, size, percent)
+    ident = F.coalesce("doc_id", F.lit(NULL_ID)).alias("ident")
+    rows = (sets.where(F.col("node").isNotNull()).groupBy(ident, "fp", "node").agg(F.count(F.lit(1)).alias("copies"))
+            .join(labels, "node"))
+    best = rows.groupBy("label").agg(F.min(F.struct("ident", "fp")).alias("best"))
+    verdict = rows.join(best, "label").select(
+        "ident", "fp", (F.struct("ident", "fp") == F.col("best")).alias("stays"), "copies")
+    out = stored(verdict.where(~F.col("stays") | (F.col("copies") > 1)), "near-copies")
+    single = small_or_shuffled(out, 200_000)
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("ident"), F.xxhash64(F.col("text").cast("string")).alias("fp"))
+    name = fresh_name(docs.columns, "cs_key")
+    keyed = docs.withColumn(name, key)
+
+    def on(side):
+        return (keyed[f"{name}.ident"] == side["ident"]) & (keyed[f"{name}.fp"] == side["fp"])
+    repeated = small_or_shuffled(out.where("stays"), 200_000)
+    kept = keyed.join(single, on(single), "left_anti")
+    return kept.unionByName(keyed.join(repeated, on(repeated), "left_semi").dropDuplicates([name])).drop(name)

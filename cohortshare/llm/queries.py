@@ -40,7 +40,7 @@ def op8_substring_dedup(spark, sf_dir):
 
 
 def op9_jaccard_join(spark, sf_dir):
-    return multi_order_join.document_components(read_documents(spark, sf_dir)).drop("node")
+    return multi_order_join.document_components(read_documents(spark, sf_dir))
 
 
 def op10_best_fit_packing(spark, sf_dir):

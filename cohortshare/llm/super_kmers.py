@@ -38,7 +38,7 @@ def _powers() -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> _U(29))
     x = x * _U(0xBF58476D1CE4E5B9)
     return x ^ (x >> _U(32))
@@ -60,11 +60,11 @@ def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     inside = np.arange(int(lens.sum())) - np.repeat(flat, lens)
     b = np.frombuffer(raw, np.uint8)
     data = b[~_SPACE[b]].astype(np.uint64) + _U(1)
-    return _mix(np.add.reduceat(data * _powers()[inside & 0xFFFF], flat))
+    return mix(np.add.reduceat(data * _powers()[inside & 0xFFFF], flat))
 
 
 def byte_hashes(raw: bytes) -> np.ndarray:
-    return _mix(np.frombuffer(raw, np.uint8).astype(np.uint64) + _U(1))
+    return mix(np.frombuffer(raw, np.uint8).astype(np.uint64) + _U(1))
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ class Scheme:
             h = h[:-span] * _U(pow(_P, span, 1 << 64)) + h[span:]
             span *= 2
         place = np.arange(len(h), dtype=np.uint64) & _U((1 << _POS_BITS) - 1)
-        cur = (_mix(h) >> _U(_POS_BITS) << _U(_POS_BITS)) | place
+        cur = (mix(h) >> _U(_POS_BITS) << _U(_POS_BITS)) | place
         w, span = self.k - self.m + 1, 1
         while span * 2 <= w:                       # minimum of w consecutive entries
             cur = np.minimum(cur[:-span], cur[span:])
@@ -104,7 +104,7 @@ class Scheme:
 
 def spread_hash(minimisers: np.ndarray) -> np.ndarray:
     """Even 64-bit hash of minimisers (minima themselves crowd at small values)."""
-    return _mix(minimisers * _U(0xD6E8FEB86659FD93) + _U(0x2545F4914F6CDD1D))
+    return mix(minimisers * _U(0xD6E8FEB86659FD93) + _U(0x2545F4914F6CDD1D))
 
 
 def pack(strings: list[bytes], numbers: list[tuple]) -> bytes:
