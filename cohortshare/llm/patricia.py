@@ -175,11 +175,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
                     F.lower(F.hex("sha")).alias("text_sha256"), "first_id"))
 
 
-def _append_sha(position: int):
+def _append_sha(position: int, name: str):
     def run(batches):
         for b in batches:
             shas = pa.array([hashlib.sha256(normalise(t)).digest() for t in raw_texts(b.column(position))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, shas], [*b.schema.names, "sha"])
+            yield pa.RecordBatch.from_arrays([*b.columns, shas], [*b.schema.names, name])
     return run
 
 
@@ -188,7 +188,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     sha = fresh_name(docs.columns, "cs_sha")
     out = StructType([*docs.schema.fields]).add(sha, BinaryType())
-    rows = docs.mapInArrow(_append_sha(docs.columns.index("text")), out)
+    rows = docs.mapInArrow(_append_sha(docs.columns.index("text"), sha), out)
     keep = (classify_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
             .select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"), "copies"))
 

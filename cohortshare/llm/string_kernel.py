@@ -128,12 +128,12 @@ def predict(model: KernelModel | None, raws: list[bytes]) -> tuple[list[str], li
     return langs, scores
 
 
-def _score(model, text_at: int):
+def _score(model, text_at: int, names: list[str]):
     def run(batches):
         for b in batches:
             langs, scores = predict(model.value, raw_texts(b.column(text_at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*b.schema.names, "cs_lang", "cs_score"])
+                                             [*b.schema.names, *names])
     return run
 
 
@@ -141,7 +141,7 @@ def with_language(docs: DataFrame, model: KernelModel | None, lang_name: str, sc
     """``docs`` with two more columns, the predicted language and its score; reads ``text`` only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = StructType([*docs.schema.fields]).add(lang_name, "string").add(score_name, "double")
-    return docs.mapInArrow(_score(shared, docs.columns.index("text")), out)
+    return docs.mapInArrow(_score(shared, docs.columns.index("text"), [lang_name, score_name]), out)
 
 
 def held_out_fold() -> Column:
