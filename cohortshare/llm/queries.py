@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (disclosure, grouped_packing, induced_suffixes, license_index, line_frequency, multi_order_join, patricia,
+from . import (disclosure, grouped_packing, induced_suffixes, license_index, line_frequency, multi_order_join, oracles, patricia,
                piece_transducer, string_kernel, window_dedup)
 from .common import read_documents
 
@@ -48,6 +48,6 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_frequency, op2_suffix_dedup, op3_license_scan, op4_pii_disclosure, op5_language_id, op6_exact_dedup, op7_sentencepiece, op8_substring_dedup, op9_jaccard_join,
-    op10_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+    op1_line_frequency, op2_suffix_dedup, op3_license_scan, op4_pii_disclosure, op5_language_id, op6_exact_dedup,
+    op7_sentencepiece, op8_substring_dedup, op9_jaccard_join, op10_best_fit_packing)}
+ORACLE = oracles.ORACLE
