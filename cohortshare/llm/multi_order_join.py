@@ -3,11 +3,12 @@
 A document is the set of its distinct word shingles; two link when their sets' Jaccard similarity reaches the
 threshold. Sets at or above the threshold share a token among the first |x| - ceil(t |x|) + 1 tokens of either
 under *every* global order of tokens. Candidates must therefore share such a prefix token under several different
-orders; the filters are intersected before the sets are compared.
+orders, at places that leave enough tokens for the overlap; the filters are intersected before the sets are compared.
 
 * A document of which fewer tokens than t |x| may occur twice has no partner. A fixed-size bitmap over a hash
   sample of all tokens settles that for most documents (``repeats``); the bound stays exact under sampling.
-* Equal sets are one class. Everything further works on classes.
+* Equal sets are one class. Everything further works on classes. The same test, now among the classes that are
+  left, takes out more of them, a few times over.
 * All orders put rare tokens first (by a count sketch) and differ in the seeds that order tokens of like counts.
 * Large groups are contracted first: classes that share a minimal token are compared with the leaders of that token's
   group only, a linear number of comparisons. Candidates are then formed between different components, and pairs
@@ -38,6 +39,7 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 LEADER_KEYS = 3
 LEADERS = 16                 # leaders that a class is compared with in one group
 GROUP_ROWS = 2000            # rows of a leader group in one task; larger groups are split
+REFILTERS = 3                # times that classes without enough shared tokens are taken out before the join
 FEW_PAIRS = 4                # pairs of two components compared before all of them
 
 _U = np.uint64
@@ -110,19 +112,23 @@ def _order(tokens: np.ndarray, level: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _leader_keys(sketch):
-    """node, tokens -> (key, node, tokens): the minimal shared token under each of a few hash orders."""
+    """node, tokens -> (key, node, tokens, off): the minimal shared token under each of a few hash orders; ``off`` is
+    smallest for the sets whose tokens are the most common, the likely centres of a group."""
     def run(batches):
         for b in batches:
-            keys, rows = [], []
+            keys, rows, off = [], [], []
             for i, blob in enumerate(b.column(1).to_pylist()):
                 t = _tokens(blob)
-                t = t[sketch.value.level(mix(t)) > 1]
+                level = sketch.value.level(mix(t))
+                centre = -float(level.mean())
+                t = t[level > 1]
                 for k in {int(mix(t ^ _U(seed + 1)).argmin()) for seed in ORDERS[:LEADER_KEYS]} if len(t) else ():
                     keys.append(t[k])
                     rows.append(i)
+                    off.append(centre)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), b.column(0).take(at),
-                                              b.column(1).take(at)], ["key", "node", "tokens"])
+                                              b.column(1).take(at), pa.array(off, pa.float64())], ["key", "node", "tokens", "off"])
     return run
 
 
@@ -151,23 +157,26 @@ def _follow_leaders(percent: int):
 
 
 def _prefixes(sketch, percent: int):
-    """node, n, tokens -> (place of the order, token, node, n) for the prefix tokens that are not known to be unique."""
+    """node, n, tokens -> (place of the order, token, node, n, place in that order) of the prefix tokens that another may have."""
     def run(batches):
         for b in batches:
-            out = [np.zeros(0, np.int64)] * 2
-            which, toks, rows = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            which, toks = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+            rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, blob in enumerate(b.column(2).to_pylist()):
                 t = _tokens(blob)
                 level = sketch.value.level(mix(t))
                 for o, seed in enumerate(ORDERS):
                     first = _order(t, level, seed)[:len(t) - needed(len(t), percent) + 1]
-                    first = first[level[first] > 1]
+                    place = np.flatnonzero(level[first] > 1)
+                    first = first[place]
+                    places.append(place)
                     which.append(np.full(len(first), o, np.int32))
                     toks.append(t[first])
                     rows.append(np.full(len(first), i, np.int64))
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(which)), pa.array(np.concatenate(toks).view(np.int64)),
-                                              b.column(0).take(at), b.column(1).take(at)], ["o", "token", "node", "n"])
+                                              b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(places))],
+                                             ["o", "token", "node", "n", "place"])
     return run
 
 
@@ -221,24 +230,47 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return p.select("a", "b", F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y"))
 
 
+def _still_possible(sketch, percent: int):
+    """node, n, tokens -> the rows with enough tokens that another remaining class may have."""
+    def run(batches):
+        for b in batches:
+            keep = []
+            for n, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                shared = np.count_nonzero(sketch.value.level(mix(_tokens(blob))) > 1)
+                keep.append(bool(shared >= needed(n, percent)))
+            yield b.filter(pa.array(keep, pa.bool_()))
+    return run
+
+
 def class_components(classes: DataFrame, percent: int) -> DataFrame:
     """(node, label) of every class: label names its component. ``classes``: node, n, tokens (stored)."""
+    everyone = classes.select("node")
+    for _ in range(REFILTERS):
+        sketch = count_sketch(classes.select("node", "tokens"), _token_hashes, 1, SKETCH_BITS)
+        classes = stored(classes.mapInArrow(_still_possible(sketch, percent), "node binary, n long, tokens binary"), "linkable-classes")
+    labels = _linkable_components(classes, percent)
+    return everyone.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def _linkable_components(classes: DataFrame, percent: int) -> DataFrame:
     sketch = count_sketch(classes.select("node", "tokens"), _token_hashes, 1, SKETCH_BITS)
-    keyed = classes.select("node", "tokens").mapInArrow(_leader_keys(sketch), "key long, node binary, tokens binary")
+    keyed = classes.select("node", "tokens").mapInArrow(_leader_keys(sketch), "key long, node binary, tokens binary, off double")
     heavy = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("parts")).where(F.col("parts") > 1)
     parted = keyed.join(heavy, "key", "left").select(
-        "key", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0).cast("long")).alias("part"), "node", "tokens")
-    groups = parted.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+        "key", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0).cast("long")).alias("part"), "node", "tokens", "off")
+    groups = parted.repartition("key", "part").sortWithinPartitions("key", "part", "off", "node")
     links = stored(groups.mapInArrow(_follow_leaders(percent), "a binary, b binary").distinct(), "leader-links")
     labels = connect(stored(classes.select("node", F.col("node").alias("label")), "classes"), links)
 
-    posts = classes.select("node", "n", "tokens").mapInArrow(_prefixes(sketch, percent), "o int, token long, node binary, n long")
+    posts = classes.select("node", "n", "tokens").mapInArrow(_prefixes(sketch, percent), "o int, token long, node binary, n long, place long")
     posts = posts.join(labels, "node").repartition("o", "token")
     mixed = posts.groupBy("o", "token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     posts = stored(posts.join(mixed.select("o", "token"), ["o", "token"], "left_semi"), "prefix-tokens")
-    a, b = (posts.select("o", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "label"))) for s in "ab")
+    a, b = (posts.select("o", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "label"))) for s in "ab")
+    # at the first token that two linked sets share, enough tokens must be left in both
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     near = ((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-            & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+            & ((100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b"))))
     met = a.join(b, ["o", "token"]).where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "o").distinct()
     pairs = stored(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("orders")).where(F.col("orders") == len(ORDERS))
                    .select("a", "b"), "candidate-pairs")
