@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_or_null, raw_texts, stored
 from .repeats import repeat_filter
-from .super_kmers import (Scheme, covered_ranges, in_buckets, keyed_texts, minimiser_hashes, per_bucket, string_name,
-                          string_rows, with_ranges)
+from .super_kmers import (Scheme, byte_hashes, covered_ranges, first_minimisers, in_buckets, keyed_texts, minimiser_hashes,
+                          per_bucket, string_name, string_rows, with_ranges)
 
 BYTES = 50
-MINIMISER = 16
+MINIMISER = 24
 FILTER_BITS = 29             # 64 MB
 QUEUE_ITEMS = 1 << 22        # positions a run of the queue keeps in memory
 SIGMA = 257                  # end of a string, then the bytes
@@ -189,8 +189,8 @@ def _apart(items: list[bytes], scheme: Scheme) -> np.ndarray:
     """Whether no other string has the string's minimiser, so that none of its windows is in another string."""
     if not items:
         return np.zeros(0, bool)
-    heads = [scheme.runs(scheme.tokens(x[:scheme.k])[0])[0][0] for x in items]
-    _, which, n = np.unique(np.array(heads), return_inverse=True, return_counts=True)
+    heads = byte_hashes(b"".join(x[:scheme.k] for x in items)).reshape(len(items), scheme.k)
+    _, which, n = np.unique(first_minimisers(heads, scheme.m), return_inverse=True, return_counts=True)
     return n[which] == 1
 
 

@@ -67,9 +67,31 @@ def byte_hashes(raw: bytes) -> np.ndarray:
     return mix(np.frombuffer(raw, np.uint8).astype(np.uint64) + _U(1))
 
 
+def token_runs(hashes: np.ndarray, m: int) -> np.ndarray:
+    """Hashes of m consecutive tokens along the last axis, put together from runs of 1, 2, 4, ... tokens."""
+    out, have, part, span = None, 0, hashes, 1
+    while True:
+        if m & span:                               # append a run of this length
+            if out is None:
+                out = part
+            else:
+                n = part.shape[-1] - have
+                out = out[..., :n] * _U(pow(_P, span, 1 << 64)) + part[..., have:]
+            have += span
+        if have == m:
+            return out
+        part = part[..., :-span] * _U(pow(_P, span, 1 << 64)) + part[..., span:]
+        span *= 2
+
+
+def first_minimisers(windows: np.ndarray, m: int) -> np.ndarray:
+    """Minimiser of each row of a matrix of window token hashes, as ``Scheme.runs`` names it."""
+    return (mix(token_runs(windows, m)) >> _U(_POS_BITS)).min(axis=-1)
+
+
 @dataclass(frozen=True)
 class Scheme:
-    """Windows of ``k`` tokens with minimisers of ``m`` tokens (m a power of two)."""
+    """Windows of ``k`` tokens with minimisers of ``m`` tokens."""
     k: int
     m: int
     words: bool              # tokens are words, else bytes
@@ -87,10 +109,7 @@ class Scheme:
         n = len(hashes) - self.k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        h, span = hashes, 1
-        while span < self.m:                       # hashes of m consecutive tokens
-            h = h[:-span] * _U(pow(_P, span, 1 << 64)) + h[span:]
-            span *= 2
+        h = token_runs(hashes, self.m)
         place = np.arange(len(h), dtype=np.uint64) & _U((1 << _POS_BITS) - 1)
         cur = (mix(h) >> _U(_POS_BITS) << _U(_POS_BITS)) | place
         w, span = self.k - self.m + 1, 1
