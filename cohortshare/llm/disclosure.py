@@ -119,18 +119,24 @@ def beside(found: DataFrame) -> DataFrame:
 
 def revealing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, threshold: float, support: int) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above the threshold; counts are of distinct texts of all documents."""
+    fp = F.xxhash64(F.col("text").cast("string")).alias("fp")
+    n = docs.select(fp).distinct().count()
+
+    def share(n_t):
+        """What a term of ``n_t`` texts gives away; less, the more texts have it."""
+        return F.log(n * F.col("n_te") / (n_t * F.col("n_e"))) / F.log(n / F.col("n_e"))
     n_te = (near.select("entity", "term", "fp").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
             .where(F.col("n_te") >= support))
-    n_e = (with_entity(found).select("entity", "fp").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
-    pairs = stored(n_te.join(n_e, "entity"), "pii-pairs")
+    n_e = (with_entity(found).select("entity", "fp").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+           .where(F.col("n_e") < n))
+    # the texts with the term beside some entity are among all its texts: too many of them rule the term out already
+    n_near = near.select("term", "fp").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = stored(n_te.join(n_e, "entity").join(n_near, "term").where(share(F.col("n_near")) >= threshold), "pii-pairs")
     wanted = small_or_shuffled(stored(pairs.select("term").distinct(), "pii-terms"), BROADCAST_TERMS)
-    fp = F.xxhash64(F.col("text").cast("string")).alias("fp")
-    n = docs.select(fp).distinct().count()
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0)))
     n_t = (docs.select(fp, F.explode(words).alias("term")).join(wanted, "term").distinct()
            .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    share = F.log(n * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n / F.col("n_e"))
-    return (pairs.where(F.col("n_e") < n).join(n_t, "term").withColumn("disclosure", share)
+    return (pairs.join(n_t, "term").withColumn("disclosure", share(F.col("n_t")))
             .where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"))
 
 
