@@ -167,3 +167,5 @@ def test_sentencepiece(spark, odd, empty, plain):
     assert ordered(queries.QUERIES["op7_sentencepiece"](spark, SF).collect()) == ordered(expected(plain))
     assert ordered(piece_transducer.encode_and_check(odd).collect()) == ordered(expected(pairs(odd)))
     assert piece_transducer.encode_and_check(empty).count() == 0
+    coded = piece_transducer.decode_ids(piece_transducer.encode_texts(odd)).collect()
+    assert all(r.ids == sp.encode(r.text or "") and r.decoded == (r.text or "").replace("▁", " ") for r in coded)
