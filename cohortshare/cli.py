@@ -84,12 +84,12 @@ def main(argv=None) -> int:
     from .plans import jobs
     if a.job == "impute":
         n = jobs.impute_job(spark, a.input, a.output, fmt=a.format, estimator=a.estimator)
-        print(f"Imputed {n} missing value(s). Output: {a.output}")
+        print(f"{n} missing cells filled, written to {a.output}")
     elif a.job == "convert":
         from .functions.tags import SHORT_TYPE_MAP
         n = jobs.convert_job(spark, a.input, a.output, type_map=SHORT_TYPE_MAP if a.short_types else None,
                              multiline=not a.json_lines)
-        print(f"Converted {n} examples -> {a.output}")
+        print(f"{n} annotated examples written as BIO text to {a.output}")
     elif a.job == "map-terms":
         from .sources.vocab import default_vocab, read_vocab
         vocab = read_vocab(spark, a.vocab) if a.vocab else default_vocab(spark)
@@ -97,23 +97,21 @@ def main(argv=None) -> int:
         if a.term is not None:
             df = spark.createDataFrame([(a.term,)], "term string")
             r = jobs.map_terms_job(spark, df, "term", vocab, **kw).first()
-            print(f"'{a.term}'->  {r.code}  (score={r.score}, {r.status})")
+            print(f"{a.term}: code {r.code}, score {r.score}, {r.status}")
         else:
             from .sources import records
             out = jobs.map_terms_job(spark, records.read_records(spark, a.input), a.column, vocab, **kw)
             records.write_records(out, a.output)
     elif a.job == "deidentify":
         rep = jobs.deidentify_job(spark, a.input, a.output, fmt=a.format, key=a.key, salt=a.salt)
-        print(f"Records in : {rep['records_in']}")
-        print(f"Records out (k>=5): {rep['records_out']}")
-        print(f"Information Loss (IL): {rep['information_loss']}%")
-        print(f"Re-identification risk: {rep['reid_risk']}%")
+        print(f"kept {rep['records_out']} of {rep['records_in']} records; information loss {rep['information_loss']} %, "
+              f"risk {rep['reid_risk']} %")
     elif a.job == "train-tagger":
         from .operators.tagger import train_tagger
         from .sources.bio_io import read_bio
-        model = train_tagger(read_bio(spark, a.train, mode="drop"), max_iter=a.max_iter)
+        model = train_tagger(read_bio(spark, a.train), max_iter=a.max_iter)
         model.write().overwrite().save(a.output)
-        print(f"Model saved to: {a.output}")
+        print(f"tagger written to {a.output}")
     elif a.job == "tag":
         from pyspark.ml import PipelineModel
         from .operators.tagger import tag_notes

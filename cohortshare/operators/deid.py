@@ -14,6 +14,7 @@ one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -84,6 +85,11 @@ def _sensitivity(lo, hi):
     return float(hi - lo) or 1.0
 
 
+def column_seed(seed: int | None, column: str) -> int | None:
+    """A seed of its own for every column, so that columns don't share draws."""
+    return None if seed is None else (seed << 32) ^ crc32(column.encode())
+
+
 def laplace_noise(df: DataFrame, cols=NUMERIC_COLS, epsilon: float = DP_EPSILON, *,
                   key: str | None = None, salt: str = "", seed: int | None = None,
                   sensitivity: dict[str, float | None] | None = None,
@@ -92,9 +98,13 @@ def laplace_noise(df: DataFrame, cols=NUMERIC_COLS, epsilon: float = DP_EPSILON,
 
     Sensitivity is the observed range of the column in ``df`` (as the reference
     does) unless given, or derived from user ``bounds`` (which also clip).
-    With ``key`` the draw is a keyed hash (reproducible, oracle-testable; the
-    salt must be secret in production); otherwise ``rand(seed)``.
+    With ``key`` the draw is a hash of (salt, key, column), the same on every run:
+    the salt must be given and kept secret, or the noise could be taken off again,
+    and ``key`` must be unique, as equal keys draw equal noise.  Without ``key`` each
+    column has a ``rand`` of its own seed.
     """
+    if key and not salt:
+        raise ValueError("keyed noise without a salt can be undone by whoever has the key: give a secret salt")
     bounds = bounds or {}
     present = [c for c in cols if c in df.columns]
     if sensitivity is None:
@@ -111,7 +121,7 @@ def laplace_noise(df: DataFrame, cols=NUMERIC_COLS, epsilon: float = DP_EPSILON,
             sens = sensitivity.get(c)
             if sens is None:  # column entirely missing: left unchanged
                 continue
-        u = keyed_uniform(key, salt, c) if key else F.rand(seed) - F.lit(0.5)
+        u = keyed_uniform(key, salt, c) if key else F.rand(column_seed(seed, c)) - F.lit(0.5)
         noisy = x + laplace_from_uniform(u, sens / float(epsilon))
         out = out.withColumn(c, F.when(x.isNull(), x).otherwise(noisy))
     return out

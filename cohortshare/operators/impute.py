@@ -52,8 +52,10 @@ def count_missing(df: DataFrame, cols=NUMERIC_COLS) -> DataFrame:
 
 
 def missing_pattern(cols) -> Column:
-    """Bit j set when column j is missing."""
-    return reduce(lambda a, b: a + b, [F.when(_num(c).isNull(), F.lit(1 << j)).otherwise(F.lit(0))
+    """Bit j set when column j is missing (a long: up to 63 columns)."""
+    if len(cols) > 63:
+        raise ValueError("missing patterns are kept in a long: at most 63 columns at once")
+    return reduce(lambda a, b: a + b, [F.when(_num(c).isNull(), F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long"))
                                        for j, c in enumerate(cols)])
 
 
@@ -225,7 +227,7 @@ def _norms_by_table(df, cols, mu, history, pats):
     p = len(cols)
     rows = [(int(pat), [[(history[r][pat] - history[r - 1][pat])[j].tolist() for j in range(p) if (pat >> j) & 1]
                         for r in range(1, len(history))]) for pat in pats]
-    cf = df.sparkSession.createDataFrame(rows, "_pat int, _d array<array<array<double>>>")
+    cf = df.sparkSession.createDataFrame(rows, "_pat long, _d array<array<array<double>>>")
     z = df.select(missing_pattern(cols).alias("_pat"), _centred(cols, mu).alias("_z"))
     j = z.join(F.broadcast(cf), "_pat")
     norms = [F.max(F.aggregate(F.transform(F.get(F.col("_d"), r - 1), lambda row: F.abs(_dot(row, F.col("_z")))),
@@ -251,7 +253,7 @@ def _project_by_table(df, cols, mu, final, pats):
     """Fill via a broadcast table pattern -> coefficient rows (a broadcast join keeps the row side in place)."""
     p = len(cols)
     rows = [(int(pat), [final[pat][j].tolist() for j in range(p)]) for pat in pats]
-    cf = df.sparkSession.createDataFrame(rows, "_pat int, _a array<array<double>>")
+    cf = df.sparkSession.createDataFrame(rows, "_pat long, _a array<array<double>>")
     staged = df.withColumns({"_pat": missing_pattern(cols), "_z": _centred(cols, mu)})
     j = staged.join(F.broadcast(cf), "_pat", "left")
     out = {c: F.when(_num(c).isNull(), F.lit(float(mu[k])) + _dot(F.get(F.col("_a"), k), F.col("_z")))

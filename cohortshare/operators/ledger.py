@@ -9,15 +9,14 @@ in ``seq`` order per asset id with the contract's rules:
 * ``grant``  not found / only the owner may grant; appends the grantee once.
 * ``exists`` reports ``true``/``false`` (no access check).
 
-Plan shape: no window is partitioned by asset id, so a hot asset never lands
+Plan shape: no window holds all requests of an asset, so a hot asset never lands
 in one task.  An asset's life is cut into segments by its *anchors*: its first
 successful create and every ``init`` (plus the carried-in state in streaming).
 The anchors come from one partial aggregate per id.  Each request finds the
-latest anchor at or before it by an equi-join on id (AQE splits a hot id on
-the request side); only when the log holds seed puts, so that an id can have
-several anchors, is that followed by a grouping on the unique ``seq``.  Valid grants are
-reduced to the earliest one per (id, anchor, grantee) by another partial
-aggregate, and reads are resolved by an equi-join against that small table.
+latest anchor at or before it block by block of sequence numbers (see
+``_as_of``).  Valid grants are reduced to the earliest one per (id, anchor,
+grantee) by another partial aggregate, and reads are resolved by an equi-join
+against that small table.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import LEDGER_STATE, REQUEST
@@ -74,8 +73,8 @@ def is_owner(owner, caller) -> Column:
 
 
 def rfc3339(ts) -> Column:
-    """UTC timestamp text at second precision."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """UTC timestamp text at second precision, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(_c(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def assets_to_json(assets: DataFrame) -> DataFrame:
@@ -91,11 +90,11 @@ ASSET_JSON_SCHEMA = ("id string, owner string, dataHash string, description stri
 
 
 def assets_from_json(df: DataFrame, col: str = "json") -> DataFrame:
-    """A8 inverse: JSON documents -> asset rows (the UTC text parsed back as a zone-free timestamp)."""
+    """A8 inverse: JSON documents -> asset rows; the UTC text is the same instant in any session's time zone."""
     d = F.from_json(col, ASSET_JSON_SCHEMA)
     return df.select(d["id"].alias("id"), d["owner"].alias("owner"), d["dataHash"].alias("data_hash"),
                      d["description"].alias("description"), d["accessList"].alias("access_list"),
-                     F.to_timestamp_ntz(d["timestamp"], F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"))
+                     F.to_timestamp(d["timestamp"], "yyyy-MM-dd'T'HH:mm:ssX").alias("ts"))
 
 
 def lookup_asset(requests: DataFrame, assets: DataFrame) -> DataFrame:
@@ -156,9 +155,28 @@ def _anchors(reqs: DataFrame, state: DataFrame | None) -> DataFrame:
     return anchors
 
 
-def _has_inits(reqs: DataFrame) -> bool:
-    """Whether the log holds any seed put; a pushed-down filter on ``op`` that stops at the first hit."""
-    return bool(reqs.where(F.col("op") == "init").limit(1).count())
+SEQ_BLOCK = 1 << 16          # sequence numbers per block of the as-of lookup
+
+
+def _as_of(reqs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Every request with the latest anchor ``a`` of its id at or before it (NULL without one); repeated requests stay.
+
+    An id's life is cut into blocks of ``SEQ_BLOCK`` sequence numbers. Each block's last anchor comes from a partial
+    aggregate and is carried forward over the id's blocks; inside (id, block) a window finds the rest. So a hot id is
+    spread over its blocks, and a request meets one row whatever the number of anchors.
+    """
+    a = F.struct("aseq", "kind", "owner", "data_hash", "description", "ts")
+    starts = anchors.select("id", F.col("aseq").alias("at"), a.alias("a"))
+    none = F.lit(None).cast(starts.schema["a"].dataType)
+    asked = reqs.select("id", F.col("seq").alias("at"), none.alias("a"), F.struct(*REQ_COLS).alias("r"))
+    rows = asked.unionByName(starts.withColumn("r", F.lit(None).cast(asked.schema["r"].dataType)))
+    rows = rows.withColumn("block", F.floor(F.col("at") / SEQ_BLOCK))
+    earlier = Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (rows.groupBy("id", "block").agg(F.max_by("a", F.when(F.col("a").isNotNull(), F.col("at"))).alias("last"))
+               .select("id", "block", F.last("last", ignorenulls=True).over(earlier).alias("before")))
+    here = F.last("a", ignorenulls=True).over(Window.partitionBy("id", "block").orderBy("at"))
+    return (rows.join(carried, ["id", "block"]).withColumn("a", F.coalesce(here, "before"))
+            .where(F.col("r").isNotNull()).select("r.*", "a"))
 
 
 def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> LedgerResult:
@@ -174,16 +192,8 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
         is_late = F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False))
         late = marked.where(is_late).select(*REQ_COLS)
         reqs = marked.where(~is_late).select(*REQ_COLS)
-    anchors = _anchors(reqs, state)
-    a = anchors.select(F.col("id").alias("_aid"), F.col("aseq").alias("_aseq"),
-                       F.struct("aseq", "kind", "owner", "data_hash", "description", "ts").alias("a"))
-    # as-of: the anchors of the request's id at or before it (equi-join on id)
-    cand = reqs.join(a, (reqs.id == a._aid) & (a._aseq <= reqs.seq), "left").select(*REQ_COLS, "a")
-    if _has_inits(reqs):
-        # several anchors per id possible: keep the latest one per request (seq is unique -> even shuffle)
-        cand = cand.groupBy(*REQ_COLS).agg(F.max_by("a", F.col("a.aseq")).alias("a"))
-    # else: at most one anchor per id (first create or carried-in state), the join is one-to-one
-    based = cand.persist(StorageLevel.MEMORY_AND_DISK)
+    anchors = _anchors(reqs, state).persist(StorageLevel.MEMORY_AND_DISK)
+    based = _as_of(reqs, anchors).persist(StorageLevel.MEMORY_AND_DISK)
 
     op, caller, owner = F.col("op"), F.col("caller"), F.col("a.owner")
     has = F.col("a").isNotNull()
@@ -243,4 +253,4 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
         seen = (seen.unionByName(state.select("id", "last_seq"))
                 .groupBy("id").agg(F.max("last_seq").alias("last_seq")))
     new_state = seen.join(assets, "id", "left").select(*[f.name for f in LEDGER_STATE.fields])
-    return LedgerResult(results, assets, new_state, (based,))
+    return LedgerResult(results, assets, new_state, (based, anchors))

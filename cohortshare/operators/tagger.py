@@ -36,7 +36,7 @@ def char_features(df: DataFrame, tokens: str = "tokens", keys=("sent_id",), tags
     cols = [F.col(tokens)] + [_shift(F.col(tokens), d) for d in range(-WINDOW, WINDOW + 1) if d != 0]
     names = ["w+0"] + [f"w{d:+d}" for d in range(-WINDOW, WINDOW + 1) if d != 0]
     zipped = F.arrays_zip(*[c.alias(n) for c, n in zip(cols, names)],
-                          *([tg.encode_tags(tags, failfast=False).alias("label")] if tags else []))
+                          *([tg.encode_tags(tags).alias("label")] if tags else []))
     out = df.select(*keys, F.posexplode(zipped).alias("pos", "z"))
     sel = [*keys, "pos"] + [F.coalesce(F.col("z")[n], F.lit("<pad>")).alias(n) for n in names]
     if tags:
@@ -46,8 +46,8 @@ def char_features(df: DataFrame, tokens: str = "tokens", keys=("sent_id",), tags
 
 def train_tagger(sentences: DataFrame, *, num_features: int = 1 << 18, max_iter: int = 20,
                  reg: float = 0.0) -> PipelineModel:
-    """H2: fit on BIO sentences (tokens, tags); unknown tags are skipped."""
-    feats = char_features(sentences).where(F.col("label").isNotNull())
+    """H2: fit on BIO sentences (tokens, tags); an unknown tag is an error."""
+    feats = char_features(sentences)
     pipe = Pipeline(stages=[
         FeatureHasher(inputCols=FEATURES, outputCol="features", numFeatures=num_features,
                       categoricalCols=FEATURES),
@@ -74,26 +74,30 @@ def tag_notes(model: PipelineModel, df: DataFrame, key: str = "patient_id", text
     return sentence_entities(tagged, "tokens", "pred_tags", mode, keys=(key,))
 
 
-_MODEL_CACHE: dict = {}
+_LOADED: dict = {}
 
 
-def tag_notes_with_model(df: DataFrame, loader, key: str = "patient_id", text: str = "clinical_note",
+def loaded(model_id: str, loader):
+    """The model of this Python worker, loaded on first use; module-level, so that tasks share it."""
+    if model_id not in _LOADED:
+        _LOADED[model_id] = loader()
+    return _LOADED[model_id]
+
+
+def tag_notes_with_model(df: DataFrame, loader, model_id: str, key: str = "patient_id", text: str = "clinical_note",
                          mode: str = "strict", batch_rows: int = 256) -> DataFrame:
     """H3 with a user model: ``loader()`` returns ``predict(list[list[str]]) -> list[list[str]]``
     (character lists in, tag lists out).
 
-    Runs through ``mapInPandas`` on Arrow batches; the model is loaded once per
-    Python worker and reused across batches and tasks (the reference reloads it
+    Runs through ``mapInPandas`` on Arrow batches; the model named ``model_id`` is loaded
+    once per Python worker and reused across batches and tasks (the reference reloads it
     per call).  Decoding uses the array decoder.
     """
     import pandas as pd
 
-    token = id(loader)
-
     def run(batches):
-        model = _MODEL_CACHE.get(token)
-        if model is None:
-            model = _MODEL_CACHE[token] = loader()
+        from cohortshare.operators.tagger import loaded
+        model = loaded(model_id, loader)
         for b in batches:
             for i in range(0, len(b), batch_rows):
                 part = b.iloc[i:i + batch_rows]

@@ -80,10 +80,10 @@ def q_bio_roundtrip(spark, sf_dir):
 
 
 def _rule_codes():
-    """The gold rule as a character translation: letter -> private-use code of its tag."""
+    """The gold rule as a character translation: letter -> private-use code of its tag (and such a code -> a plain dot)."""
     labels = [f"{p}-{t}" for t in TYPES3 for p in ("B", "I")]
     code = {lab: chr(0xE000 + i) for i, lab in enumerate(labels)}
-    src, dst = [], []
+    src, dst = list(code.values()), ["."] * len(code)
     for c in map(chr, list(range(65, 91)) + list(range(97, 123))):
         lab = ("B-" if c.lower() in "aeiou" else "I-") + TYPES3[ord(c) % 3]
         src.append(c)
@@ -120,8 +120,7 @@ def _round_prf(df):
 
 
 def q_bio_prf(spark, sf_dir):
-    return _round_prf(bio.prf_from_tags(doc_tags(spark, sf_dir), "gold_tags", "pred_tags", "lenient",
-                                      keys=("doc_id",)))
+    return _round_prf(bio.prf_from_tags(doc_tags(spark, sf_dir), "gold_tags", "pred_tags", "lenient"))
 
 
 def q_bio_prf_strict_join(spark, sf_dir):
@@ -153,21 +152,23 @@ def q_bio_metrics(spark, sf_dir):
 
 
 def q_bio_align(spark, sf_dir):
-    """Words -> 4-character pieces (a stand-in sub-word tokenizer), labels aligned, 512 cap."""
+    """Words -> 4-character pieces (a stand-in sub-word tokenizer), labels aligned in consecutive
+    windows of 510 pieces and two specials, so that whole texts are labelled."""
     d = table(spark, sf_dir, "documents")
     words = F.filter(F.split("text", " "), lambda w: w != "")
     d = d.select("doc_id", words.alias("words"))
-    d = d.select("doc_id", "words",
-                 F.transform("words", lambda w: (F.ascii(w) % 7).cast("int")).alias("word_tags"),
+    d = d.select("doc_id", F.transform("words", lambda w: (F.ascii(w) % 7).cast("int")).alias("word_tags"),
                  F.flatten(F.transform("words", lambda w, i: F.array_repeat(
                      i, F.ceil(F.length(w) / F.lit(4.0)).cast("int")))).alias("pieces"))
-    d = d.select("doc_id", "word_tags", F.size("words").alias("n_words"),
-                 F.concat(F.array(F.lit(None).cast("int")), tg.truncate_tokens("pieces", 512, 2),
-                          F.array(F.lit(None).cast("int"))).alias("word_ids"))
-    out = d.select("doc_id", "n_words", tg.align_labels("word_ids", "word_tags", 512).alias("labels"),
+    last = F.greatest(F.ceil(F.size("pieces") / F.lit(510.0)).cast("int") - 1, F.lit(0))
+    d = d.select("doc_id", "word_tags", "pieces", F.explode(F.sequence(F.lit(0), last)).alias("window"))
+    special = F.array(F.lit(None).cast("int"))
+    d = d.select("doc_id", "window", "word_tags",
+                 F.concat(special, tg.truncate_tokens(F.slice("pieces", F.col("window") * 510 + 1, F.lit(510)), 512, 2),
+                          special).alias("word_ids"))
+    out = d.select("doc_id", "window", tg.align_labels("word_ids", "word_tags", 512).alias("labels"),
                    F.size(tg.first_subword("word_ids")).alias("n_first"))
-    return out.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"),
-                      F.col("n_first").cast("bigint").alias("n_first"),
+    return out.select("doc_id", "window", F.col("n_first").cast("bigint").alias("n_first"),
                       F.array_join(F.transform("labels", lambda x: x.cast("string")), " ").alias("labels"))
 
 
@@ -302,17 +303,15 @@ ORACLE = {
   wf AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS wi,
                 CAST(ascii(word) % 7 AS INTEGER) AS tag
          FROM w WHERE word <> ''),
-  nw AS (SELECT doc_id, count(*) AS n_words FROM wf GROUP BY doc_id),
   pc AS (SELECT doc_id, wi, tag, p FROM wf, range(CAST(ceil(length(word) / 4.0) AS BIGINT)) r(p)),
-  pn AS (SELECT doc_id, wi, tag, p, row_number() OVER (PARTITION BY doc_id ORDER BY wi, p) AS tpos FROM pc),
-  kept AS (SELECT * FROM pn WHERE tpos <= 510),
-  lab AS (SELECT doc_id, tpos, CASE WHEN p = 0 THEN tag ELSE -100 END AS l FROM kept),
-  seqs AS (SELECT d.doc_id, coalesce(nw.n_words, 0) AS n_words,
-                  (SELECT count(*) FROM kept WHERE kept.doc_id = d.doc_id AND p = 0) AS n_first,
-                  '-100' || coalesce((SELECT string_agg(' ' || CAST(l AS VARCHAR), '' ORDER BY tpos) FROM lab
-                                      WHERE lab.doc_id = d.doc_id), '') || ' -100' AS labels
-           FROM documents d LEFT JOIN nw USING (doc_id))
-  SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_first AS BIGINT) AS n_first, labels FROM seqs""",
+  pn AS (SELECT doc_id, wi, tag, p, row_number() OVER (PARTITION BY doc_id ORDER BY wi, p) - 1 AS t FROM pc),
+  lab AS (SELECT doc_id, t // 510 AS win, t, p = 0 OR t % 510 = 0 AS starts, tag FROM pn),
+  seqs AS (SELECT doc_id, win, count(*) FILTER (WHERE starts) AS n_first,
+                  string_agg(CAST(CASE WHEN starts THEN tag ELSE -100 END AS VARCHAR), ' ' ORDER BY t) AS l
+           FROM lab GROUP BY doc_id, win)
+  SELECT d.doc_id, CAST(coalesce(win, 0) AS INTEGER) AS "window", CAST(coalesce(n_first, 0) AS BIGINT) AS n_first,
+         '-100 ' || coalesce(l || ' ', '') || '-100' AS labels
+  FROM documents d LEFT JOIN seqs USING (doc_id)""",
 }
 
 

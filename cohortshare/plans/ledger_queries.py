@@ -40,9 +40,7 @@ def q_ledger_results(spark, sf_dir):
 
 def q_ledger_status_counts(spark, sf_dir):
     r = lg.apply_requests(event_requests(spark, sf_dir)).results
-    return r.groupBy("op", "status", "message").agg(F.count(F.lit(1)).alias("n")) \
-        .where(F.col("message").isNull() | F.col("message").isin("true", "false")) \
-        .select("op", "status", "message", F.col("n").cast("bigint").alias("n"))
+    return r.groupBy("op", "status").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 def _state_out(assets):
@@ -144,8 +142,7 @@ ORACLE = {
     "ledger_results": _ledger_sql(False) + " SELECT * FROM results",
     "ledger_from_files": _ledger_sql(False) + " SELECT * FROM results",
     "ledger_status_counts": _ledger_sql(False) + """
-  SELECT op, status, message, CAST(count(*) AS BIGINT) AS n FROM results
-  WHERE message IS NULL OR message IN ('true', 'false') GROUP BY 1, 2, 3""",
+  SELECT op, status, CAST(count(*) AS BIGINT) AS n FROM results GROUP BY 1, 2""",
     "ledger_state": _ledger_sql(False) + " SELECT id, owner, data_hash, description, access_list, ts FROM state",
     "ledger_all_assets": _ledger_sql(False) + """
   SELECT id, json_object('id', id, 'owner', owner, 'dataHash', data_hash, 'description', description,

@@ -13,30 +13,24 @@ from ..streaming.ledger_stream import apply_requests_stream, read_results
 from .ledger_queries import ORACLE as LEDGER_ORACLE
 from .ledger_queries import event_requests
 
-N_FILES = 3
+N_PARTS = 3
 
 
-def stage_in_seq_order(df, path, n_files=N_FILES, key="seq"):
-    """Write contiguous key ranges as files one after another (file streams replay
-    files in modification order)."""
+def replay(df, src, start, n_parts=N_PARTS, key="seq"):
+    """Feed ``df`` to a stream in contiguous ranges of ``key``: each range is written as files by all tasks, then
+    ``start(stream)`` runs until it has taken them in."""
     b = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if b.lo is None:
-        df.limit(0).write.mode("append").parquet(path)
-        return
-    width = (b.hi - b.lo) // n_files + 1
-    for i in range(n_files):
-        lo, hi = b.lo + i * width, b.lo + (i + 1) * width
-        df.where((F.col(key) >= lo) & (F.col(key) < hi)).coalesce(1).write.mode("append").parquet(path)
+    lo, width = (0, 1) if b.lo is None else (b.lo, (b.hi - b.lo) // n_parts + 1)
+    for i in range(n_parts):
+        part = df.where((F.col(key) >= lo + i * width) & (F.col(key) < lo + (i + 1) * width))
+        part.write.mode("append").parquet(src)
+        start(df.sparkSession.readStream.schema(df.schema).parquet(src)).awaitTermination()
 
 
 def q_ledger_stream(spark, sf_dir):
     base = scratch_path(spark, "ledger-stream")
     src, out, ck = (os.path.join(base, x) for x in ("src", "out", "ck"))
-    stage_in_seq_order(event_requests(spark, sf_dir), src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = apply_requests_stream(stream, out, ck)
-    q.awaitTermination()
+    replay(event_requests(spark, sf_dir), src, lambda stream: apply_requests_stream(stream, out, ck))
     return read_results(spark, out)
 
 
@@ -48,9 +42,7 @@ def q_stream_generalise(spark, sf_dir):
                     F.concat(F.col("event_type"), F.lit(", site"), (F.col("user_id") % 5).cast("string"))
                     .alias("location"),
                     F.date_format("ts", "yyyy-MM-dd").alias("diagnosis_date"))
-    stage_in_seq_order(recs, src, key="event_id")
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    generalise_stream(stream, out, ck).awaitTermination()
+    replay(recs, src, lambda stream: generalise_stream(stream, out, ck), key="event_id")
     return spark.read.parquet(out)
 
 

@@ -41,11 +41,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; set only where unset (local runs and tests).
+    Read from the session; set only where unset in a local run. On a cluster a folder of this machine would not be
+    shared, so an unset ``spark.checkpoint.dir`` is an error there.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cohortshare-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
@@ -68,9 +71,5 @@ def spread(df):
     """
     if df.isStreaming:
         return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        small = df.rdd.getNumPartitions() < target
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the plan as it is
-        return df
-    return df.repartition(target) if small else df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

@@ -38,7 +38,7 @@ def write_bio(df: DataFrame, path: str, pairs: str = "pairs") -> None:
     df.select(bio_text(pairs).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
-def read_bio(spark: SparkSession, path: str, mode: str = "drop", line_sep: str = "\n\n",
+def read_bio(spark: SparkSession, path: str, mode: str = "failfast", line_sep: str = "\n\n",
              labels: list[str] | None = LABELS) -> DataFrame:
     """A4: BIO text -> one row per sentence (file, sent_id, tokens, tags[, bad_lines]).
 
@@ -47,16 +47,17 @@ def read_bio(spark: SparkSession, path: str, mode: str = "drop", line_sep: str =
     white space (three newlines, ``" \\n"``, CRLF leave such leftovers).  Lines
     are stripped; a line must hold exactly two white-space separated fields and
     the tag must be in ``labels`` (None: any tag).  ``mode``: ``failfast`` raises
-    on a bad line, ``drop`` drops it, ``permissive`` drops it from the tokens and
-    keeps it in ``bad_lines``.
+    on a bad line, ``permissive`` takes it out of the tokens and returns it in
+    ``bad_lines``.  ``sent_id`` is the file's full path, the record's number and
+    the sentence's place in the record.
     """
     raw = (spark.read.option("lineSep", line_sep).text(path)
-           .select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("chunk"),
+           .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("chunk"),
                    F.regexp_replace("value", "\r", "").alias("value")))
     sents = raw.select("file", "chunk", F.posexplode(F.split("value", r"\n[ \t\f\x0B]*\n")).alias("piece", "s"))
     lines = F.filter(F.transform(F.split("s", "\n"), lambda ln: F.regexp_replace(ln, r"(?U)^\s+|\s+$", "")),
                      lambda ln: ln != "")
-    sents = sents.select("file", F.xxhash64("file", "chunk", "piece").alias("sent_id"),
+    sents = sents.select("file", F.concat_ws(":", "file", "chunk", "piece").alias("sent_id"),
                          F.transform(lines, lambda ln: F.struct(ln.alias("line"),
                                                                 F.split(ln, r"(?U)\s+").alias("f"))).alias("ls"))
     sents = sents.where(F.size("ls") > 0)
@@ -69,8 +70,8 @@ def read_bio(spark: SparkSession, path: str, mode: str = "drop", line_sep: str =
         bad = F.filter("ls", lambda x: ~good(x))
         tokens = F.when(F.size(bad) > 0, F.raise_error(
             F.concat(F.lit("malformed BIO line: "), F.get(bad, 0)["line"]))).otherwise(tokens)
-    elif mode not in ("drop", "permissive"):
-        raise ValueError(f"mode must be failfast, drop or permissive, not {mode!r}")
+    elif mode != "permissive":
+        raise ValueError(f"mode must be failfast or permissive, not {mode!r}")
     out = sents.select("file", "sent_id", tokens.alias("tokens"),
                        F.transform(keep, lambda x: x["f"][1]).alias("tags"),
                        *([F.transform(F.filter("ls", lambda x: ~good(x)), lambda x: x["line"]).alias("bad_lines")]

@@ -14,29 +14,44 @@ NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 NUMERIC = {f.name for f in RECORD.fields if f.dataType.typeName() == "double"}
 
 
-def read_records(spark: SparkSession, path: str, numeric=None, fmt: str = "csv") -> DataFrame:
+def read_records(spark: SparkSession, path: str, numeric=None, fmt: str = "csv", bad: str = "fail",
+                 multiline: bool = True) -> DataFrame:
     """Read records; every column is text first, missing tokens become NULL, then
-    the numeric columns are cast with ``try_cast`` (NaN -> NULL).
+    the numeric columns are cast (NaN -> NULL).
 
-    CSV needs ``multiLine`` for quoted newlines in notes, which reads each file
-    in one task: at scale keep records in Parquet (``fmt='parquet'``).
+    A text that is neither missing nor a number (``36 months``) must not be imputed
+    as if it were missing: ``bad="fail"`` raises on it, ``bad="report"`` makes it
+    NULL and lists it in a column ``bad_cells`` (``column=text``).
+
+    ``multiline`` allows quoted newlines in notes, for which a file is read by one
+    task; without them (``multiline=False``) files are split.  At scale keep records in
+    Parquet (``fmt='parquet'``).
     """
+    if bad not in ("fail", "report"):
+        raise ValueError(f"bad must be fail or report, not {bad!r}")
     numeric = NUMERIC if numeric is None else set(numeric)
     if fmt == "parquet":
         df = spark.read.parquet(path)
         return df.withColumns({c: F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c))
                                for c in df.columns if c in numeric})
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
           .option("inferSchema", False).csv(path))
     na = F.array(*[F.lit(x) for x in NA_VALUES])
-    cols = {}
+    cols, unread = {}, []
     for c in df.columns:
         ref = F.col(f"`{c}`")                      # headers may hold dots or spaces
         v = F.when(F.array_contains(na, ref), F.lit(None).cast("string")).otherwise(ref)
         if c in numeric:
             d = v.try_cast("double")
+            wrong = v.isNotNull() & d.isNull()
+            told = F.concat(F.lit(f"{c}="), v)
+            unread.append(F.when(wrong, told))
             v = F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+            if bad == "fail":
+                v = F.when(wrong, F.raise_error(F.concat(F.lit("not a number: "), told)).cast("double")).otherwise(v)
         cols[c] = v
+    if bad == "report":
+        cols["bad_cells"] = F.array_compact(F.array(*unread)) if unread else F.array().cast("array<string>")
     return df.withColumns(cols)
 
 

@@ -1,16 +1,18 @@
 """The ledger over an unbounded request log (Structured Streaming).
 
 Each micro-batch is applied with the batch fold of :mod:`operators.ledger`,
-seeded by the ledger state that earlier batches left.  The state is a Parquet
-table bucketed by a hash of the asset id, one folder per epoch holding only
-the buckets that epoch touched (``state/epoch=E/bucket=B``):
+seeded by what earlier batches left. The state is an append-only Parquet table
+of versions, ``state/epoch=E/bucket=B``: an epoch appends one row for every
+asset its requests named, and an asset's state is its row of the latest epoch.
 
 * every step is the skew-safe batch plan (aggregates + equi-joins), never one
   Python group per asset;
-* an epoch reads and rewrites only the buckets its requests touch, so the cost
-  follows the batch, not the size of the ledger;
-* a retried epoch rewrites the same folders (idempotent), and lineage is cut
-  at every epoch by the written tables.
+* an epoch reads only the buckets of its assets' ids (partition pruning) and
+  writes only its own assets, so its cost follows the batch;
+* a retried epoch rewrites its own folder and reads only those before it;
+  lineage is cut at every epoch by the written tables;
+* the number of buckets is stored beside the state; a stream that is
+  restarted with another number is refused.
 
 A request whose ``seq`` is at or below the last one applied for its asset is
 answered ``late`` and changes nothing.  Feed the log in ``seq`` order per asset
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,66 +31,56 @@ from ..operators import ledger as lg
 from ..schemas import LEDGER_STATE
 
 N_BUCKETS = 64
+_STORED = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER_STATE.fields) + ", epoch long, bucket int"
 
 
 def bucket_of(col: str = "id", n: int = N_BUCKETS):
     return F.pmod(F.xxhash64(F.col(col)), F.lit(n)).cast("int")
 
 
-def _fs(spark: SparkSession, root: str):
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    return jvm, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _bucket_versions(spark: SparkSession, root: str, before: int | None = None) -> dict[int, int]:
-    """bucket -> latest committed epoch (below ``before``) that wrote it."""
-    jvm, path, fs = _fs(spark, root)
-    if not fs.exists(path):
-        return {}
-    latest: dict[int, int] = {}
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if not name.startswith("epoch="):
-            continue
-        ep = int(name.split("=", 1)[1])
-        if before is not None and ep >= before:
-            continue
-        if not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            continue
-        for b in fs.listStatus(st.getPath()):
-            bn = b.getPath().getName()
-            if bn.startswith("bucket="):
-                k = int(bn.split("=", 1)[1])
-                latest[k] = max(latest.get(k, -1), ep)
-    return latest
-
-
-def _read_buckets(spark: SparkSession, root: str, versions: dict[int, int], buckets) -> DataFrame | None:
-    paths = [os.path.join(root, f"epoch={versions[b]}", f"bucket={b}") for b in buckets if b in versions]
-    if not paths:
-        return None
-    return spark.read.schema(LEDGER_STATE).parquet(*paths)
+def _open_state(spark: SparkSession, out_dir: str, n_buckets: int) -> None:
+    """Create the state with its bucket count, or check the count of the one that is there."""
+    meta = os.path.join(out_dir, "state_buckets")
+    try:
+        stored = spark.read.schema("n_buckets int").parquet(meta).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    if stored is None:
+        spark.createDataFrame([], LEDGER_STATE).write.mode("overwrite").parquet(os.path.join(out_dir, "state", "epoch=-1", "bucket=0"))
+        spark.createDataFrame([(n_buckets,)], "n_buckets int").coalesce(1).write.mode("overwrite").parquet(meta)
+    elif stored.n_buckets != n_buckets:
+        raise ValueError(f"the state in {out_dir} has {stored.n_buckets} buckets, not {n_buckets}")
+
+
+def _versions(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.schema(_STORED).parquet(os.path.join(out_dir, "state"))
+
+
+def _latest(versions: DataFrame) -> DataFrame:
+    """The row of the latest epoch of every id (a partial maximum per id)."""
+    row = F.struct(*[f.name for f in LEDGER_STATE.fields])
+    return versions.groupBy("id").agg(F.max_by(row, "epoch").alias("v")).select("v.*")
 
 
 def apply_requests_stream(requests: DataFrame, out_dir: str, checkpoint: str, *, n_buckets: int = N_BUCKETS,
                           available_now: bool = True, processing_time: str | None = None):
     """Start the stream; results go to ``out_dir/results`` (one folder per epoch)
-    and the bucketed ledger state to ``out_dir/state``.  Returns the StreamingQuery."""
+    and the versions of the ledger state to ``out_dir/state``.  Returns the StreamingQuery."""
     spark = requests.sparkSession
-    state_root = os.path.join(out_dir, "state")
-    res_root = os.path.join(out_dir, "results")
+    _open_state(spark, out_dir, n_buckets)
 
     def step(batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist()
-        touched = [r.b for r in batch.select(bucket_of("id", n_buckets).alias("b")).distinct().collect()]
-        prev = _read_buckets(spark, state_root, _bucket_versions(spark, state_root, before=epoch_id), touched)
-        if prev is not None:
-            prev = prev.withColumn("ts", F.col("ts").cast(batch.schema["ts"].dataType))
+        ids = batch.select("id").distinct()
+        touched = [r.b for r in ids.select(bucket_of("id", n_buckets).alias("b")).distinct().collect()]   # <= n_buckets
+        before = _versions(spark, out_dir).where((F.col("epoch") < epoch_id) & F.col("bucket").isin(touched))
+        prev = _latest(before.join(ids, "id", "left_semi"))
         res = lg.apply_requests(batch, state=prev)
-        res.results.write.mode("overwrite").parquet(os.path.join(res_root, f"epoch={epoch_id}"))
-        (res.state.withColumn("bucket", bucket_of("id", n_buckets))
-         .write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(state_root, f"epoch={epoch_id}")))
+        res.results.write.mode("overwrite").parquet(os.path.join(out_dir, "results", f"epoch={epoch_id}"))
+        (res.state.withColumn("bucket", bucket_of("id", n_buckets)).repartition("bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(out_dir, "state", f"epoch={epoch_id}")))
         res.release()
         batch.unpersist()
 
@@ -100,34 +93,6 @@ def read_results(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(out_dir, "results")).drop("epoch")
 
 
-def read_state(spark: SparkSession, out_dir: str) -> DataFrame | None:
-    """The current ledger state: the latest version of every bucket."""
-    root = os.path.join(out_dir, "state")
-    v = _bucket_versions(spark, root)
-    return _read_buckets(spark, root, v, sorted(v))
-
-
-def vacuum_state(spark: SparkSession, out_dir: str) -> list[int]:
-    """Delete state epochs whose every bucket has a newer committed version.
-
-    Those folders can no longer be read by any epoch; the latest version of
-    each bucket (and any uncommitted folder of a running epoch) is kept.
-    Returns the removed epoch numbers.
-    """
-    root = os.path.join(out_dir, "state")
-    jvm, path, fs = _fs(spark, root)
-    if not fs.exists(path):
-        return []
-    latest = _bucket_versions(spark, root)
-    live = set(latest.values())
-    removed = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if not name.startswith("epoch="):
-            continue
-        ep = int(name.split("=", 1)[1])
-        committed = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
-        if committed and ep not in live and ep < max(live, default=-1):
-            fs.delete(st.getPath(), True)
-            removed.append(ep)
-    return sorted(removed)
+def read_state(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The current ledger state: the latest version of every asset id."""
+    return _latest(_versions(spark, out_dir))

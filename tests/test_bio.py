@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -17,28 +18,21 @@ def _tags(spark, text, ents, type_map=None, drop_ws=False):
     return [(x.ch, x.tag) for x in df.select(p.alias("p")).first().p]
 
 
-def test_spans_to_bio_fixtures(spark):
-    assert [t for _, t in _tags(spark, "确诊戈谢病", [(2, 4, "dis")])] == ["O", "O", "B-DISEASE", "I-DISEASE", "I-DISEASE"]
-    assert [t for _, t in _tags(spark, "北京", [(0, 1, "loc")])] == ["O", "O"]
-    assert [t for _, t in _tags(spark, "戈谢病", [(0, 99, "dis")])] == ["O", "O", "O"]
-    assert [t for _, t in _tags(spark, "abcd", [(0, 3, "dis"), (1, 2, "sym")])] == \
-        ["B-DISEASE", "B-SYMPTOM", "I-SYMPTOM", "I-DISEASE"]
-    assert _tags(spark, "a b", [(0, 2, "dis")], drop_ws=True) == [("a", "B-DISEASE"), ("b", "I-DISEASE")]
-    assert [t for _, t in _tags(spark, "xy", None)] == ["O", "O"]
-    assert _tags(spark, "", [(0, 0, "dis")]) == []
-    assert [t for _, t in _tags(spark, "ab", [(0, 1, "dis")], tg.SHORT_TYPE_MAP)] == ["B-DIS", "I-DIS"]
+def test_spans_to_bio_rules(spark):
+    tags = lambda *x, **k: " ".join(t for _, t in _tags(spark, *x, **k))
+    assert tags("mild asthma today", [(5, 10, "dis")]) == " ".join(["O"] * 5 + ["B-DISEASE"] + ["I-DISEASE"] * 5 + ["O"] * 6)
+    assert tags("Lima", [(0, 3, "place")]) == "O O O O"                    # a type without a label
+    assert tags("cough", [(1, 5, "sym")]) == tags("cough", [(3, 2, "sym")]) == tags("cough", [(-1, 2, "sym")]) == "O O O O O"
+    assert tags("gout", [(0, 2, "sym"), (1, 3, "dis")]) == "B-SYMPTOM B-DISEASE I-DISEASE I-DISEASE"    # the later span wins
+    assert _tags(spark, "m s", [(0, 2, "dis")], drop_ws=True) == [("m", "B-DISEASE"), ("s", "I-DISEASE")]
+    assert tags("ok", None) == "O O" and _tags(spark, "", [(0, 0, "dis")]) == []
+    assert tags("flu", [(0, 2, "dis")], tg.SHORT_TYPE_MAP) == "B-DIS I-DIS I-DIS"
 
 
-def _py_tags(text, ents, tmap):
-    tags = ["O"] * len(text)
-    for s, e, t in ents:
-        et = tmap.get(t)
-        if et is None or s < 0 or e >= len(text) or s > e:
-            continue
-        tags[s] = "B-" + et
-        for i in range(s + 1, e + 1):
-            tags[i] = "I-" + et
-    return tags
+def _tag_at(i, text, spans, names):
+    """The rule by position: the last valid span of a known type over a character decides."""
+    over = [(start, names[kind]) for start, end, kind in spans if kind in names and 0 <= start <= i <= end < len(text)]
+    return ("B-" if over[-1][0] == i else "I-") + over[-1][1] if over else "O"
 
 
 def test_spans_to_bio_brute_force(spark):
@@ -53,37 +47,17 @@ def test_spans_to_bio_brute_force(spark):
     df = spark.createDataFrame(rows, EX_SCHEMA)
     got = df.select(tg.spans_to_bio("text", "entities").alias("p")).collect()
     for (text, ents), r in zip(rows, got):
-        assert [x.tag for x in r.p] == _py_tags(text, ents, tg.TYPE_MAP)
-
-
-def _py_decode(tags, mode):
-    """Sequential decoders: the inference loop (strict) and the scorer's chunk rules (lenient)."""
-    out, cur = [], None
-    for i, t in enumerate(tags + ["O"]):
-        typ = t[2:]
-        if mode == "strict":
-            if t.startswith("B-"):
-                if cur:
-                    out.append(tuple(cur))
-                cur = [i, i, typ]
-            elif t.startswith("I-") and cur and cur[2] == typ:
-                cur[1] = i
-            else:
-                if cur:
-                    out.append(tuple(cur))
-                cur = None
-        else:
-            if t.startswith("B-") or (t.startswith("I-") and not (cur and cur[2] == typ)):
-                if cur:
-                    out.append(tuple(cur))
-                cur = [i, i, typ]
-            elif t.startswith("I-"):
-                cur[1] = i
-            else:
-                if cur:
-                    out.append(tuple(cur))
-                cur = None
-    return out
+        assert [x.tag for x in r.p] == [_tag_at(i, text, ents, tg.TYPE_MAP) for i in range(len(text))]
+
+
+LETTER = {"O": ".", "B-DIS": "D", "I-DIS": "d", "B-SYM": "S", "I-SYM": "s"}
+ISLANDS = {"strict": "Dd*|Ss*", "lenient": "[Dd]d*|[Ss]s*"}
+
+
+def _islands(tags, mode):
+    """Entities as matches of a pattern over the tags written as letters."""
+    found = re.finditer(ISLANDS[mode], "".join(LETTER[t] for t in tags))
+    return [(m.start(), m.end() - 1, {"D": "DIS", "S": "SYM"}[m.group()[0].upper()]) for m in found]
 
 
 @pytest.mark.parametrize("mode", ["strict", "lenient"])
@@ -99,43 +73,46 @@ def test_decode_fixtures_and_brute_force(spark, mode):
     for r in ents:
         got.setdefault(r.sent_id, []).append((r.start, r.end, r.type))
     for i, s in enumerate(seqs):
-        assert sorted(got.get(i, [])) == _py_decode(s, mode), (s, mode)
+        assert sorted(got.get(i, [])) == _islands(s, mode), (s, mode)
 
 
-BIO_TEXT = ("患O\n儿 O\n反 B-SYM\n复 I-SYM\n跌 I-SYM\n倒 I-SYM\n， O\n庞 B-DIS\n贝 I-DIS\n病 I-DIS\n\n\n\n"
-            "肝 B-SYM\n脾 I-SYM\n \n戈 B-DIS\r\n谢 I-DIS\r\n病 I-DIS\r\n\r\n"
-            "苯 B-DRUG\n丙 I-DRUG")
+BIO_TEXT = ("sO\nh O\ne O\na B-SYM\nc I-SYM\nh I-SYM\ne I-SYM\n; O\ng B-DIS\no I-DIS\nu I-DIS\nt I-DIS\n\n\n\n"
+            "r B-SYM\nash I-SYM\n \nf B-DIS\r\nl I-DIS\r\nu I-DIS\r\n\r\n"
+            "as B-DRUG\na I-DRUG")
 
 
 def test_read_bio_modes(spark, tmp_path):
     p = tmp_path / "s.bio"
     p.write_text(BIO_TEXT, encoding="utf-8")
-    s = bio_io.read_bio(spark, str(p), mode="drop").collect()
-    sents = sorted(("".join(r.tokens), " ".join(r.tags)) for r in s)
-    assert sents == sorted([("儿反复跌倒，庞贝病", "O B-SYM I-SYM I-SYM I-SYM O B-DIS I-DIS I-DIS"),
-                            ("肝脾", "B-SYM I-SYM"), ("戈谢病", "B-DIS I-DIS I-DIS"), ("苯丙", "B-DRUG I-DRUG")])
+    with pytest.raises(Exception, match="malformed BIO line: sO"):
+        bio_io.read_bio(spark, str(p)).collect()              # a bad line stops the default reader
+    with pytest.raises(ValueError):
+        bio_io.read_bio(spark, str(p), mode="drop")           # no mode loses lines
     perm = bio_io.read_bio(spark, str(p), mode="permissive").collect()
-    assert sorted(x for r in perm for x in r.bad_lines) == ["患O"]
-    with pytest.raises(Exception):
-        bio_io.read_bio(spark, str(p), mode="failfast").collect()
+    assert sorted(x for r in perm for x in r.bad_lines) == ["sO"]
+    assert sorted((" ".join(r.tokens), " ".join(r.tags)) for r in perm) == sorted([
+        ("h e a c h e ; g o u t", "O O B-SYM I-SYM I-SYM I-SYM O B-DIS I-DIS I-DIS I-DIS"),
+        ("r ash", "B-SYM I-SYM"), ("f l u", "B-DIS I-DIS I-DIS"), ("as a", "B-DRUG I-DRUG")])
+    assert len({r.sent_id for r in perm}) == 4 and all(p.name in r.sent_id for r in perm)
     p2 = tmp_path / "u.bio"
     p2.write_text("a B-XYZ\nb O\n", encoding="utf-8")
-    assert [r.tokens for r in bio_io.read_bio(spark, str(p2)).collect()] == [["b"]]
+    with pytest.raises(Exception, match="a B-XYZ"):
+        bio_io.read_bio(spark, str(p2)).collect()
     assert [r.tokens for r in bio_io.read_bio(spark, str(p2), labels=None).collect()] == [["a", "b"]]
 
 
 def test_bio_roundtrip_and_entities(spark, tmp_path):
-    df = spark.createDataFrame([("确诊戈谢病", [(2, 4, "dis")]), ("  ", []), ("肌 无力", [(0, 3, "sym")])], EX_SCHEMA)
+    df = spark.createDataFrame([("no gout", [(3, 6, "dis")]), ("  ", []), ("r a sh", [(0, 5, "sym")])], EX_SCHEMA)
     conv = bio.convert_examples(df, type_map=tg.SHORT_TYPE_MAP)
-    path = str(tmp_path / "out")
-    bio_io.write_bio(conv, path)
-    text = "".join(open(f, encoding="utf-8").read() for f in sorted(__import__("glob").glob(path + "/part-*")))
-    assert "确 O\n诊 O\n戈 B-DIS\n谢 I-DIS\n病 I-DIS\n\n" in text
-    back = bio_io.read_bio(spark, path, mode="failfast")
-    got = sorted(("".join(r.tokens), tuple(r.tags)) for r in back.collect())
-    assert got == [("确诊戈谢病", ("O", "O", "B-DIS", "I-DIS", "I-DIS")), ("肌无力", ("B-SYM", "I-SYM", "I-SYM"))]
+    path = tmp_path / "out"
+    bio_io.write_bio(conv, str(path))
+    text = "".join(f.read_text(encoding="utf-8") for f in sorted(path.glob("part-*")))
+    assert "n O\no O\ng B-DIS\no I-DIS\nu I-DIS\nt I-DIS\n\n" in text
+    back = bio_io.read_bio(spark, str(path))
+    got = sorted(("".join(r.tokens), " ".join(r.tags)) for r in back.collect())
+    assert got == [("nogout", "O O B-DIS I-DIS I-DIS I-DIS"), ("rash", "B-SYM I-SYM I-SYM I-SYM")]
     ents = bio.sentence_entities(back, mode="strict").collect()
-    assert sorted((e.type, e.text) for e in ents) == [("DIS", "戈谢病"), ("SYM", "肌无力")]
+    assert sorted((e.type, e.text) for e in ents) == [("DIS", "gout"), ("SYM", "rash")]
     assert bio.count_examples(conv).first().n_examples == 3
 
 
@@ -156,6 +133,7 @@ def test_prf_forms_agree(spark):
     pred = [["B-DIS", "I-DIS", "O", "O"], ["O", "I-DIS"]]
     df = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(zip(gold, pred))],
                                "sent_id long, gold_tags array<string>, pred_tags array<string>")
+    assert bio.prf_from_tags(df, mode="strict").first().n_gold == 2
     a = bio.prf_from_tags(df, mode="lenient").first()
     g = bio.sentence_entities(df, "gold_tags", "gold_tags", "lenient")
     p = bio.sentence_entities(df, "pred_tags", "pred_tags", "lenient")

@@ -1,35 +1,34 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortshare.operators import deid
 
 
-def _sample(spark, extra=()):
-    rows = [(f"P{i:03d}", float([36, 37, 38, 39, 40][i % 5]), ["F", "M"][i % 2], "Nanjing, Jiangsu",
-             "2021-03-14", [12.5, 13.0, 11.8, 12.2, 12.9][i % 5], "Gaucher disease") for i in range(10)]
-    return spark.createDataFrame(rows + list(extra),
-                                 "patient_id string, age_months double, gender string, location string, "
-                                 "diagnosis_date string, lab_value double, diagnosis string")
+SCHEMA = "patient_id string, ward string, age_months double, location string, diagnosis_date string, lab_value double"
 
 
-def test_generalisation_reduces_precision(spark):
-    g = deid.apply_generalisation(_sample(spark)).collect()
-    assert all(r.diagnosis_date == "2021-03" for r in g)
-    assert all(r.location == "Nanjing" for r in g)
-    assert all(r.age_months_gen == "[36,48)" for r in g)
-    assert all(r.age_months in (36, 37, 38, 39, 40) for r in g)  # exact age kept (as reference)
-    assert set(g[0].asDict()) >= {"gender", "diagnosis", "patient_id"}
+def _ward(spark):
+    """Twelve children of one town and month, ages 61 to 71 months, with seven distinct readings."""
+    rows = [(f"w-{i}", "east" if i < 5 else "west", 61.0 + min(i, 10), "Graz, Styria", f"2019-08-{i + 2:02d}", 4.0 + 0.25 * (i % 7))
+            for i in range(12)]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_k_anonymity_bounds_risk_and_report(spark):
-    res = deid.deidentify(_sample(spark), key="patient_id", salt="s")
+def test_generalisation_of_one_ward(spark):
+    rows = deid.apply_generalisation(_ward(spark)).collect()
+    assert {(r.location, r.diagnosis_date, r.age_months_gen) for r in rows} == {("Graz", "2019-08", "[60,72)")}
+    assert sorted(r.age_months for r in rows)[0] == 61.0 and {r.ward for r in rows} == {"east", "west"}   # other columns stay
+
+
+def test_report_of_one_ward(spark):
+    res = deid.deidentify(_ward(spark), key="patient_id", salt="s")
     rep = res.report.first()
-    assert rep.records_in == 10 and rep.records_out == 10 and rep.classes_out == 1
-    assert rep.reid_risk == 10.0 and rep.reid_risk <= 100.0 / deid.K + 1e-6
-    assert rep.information_loss == 100.0
-    assert 0.0 <= rep.information_loss <= 100.0
-    assert res.data.count() == 10
+    assert (rep.records_in, rep.records_out, rep.classes_out) == (12, 12, 1)
+    assert rep.reid_risk == round(100 / 12, 4) and rep.reid_risk <= 100 / deid.K
+    assert rep.information_loss == 100.0                      # 12 months against a span of 10, at most 100
+    assert res.data.count() == 12
 
 
 def test_generalise_edge_values(spark):
@@ -78,12 +77,25 @@ def test_bounds_clip_and_fix_scale(spark):
 
 
 def test_standalone_loss_and_risk(spark):
-    df = _sample(spark)
-    g = deid.apply_generalisation(df)
-    anon = deid.enforce_k_anonymity(g)
+    df = _ward(spark)
+    anon = deid.enforce_k_anonymity(deid.apply_generalisation(df))
     assert deid.information_loss(df).first().information_loss == 100.0
-    assert 0.0 <= deid.information_loss(df).first().information_loss <= 100.0
-    assert deid.reidentification_risk(anon).first().reid_risk == 10.0
+    assert deid.reidentification_risk(anon).first().reid_risk == round(100 / 12, 4)
     assert deid.reidentification_risk(anon.where(F.lit(False))).first().reid_risk == 0.0
     wide = spark.createDataFrame([(0.0,), (120.0,)], "age_months double")
     assert deid.information_loss(wide).first().information_loss == 10.0
+
+
+def test_keyed_noise_needs_a_salt(spark):
+    with pytest.raises(ValueError, match="salt"):
+        deid.laplace_noise(_ward(spark), key="patient_id")
+    with pytest.raises(ValueError, match="salt"):
+        deid.deidentify(_ward(spark), key="patient_id")
+
+
+@pytest.mark.parametrize("how", [{"key": "id", "salt": "s"}, {"seed": 7}])
+def test_columns_draw_apart(spark, how):
+    df = spark.range(1000).select("id", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    rows = deid.laplace_noise(df, ["a", "b"], **how).collect()
+    assert sum(r.a == r.b for r in rows) == 0
+    assert abs(sum((r.a > 0) == (r.b > 0) for r in rows) / 1000 - 0.5) < 0.08

@@ -117,3 +117,11 @@ def test_many_columns_table_path_equals_row_by_row(spark):
     got = np.array([[getattr(r, c) for c in cols] for r in out])
     exp = brute_impute(X, _ols_fit)
     assert np.max(np.abs(got - exp)) < 1e-6
+
+
+def test_thirty_three_columns_on_the_table_path(spark):
+    cols = [f"c{i}" for i in range(33)]
+    rows = [tuple(None if (r * 5 + i) % 17 == 0 or (i == 32 and r % 9 == 1) else float(r % 7 + i * (r % 3)) for i in range(33)) for r in range(120)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols))
+    out = im.impute(df, cols, max_iter=2, estimator="ols", case_limit=0).collect()
+    assert len(out) == 120 and all(x is not None for r in out for x in r)

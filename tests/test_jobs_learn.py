@@ -2,6 +2,7 @@ import json
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortshare.operators import bio, mlm, tagger
@@ -41,12 +42,12 @@ def test_record_io_and_jobs(spark, tmp_path):
 
 def test_convert_job(spark, tmp_path):
     src = tmp_path / "ex.json"
-    src.write_text(json.dumps([{"text": "确诊戈谢病", "entities": [{"start_idx": 2, "end_idx": 4, "type": "dis"}]},
-                               {"text": "北京"}]), encoding="utf-8")
+    src.write_text(json.dumps([{"text": "old gout", "entities": [{"start_idx": 4, "end_idx": 7, "type": "dis"}]},
+                               {"text": "Oslo"}]), encoding="utf-8")
     n = jobs.convert_job(spark, str(src), str(tmp_path / "bio"), type_map=tg.SHORT_TYPE_MAP)
     assert n == 2
     back = bio_io.read_bio(spark, str(tmp_path / "bio"), mode="failfast").collect()
-    assert sorted("".join(r.tags) for r in back) == ["OO", "OOB-DISI-DISI-DIS"]
+    assert sorted("".join(r.tags) for r in back) == ["OOO" "B-DISI-DISI-DISI-DIS", "OOOO"]
 
 
 def test_relational_span_form_equals_array_form(spark):
@@ -88,9 +89,8 @@ def test_tagger_learns_rule(spark):
         sents.append((i, toks, tags))
     df = spark.createDataFrame(sents, "sent_id long, tokens array<string>, tags array<string>")
     model = tagger.train_tagger(df, max_iter=30)
-    pred = tagger.predict_tags(model, df.select("sent_id", "tokens"))
-    both = pred.join(df.select("sent_id", F.col("tags").alias("gold_tags")), "sent_id")
-    r = bio.prf_from_tags(both, "gold_tags", "pred_tags", "strict", keys=("sent_id",)).first()
+    both = tagger.predict_tags(model, df.withColumnRenamed("tags", "gold_tags"))
+    r = bio.prf_from_tags(both, "gold_tags", "pred_tags", "strict").first()
     assert r.f1 > 0.95
     notes = spark.createDataFrame([("n1", "xaby"), ("n2", "")], "patient_id string, clinical_note string")
     ents = tagger.tag_notes(model, notes).collect()
@@ -111,7 +111,7 @@ def test_user_model_plug(spark):
             return [["B-DIS" if c == "a" else "I-DIS" if c == "b" else "O" for c in toks] for toks in batch]
         return predict
     notes = spark.createDataFrame([("n1", "xabby"), ("n2", "ba"), ("n3", "")], "patient_id string, clinical_note string")
-    ents = tagger.tag_notes_with_model(notes, _rule_model).collect()
+    ents = tagger.tag_notes_with_model(notes, _rule_model, "rule-1").collect()
     assert sorted((e.patient_id, e.start, e.end, e.text) for e in ents) == [("n1", 1, 3, "abb"), ("n2", 1, 1, "a")]
 
 
@@ -138,6 +138,31 @@ def test_mlm_corpus_fixture(spark):
     assert all(r.doc_id in (2, 3) for r in rows)
 
 
+def test_user_model_is_loaded_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(tagger, "_LOADED", {})
+    load = lambda: calls.append(1) or (lambda batch: batch)
+    assert tagger.loaded("m", load) is tagger.loaded("m", load) and len(calls) == 1
+    tagger.loaded("n", load)
+    assert len(calls) == 2
+
+
+def test_unknown_training_tag_stops(spark):
+    df = spark.createDataFrame([(1, ["a"], ["B-NEW"])], "sent_id long, tokens array<string>, tags array<string>")
+    with pytest.raises(Exception):
+        tagger.train_tagger(df)
+
+
+def test_unreadable_numbers_are_not_missing(spark, tmp_path):
+    src = tmp_path / "n.csv"
+    src.write_text("patient_id,age_months,lab_value\nA,36 months,1\nB,NA,2\nC,30,x\n", encoding="utf-8")
+    with pytest.raises(Exception, match="not a number: (age_months=36 months|lab_value=x)"):
+        records.read_records(spark, str(src)).collect()
+    rows = {r.patient_id: r for r in records.read_records(spark, str(src), bad="report").collect()}
+    assert rows["A"].bad_cells == ["age_months=36 months"] and rows["C"].bad_cells == ["lab_value=x"]
+    assert rows["B"].bad_cells == [] and rows["B"].age_months is None
+
+
 def test_read_records_odd_headers(spark, tmp_path):
     src = tmp_path / "odd.csv"
     src.write_text("patient_id,lab.value,age months\nP1,NA,3\nP2,1.5,N/A\n", encoding="utf-8")

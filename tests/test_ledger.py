@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cohortshare.operators import ledger as lg
-from cohortshare.schemas import REQUEST
+from cohortshare.schemas import LEDGER_STATE, REQUEST
 
 TS = dt.datetime(2024, 1, 1, 12, 0, 0)
 
@@ -45,16 +45,21 @@ def test_seed_resets_segment(spark):
     assert a.owner == "Org1MSP" and a.access_list == ["Org1MSP"] and a.data_hash == lg.ZERO_HASH
 
 
+def _written(spark, state):
+    """The state as a table of its own, as every epoch of the stream leaves it."""
+    return spark.createDataFrame(state.collect(), LEDGER_STATE)
+
+
 def test_state_carry_equals_single_batch(spark):
     reqs = _reqs(spark, FX8)
     whole = {r.seq: (r.status, r.message) for r in lg.apply_requests(reqs).results.collect()}
-    for cut in range(0, 11):
+    for cut in range(0, 11, 2):
         first = lg.apply_requests(reqs.where(F.col("seq") <= cut))
-        second = lg.apply_requests(reqs.where(F.col("seq") > cut), state=first.state)
+        second = lg.apply_requests(reqs.where(F.col("seq") > cut), state=_written(spark, first.state))
         parts = {r.seq: (r.status, r.message) for r in first.results.unionByName(second.results).collect()}
         assert parts == whole, cut
     late = lg.apply_requests(reqs.where(F.col("seq") <= 3),
-                             state=lg.apply_requests(reqs.where(F.col("seq") > 3)).state)
+                             state=_written(spark, lg.apply_requests(reqs.where(F.col("seq") > 3)).state))
     assert {r.status for r in late.results.collect()} == {"late"}
 
 
@@ -71,3 +76,47 @@ def test_json_roundtrip_and_lookups(spark):
     assert {r.id: r.found for r in lg.lookup_asset(q, res.assets).collect()} == {"a": True, "zz": False}
     assert [r.id for r in lg.asset_exists(q, res.assets).collect()] == ["a"]
     assert [r.id for r in lg.asset_exists(q, res.assets, negate=True).collect()] == ["zz"]
+
+
+def test_repeated_requests_stay_with_and_without_seeds(spark):
+    rows = [(1, "Org1MSP", "create", "a", None), (2, "Org1MSP", "read", "a", None), (2, "Org1MSP", "read", "a", None)]
+    assert lg.apply_requests(_reqs(spark, rows)).results.count() == 3
+    seeded = _reqs(spark, rows).unionByName(lg.init_assets(spark, seq=3, ts=TS))
+    assert lg.apply_requests(seeded).results.count() == 4
+
+
+def test_many_seeds_on_one_hot_id(spark, monkeypatch):
+    """The as-of lookup over several blocks against a fold in order."""
+    monkeypatch.setattr(lg, "SEQ_BLOCK", 16)
+    rows = [(s, f"Org{s % 3}MSP", ["init", "read", "grant", "create", "exists"][(s * 7) % 5 if s % 11 else 1], "hot", f"Org{s % 4}MSP")
+            for s in range(1, 400)]
+    owner, allowed, want = None, set(), {}
+    for s, who, op, _, other in rows:
+        if op == "init" or (op == "create" and owner is None):
+            owner, allowed, want[s] = who, {who}, "ok"
+        elif op == "create":
+            want[s] = "already_exists"
+        elif op == "exists":
+            want[s] = "ok"
+        elif owner is None:
+            want[s] = "not_found"
+        elif op == "read":
+            want[s] = "ok" if who in allowed else "access_denied"
+        else:
+            want[s] = "ok" if who == owner else "not_owner"
+            allowed |= {other} if who == owner else set()
+    res = lg.apply_requests(_reqs(spark, rows))
+    assert {r.seq: r.status for r in res.results.collect()} == want
+    assert set(res.assets.first().access_list) == allowed
+
+
+def test_times_are_utc_in_any_zone(spark):
+    df = spark.createDataFrame([(0,)], "s long").select(F.timestamp_seconds("s").alias("ts"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+        assert df.select(lg.rfc3339("ts").alias("t")).first().t == "1970-01-01T00:00:00Z"
+        doc = spark.createDataFrame([('{"id":"a","timestamp":"1970-01-01T00:00:00Z"}',)], "json string")
+        assert lg.assets_from_json(doc).select(F.unix_timestamp("ts").alias("s")).first().s == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

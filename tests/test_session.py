@@ -1,3 +1,5 @@
+import pytest
+
 from cohortshare.session import scratch_path, shared_dir
 
 
@@ -23,3 +25,17 @@ def test_spread_only_small_inputs(spark):
     assert spread(big) is big                               # already split: no shuffle added
     small = spark.range(0, 1000, 1, numPartitions=1)
     assert spread(small).rdd.getNumPartitions() == par
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())

@@ -1,72 +1,64 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortshare.operators import ledger as lg
 from cohortshare.plans.ledger_queries import event_requests
-from cohortshare.plans.stream_queries import stage_in_seq_order
-from cohortshare.streaming.ledger_stream import apply_requests_stream, read_results, read_state, vacuum_state
+from cohortshare.plans.stream_queries import replay
+from cohortshare.streaming.ledger_stream import apply_requests_stream, read_results, read_state
 
 from conftest import SF_SMALL
 
 
-def _run(spark, tmp_path, staged_writer):
+def _start(out, ck, **kw):
+    return lambda stream: apply_requests_stream(stream, out, ck, **kw)
+
+
+def _parts(spark, tmp_path, parts):
+    """Run the stream once for each part of the log."""
     src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
-    staged_writer(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 1).parquet(src)
-    apply_requests_stream(stream, out, ck).awaitTermination()
+    for p in parts:
+        p.write.mode("append").parquet(src)
+        _start(out, ck)(spark.readStream.schema(p.schema).parquet(src)).awaitTermination()
     return out
 
 
 def test_stream_in_several_batches_equals_batch(spark, tmp_path):
     reqs = event_requests(spark, SF_SMALL)
     batch = lg.apply_requests(reqs)
-    out = _run(spark, tmp_path, lambda src: stage_in_seq_order(reqs, src, n_files=4))
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    replay(reqs.repartition(5), src, _start(out, ck), n_parts=4)
     assert len(os.listdir(os.path.join(out, "results"))) >= 4
-    got = {tuple(r) for r in read_results(spark, out).select("seq", "status", "message").collect()}
-    exp = {tuple(r) for r in batch.results.select("seq", "status", "message").collect()}
+    got = sorted(tuple(r) for r in read_results(spark, out).select("seq", "status", "message").collect())
+    exp = sorted(tuple(r) for r in batch.results.select("seq", "status", "message").collect())
     assert got == exp
-    epochs = sorted(os.listdir(os.path.join(out, "state")))
-    assert all(len([b for b in os.listdir(os.path.join(out, "state", e)) if b.startswith("bucket=")]) <= 64
-               for e in epochs)
     st = read_state(spark, out).where(F.col("owner").isNotNull()).select("id", "owner", "access_list").collect()
     assert sorted(map(tuple, st)) == sorted(map(tuple, batch.assets.select("id", "owner", "access_list").collect()))
 
 
-def test_out_of_order_files_give_late(spark, tmp_path):
+def test_out_of_order_parts_give_late(spark, tmp_path):
     reqs = event_requests(spark, SF_SMALL)
-
-    def writer(src):  # second half first, then the first half
-        n = reqs.agg(F.max("seq")).first()[0] // 2
-        reqs.where(F.col("seq") > n).coalesce(1).write.mode("append").parquet(src)
-        reqs.where(F.col("seq") <= n).coalesce(1).write.mode("append").parquet(src)
-    out = _run(spark, tmp_path, writer)
+    half = reqs.agg(F.max("seq")).first()[0] // 2
+    out = _parts(spark, tmp_path, [reqs.where(F.col("seq") > half), reqs.where(F.col("seq") <= half)])
     res = read_results(spark, out)
     assert res.count() == reqs.count()
     assert res.where(F.col("status") == "late").count() > 0
 
 
-def test_epoch_rewrites_only_touched_buckets(spark, tmp_path):
+def test_epoch_appends_only_its_assets(spark, tmp_path):
     reqs = event_requests(spark, SF_SMALL)
     one = reqs.agg(F.min("id")).first()[0]
-
-    def writer(src):
-        reqs.where(F.col("id") != one).coalesce(1).write.mode("append").parquet(src)
-        reqs.where(F.col("id") == one).coalesce(1).write.mode("append").parquet(src)
-    out = _run(spark, tmp_path, writer)
-    epochs = sorted(os.listdir(os.path.join(out, "state")), key=lambda e: int(e.split("=")[1]))
-    last = [b for b in os.listdir(os.path.join(out, "state", epochs[-1])) if b.startswith("bucket=")]
-    assert len(last) == 1                       # the second epoch touched one asset, one bucket
-    full = {r.id for r in read_state(spark, out).collect()}
-    assert full == {r.id for r in reqs.select("id").distinct().collect()}
+    out = _parts(spark, tmp_path, [reqs.where(F.col("id") != one), reqs.where(F.col("id") == one)])
+    epochs = sorted((e for e in os.listdir(os.path.join(out, "state")) if e.startswith("epoch=")), key=lambda e: int(e.split("=")[1]))
+    last = spark.read.parquet(os.path.join(out, "state", epochs[-1]))
+    assert [r.id for r in last.collect()] == [one]
+    assert {r.id for r in read_state(spark, out).collect()} == {r.id for r in reqs.select("id").distinct().collect()}
 
 
-def test_vacuum_keeps_the_current_state(spark, tmp_path):
+def test_another_bucket_count_is_refused(spark, tmp_path):
     reqs = event_requests(spark, SF_SMALL)
-    out = _run(spark, tmp_path, lambda src: stage_in_seq_order(reqs, src, n_files=4))
-    before = sorted(map(tuple, read_state(spark, out).collect()))
-    removed = vacuum_state(spark, out)
-    after = sorted(map(tuple, read_state(spark, out).collect()))
-    assert before == after
-    assert removed                                   # superseded epochs were found and removed
-    assert all(f"epoch={e}" not in os.listdir(os.path.join(out, "state")) for e in removed)
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    replay(reqs, src, _start(out, ck, n_buckets=48), n_parts=1)
+    with pytest.raises(ValueError, match="48 buckets, not 64"):
+        _start(out, ck)(spark.readStream.schema(reqs.schema).parquet(src))
