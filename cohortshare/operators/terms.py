@@ -212,9 +212,12 @@ def match_by_embedding(terms: DataFrame, vocab: DataFrame, *, key: str = "term",
             continue
         udf = _cosine_best_udf(terms.sparkSession, blk)
         parts.append(terms.select(key, udf(F.col(vec)).alias("b")))
+    if not parts:                                # an empty vocabulary matches nothing
+        return terms.select(key, F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("score"))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
     if len(parts) > 1:
         res = res.groupBy(key).agg(F.max_by("b", F.struct(F.col("b.score"), -F.col("b.ord"))).alias("b"))
-    return res.select(key, F.col("b.code").alias("code"), F.col("b.score").alias("score"))
+    wins = F.col("b.score") > 0                  # only scores above 0 win, as for the hybrid score
+    return res.select(key, F.when(wins, F.col("b.code")).alias("code"), F.when(wins, F.col("b.score")).otherwise(F.lit(0.0)).alias("score"))

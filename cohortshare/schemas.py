@@ -25,13 +25,13 @@ EXAMPLE = T.StructType([
 
 BIO_SENT = T.StructType([
     T.StructField("file", T.StringType()),
-    T.StructField("sent_id", T.LongType()),
+    T.StructField("sent_id", T.StringType()),
     T.StructField("tokens", T.ArrayType(T.StringType())),
     T.StructField("tags", T.ArrayType(T.StringType())),
 ])
 
 ENTITY = T.StructType([
-    T.StructField("sent_id", T.LongType()),
+    T.StructField("sent_id", T.StringType()),
     T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
     T.StructField("type", T.StringType()),

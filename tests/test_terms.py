@@ -81,3 +81,11 @@ def test_char_bag(spark):
     df = spark.createDataFrame([("病病a",), ("",)], "t string")
     got = sorted(tuple(r) for r in tm.char_bag(df, "t").collect())
     assert got == [("病病a", "a", 1.0), ("病病a", "病", 2.0)]
+
+
+def test_embedding_scores_above_zero_only(spark):
+    from cohortshare.operators import terms as tm
+    v = spark.createDataFrame([(1, "A", [1.0, 0.0]), (2, "B", [0.0, 1.0])], "ord long, code string, vec array<double>")
+    t = spark.createDataFrame([("p", [2.0, 1.0]), ("n", [-1.0, -2.0])], "term string, vec array<double>")
+    assert {r.term: (r.code, r.score > 0) for r in tm.match_by_embedding(t, v).collect()} == {"p": ("A", True), "n": (None, False)}
+    assert {(r.code, r.score) for r in tm.match_by_embedding(t, v.limit(0)).collect()} == {(None, 0.0)}
