@@ -2,10 +2,10 @@
 
 1. Corpus document frequencies of the template vocabulary give every licence word its IDF.
 2. A file is looked up if it has the rarest key-phrase word of some template (a template can't match without its
-   mandatory phrase, so nothing is missed). Of the licence words a file has, the ``LOOKUPS`` with the highest IDF are
-   looked up in the postings (word -> template, position).
-3. Postings are intersected by relative position: file position minus template position must agree for at least
-   ``VOTES`` different words.
+   mandatory phrase, so nothing is missed). Every template has postings (word -> template, position) of the ``VOTES``
+   words of its phrase with the highest IDF; all of a file's words are looked up in them.
+3. Postings are intersected by relative position: file position minus template position must agree for all of the
+   template's posted words. They do wherever its phrase stands, whatever else the file holds.
 4. At that alignment the template's mandatory key phrase must stand word for word. The score is the share of the
    template's words found in place.
 
@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from .common import LOWER_FROM, LOWER_TO, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LOOKUPS = 8
-VOTES = 2
+VOTES = 2                   # posted words per template
 
 # Phrases and labels of the base rule.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -85,21 +84,31 @@ def phrase_places(words: Column, phrase: str) -> Column:
     return F.filter(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), stands)
 
 
-def alignments(files: DataFrame, idf: dict[str, int], templates=TEMPLATES) -> DataFrame:
-    """(doc_id, fp, found: [(template, offset)]) where VOTES rare words agree. ``files``: doc_id, fp, words."""
-    spark = files.sparkSession
-    postings = spark.createDataFrame([(w, t, q) for t, (_, text, _) in enumerate(templates) for q, w in enumerate(text.split())],
-                                     "word string, template int, at int")
-    order = sorted(idf, key=lambda w: (idf[w], w))               # rarest first
-    rare = F.slice(F.array_intersect(_strings(order), F.col("words")), 1, LOOKUPS)
-    hits = (files.select("doc_id", "fp", "words", rare.alias("rare"))
-            .select("doc_id", "fp", F.explode(F.filter(
+def posted_words(df: dict[str, int], templates=TEMPLATES) -> list[tuple[str, int, int]]:
+    """(word, template, position in the template) of the ``VOTES`` rarest different words of every key phrase."""
+    out = []
+    for t, (_, text, phrase) in enumerate(templates):
+        parts = phrase.split()
+        start = _place(text.split(), parts)
+        rarest = sorted(set(parts), key=lambda w: (df.get(w, 0), w))[:VOTES]
+        out += [(w, t, start + parts.index(w)) for w in rarest]
+    return out
+
+
+def alignments(files: DataFrame, df: dict[str, int], templates=TEMPLATES) -> DataFrame:
+    """(doc_id, fp, found: [(template, offset)]) where all posted words of a template agree. ``files``: doc_id, fp, words."""
+    posted = posted_words(df, templates)
+    postings = files.sparkSession.createDataFrame(posted, "word string, template int, at int")
+    needed = [len({w for w, k, _ in posted if k == t}) for t in range(len(templates))]
+    rare = _strings(sorted({w for w, _, _ in posted}))
+    hits = (files.select("doc_id", "fp", F.explode(F.filter(
                 F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))),
-                lambda x: F.array_contains("rare", x["word"]))).alias("hit"))
+                lambda x: F.array_contains(rare, x["word"]))).alias("hit"))
             .select("doc_id", "fp", "hit.word", "hit.place"))
-    votes = (hits.join(F.broadcast(postings), "word")            # as many rows as the templates have words
+    votes = (hits.join(F.broadcast(postings), "word")            # as many rows as the templates have posted words
              .select("doc_id", "fp", "word", "template", (F.col("place") - F.col("at")).alias("offset")).distinct()
-             .groupBy("doc_id", "fp", "template", "offset").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= VOTES))
+             .groupBy("doc_id", "fp", "template", "offset").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("n") >= F.get(F.array(*map(F.lit, needed)), F.col("template"))))
     return votes.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("template", "offset")).alias("found"))
 
 
@@ -139,7 +148,7 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
                                F.when(F.arrays_overlap("words", _strings(sorted(keys))), F.col("words")).alias("words")),
                    "licence-files")
     looked = files.where(F.col("words").isNotNull()).dropDuplicates(["doc_id", "fp"])
-    found = alignments(looked, {w: df.get(w, 0) for w in vocabulary}, templates).select(
+    found = alignments(looked, df, templates).select(
         F.col("doc_id").alias("f_id"), F.col("fp").alias("f_fp"), "found")
     on = looked["doc_id"].eqNullSafe(found["f_id"]) & (looked["fp"] == found["f_fp"])
     places = [phrase_places(F.col("words"), p).alias(f"p{i}") for i, (p, _) in enumerate(BASE)]

@@ -140,6 +140,29 @@ def test_licence_templates_in_order_only(spark):
     assert all(got[i].labels == "" and got[i].score == 0 for i in (100, 101, 102))
 
 
+def test_licences_of_files_with_several(spark):
+    """Every template whose phrase stands in the file gives its label, against brute force over all templates."""
+    t = license_index.TEMPLATES
+    texts = [f"{a[1]} {b[1]}" for a in t for b in t if a[0] != b[0]]
+    texts += [" ".join(x[1] for x in t), " ".join(x[2] for x in t), " filler ".join(x[1] for x in reversed(t))]
+    texts += [" ".join(w for y in t if y[0] != x[0] for w in reversed(y[1].split())) + " " + x[2] for x in t]
+
+    def want(text):
+        w, labels, best = text.split(), {x for p, x in license_index.BASE if f" {p} " in f" {text} "}, 0.0
+        for label, body, phrase in t:
+            body, phrase = body.split(), phrase.split()
+            start = license_index._place(body, phrase)
+            for i in range(len(w)):
+                if w[i:i + len(phrase)] == phrase:
+                    there = [0 <= i - start + q < len(w) and w[i - start + q] == x for q, x in enumerate(body)]
+                    labels.add(label)
+                    best = max(best, sum(there) / len(body))
+        return ",".join(sorted(labels)), best
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_index.scan_licences(docs).collect()}
+    assert got == {i: want(x) for i, x in enumerate(texts)}
+
+
 personal_text = st.text(st.sampled_from("a1.@+ -()0%_25\n4"), max_size=40)
 
 
