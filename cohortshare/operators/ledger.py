@@ -163,12 +163,16 @@ def _as_of(reqs: DataFrame, anchors: DataFrame) -> DataFrame:
 
     An id's life is cut into blocks of ``SEQ_BLOCK`` sequence numbers. Each block's last anchor comes from a partial
     aggregate and is carried forward over the id's blocks; inside (id, block) a window finds the rest. So a hot id is
-    spread over its blocks, and a request meets one row whatever the number of anchors.
+    spread over its blocks, and a request meets one row whatever the number of anchors. A request without an id or
+    a seq has no anchor; it passes by the lookup.
     """
     a = F.struct("aseq", "kind", "owner", "data_hash", "description", "ts")
-    starts = anchors.select("id", F.col("aseq").alias("at"), a.alias("a"))
+    starts = (anchors.where(F.col("id").isNotNull() & F.col("aseq").isNotNull())
+              .select("id", F.col("aseq").alias("at"), a.alias("a")))
     none = F.lit(None).cast(starts.schema["a"].dataType)
-    asked = reqs.select("id", F.col("seq").alias("at"), none.alias("a"), F.struct(*REQ_COLS).alias("r"))
+    placed = F.col("id").isNotNull() & F.col("seq").isNotNull()
+    unplaced = reqs.where(~placed).select(*REQ_COLS, none.alias("a"))
+    asked = reqs.where(placed).select("id", F.col("seq").alias("at"), none.alias("a"), F.struct(*REQ_COLS).alias("r"))
     rows = asked.unionByName(starts.withColumn("r", F.lit(None).cast(asked.schema["r"].dataType)))
     rows = rows.withColumn("block", F.floor(F.col("at") / SEQ_BLOCK))
     earlier = Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,7 +180,7 @@ def _as_of(reqs: DataFrame, anchors: DataFrame) -> DataFrame:
                .select("id", "block", F.last("last", ignorenulls=True).over(earlier).alias("before")))
     here = F.last("a", ignorenulls=True).over(Window.partitionBy("id", "block").orderBy("at"))
     return (rows.join(carried, ["id", "block"]).withColumn("a", F.coalesce(here, "before"))
-            .where(F.col("r").isNotNull()).select("r.*", "a"))
+            .where(F.col("r").isNotNull()).select("r.*", "a").unionByName(unplaced))
 
 
 def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> LedgerResult:

@@ -85,6 +85,20 @@ def test_repeated_requests_stay_with_and_without_seeds(spark):
     assert lg.apply_requests(seeded).results.count() == 4
 
 
+def test_requests_without_id_or_seq_are_answered(spark):
+    rows = [(1, "Org1MSP", "create", "a", None), (2, "Org1MSP", "read", "a", None), (3, "Org1MSP", "read", None, None),
+            (4, "Org1MSP", "grant", None, "Org2MSP"), (5, "Org1MSP", "exists", None, None)]
+    reqs = _reqs(spark, rows).unionByName(spark.createDataFrame(
+        [(None, "Org1MSP", "read", "a", None, None, None, TS), (None, "Org1MSP", "exists", None, None, None, None, TS)], REQUEST))
+    want = [(1, "create", "a", "ok", None), (2, "read", "a", "ok", None), (3, "read", None, "not_found", None),
+            (4, "grant", None, "not_found", None), (5, "exists", None, "ok", "false"),
+            (None, "read", "a", "not_found", None), (None, "exists", None, "ok", "false")]
+    for state in (None, spark.createDataFrame([], LEDGER_STATE)):
+        got = [(r.seq, r.op, r.id, r.status, r.message if r.op == "exists" else None)
+               for r in lg.apply_requests(reqs, state).results.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_many_seeds_on_one_hot_id(spark, monkeypatch):
     """The as-of lookup over several blocks against a fold in order."""
     monkeypatch.setattr(lg, "SEQ_BLOCK", 16)
