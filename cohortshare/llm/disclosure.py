@@ -10,7 +10,8 @@ of its mentions are weighed against the whole corpus. With n(.) counting distinc
     disclosure(t, e) = log(N n(t, e) / (n(t) n(e))) / log(N / n(e)),
 
 the share of e's information content that t gives away: 1 if every text with t has e beside it. A term at or above the
-threshold, seen beside e in at least ``SUPPORT`` distinct texts, is a span of kind ``term`` at every such place.
+threshold, seen beside e in at least ``SUPPORT`` distinct texts, is a span of kind ``term`` wherever the word stands,
+in all documents: it gives e away without e beside it too.
 Contexts are bounded, so pairs (t, e) are as many as mentions times a constant; they are counted by partial sums.
 """
 
@@ -56,16 +57,35 @@ def valid(kind: Column, match: Column) -> Column:
             .when(kind == "phone", n.between(9, 15)).otherwise(F.lit(True)))
 
 
+SHORTEST = 4             # characters of the shortest match of any pattern
+
+
 def _matches(text: Column, kind: str) -> Column:
-    """[(kind, place among the matches, match, characters before it since the last match, contexts)] of one pattern."""
-    pattern = F.lit(PATTERNS[kind])
-    rows = F.transform(F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("o"),
-                                    F.slice(F.split(text, PATTERNS[kind], -1), F.lit(2), F.length(text) + 1).alias("p")),
-                       lambda x, i: F.struct(
-                           F.lit(kind).alias("kind"), i.alias("i"), x["m"].alias("match"), F.length(x["o"]).cast("long").alias("gap"),
-                           F.right(x["o"], F.lit(CONTEXT)).alias("left"), F.left(x["p"], F.lit(CONTEXT)).alias("right"),
-                           (F.length(x["o"]) > CONTEXT).alias("more_left"), (F.length(x["p"]) > CONTEXT).alias("more_right")))
-    found = F.filter(rows, lambda x: x["match"].isNotNull())
+    """[(kind, place among the matches, match, characters before it since the last match, contexts)] of one pattern.
+
+    A context is text beside the match, neighbour matches included: so many of them as fill it at their shortest.
+    """
+    n, reach = CONTEXT + 1, (CONTEXT + 1) // SHORTEST + 1
+    pieces = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("o"), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"))
+
+    def ends(take):
+        return lambda x: F.concat(take(x["o"], F.lit(n)), F.coalesce(take(x["m"], F.lit(n)), F.lit("")))
+
+    def near(p):
+        """p: the pieces and their ends, held once for all matches."""
+        def row(x, i):
+            before = F.array_join(F.slice(p["last"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach))), "")
+            left = F.right(F.concat(before, F.right(x["o"], F.lit(n))), F.lit(n))
+            right = F.left(F.array_join(F.slice(p["first"], i + 2, F.lit(reach + 1)), ""), F.lit(n))
+            ok = valid(F.lit(kind), x["m"])
+            return F.struct(
+                F.lit(kind).alias("kind"), i.alias("i"), x["m"].alias("match"), F.length(x["o"]).cast("long").alias("gap"),
+                F.when(ok, F.right(left, F.lit(CONTEXT))).alias("left"), F.when(ok, F.left(right, F.lit(CONTEXT))).alias("right"),
+                (F.length(left) > CONTEXT).alias("more_left"), (F.length(right) > CONTEXT).alias("more_right"))
+        return F.filter(F.transform(p["pieces"], row), lambda x: x["match"].isNotNull())
+    def held(z):
+        return F.struct(z.alias("pieces"), F.transform(z, ends(F.right)).alias("last"), F.transform(z, ends(F.left)).alias("first"))
+    found = F.get(F.transform(F.transform(F.array(pieces), held), near), F.lit(0))
     return F.when(text.rlike(PATTERNS[kind]), found)
 
 
@@ -84,19 +104,10 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def _context_terms(side: str) -> Column:
-    """[(term, offset in the context, length)] of whole terms in one context."""
-    words = F.regexp_extract_all(F.col(side), F.lit(TERM), F.lit(0))
-    gaps = F.split(F.col(side), TERM, -1)
-    start = F.aggregate(F.arrays_zip(gaps.alias("g"), words.alias("w")),
-                        F.array().cast("array<struct<term:string,at:int,size:int>>"),
-                        lambda acc, x: F.when(x["w"].isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(
-                            x["w"].alias("term"),
-                            (F.coalesce(F.try_element_at(acc, F.lit(-1))["at"] + F.try_element_at(acc, F.lit(-1))["size"], F.lit(0))
-                             + F.length(x["g"])).alias("at"),
-                            F.length(x["w"]).alias("size"))))))
-    if side == "left":
-        return F.filter(start, lambda x: ~F.col("more_left") | (x["at"] > 0))
-    return F.filter(start, lambda x: ~F.col("more_right") | (x["at"] + x["size"] < CONTEXT))
+    """The whole terms in one context."""
+    cut = (F.when(F.col("more_left"), F.regexp_replace(side, r"^\p{L}+", "")) if side == "left"
+           else F.when(F.col("more_right"), F.regexp_replace(side, r"(?<!\p{L})\p{L}+\z", "")))
+    return F.regexp_extract_all(F.coalesce(cut, F.col(side)), F.lit(TERM), F.lit(0))
 
 
 def with_entity(found: DataFrame) -> DataFrame:
@@ -107,18 +118,16 @@ def with_entity(found: DataFrame) -> DataFrame:
 
 
 def beside(found: DataFrame) -> DataFrame:
-    """doc_id, fp, entity, term, start, end of every term in a mention's contexts."""
-    rows = with_entity(found)
-
-    def terms(side, from_):
-        t = rows.select("doc_id", "fp", "entity", from_.alias("base"), F.explode(_context_terms(side)).alias("t"))
-        at = F.col("base") + F.col("t.at")
-        return t.select("doc_id", "fp", "entity", F.lower("t.term").alias("term"), at.alias("start"), (at + F.col("t.size")).alias("end"))
-    return terms("left", F.col("start") - F.length("left")).union(terms("right", F.col("end")))
+    """fp, entity, term of every term in a mention's contexts."""
+    terms = F.array_distinct(F.transform(F.concat(_context_terms("left"), _context_terms("right")), F.lower))
+    return with_entity(found).select("fp", "entity", F.explode(terms).alias("term"))
 
 
 def revealing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, threshold: float, support: int) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or above the threshold; counts are of distinct texts of all documents."""
+    """(doc_id, fp, term) of every document with a term that is at or above the threshold for some entity.
+
+    Counts are of distinct texts of all documents.
+    """
     fp = F.xxhash64(F.col("text").cast("string")).alias("fp")
     n = docs.select(fp).distinct().count()
 
@@ -133,37 +142,56 @@ def revealing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, threshol
     n_near = near.select("term", "fp").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = stored(n_te.join(n_e, "entity").join(n_near, "term").where(share(F.col("n_near")) >= threshold), "pii-pairs")
     wanted = small_or_shuffled(stored(pairs.select("term").distinct(), "pii-terms"), BROADCAST_TERMS)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(TERM), F.lit(0)))
-    n_t = (docs.select(fp, F.explode(words).alias("term")).join(wanted, "term").distinct()
-           .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    return (pairs.join(n_t, "term").withColumn("disclosure", share(F.col("n_t")))
-            .where(F.col("disclosure") >= threshold).select("entity", "term", "disclosure"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text").cast("string"), F.lit(TERM), F.lit(0)), F.lower))
+    held = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fp, F.explode(words).alias("term")).join(wanted, "term"),
+                  "pii-held")
+    n_t = held.select("fp", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    reveal = stored(pairs.join(n_t, "term").where(share(F.col("n_t")) >= threshold).select("term").distinct(), "pii-revealing")
+    return held.join(small_or_shuffled(reveal, BROADCAST_TERMS), "term").select("doc_id", "fp", "term")
 
 
 _SPANS = "array<struct<k:int,start:bigint,end:bigint,kind:string>>"
 
 
 def personal_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, fp, spans: [(k, start, end, kind)]) of every document with a span, spans by kind and start; stored."""
+    """(doc_id, fp, own: [(k, start, end, kind)], terms) of every document with a base span or a revealing term; stored.
+
+    ``own`` are the base spans by kind and start, ``terms`` the words to be marked.
+    """
     found = mentions(docs)
     near = stored(beside(found), "pii-contexts")
-    reveal = revealing_terms(docs, near, found, threshold, support)
-    terms = (near.join(reveal, ["entity", "term"], "left_semi").select("doc_id", "fp", "start", "end").distinct()
-             .select("doc_id", "fp", F.lit(len(KINDS)).alias("k"), "start", "end", F.lit("term").alias("kind")))
+    terms = revealing_terms(docs, near, found, threshold, support)
     rank = sum((F.when(F.col("kind") == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
-    base = found.select("doc_id", "fp", rank.alias("k"), "start", "end", "kind")
-    rows = base.union(terms).groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list(F.struct("k", "start", "end", "kind"))).alias("all"))
-    own = F.filter("all", lambda x: x["k"] < len(KINDS))
-    clear = F.filter("all", lambda x: (x["k"] < len(KINDS)) | ~F.exists(
-        own, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return stored(rows.select("doc_id", "fp", clear.cast(_SPANS).alias("spans")), "pii-spans")
+    span = F.struct(rank.alias("k"), "start", "end", "kind")
+    base = found.select("doc_id", "fp", span.alias("span"), F.lit(None).cast("string").alias("term"))
+    rows = (base.unionByName(terms.withColumn("span", F.lit(None).cast(base.schema["span"].dataType))).groupBy("doc_id", "fp")
+            .agg(F.sort_array(F.collect_list("span")).cast(_SPANS).alias("own"), F.collect_set("term").alias("terms")))
+    return stored(rows, "pii-spans")
+
+
+def _term_places(text: Column, terms: Column) -> Column:
+    """Spans of the words of ``text`` that are among ``terms``, by start."""
+    pieces = F.arrays_zip(F.split(text, TERM, -1).alias("o"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("w"))
+
+    def add(acc, x):
+        at = acc["at"] + F.length(x["o"])
+        end = at + F.coalesce(F.length(x["w"]), F.lit(0))
+        span = F.struct(F.lit(len(KINDS)).alias("k"), at.alias("start"), end.alias("end"), F.lit("term").alias("kind"))
+        out = F.when(F.array_contains(terms, F.lower(x["w"])), F.concat(acc["out"], F.array(span).cast(_SPANS))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+    none = F.array().cast(_SPANS)
+    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    return F.when(F.size(terms) > 0, F.aggregate(pieces, start, add, lambda acc: acc["out"])).otherwise(none)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, columns) -> DataFrame:
-    found = small_or_shuffled(spans, BROADCAST_TERMS).select(F.col("doc_id").alias("s_id"), F.col("fp").alias("s_fp"), "spans")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("fp"), *columns)
+    found = small_or_shuffled(spans, BROADCAST_TERMS).select(F.col("doc_id").alias("s_id"), F.col("fp").alias("s_fp"), "own", "terms")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("fp"),
+                       F.col("text").cast("string").alias("text"), *columns)
     on = rows["doc_id"].eqNullSafe(found["s_id"]) & (rows["fp"] == found["s_fp"])
-    return rows.join(found, on, "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+    placed = rows.join(found, on, "left").withColumn("named", _term_places(F.col("text"), F.col("terms")))
+    clear = F.filter("named", lambda x: ~F.exists("own", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return placed.withColumn("spans", F.coalesce(F.concat("own", clear), F.array().cast(_SPANS)))
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -188,8 +216,8 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPO
     Overlapping spans become one masked stretch, with the mask of the one that starts first. ``n_chars``, if there, is
     the new text's length.
     """
-    rows = _with_spans(docs, personal_spans(docs, threshold, support), [F.struct(*(F.col(c) for c in docs.columns)).alias("row")])
-    text = F.col("row.text")
+    rows = _with_spans(docs, personal_spans(docs, threshold, support), [F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row")])
+    text = F.col("text")
     masks = F.create_map(*(F.lit(x) for kv in MASKS.items() for x in kv))
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), x["kind"].alias("kind"))))
 
@@ -203,7 +231,7 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPO
     kind = dict(docs.dtypes)
     def out(c):
         if c == "text":
-            return new.alias(c)
+            return new.cast(kind[c]).alias(c)
         if c == "n_chars":
             return F.when(F.size("spans") > 0, F.length(new)).otherwise(F.col("row")[c]).cast(kind[c]).alias(c)
         return F.col("row")[c].alias(c)

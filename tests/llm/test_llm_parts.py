@@ -189,6 +189,34 @@ def test_terms_that_reveal_an_entity(spark):
     assert "[TERM] wrote from [EMAIL] about" in clean[0] and clean[10] == text[10]
 
 
+def test_revealing_terms_go_wherever_they_stand(spark):
+    """Far from the mention, without it, and beside a list of addresses: every place of the word is a span."""
+    far = "".join(chr(97 + i % 26) + " " for i in range(200))
+    rows = [(i, f"doctor Quagmire wrote from q.mire@clinic.org {far}Signed QUAGMIRE, not Quagmires. {'xyzw' + chr(97 + i)}") for i in range(60)]
+    rows += [(100, f"ask quagmire {far}"), (101, "ask quagmires")]
+    rows += [(200 + i, f"Zebulon has a@b{i}.org bad 1.2.3.400 5.6.7.800 z@home.org {chr(97 + i)}") for i in range(5)]
+    rows += [(300 + i, f"doctor wrote from ask has bad signed not word{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text, got = dict(rows), {r.doc_id: r for r in disclosure.find_personal_data(docs).collect()}
+    words = {d: [text[d][int(a):int(b)] for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"] for d, r in got.items()}
+    assert all(words[d] == ["Quagmire", "QUAGMIRE"] and got[d].n_term == 2 for d in range(60))
+    assert words[100] == ["quagmire"] and words[101] == [] and all(words[200 + i] == ["Zebulon"] for i in range(5))
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    assert not any(re.search(r"(?i)\bquagmire\b|zebulon", t) for t in clean.values())
+    assert clean[100].startswith("ask [TERM] a b ") and clean[101] == text[101] and clean[300] == text[300]
+
+
+def test_contexts_are_the_text_around_a_mention(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice(("abc ", "d@e.fg ", "1.2.3.4 ", "9.9.9.999 ", "longerword ", "x", "+1 23 ")) for _ in range(rng.randint(1, 120))))
+            for i in range(80)]
+    n = disclosure.CONTEXT
+    for r in disclosure.mentions(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        t = dict(rows)[r.doc_id]
+        assert (r.left, r.right) == (t[max(0, r.start - n):r.start], t[r.end:r.end + n]) and t[r.start:r.end] == r.match
+        assert (r.more_left, r.more_right) == (r.start > n, len(t) - r.end > n)
+
+
 def test_luhn_and_ranges(spark):
     rows = [("4111111111111111", True), ("4111111111111112", False), ("79927398713", True), ("0", True)]
     df = spark.createDataFrame(rows, "d string, ok boolean")
