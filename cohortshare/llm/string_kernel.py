@@ -5,6 +5,9 @@
 * Nystroem: a bounded sample of landmarks L gives the map x -> K(x, L) K(L, L)^(-1/2).
 * One-versus-rest kernel ridge regression on that map, with every language's rows weighted alike.
 * Scoring: K(X, L) A for a batch of texts X, two matrix products; the model is a fixed-size matrix pair.
+* Score: the decision above the model's floor, which is that of a text that shares nothing with any landmark. A score of
+  ``STRANGER`` is the level that ``STRANGERS_BELOW`` of the texts of a language stay under when that language is left out
+  of the fit, so it means the same for any number of languages.
 
 Only the fit is bounded (``PER_LANGUAGE`` rows a language, drawn by a hash of the id); every text is scored whole.
 """
@@ -28,6 +31,9 @@ PER_LANGUAGE = 300          # rows sampled per language for the fit
 LANDMARKS = 160             # of them, texts that the kernel is taken against
 RIDGE = 1.0
 BATCH = 256                 # texts scored in one matrix product
+STRANGER = 0.25             # score at the level of languages that were not learnt
+STRANGERS_BELOW = 0.95      # share of their texts under that level
+LEAST_MARGIN = 0.05         # that level is so far above the floor at least (random letters come to 0.03)
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes((c | 0x20) if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
@@ -59,31 +65,66 @@ class KernelModel:
     languages: tuple[str, ...]
     landmarks: np.ndarray       # (landmarks, BITS), unit rows
     weights: np.ndarray         # (landmarks + 1, languages), the last row is the offset
+    strangers: float = LEAST_MARGIN     # height of languages that were not learnt
 
     def decide(self, raws: list[bytes]) -> np.ndarray:
         k = unit(presence(raws)) @ self.landmarks.T
         return k @ self.weights[:-1] + self.weights[-1]
 
 
-def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-    names = tuple(sorted(set(langs)))
-    x = unit(bits)
-    by = [np.flatnonzero(np.array(langs) == n) for n in names]
-    share = max(1, landmarks // max(1, len(names)))
-    mark = x[np.concatenate([rows[:share] for rows in by])]
-    vals, vecs = np.linalg.eigh((mark @ mark.T).astype(np.float64))
+def height(decisions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How far each text's best decision is from the floor (0) towards a sure one (1)."""
+    floor = min(float(offsets.max()), 0.99)         # a single language decides 1 always
+    return (decisions.max(axis=1) - floor) / (1 - floor)
+
+
+def _ridge(k: np.ndarray, among: np.ndarray, by: list[np.ndarray], ridge: float) -> np.ndarray:
+    """Weights of the landmarks and the offset, per language. k: rows to landmarks; ``by``: the rows of each language."""
+    vals, vecs = np.linalg.eigh(among)
     good = vals > 1e-6 * vals.max()
     half = vecs[:, good] / np.sqrt(vals[good])
-    phi = (x @ mark.T).astype(np.float64) @ half
+    phi = k @ half
     phi1 = np.hstack([phi, np.ones((len(phi), 1))])
-    weight = np.empty(len(x))
-    for rows in by:
-        weight[rows] = len(x) / (len(by) * len(rows))
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    weight, y = np.empty(len(k)), np.full((len(k), len(by)), -1.0)
+    for c, rows in enumerate(by):
+        weight[rows], y[rows, c] = len(k) / (len(by) * len(rows)), 1.0
     penalty = ridge * np.eye(phi1.shape[1])
     penalty[-1, -1] = 1e-9
     w = np.linalg.solve(phi1.T @ (weight[:, None] * phi1) + penalty, phi1.T @ (weight[:, None] * y))
-    return KernelModel(names, mark, np.vstack([half @ w[:-1], w[-1:]]).astype(np.float32))
+    return np.vstack([half @ w[:-1], w[-1:]]).astype(np.float32)
+
+
+def strangers_height(k: np.ndarray, among: np.ndarray, by: list[np.ndarray], marks: list[np.ndarray], ridge: float) -> float:
+    """The height that STRANGERS_BELOW of a language's texts stay under in a fit without it, over languages alike.
+
+    Fewer than three languages: LEAST_MARGIN, as a fit needs two that stay.
+    """
+    heights, weights = [], []
+    for out in range(len(by)) if len(by) > 2 else ():
+        stay = [c for c in range(len(by)) if c != out]
+        cols, rows = np.concatenate([marks[c] for c in stay]), np.concatenate([by[c] for c in stay])
+        ends = np.cumsum([len(by[c]) for c in stay])
+        w = _ridge(k[np.ix_(rows, cols)], among[np.ix_(cols, cols)], np.split(np.arange(len(rows)), ends[:-1]), ridge)
+        heights.append(height(k[np.ix_(by[out], cols)] @ w[:-1] + w[-1], w[-1]))
+        weights.append(np.full(len(by[out]), 1 / len(by[out])))
+    if not heights:
+        return LEAST_MARGIN
+    h, w = np.concatenate(heights), np.concatenate(weights)
+    order = np.argsort(h, kind="stable")
+    at = np.searchsorted(np.cumsum(w[order]), STRANGERS_BELOW * len(by))
+    return min(0.9, max(LEAST_MARGIN, float(h[order][min(at, len(h) - 1)])))
+
+
+def fit(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
+    names = tuple(sorted(set(langs)))
+    x = unit(bits)
+    by = [np.flatnonzero(np.array(langs) == n) for n in names]
+    share = max(1, landmarks // max(1, len(names)))
+    chosen = [rows[:share] for rows in by]
+    mark = x[np.concatenate(chosen)]
+    among, k = (mark @ mark.T).astype(np.float64), (x @ mark.T).astype(np.float64)
+    marks = np.split(np.arange(len(mark)), np.cumsum([len(c) for c in chosen])[:-1])
+    return KernelModel(names, mark, _ridge(k, among, by, ridge), strangers_height(k, among, by, marks, ridge))
 
 
 def _bit_rows(batches):
@@ -122,9 +163,9 @@ def predict(model: KernelModel | None, raws: list[bytes]) -> tuple[list[str], li
     for k in range(0, len(at), BATCH):
         part = at[k:k + BATCH]
         d = model.decide([raws[i] for i in part])
-        best = d.argmax(axis=1)
-        for i, c, v in zip(part, best, d[np.arange(len(part)), best]):
-            langs[i], scores[i] = model.languages[c], float(min(1.0, max(0.0, (v + 1) / 2)))
+        level = np.interp(height(d, model.weights[-1]), [-1.0, model.strangers, 1.0], [0.0, STRANGER, 1.0])
+        for i, c, v in zip(part, d.argmax(axis=1), level):
+            langs[i], scores[i] = model.languages[c], float(v)
     return langs, scores
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortshare.llm import disclosure, grouped_packing, multi_order_join, patricia, string_kernel
 from cohortshare.llm.common import read_documents, ship, stored
 
-MIN_LANGUAGE_SCORE = 0.25    # below it no learnt language fits
+MIN_LANGUAGE_SCORE = 0.25    # below it a text is as strange as languages left out of the fit (string_kernel.STRANGER)
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
 

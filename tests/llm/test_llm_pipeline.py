@@ -1,5 +1,7 @@
 """The pipeline, stage by stage, against plain Python versions."""
 
+import random
+
 import corpus_brute as brute
 import corpus_pipeline
 import pytest
@@ -54,6 +56,24 @@ def test_stages(spark, which):
             assert all(spared[d] == t for (d, t), x in zip(was, brute.personal(was)) if not any(x[1:5]))
 
 
+@pytest.mark.parametrize("unlearnt", ["de", "en", "es", "fr"])
+def test_unlearnt_languages_and_noise_go(spark, unlearnt):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").collect() if r.text]
+    known = [(r.doc_id, r.text, r.lang) for r in rows if r.lang != unlearnt]
+    strange = [(100_000 + r.doc_id, r.text, None) for r in rows if r.lang == unlearnt]
+    rng = random.Random(5)
+    noise = ["x", "Αυτό είναι ένα κείμενο στα ελληνικά", "これは日本語のテキストです"]
+    noise += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (300, 3000, 30000)]
+    long = [(300_000 + i, " ".join(t for _, t, lang in known if lang == name)[:200_000], None)
+            for i, name in enumerate(sorted({lang for _, _, lang in known}))]
+    docs = spark.createDataFrame(known + strange + long + [(200_000 + i, t, None) for i, t in enumerate(noise)],
+                                 "doc_id long, text string, lang string")
+    stay = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    assert sum(d in stay for d, _, _ in strange) <= 0.15 * len(strange) and not any(200_000 <= d < 300_000 for d in stay)
+    assert all(d in stay for d, _, _ in long)
+    assert sum(d in stay for d, _, _ in known) >= 0.99 * len(known)
+
+
 def test_run_and_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     empty = spark.createDataFrame([], ODD)
