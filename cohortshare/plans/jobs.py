@@ -44,14 +44,14 @@ def deidentify_job(spark: SparkSession, inp: str, out: str, fmt: str = "csv", **
 def governance_run(spark: SparkSession, records_df: DataFrame, *, vocab: DataFrame | None = None,
                    tagger=None, key: str = "patient_id", salt: str = "", drop=("clinical_note",)):
     """The documented order over one record table: impute -> tag notes ->
-    map terms -> de-identify.  Returns (records, entities, report)."""
+    map terms -> de-identify.  Returns (records, entities, report); the records keep
+    the score, status (e.g. manual review) and match type of their mapped term."""
     from ..operators import tagger as tg_op
     df = impute.impute(records_df)
     ents = None
     if tagger is not None and "clinical_note" in df.columns:
         ents = tg_op.tag_notes(tagger, df, key=key, text="clinical_note")
     if "disease_name_raw" in df.columns:
-        df = map_terms_job(spark, df, "disease_name_raw", vocab).withColumnRenamed("code", "disease_code") \
-            .drop("score", "status", "match_type")
+        df = map_terms_job(spark, df, "disease_name_raw", vocab).withColumnRenamed("code", "disease_code")
     res = deid.deidentify(df, key=key, salt=salt, drop=tuple(c for c in drop if c in df.columns))
     return res.data, ents, res.report.select(*res.report.columns, F.lit(True).alias("imputed"))

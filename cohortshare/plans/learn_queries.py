@@ -67,7 +67,10 @@ ORACLE = {
 
 
 def q_governance_run(spark, sf_dir):
-    """Impute -> tag notes -> map terms -> de-identify over one record table."""
+    """Impute -> tag notes -> map terms -> de-identify over one record table.
+
+    Every record comes with the entities of its note and with the report, so all three results are computed.
+    """
     from .bio_queries import customer_records
     from .jobs import governance_run
     from .term_queries import part_vocab
@@ -85,8 +88,11 @@ def q_governance_run(spark, sf_dir):
     model = tagger.train_tagger(doc_sentences(spark, sf_dir), max_iter=5)
     data, ents, report = governance_run(spark, recs, vocab=part_vocab(spark, sf_dir), tagger=model,
                                         salt="cohortshare-test-salt")
-    del ents, report
-    return data
+    found = (ents.groupBy("patient_id")
+             .agg(F.sort_array(F.collect_list(F.struct(*(c for c in ents.columns if c != "patient_id")))).alias("entities")))
+    none = F.array().cast(found.schema["entities"].dataType)
+    return (data.join(found, "patient_id", "left").withColumn("entities", F.coalesce("entities", none))
+            .crossJoin(F.broadcast(report.select(F.struct(*report.columns).alias("report")))))
 
 
 QUERIES["governance_run"] = q_governance_run

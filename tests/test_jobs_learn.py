@@ -169,3 +169,12 @@ def test_read_records_odd_headers(spark, tmp_path):
     rows = {r["patient_id"]: r for r in records.read_records(spark, str(src), numeric={"lab.value"}).collect()}
     assert rows["P1"]["lab.value"] is None and rows["P2"]["lab.value"] == 1.5
     assert rows["P2"]["age months"] is None and rows["P1"]["age months"] == "3"
+
+
+def test_governance_run_returns_all_three_results(spark):
+    from cohortshare.plans.learn_queries import q_governance_run
+    rows = q_governance_run(spark, "/root/testdata/sf0.001").collect()
+    assert rows and {"score", "status", "match_type", "entities", "report"} <= set(rows[0].asDict())
+    assert all(r.status for r in rows) and any(r.entities for r in rows)
+    assert {r.report.records_out for r in rows} == {len(rows)} and len({r.patient_id for r in rows}) == len(rows)
+    assert all(e.text and len(e.text) == e.end - e.start + 1 for r in rows for e in r.entities)
