@@ -116,6 +116,25 @@ def _licence() -> str:
          coalesce(th.score, 0.0) AS score
   FROM d LEFT JOIN bs USING (r) LEFT JOIN th USING (r)"""
 
+def _clusters(clusters: int = 16, rounds: int = 3) -> str:
+    """The rounds unrolled: all distances, sums and floors in SQL."""
+    parts = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+  c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+         FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {clusters}))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT r, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(v.v, k.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT),
+                              c := k.c)) AS b FROM v, c{i} k GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, p, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+         FROM (SELECT a.b.c AS c, unnest(v.v) AS x, generate_subscripts(v.v, 1) AS p FROM v JOIN a{i} a USING (r)) GROUP BY c, p),
+  c{i + 1} AS (SELECT k.c, coalesce(m.v, k.v) AS v FROM c{i} k LEFT JOIN (SELECT c, list(x ORDER BY p) AS v FROM s{i} GROUP BY c) m USING (c))""")
+    return f"""
+  WITH {', '.join(parts)}
+  SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+         CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
+  FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} k ON k.c = a.b.c"""
+
 
 ORACLE = {
     "op1_line_frequency": LINE_FREQUENCY,
@@ -124,4 +143,5 @@ ORACLE = {
     "op6_exact_dedup": EXACT,
     "op8_substring_dedup": WINDOWS,
     "op9_jaccard_join": JACCARD,
+    "op12_centroid_clusters": _clusters(),
 }

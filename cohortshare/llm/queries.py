@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (anchor_points, disclosure, grouped_packing, induced_suffixes, license_index, line_frequency, multi_order_join, oracles, patricia,
+from . import (anchor_points, disclosure, grouped_packing, induced_suffixes, license_index, line_frequency, multi_order_join, ns_bounds, oracles, patricia,
                piece_transducer, string_kernel, window_dedup)
 from .common import read_documents
 
@@ -51,8 +51,12 @@ def op11_simhash_anchors(spark, sf_dir):
     return anchor_points.simhash_components(read_documents(spark, sf_dir))
 
 
+def op12_centroid_clusters(spark, sf_dir):
+    return ns_bounds.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_frequency, op2_suffix_dedup, op3_license_scan, op4_pii_disclosure, op5_language_id, op6_exact_dedup,
     op7_sentencepiece, op8_substring_dedup, op9_jaccard_join, op10_best_fit_packing,
-    op11_simhash_anchors)}
+    op11_simhash_anchors, op12_centroid_clusters)}
 ORACLE = oracles.ORACLE
