@@ -135,6 +135,23 @@ def _clusters(clusters: int = 16, rounds: int = 3) -> str:
          CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256
   FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} k ON k.c = a.b.c"""
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH = f"""
+  WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_low("coalesce(text, '')")}, '{_TERM}') AS w FROM documents),
+  p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY 1, 2),
+  s AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+  q AS (SELECT k, item_id, term, count(*) AS c
+        FROM (SELECT k, item_id, unnest(regexp_extract_all({_low("coalesce(text, '')")}, '{_TERM}')) AS term
+              FROM (SELECT row_number() OVER () AS k, * FROM benchmark)) GROUP BY ALL),
+  t AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * s.n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+        FROM (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term), s),
+  m AS (SELECT r, doc_id, 100 - 25 + ((25 * len(w) * s.n) // s.l) AS m FROM d, s WHERE len(w) > 0),
+  x AS (SELECT k, item_id, m.r, doc_id, CAST(sum(c * t.w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+        FROM q JOIN t USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL)
+  SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0) WHERE rank <= 20"""
+
 
 ORACLE = {
     "op1_line_frequency": LINE_FREQUENCY,
@@ -144,4 +161,5 @@ ORACLE = {
     "op8_substring_dedup": WINDOWS,
     "op9_jaccard_join": JACCARD,
     "op12_centroid_clusters": _clusters(),
+    "op13_bit_sliced_search": SEARCH,
 }

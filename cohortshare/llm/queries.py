@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (anchor_points, disclosure, grouped_packing, induced_suffixes, license_index, line_frequency, multi_order_join, ns_bounds, oracles, patricia,
+from . import (anchor_points, bit_slices, disclosure, grouped_packing, induced_suffixes, license_index, line_frequency, multi_order_join, ns_bounds, oracles, patricia,
                piece_transducer, string_kernel, window_dedup)
 from .common import read_documents
 
@@ -55,8 +55,12 @@ def op12_centroid_clusters(spark, sf_dir):
     return ns_bounds.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_bit_sliced_search(spark, sf_dir):
+    return bit_slices.rank_documents(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_frequency, op2_suffix_dedup, op3_license_scan, op4_pii_disclosure, op5_language_id, op6_exact_dedup,
     op7_sentencepiece, op8_substring_dedup, op9_jaccard_join, op10_best_fit_packing,
-    op11_simhash_anchors, op12_centroid_clusters)}
+    op11_simhash_anchors, op12_centroid_clusters, op13_bit_sliced_search)}
 ORACLE = oracles.ORACLE
