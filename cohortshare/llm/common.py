@@ -66,9 +66,16 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_or_shuffled(df: DataFrame, max_rows: int) -> DataFrame:
-    """Mark a stored table for broadcasting when it has at most ``max_rows`` rows; otherwise joins shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_or_shuffled(df: DataFrame, max_rows: int, entries: Column | None = None) -> DataFrame:
+    """Mark a stored table for broadcasting when it has at most ``max_rows`` rows; otherwise joins shuffle.
+
+    Where rows hold arrays, ``entries`` is their number in a row, and rows and entries count together.
+    """
+    if entries is not None:
+        size = df.agg(F.coalesce(F.sum(entries + 1), F.lit(0)).alias("size")).first()["size"]
+    else:
+        size = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if size <= max_rows else df
 
 
 def raw_texts(column) -> list[bytes]:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled, stored
+from .common import discard, small_or_shuffled, stored
 
 CONTEXT = 120            # characters on each side of a mention
 SUPPORT = 3              # distinct texts in which a term stands beside an entity
@@ -93,14 +93,17 @@ def mentions(docs: DataFrame) -> DataFrame:
     """doc_id, fp, kind, match, start, end (code points) and the contexts of every valid base span, as a stored table."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
-    parts = [rows.select("doc_id", "fp", F.explode(_matches(F.col("text"), k)).alias("x")).select("doc_id", "fp", "x.*") for k in KINDS]
-    found = stored(parts[0].union(parts[1]).union(parts[2]).union(parts[3]), "pii-matches")
+    every = F.flatten(F.array_compact(F.array(*(_matches(F.col("text"), k) for k in KINDS))))
+    found = stored(rows.select("doc_id", "fp", F.explode_outer(every).alias("x")).where(F.col("x").isNotNull())
+                   .select("doc_id", "fp", "x.*"), "pii-matches")
     key = ["doc_id", "fp", "kind"]
     so_far = Window.partitionBy(*key).orderBy("i")
     size = F.length("match").cast("long")
     placed = (found.repartition("doc_id", "fp").dropDuplicates([*key, "i"])
               .withColumn("end", F.sum(F.col("gap") + size).over(so_far)).withColumn("start", F.col("end") - size))
-    return stored(placed.where(valid(F.col("kind"), F.col("match"))), "pii-mentions")
+    out = stored(placed.where(valid(F.col("kind"), F.col("match"))), "pii-mentions")
+    discard(found)
+    return out
 
 
 def _context_terms(side: str) -> Column:
@@ -150,48 +153,76 @@ def revealing_terms(docs: DataFrame, near: DataFrame, found: DataFrame, threshol
     return held.join(small_or_shuffled(reveal, BROADCAST_TERMS), "term").select("doc_id", "fp", "term")
 
 
-_SPANS = "array<struct<k:int,start:bigint,end:bigint,kind:string>>"
+def _held(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for the row, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _term_places(text: Column, terms: Column) -> Column:
+    """[(start, end)] of the words of ``text`` that are among ``terms``; linear in the text."""
+    chars = F.split(text, "")
+
+    def places(h):
+        letter = F.transform(h["chars"], lambda c: c.rlike(r"^\p{L}"))
+        def edges(z):
+            at = F.sequence(F.lit(0), F.size(z["letter"]))
+            def is_letter(i):
+                return F.coalesce(F.get(z["letter"], i), F.lit(False))
+            return F.struct(F.filter(at, lambda i: is_letter(i) & ~is_letter(i - 1)).alias("starts"),
+                            F.filter(at, lambda i: ~is_letter(i) & is_letter(i - 1)).alias("ends"))
+        runs = _held(F.struct(letter.alias("letter")), edges)
+        long_runs = _held(runs, lambda r: F.filter(F.arrays_zip(r["starts"].alias("start"), r["ends"].alias("end")),
+                                                   lambda x: x["end"] - x["start"] >= 3))
+        return F.filter(long_runs, lambda x: F.array_contains(
+            h["terms"], F.lower(F.array_join(F.slice(h["chars"], x["start"] + 1, x["end"] - x["start"]), ""))))
+    return _held(F.struct(chars.alias("chars"), terms.alias("terms")), places)
 
 
 def personal_spans(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(doc_id, fp, own: [(k, start, end, kind)], terms) of every document with a base span or a revealing term; stored.
+    """(doc_id, fp, spans, stretches) of every document with a base span or a revealing term, as a stored table.
 
-    ``own`` are the base spans by kind and start, ``terms`` the words to be marked.
+    ``spans``: [(k, start, end, kind)] by kind and start; a term that overlaps a base span is none. ``stretches``: [(start,
+    end, kind)] of overlapping spans put together, with the kind of the one that starts first.
     """
     found = mentions(docs)
     near = stored(beside(found), "pii-contexts")
-    terms = revealing_terms(docs, near, found, threshold, support)
-    rank = sum((F.when(F.col("kind") == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
-    span = F.struct(rank.alias("k"), "start", "end", "kind")
-    base = found.select("doc_id", "fp", span.alias("span"), F.lit(None).cast("string").alias("term"))
-    rows = (base.unionByName(terms.withColumn("span", F.lit(None).cast(base.schema["span"].dataType))).groupBy("doc_id", "fp")
-            .agg(F.sort_array(F.collect_list("span")).cast(_SPANS).alias("own"), F.collect_set("term").alias("terms")))
-    return stored(rows, "pii-spans")
-
-
-def _term_places(text: Column, terms: Column) -> Column:
-    """Spans of the words of ``text`` that are among ``terms``, by start."""
-    pieces = F.arrays_zip(F.split(text, TERM, -1).alias("o"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("w"))
-
-    def add(acc, x):
-        at = acc["at"] + F.length(x["o"])
-        end = at + F.coalesce(F.length(x["w"]), F.lit(0))
-        span = F.struct(F.lit(len(KINDS)).alias("k"), at.alias("start"), end.alias("end"), F.lit("term").alias("kind"))
-        out = F.when(F.array_contains(terms, F.lower(x["w"])), F.concat(acc["out"], F.array(span).cast(_SPANS))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
-    none = F.array().cast(_SPANS)
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(F.size(terms) > 0, F.aggregate(pieces, start, add, lambda acc: acc["out"])).otherwise(none)
+    terms = stored(revealing_terms(docs, near, found, threshold, support).groupBy("doc_id", "fp").agg(F.collect_set("term").alias("terms")),
+                   "pii-document-terms")
+    named = (_join_documents(docs, terms, F.size("terms"), "inner", []).select("doc_id", "fp", F.explode(_term_places(F.col("text"), F.col("terms"))).alias("x"))
+             .select("doc_id", "fp", F.lit("term").alias("kind"), F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end"))
+             .distinct())
+    rank = sum((F.when(F.col("kind") == k, i).otherwise(0) for i, k in enumerate((*KINDS, "term"))), F.lit(0))
+    rows = found.select("doc_id", "fp", "kind", "start", "end").unionByName(named).withColumn("k", rank)
+    in_order = Window.partitionBy("doc_id", "fp").orderBy("start", F.desc("end"), "k")
+    base = F.col("kind") != "term"
+    before = F.max(F.when(base, F.col("end"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(base, F.col("start"))).over(in_order.rowsBetween(1, Window.unboundedFollowing))
+    clear = (rows.withColumn("before", before).withColumn("after", after)
+             .where(base | (F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True)))))
+    new = F.coalesce(F.col("start") >= F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    stretch = clear.withColumn("new", new.cast("int")).withColumn("stretch", F.sum("new").over(in_order))
+    grouped = (stretch.groupBy("doc_id", "fp", "stretch")
+               .agg(F.min("start").alias("from"), F.max("end").alias("to"), F.min_by("kind", F.struct(F.col("start"), -F.col("end"), F.col("k"))).alias("mask"),
+                    F.collect_list(F.struct("k", "start", "end", "kind")).alias("spans"))
+               .groupBy("doc_id", "fp")
+               .agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
+                    F.sort_array(F.collect_list(F.struct(F.col("from").alias("start"), F.col("to").alias("end"), F.col("mask").alias("kind")))).alias("stretches")))
+    out = stored(grouped, "pii-spans")
+    discard(found, near, terms)
+    return out
+
+
+def _join_documents(docs: DataFrame, found: DataFrame, entries: Column, how: str, columns) -> DataFrame:
+    """doc_id, fp, text, ``columns`` of the documents, with the other columns of ``found`` (doc_id, fp, ...; stored)."""
+    other = [c for c in found.columns if c not in ("doc_id", "fp")]
+    named = small_or_shuffled(found, BROADCAST_TERMS, entries).select(F.col("doc_id").alias("s_id"), F.col("fp").alias("s_fp"), *other)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("fp"),
+                       F.col("text").cast("string").alias("text"), *columns)
+    return rows.join(named, rows["doc_id"].eqNullSafe(named["s_id"]) & (rows["fp"] == named["s_fp"]), how).drop("s_id", "s_fp")
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, columns) -> DataFrame:
-    found = small_or_shuffled(spans, BROADCAST_TERMS).select(F.col("doc_id").alias("s_id"), F.col("fp").alias("s_fp"), "own", "terms")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("fp"),
-                       F.col("text").cast("string").alias("text"), *columns)
-    on = rows["doc_id"].eqNullSafe(found["s_id"]) & (rows["fp"] == found["s_fp"])
-    placed = rows.join(found, on, "left").withColumn("named", _term_places(F.col("text"), F.col("terms")))
-    clear = F.filter("named", lambda x: ~F.exists("own", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return placed.withColumn("spans", F.coalesce(F.concat("own", clear), F.array().cast(_SPANS)))
+    return _join_documents(docs, spans, F.size("spans"), "left", columns)
 
 
 def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
@@ -202,9 +233,10 @@ def find_personal_data(docs: DataFrame, threshold: float = THRESHOLD, support: i
     """
     rows = _with_spans(docs, personal_spans(docs, threshold, support), [])
     def written(spans):
+        spans = F.coalesce(spans, F.array().cast("array<struct<k:int,start:bigint,end:bigint,kind:string>>"))
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     def counted(kind):
-        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.coalesce(F.size(F.filter("spans", lambda x: x["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
     count = [counted(k) for k in (*KINDS, "term")]
     return rows.select("doc_id", *count[:4], F.sha2(written(F.filter("spans", lambda x: x["k"] < len(KINDS))), 256).alias("base_sha256"),
                        written(F.col("spans")).alias("spans"), count[4])
@@ -217,22 +249,23 @@ def sanitise(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPO
     the new text's length.
     """
     rows = _with_spans(docs, personal_spans(docs, threshold, support), [F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("row")])
-    text = F.col("text")
     masks = F.create_map(*(F.lit(x) for kv in MASKS.items() for x in kv))
-    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("minus"), x["kind"].alias("kind"))))
-
-    def add(acc, x):
-        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(masks, x["kind"]))
-        return F.when(x["start"] >= acc["at"], F.struct((-x["minus"]).alias("at"), piece.alias("out"))).otherwise(
-            F.struct(F.greatest(acc["at"], -x["minus"]).alias("at"), acc["out"].alias("out")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(ordered, start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    new = F.when(F.size("spans") > 0, masked).otherwise(text)
+
+    def masked(h):
+        """What stands before each stretch, the stretch's mask, and what stands after the last: every character is copied once."""
+        def piece(x, i):
+            at = F.coalesce(F.get(h["stretches"], i - 1)["end"], F.lit(0).cast("long"))
+            return F.concat(F.array_join(F.slice(h["chars"], (at + 1).cast("int"), (x["start"] - at).cast("int")), ""), F.element_at(masks, x["kind"]))
+        last = F.element_at(h["stretches"], -1)["end"]
+        tail = F.slice(h["chars"], (last + 1).cast("int"), F.greatest(F.size(h["chars"]) - last, F.lit(0)).cast("int"))
+        return F.concat(F.array_join(F.transform(h["stretches"], piece), ""), F.array_join(tail, ""))
+    touched = F.size("stretches") > 0
+    new = F.when(touched, _held(F.struct(F.split("text", "").alias("chars"), F.col("stretches")), masked)).otherwise(F.col("text"))
     kind = dict(docs.dtypes)
     def out(c):
         if c == "text":
             return new.cast(kind[c]).alias(c)
         if c == "n_chars":
-            return F.when(F.size("spans") > 0, F.length(new)).otherwise(F.col("row")[c]).cast(kind[c]).alias(c)
+            return F.when(touched, F.length(new)).otherwise(F.col("row")[c]).cast(kind[c]).alias(c)
         return F.col("row")[c].alias(c)
     return rows.select(*(out(c) for c in docs.columns))

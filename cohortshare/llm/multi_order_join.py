@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, fresh_name, id_or_null, raw_texts, small_or_shuffled, stored
-from .repeats import count_sketch, repeat_filter
-from .super_kmers import keyed_texts, mix, word_bounds, word_hashes
+from .repeats import count_sketch, releasing, repeat_filter
+from .super_kmers import keyed_texts, mix
 
 SHINGLE = 4
 PERCENT = 85
@@ -46,11 +46,15 @@ _U = np.uint64
 
 
 def shingle_set(raw: bytes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit shingles of a text (A-Z lower-cased); a shorter text is one shingle, no word none."""
-    raw = raw.lower()
-    h = word_hashes(raw, *word_bounds(raw))
-    if not len(h):
+    """Sorted distinct 64-bit shingles of a text (A-Z lower-cased); a shorter text is one shingle, no word none.
+
+    Every word goes through a hash of all its bytes (XXH3), so that equal tokens of different words are a matter of chance
+    at 2^-64 a pair, whatever the words' length and form.
+    """
+    words = raw.lower().split()
+    if not words:
         return np.zeros(0, np.uint64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     n = min(size, len(h))
     out = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
@@ -247,14 +251,16 @@ def class_components(classes: DataFrame, percent: int) -> DataFrame:
     everyone = classes.select("node")
     for _ in range(REFILTERS):
         sketch = count_sketch(classes.select("node", "tokens"), _token_hashes, 1, SKETCH_BITS)
-        classes = stored(classes.mapInArrow(_still_possible(sketch, percent), "node binary, n long, tokens binary"), "linkable-classes")
+        classes = stored(classes.mapInArrow(releasing(sketch, _still_possible(sketch, percent)), "node binary, n long, tokens binary"),
+                         "linkable-classes")
+        sketch.unpersist()
     labels = _linkable_components(classes, percent)
     return everyone.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def _linkable_components(classes: DataFrame, percent: int) -> DataFrame:
     sketch = count_sketch(classes.select("node", "tokens"), _token_hashes, 1, SKETCH_BITS)
-    keyed = classes.select("node", "tokens").mapInArrow(_leader_keys(sketch), "key long, node binary, tokens binary, off double")
+    keyed = classes.select("node", "tokens").mapInArrow(releasing(sketch, _leader_keys(sketch)), "key long, node binary, tokens binary, off double")
     heavy = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("parts")).where(F.col("parts") > 1)
     parted = keyed.join(heavy, "key", "left").select(
         "key", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0).cast("long")).alias("part"), "node", "tokens", "off")
@@ -262,10 +268,12 @@ def _linkable_components(classes: DataFrame, percent: int) -> DataFrame:
     links = stored(groups.mapInArrow(_follow_leaders(percent), "a binary, b binary").distinct(), "leader-links")
     labels = connect(stored(classes.select("node", F.col("node").alias("label")), "classes"), links)
 
-    posts = classes.select("node", "n", "tokens").mapInArrow(_prefixes(sketch, percent), "o int, token long, node binary, n long, place long")
+    posts = classes.select("node", "n", "tokens").mapInArrow(
+        releasing(sketch, _prefixes(sketch, percent)), "o int, token long, node binary, n long, place long")
     posts = posts.join(labels, "node").repartition("o", "token")
     mixed = posts.groupBy("o", "token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     posts = stored(posts.join(mixed.select("o", "token"), ["o", "token"], "left_semi"), "prefix-tokens")
+    sketch.unpersist()
     a, b = (posts.select("o", "token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "label"))) for s in "ab")
     # at the first token that two linked sets share, enough tokens must be left in both
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
@@ -286,7 +294,8 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
     """(doc_id, fp, n, node of every row; node, label of every class), both stored. Null node: linked with nothing."""
     repeats = repeat_filter(docs, _sampled_tokens(size), FILTER_BITS)
     sets = stored(keyed_texts(docs).mapInArrow(
-        _sets(size, percent, repeats), "doc_id long, fp long, n long, node binary, tokens binary"), "shingle-sets")
+        releasing(repeats, _sets(size, percent, repeats)), "doc_id long, fp long, n long, node binary, tokens binary"), "shingle-sets")
+    repeats.unpersist()
     classes = stored(sets.where(F.col("node").isNotNull()).groupBy("node")
                      .agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "shingle-classes")
     return sets.drop("tokens"), class_components(classes, percent)

@@ -95,6 +95,10 @@ class Table:
             self._flat = flat
         return self._flat
 
+    def release(self) -> None:
+        """Give the opened table back; it opens again when next read."""
+        self._flat = None
+
     def may_repeat(self, hashes: np.ndarray) -> np.ndarray:
         at = places(hashes, self.bits)
         return (self.flat()[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
@@ -103,6 +107,16 @@ class Table:
         return self.flat()[places(hashes, self.bits)]
 
 
+def releasing(table, run):
+    """``run``, a function over batches that reads a broadcast table, with the opened table given back at the task's end."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            table.value.release()
+    return wrapped
+
+
 def _twice(total):
     return np.packbits(total > 1)
 

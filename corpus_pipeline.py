@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortshare.llm import disclosure, grouped_packing, multi_order_join, patricia, string_kernel
-from cohortshare.llm.common import read_documents, ship, stored
+from cohortshare.llm.common import discard, read_documents, ship, stored
 
 MIN_LANGUAGE_SCORE = 0.25    # below it a text is as strange as languages left out of the fit (string_kernel.STRANGER)
 SHINGLE_WORDS = 5
@@ -52,5 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = read_documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
