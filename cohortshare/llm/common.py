@@ -11,6 +11,7 @@ Conventions of every operator here
 
 from __future__ import annotations
 
+import ctypes
 import shutil
 import tempfile
 from functools import lru_cache
@@ -78,6 +79,22 @@ def small_or_shuffled(df: DataFrame, max_rows: int, entries: Column | None = Non
     return F.broadcast(df) if size <= max_rows else df
 
 
+def tidy(run):
+    """``run``, a function over batches, that gives freed memory back to the system when its task ends.
+
+    Python workers outlive their tasks; what allocators keep of a stage's batches would add up from stage to stage.
+    """
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)       # the GNU C library has it
+            if trim:
+                trim(0)
+    return wrapped
+
+
 def raw_texts(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column, null as empty."""
     if isinstance(column, pa.ChunkedArray):

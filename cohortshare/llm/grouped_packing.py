@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, raw_texts, stored
+from .common import id_and_text, raw_texts, stored, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -108,7 +108,7 @@ def _tokenise(path: str, capacity: int):
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Null or empty text: the end id alone."""
-    return id_and_text(docs).mapInArrow(_tokenise(path or vocabulary_path(), capacity), _PIECES)
+    return id_and_text(docs).mapInArrow(tidy(_tokenise(path or vocabulary_path(), capacity)), _PIECES)
 
 
 # ---------------------------------------------------------------- plan (lengths only)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, fresh_name, id_or_null, raw_texts, small_or_shuffled, stored
+from .common import NULL_ID, fresh_name, id_or_null, raw_texts, small_or_shuffled, stored, tidy
 from .repeats import count_sketch, releasing, repeat_filter
 from .super_kmers import keyed_texts, mix
 
@@ -224,7 +224,7 @@ def _links_of(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     a = classes.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
     b = classes.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_compare(percent), "a binary, b binary")
+    return both.mapInArrow(tidy(_compare(percent)), "a binary, b binary")
 
 
 def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def _linkable_components(classes: DataFrame, percent: int) -> DataFrame:
     parted = keyed.join(heavy, "key", "left").select(
         "key", F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0).cast("long")).alias("part"), "node", "tokens", "off")
     groups = parted.repartition("key", "part").sortWithinPartitions("key", "part", "off", "node")
-    links = stored(groups.mapInArrow(_follow_leaders(percent), "a binary, b binary").distinct(), "leader-links")
+    links = stored(groups.mapInArrow(tidy(_follow_leaders(percent)), "a binary, b binary").distinct(), "leader-links")
     labels = connect(stored(classes.select("node", F.col("node").alias("label")), "classes"), links)
 
     posts = classes.select("node", "n", "tokens").mapInArrow(

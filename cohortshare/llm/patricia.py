@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import NULL_ID, fingerprint, fresh_name, id_and_text, id_or_null, ids_of, raw_texts, ship
+from .common import NULL_ID, fingerprint, fresh_name, id_and_text, id_or_null, ids_of, raw_texts, ship, tidy
 
 _LOCAL = "n_bytes long, h long, content binary, min_id long, max_id long, n long, n_top long"
 _OWNERS = "sha binary, n_bytes long, min_id long, max_id long, n long, n_top long"
@@ -136,9 +136,9 @@ def _trie_owners(batches):
 def copy_owners(docs: DataFrame) -> DataFrame:
     """One row per distinct normalised text: sha (binary SHA-256), n_bytes, min_id, max_id, n (rows), n_top
     (rows that carry max_id). Null ids count as rows; max_id is null only if every id is."""
-    local = id_and_text(docs).mapInArrow(_local_copies, _LOCAL)
+    local = id_and_text(docs).mapInArrow(tidy(_local_copies), _LOCAL)
     keyed = local.repartition("n_bytes", "h").sortWithinPartitions("n_bytes", "h")
-    return (keyed.mapInArrow(_trie_owners, _OWNERS)
+    return (keyed.mapInArrow(tidy(_trie_owners), _OWNERS)
             .withColumn("max_id", F.when(F.col("max_id") == -NULL_ID - 1, F.lit(None)).otherwise(F.col("max_id")))
             .withColumn("min_id", id_or_null(F.col("min_id"))))
 
@@ -155,7 +155,7 @@ def classify_copies(docs: DataFrame) -> DataFrame:
     The text owner's row count never gathers in one task: documents meet their owner by a join on the text's
     digest, with one row on the owner's side, so that a hot text can be split.
     """
-    rows = (id_and_text(docs).mapInArrow(_shas, "doc_id long, sha binary")
+    rows = (id_and_text(docs).mapInArrow(tidy(_shas), "doc_id long, sha binary")
             .groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("copies")))
     owners = copy_owners(docs).select("sha", F.col("max_id").alias("keep_id"), F.col("min_id").alias("first_id"),
                                       F.col("n").alias("group_size"))
@@ -188,7 +188,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     sha = fresh_name(docs.columns, "cs_sha")
     out = StructType([*docs.schema.fields]).add(sha, BinaryType())
-    rows = docs.mapInArrow(_append_sha(docs.columns.index("text"), sha), out)
+    rows = docs.mapInArrow(tidy(_append_sha(docs.columns.index("text"), sha)), out)
     keep = (classify_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
             .select(F.col("doc_id").alias("k_id"), F.col("sha").alias("k_sha"), "copies"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, raw_texts
+from .common import id_and_text, raw_texts, tidy
 
 SLICES = 256
 _U = np.uint64
@@ -114,7 +114,7 @@ def releasing(table, run):
             yield from run(batches)
         finally:
             table.value.release()
-    return wrapped
+    return tidy(wrapped)
 
 
 def _twice(total):
@@ -126,9 +126,9 @@ def _log_count(total):
 
 
 def _table(rows: DataFrame, hashes_of, column: int, bits: int, width: int, finish, most: int):
-    lists = rows.mapInArrow(_place_lists(hashes_of, column, bits, most), "slice int, steps binary, n binary")
+    lists = rows.mapInArrow(tidy(_place_lists(hashes_of, column, bits, most)), "slice int, steps binary, n binary")
     got = (lists.repartition("slice").sortWithinPartitions("slice")
-           .mapInArrow(_slices(bits, finish), "slice int, body binary").collect())
+           .mapInArrow(tidy(_slices(bits, finish)), "slice int, body binary").collect())
     return rows.sparkSession.sparkContext.broadcast(Table(bits, width, {r["slice"]: bytes(r["body"]) for r in got}))
 
 

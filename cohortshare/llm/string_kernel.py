@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh_name, id_and_text, raw_texts, ship, small_or_shuffled, stored
+from .common import fresh_name, id_and_text, raw_texts, ship, small_or_shuffled, stored, tidy
 
 BITS = 1 << 13              # presence places
 GRAMS = 4
@@ -182,7 +182,7 @@ def with_language(docs: DataFrame, model: KernelModel | None, lang_name: str, sc
     """``docs`` with two more columns, the predicted language and its score; reads ``text`` only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = StructType([*docs.schema.fields]).add(lang_name, "string").add(score_name, "double")
-    return docs.mapInArrow(_score(shared, docs.columns.index("text"), [lang_name, score_name]), out)
+    return docs.mapInArrow(tidy(_score(shared, docs.columns.index("text"), [lang_name, score_name])), out)
 
 
 def held_out_fold() -> Column:
