@@ -5,24 +5,32 @@ wins, ties keep the earliest vocabulary entry, and a score below 0.85 is sent
 to manual review.
 
 Plan shape: the rows are reduced to distinct terms first (partial aggregate).
-Exact names are resolved by an equi-join; only the rest are scored.  Scoring
-is a lossless inverted-index join: both sides are exploded to (string, char,
-count) and joined on the character, which yields the cosine numerator for
-every pair sharing a character.  A pair sharing none has cosine 0 and edit
-similarity 0 (for a non-blank name), so its score is 0 and it can never be the
-best (the reference keeps only scores > 0).  The vocabulary side is broadcast
-when its checked row count is small; otherwise the join shuffles on the
-character and AQE splits hot characters.  Levenshtein runs only on the
-surviving pairs.  The term side keeps its hash partitioning on ``term``
-through the (term, char) and (term, name) aggregates, so scoring adds no
-shuffle beyond the distinct.
+Exact names are resolved by an equi-join; only the rest are scored, through an
+inverted index of characters with score upper bounds:
+
+1. A term's characters are ordered by rarity in the vocabulary.  A few names per
+   term are scored exactly, the best of them is a lower bound of the term's best
+   score: names whose sorted characters equal the term's but for one on either side,
+   and names with a rare character of the term and a like length (``SEEDS`` a key).
+2. A name that shares none of the term's first p characters shares at most the
+   rest.  With c characters left of l, and norm r left of n, its score is at most
+   ``0.4 c / l + 0.6 r / n`` (the edit distance is at least the unshared length, the
+   cosine falls under Cauchy-Schwarz).  Postings of characters from the place on
+   where this falls below the lower bound are skipped.
+3. A pair that meets at a posting is met once, at its first common character, and
+   is dropped by the same bound for what can still be shared from there, and for the
+   two lengths; the shared counts then bound the edit part before Levenshtein runs.
+
+No pair that could win, or tie, is skipped: bounds are compared with a margin above
+rounding.  The vocabulary's side is broadcast only after a check of its postings;
+otherwise the joins shuffle on the character, and AQE splits hot characters.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chars, col_of
@@ -33,7 +41,10 @@ EDIT_WEIGHT = 0.4
 COSINE_WEIGHT = 0.6
 THRESHOLD = 0.85
 
-BROADCAST_VOCAB_ROWS = 200_000
+BROADCAST_VOCAB_ROWS = 200_000     # postings (name, character) of a vocabulary that is broadcast
+SEEDS = 4                          # names per key that may set a term's lower bound
+SEED_CHARS = 2                     # rare characters of a term that seeds are looked up by
+_MARGIN = 1e-9
 
 
 def edit_similarity(a, b) -> Column:
@@ -76,37 +87,111 @@ def char_bag(df: DataFrame, s: str) -> DataFrame:
             .groupBy(s, "ch").agg(F.count(F.lit(1)).cast("double").alias("c")))
 
 
-def _vocab_side(vocab: DataFrame, broadcast_rows: int):
-    v = clean_vocab(vocab)
-    n = v.count()                     # size check before any broadcast
-    small = n <= broadcast_rows
-    vbag = char_bag(v.select("std_name"), "std_name").withColumnRenamed("c", "cv")
-    vnorm = vbag.groupBy("std_name").agg(F.sum(F.col("cv") * F.col("cv")).alias("nv"))
-    vfull = v.join(vnorm, "std_name")
-    if small:
-        vbag, vfull = F.broadcast(vbag), F.broadcast(vfull)
-    return v, vbag, vfull, small
+def _bag(s: str) -> Column:
+    """The character counts of a string as a map, in its row."""
+    ch = chars(s)
+    return F.map_from_entries(F.transform(F.array_distinct(ch), lambda c: F.struct(
+        c, F.size(F.filter(ch, lambda x: x == c)).cast("double"))))
+
+
+def _norm(bag: Column) -> Column:
+    return F.sqrt(F.aggregate(F.map_values(bag), F.lit(0.0), lambda acc, x: acc + x * x))
+
+
+def _common(a: Column, b: Column, use) -> Column:
+    """Sum of ``use(count in a, count in b)`` over the characters of ``a``."""
+    return F.aggregate(F.map_entries(a), F.lit(0.0), lambda acc, e: acc + use(e["value"], F.coalesce(F.element_at(b, e["key"]), F.lit(0.0))))
+
+
+def _near_keys(s: str) -> Column:
+    """Hashes of a string's sorted characters, whole and with each one left out."""
+    ch = F.array_sort(chars(s))
+    less = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ch), F.lit(1))), lambda i: F.concat(F.slice(ch, 1, i - 1), F.slice(ch, i + 1, F.size(ch))))
+    return F.array_distinct(F.transform(F.array_append(less, ch), lambda x: F.xxhash64(x)))
+
+
+class VocabIndex:
+    """The vocabulary's names with their character bags, postings, and characters by rarity."""
+
+    def __init__(self, vocab: DataFrame, broadcast_rows: int = BROADCAST_VOCAB_ROWS):
+        self.entries = clean_vocab(vocab)
+        names = (self.entries.withColumn("bag_n", _bag("std_name")).withColumn("norm_n", _norm(F.col("bag_n")))
+                 .withColumn("len_n", F.length("std_name")))
+        postings = names.select(F.explode(F.map_keys("bag_n")).alias("ch"), "std_name", "ord", "code", "bag_n", "norm_n", "len_n")
+        rarity = postings.groupBy("ch").agg(F.count(F.lit(1)).alias("df"))
+        self.small = (rarity.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]) <= broadcast_rows
+        rows = ("std_name", "bag_n", "norm_n", "len_n")
+        like = postings.select(F.xxhash64("ch", "len_n").alias("key"), *rows, "ord")
+        near = names.select(F.explode(_near_keys("std_name")).alias("key"), *rows, "ord")
+        by_ord = Window.partitionBy("key").orderBy("ord")
+        seeds = (like.unionByName(near).withColumn("i", F.row_number().over(by_ord)).where(F.col("i") <= SEEDS).select("key", *rows))
+        self.rarity, self.postings, self.seeds = (F.broadcast(x) if self.small else x for x in (rarity, postings, seeds))
+
+
+def _ranked_chars(terms: DataFrame, index: VocabIndex) -> DataFrame:
+    """term, bag_t, norm_t, len_t, and ``ranked``: its characters that the vocabulary has, rarest first, as (df, ch, bound).
+
+    ``bound`` is the most that a name can score that shares no character before this one.
+    """
+    t = (terms.withColumn("bag_t", _bag("term")).withColumn("norm_t", _norm(F.col("bag_t"))).withColumn("len_t", F.length("term"))
+         .where(F.size("bag_t") > 0))
+    held = (t.select("term", "bag_t", "norm_t", "len_t", F.explode("bag_t").alias("ch", "c")).join(index.rarity, "ch")
+            .groupBy("term").agg(*(F.first(x).alias(x) for x in ("bag_t", "norm_t", "len_t")),
+                                 F.array_sort(F.collect_list(F.struct("df", "ch", "c"))).alias("held")))
+
+    def bound(i):
+        rest = F.slice("held", i + 1, F.size("held"))
+        c = F.aggregate(rest, F.lit(0.0), lambda acc, x: acc + x["c"])
+        r = F.sqrt(F.aggregate(rest, F.lit(0.0), lambda acc, x: acc + x["c"] * x["c"]))
+        return EDIT_WEIGHT * c / F.col("len_t") + COSINE_WEIGHT * r / F.col("norm_t")
+    ranked = F.transform("held", lambda x, i: F.struct(x["df"].alias("df"), x["ch"].alias("ch"), bound(i).alias("bound")))
+    return held.select("term", "bag_t", "norm_t", "len_t", ranked.alias("ranked"))
+
+
+def _cosine() -> Column:
+    return _common(F.col("bag_t"), F.col("bag_n"), lambda x, y: x * y) / (F.col("norm_t") * F.col("norm_n"))
+
+
+def _edit_bound() -> Column:
+    """The most the edit part can be: all shared characters in place."""
+    return _common(F.col("bag_t"), F.col("bag_n"), F.least) / F.greatest("len_t", "len_n")
+
+
+def _pair_score() -> Column:
+    return F.lit(EDIT_WEIGHT) * edit_similarity("term", "std_name") + F.lit(COSINE_WEIGHT) * F.col("cosine")
+
+
+def met_candidates(terms: DataFrame, index: VocabIndex) -> DataFrame:
+    """The (term, name) pairs that some posting brings together and no bound of characters or lengths rules out.
+
+    Columns: term, std_name, ord, code, bags, norms, lengths, ``least`` (the term's lower bound).
+    """
+    ranked = _ranked_chars(terms, index)
+    like = F.flatten(F.transform(F.slice("ranked", 1, SEED_CHARS)["ch"], lambda c: F.array(*(F.xxhash64(c, F.col("len_t") + d) for d in (-1, 0, 1)))))
+    tried = (ranked.select("term", "bag_t", "norm_t", "len_t", F.explode(F.concat(like, _near_keys("term"))).alias("key"))
+             .join(index.seeds, "key").withColumn("cosine", _cosine()))
+    seeded = tried.groupBy("term").agg(F.max(_pair_score()).alias("least"))
+    at = ranked.join(seeded, "term", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    open_ = at.select("*", F.posexplode(F.filter("ranked", lambda x: x["bound"] >= F.col("least") - _MARGIN)).alias("i", "x"))
+    met = (open_.select("term", "bag_t", "norm_t", "len_t", "least", F.col("x.ch").alias("ch"), F.slice("ranked", 1, F.col("i"))["ch"].alias("earlier"))
+           .join(index.postings, "ch"))
+    shorter, longer = F.least("len_t", "len_n"), F.greatest("len_t", "len_n")
+    return (met.where(EDIT_WEIGHT * shorter / longer + COSINE_WEIGHT >= F.col("least") - _MARGIN)
+            .where(~F.arrays_overlap("earlier", F.map_keys("bag_n"))).drop("ch", "earlier"))
 
 
 def score_candidates(terms: DataFrame, vocab: DataFrame, broadcast_rows: int = BROADCAST_VOCAB_ROWS) -> DataFrame:
-    """(term, ord, code, score) for every pair with a shared character.
+    """(term, ord, code, score) of every pair that may be a term's best, or tie with it.
 
     ``terms`` has one column ``term`` with distinct values.
     """
-    _, vbag, vfull, _ = _vocab_side(vocab, broadcast_rows)
-    return _score(terms, vbag, vfull)
+    return _score(terms, VocabIndex(vocab, broadcast_rows))
 
 
-def _score(terms: DataFrame, vbag: DataFrame, vfull: DataFrame) -> DataFrame:
-    tbag = char_bag(terms, "term").withColumnRenamed("c", "ct")
-    tnorm = tbag.groupBy("term").agg(F.sum(F.col("ct") * F.col("ct")).alias("nt"))
-    dots = (tbag.join(vbag, "ch")
-            .groupBy("term", "std_name").agg(F.sum(F.col("ct") * F.col("cv")).alias("dot")))
-    cos = F.col("dot") / (F.sqrt("nt") * F.sqrt("nv"))
-    return (dots.join(tnorm, "term").join(vfull, "std_name")
-            .select("term", "ord", "code",
-                    (F.lit(EDIT_WEIGHT) * edit_similarity("term", "std_name")
-                     + F.lit(COSINE_WEIGHT) * cos).alias("score")))
+def _score(terms: DataFrame, index: VocabIndex) -> DataFrame:
+    met = met_candidates(terms, index).withColumn("cosine", _cosine())
+    can_win = met.where(EDIT_WEIGHT * _edit_bound() + COSINE_WEIGHT * F.col("cosine") >= F.col("least") - _MARGIN)
+    return can_win.select("term", "ord", "code", _pair_score().alias("score"))
 
 
 def best_candidate(scored: DataFrame) -> DataFrame:
@@ -124,8 +209,9 @@ def map_distinct_terms(terms: DataFrame, vocab: DataFrame, *, threshold: float =
     ``min_score`` gives the class contract: code NULL below it.  ``match_type``
     is ``exact`` / ``approximate`` / NULL.  ``exact_only`` skips scoring (C2).
     """
-    v, vbag, vfull, small = _vocab_side(vocab, broadcast_rows)
-    names = v.select(F.col("std_name").alias("term"), "code")
+    index = VocabIndex(vocab, broadcast_rows)
+    small = index.small
+    names = index.entries.select(F.col("std_name").alias("term"), "code")
     exact = terms.join(F.broadcast(names) if small else names, "term")
     exact = exact.select("term", "code", F.lit(1.0).alias("best"), F.lit("exact").alias("match_type"))
     rest = terms.join(F.broadcast(names.select("term")) if small else names.select("term"), "term", "left_anti")
@@ -133,7 +219,7 @@ def map_distinct_terms(terms: DataFrame, vocab: DataFrame, *, threshold: float =
         approx = rest.select("term", F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("best"),
                              F.lit(None).cast("string").alias("match_type"))
     else:
-        best = best_candidate(_score(rest, vbag, vfull))
+        best = best_candidate(_score(rest, index))
         approx = (rest.join(best, "term", "left")
                   .select("term", "code", F.coalesce("best", F.lit(0.0)).alias("best"),
                           F.when(F.col("code").isNotNull(), F.lit("approximate")).alias("match_type")))

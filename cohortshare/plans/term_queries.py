@@ -59,6 +59,20 @@ def q_term_match_rate(spark, sf_dir):
     return r.select(F.round("exact_rate", 6).alias("exact_rate"), F.round("hybrid_rate", 6).alias("hybrid_rate"))
 
 
+def _long_words(spark, sf_dir, name):
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    return words.where(F.length("w") >= 4).groupBy("w").agg(F.count(F.lit(1)).alias("uses"))
+
+
+def q_term_large_vocab(spark, sf_dir):
+    """X3 with a vocabulary of all longer words of the benchmark, over all longer words of the documents."""
+    vocab = _long_words(spark, sf_dir, "benchmark").select(
+        F.conv(F.substring(F.md5("w"), 1, 7), 16, 10).cast("int").alias("ord"), F.col("w").alias("std_name"), F.upper("w").alias("code"))
+    words = _long_words(spark, sf_dir, "documents").select(F.col("w").alias("term"), "uses")
+    return tm.map_terms(words, vocab).select("term", "uses", "code", "score", "status", "match_type")
+
+
 def q_term_embedding(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     # vocabulary: one centroid per label (a concept vector), derived from the table
@@ -77,6 +91,7 @@ QUERIES = {
     "term_hybrid": q_term_hybrid,
     "term_min_score": q_term_min_score,
     "term_match_rate": q_term_match_rate,
+    "term_large_vocab": q_term_large_vocab,
     "term_embedding": q_term_embedding,
 }
 
@@ -155,3 +170,17 @@ ORACLE = {
     SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label ASC) AS rn FROM sc) r
   WHERE rn = 1""",
 }
+
+_LONG_WORDS = """SELECT w, count(*) AS uses FROM (
+        SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS w
+        FROM {}) WHERE length(w) >= 4 GROUP BY w"""
+_SCORED = _BASE[_BASE.index("  dt AS ("):_BASE.index("  mapped AS (")]
+ORACLE["term_large_vocab"] = f"""
+  WITH vocab AS (SELECT CAST(('0x' || substr(md5(w), 1, 7)) AS INTEGER) AS ord, w AS std_name, upper(w) AS code
+                 FROM ({_LONG_WORDS.format('benchmark')}) x),
+  terms AS (SELECT w AS term, uses FROM ({_LONG_WORDS.format('documents')}) x),
+{_SCORED.rstrip().rstrip(',')}
+  SELECT t.term, t.uses, coalesce(v.code, b.code) AS code, round(CASE WHEN v.code IS NOT NULL THEN 1.0 ELSE coalesce(b.score, 0.0) END, 3) AS score,
+         CASE WHEN v.code IS NOT NULL OR b.score >= 0.85 THEN 'matched' ELSE 'needs_manual_review' END AS status,
+         CASE WHEN v.code IS NOT NULL THEN 'exact' WHEN b.code IS NOT NULL THEN 'approximate' END AS match_type
+  FROM terms t LEFT JOIN vocab v ON t.term = v.std_name LEFT JOIN best b ON t.term = b.term"""

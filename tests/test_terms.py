@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
 
 from cohortshare.operators import terms as tm
 from cohortshare.sources.vocab import default_vocab, read_vocab, write_vocab
@@ -89,3 +91,36 @@ def test_embedding_scores_above_zero_only(spark):
     t = spark.createDataFrame([("p", [2.0, 1.0]), ("n", [-1.0, -2.0])], "term string, vec array<double>")
     assert {r.term: (r.code, r.score > 0) for r in tm.match_by_embedding(t, v).collect()} == {"p": ("A", True), "n": (None, False)}
     assert {(r.code, r.score) for r in tm.match_by_embedding(t, v.limit(0)).collect()} == {(None, 0.0)}
+
+
+def _large_case(spark, alphabet, weights, n_names=500, n_terms=250):
+    rnd = random.Random(11)
+    names = sorted({"".join(rnd.choices(alphabet, weights, k=rnd.randint(2, 8))) for _ in range(n_names)})
+    words = {"", " ", "é", "7-7", "a", "zzzz", "".join(rnd.choice("kalomi") for _ in range(60))}
+    for _ in range(n_terms):
+        w = list(rnd.choice(names))
+        for _ in range(rnd.randint(1, 2)):
+            i = rnd.randrange(len(w))
+            w[i:i + 1] = rnd.choice(["", rnd.choice(alphabet), w[i] + rnd.choice(alphabet)])
+        words.add("".join(w))
+    vocab = spark.createDataFrame([(i, n, f"C{i % 50}") for i, n in enumerate(names)], "ord int, std_name string, code string")
+    return spark.createDataFrame([(w,) for w in sorted(words)], "term string"), vocab
+
+
+SYLLABLES = ["ka", "lo", "mi", "ther", "zu", "quin", "ba", "ro", "vex", "ny", "pho", "sti", "gra", "do", "wu", "jel"]
+
+
+@pytest.mark.parametrize("alphabet, met_share, scored_share", [
+    ([chr(0x4E00 + i) for i in range(300)], 0.1, 0.02), (SYLLABLES, 0.5, 0.1)], ids=["many characters", "few characters"])
+def test_pruned_candidates_equal_all_pairs(spark, alphabet, met_share, scored_share):
+    """The same winners as all pairs, for a broadcast and a shuffled vocabulary, from a small part of the pairs."""
+    terms, vocab = _large_case(spark, alphabet, [1 / (i + 1) ** 0.8 for i in range(len(alphabet))])
+    pairs = terms.crossJoin(vocab).select("term", "ord", "code", tm.hybrid_score("term", "std_name").alias("score")).where("score > 0")
+    want = {r.term: (r.code, r.best) for r in tm.best_candidate(pairs.withColumn("score", F.round("score", 12))).collect()}
+    for limit in (tm.BROADCAST_VOCAB_ROWS, 0):
+        scored = tm.score_candidates(terms, vocab, limit).withColumn("score", F.round("score", 12))
+        assert {r.term: (r.code, r.best) for r in tm.best_candidate(scored).collect()} == want
+    every = terms.count() * vocab.count()
+    met, kept = tm.met_candidates(terms, tm.VocabIndex(vocab)).count(), tm.score_candidates(terms, vocab).count()
+    print(f"pairs: all {every}, met {met}, scored {kept}")
+    assert met <= met_share * every and kept <= scored_share * every
