@@ -110,13 +110,12 @@ def main(argv=None) -> int:
         from .operators.tagger import train_tagger
         from .sources.bio_io import read_bio
         model = train_tagger(read_bio(spark, a.train), max_iter=a.max_iter)
-        model.write().overwrite().save(a.output)
+        model.save(spark, a.output)
         print(f"tagger written to {a.output}")
     elif a.job == "tag":
-        from pyspark.ml import PipelineModel
-        from .operators.tagger import tag_notes
+        from .operators.tagger import LinearTagger, tag_notes
         from .sources import records
-        ents = tag_notes(PipelineModel.load(a.model), records.read_records(spark, a.input), a.key, a.column)
+        ents = tag_notes(LinearTagger.load(spark, a.model), records.read_records(spark, a.input), a.key, a.column)
         ents.write.mode("overwrite").parquet(a.output)
     elif a.job == "ledger":
         from .operators.ledger import apply_requests

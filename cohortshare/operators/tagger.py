@@ -2,74 +2,268 @@
 
 The reference fine-tunes a transformer on one GPU.  Here the same input
 (BIO sentences), labels and metric feed a multinomial logistic regression over
-hashed character-window features, fitted by MLlib across the executors.
-Window features come from shifted arrays inside each sentence row (no window
-shuffle); predictions are folded back into one row per sentence, whose length
-bounds the group, and decoded with the array decoder.
+hashed character-window features.
+
+* A token's features are its own character and its two neighbours on either side,
+  each hashed with its place in the window to one of ``FEATURES`` rows of a
+  coefficient matrix.
+* **Fit**: the labelled sentences (a documented bound, ``MAX_SENTENCES``) are packed
+  once into blocks of feature numbers and label ids under the shared folder.  Every
+  step of a limited-memory quasi-Newton search is one job: each task adds up the
+  gradient over its blocks, partial sums per feature row are added by Spark, and the
+  driver sees one row per feature that occurs.
+* **Tagging**: whole notes go through Arrow batches, where a note's scores are sums of
+  matrix rows; what comes back is one label digit per character, decoded in the row.
+  There is no row per character and no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import FeatureHasher
-from pyspark.sql import DataFrame
+import math
+import zlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import tags as tg
 from ..functions.text import chars
+from ..session import scratch_path
 
 WINDOW = 2
-FEATURES = [f"w{d:+d}" for d in range(-WINDOW, WINDOW + 1)]
+SLOTS = 2 * WINDOW + 1
+FEATURES = 262_139           # rows of the coefficient matrix, a prime
+MAX_SENTENCES = 20_000       # labelled sentences of a fit; of more, those with the smallest hashes
+CHUNK = 1 << 16              # tokens scored at a time
+_MULTIPLIER = 2_654_435_761
+_PAD = 0x110000              # stands beside the first and last token
+_N = len(tg.LABELS)
+
+
+def token_code(token: str) -> int:
+    """A token as a number: its code point, or beyond them a hash of a longer token."""
+    return ord(token) if len(token) == 1 else _PAD + 1 + zlib.crc32(token.encode()) % (1 << 20)
+
+
+def window_features(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """[token, place in the window]: feature numbers of tokens that lie in sentences ``edges[i]:edges[i + 1]``."""
+    n = len(codes)
+    sentence = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    out = np.empty((n, SLOTS), np.int64)
+    for slot, d in enumerate(range(-WINDOW, WINDOW + 1)):
+        at = np.arange(n) + d
+        inside = (at >= 0) & (at < n)
+        at = np.where(inside, at, 0)
+        inside &= sentence[at] == sentence
+        out[:, slot] = (np.where(inside, codes[at], _PAD) * SLOTS + slot) * _MULTIPLIER % FEATURES
+    return out
 
 
-def _shift(arr, d: int):
-    """Element i of the result is arr[i + d] (NULL outside)."""
-    out = arr
-    for _ in range(abs(d)):
-        out = tg.shift_left(out) if d > 0 else tg.shift_right(out)
+def label_ids(weights: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The best label of each token of one sentence, the first of equals; long sentences chunk by chunk."""
+    out = np.empty(len(codes), np.uint8)
+    for a in range(0, len(codes), CHUNK):
+        lo, hi = max(0, a - WINDOW), min(len(codes), a + CHUNK + WINDOW)
+        f = window_features(codes[lo:hi], np.array([0, hi - lo]))[a - lo:a - lo + CHUNK]
+        out[a:a + CHUNK] = weights[f].sum(axis=1).argmax(axis=1)
     return out
 
 
-def char_features(df: DataFrame, tokens: str = "tokens", keys=("sent_id",), tags: str | None = "tags") -> DataFrame:
-    """One row per token: keys, pos, window tokens w-2..w+2 (and the tag id)."""
-    cols = [F.col(tokens)] + [_shift(F.col(tokens), d) for d in range(-WINDOW, WINDOW + 1) if d != 0]
-    names = ["w+0"] + [f"w{d:+d}" for d in range(-WINDOW, WINDOW + 1) if d != 0]
-    zipped = F.arrays_zip(*[c.alias(n) for c, n in zip(cols, names)],
-                          *([tg.encode_tags(tags).alias("label")] if tags else []))
-    out = df.select(*keys, F.posexplode(zipped).alias("pos", "z"))
-    sel = [*keys, "pos"] + [F.coalesce(F.col("z")[n], F.lit("<pad>")).alias(n) for n in names]
-    if tags:
-        sel.append(F.col("z")["label"].cast("double").alias("label"))
-    return out.select(*sel)
-
-
-def train_tagger(sentences: DataFrame, *, num_features: int = 1 << 18, max_iter: int = 20,
-                 reg: float = 0.0) -> PipelineModel:
-    """H2: fit on BIO sentences (tokens, tags); an unknown tag is an error."""
-    feats = char_features(sentences)
-    pipe = Pipeline(stages=[
-        FeatureHasher(inputCols=FEATURES, outputCol="features", numFeatures=num_features,
-                      categoricalCols=FEATURES),
-        LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, labelCol="label")])
-    return pipe.fit(feats)
-
-
-def predict_tags(model: PipelineModel, sentences: DataFrame, tokens: str = "tokens", keys=("sent_id",)) -> DataFrame:
-    """Tag every token; one row per sentence with ``pred_tags`` in token order."""
-    feats = char_features(sentences, tokens, keys, tags=None)
-    pred = model.transform(feats).select(*keys, "pos", F.col("prediction").cast("int").alias("p"))
-    lab = tg.id2label()
-    back = (pred.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("ps"))
-            .select(*keys, F.transform("ps", lambda x: F.get(lab, x["p"])).alias("pred_tags")))
-    return sentences.join(back, list(keys), "left")
-
-
-def tag_notes(model: PipelineModel, df: DataFrame, key: str = "patient_id", text: str = "clinical_note",
+class LinearTagger:
+    """Coefficients of a fitted tagger: a row of ``len(LABELS)`` weights for each feature that is not all zero."""
+
+    def __init__(self, features: np.ndarray, weights: np.ndarray):
+        self.features, self.weights = features, weights
+
+    def matrix(self) -> np.ndarray:
+        out = np.zeros((FEATURES, _N))
+        out[self.features] = self.weights
+        return out
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(int(f), w.tolist()) for f, w in zip(self.features, self.weights)]
+        spark.createDataFrame(rows, "feature int, weights array<double>").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearTagger:
+        rows = spark.read.parquet(path).orderBy("feature").collect()       # at most FEATURES rows
+        return cls(np.array([r["feature"] for r in rows], np.int64), np.array([r["weights"] for r in rows]).reshape(-1, _N))
+
+
+# ---------------------------------------------------------------- fit
+
+def _pack(batches):
+    """(tokens, label ids) -> blocks of about CHUNK tokens: feature numbers and labels as bytes."""
+    seen: dict[str, int] = {}
+
+    def block(codes, labels):
+        edges = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+        f = window_features(np.concatenate(codes), edges)
+        return pa.RecordBatch.from_arrays([pa.array([f.astype("<i4").tobytes()]), pa.array([np.concatenate(labels).astype(np.uint8).tobytes()])],
+                                          ["features", "labels"])
+    codes, labels, size = [], [], 0
+    for b in batches:
+        for tokens, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if not tokens:
+                continue
+            for t in set(tokens) - seen.keys():
+                seen[t] = token_code(t)
+            codes.append(np.array([seen[t] for t in tokens], np.int64))
+            labels.append(np.array(ids, np.int64))
+            size += len(tokens)
+            if size >= CHUNK:
+                yield block(codes, labels)
+                codes, labels, size = [], [], 0
+    if codes:
+        yield block(codes, labels)
+
+
+def block_gradient(weights: np.ndarray, features: np.ndarray, labels: np.ndarray):
+    """(loss, gradient rows of the features, their numbers) of some tokens: the negative log likelihood, summed."""
+    scores = weights[features].sum(axis=1)
+    scores -= scores.max(axis=1, keepdims=True)
+    p = np.exp(scores)
+    total = p.sum(axis=1, keepdims=True)
+    every = np.arange(len(labels))
+    loss = float(np.log(total[:, 0]).sum() - scores[every, labels].sum())
+    p /= total
+    p[every, labels] -= 1
+    numbers, at = np.unique(features, return_inverse=True)
+    at = at.reshape(features.shape)
+    rows = np.stack([sum(np.bincount(at[:, s], p[:, k], len(numbers)) for s in range(SLOTS)) for k in range(_N)], axis=1)
+    return loss, rows, numbers
+
+
+def _gradients(shared):
+    """Blocks -> per task one row (feature, gradient of each label) a feature; feature -1: loss and number of tokens."""
+    def run(batches):
+        model, total, loss, n = shared.value, np.zeros((FEATURES, _N)), 0.0, 0
+        weights, hit = model.matrix(), np.zeros(FEATURES, bool)
+        for b in batches:
+            for f, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                features, labels = np.frombuffer(f, "<i4").reshape(-1, SLOTS), np.frombuffer(y, np.uint8)
+                part, rows, numbers = block_gradient(weights, features, labels)
+                total[numbers] += rows
+                hit[numbers] = True
+                loss, n = loss + part, n + len(labels)
+        numbers = np.flatnonzero(hit)
+        cols = [np.append(total[numbers, k], {0: loss, 1: float(n)}.get(k, 0.0)) for k in range(_N)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(numbers, -1), pa.int32()), *map(pa.array, cols)],
+                                         ["feature", *(f"g{k}" for k in range(_N))])
+    return run
+
+
+def _distributed(blocks: DataFrame) -> Callable:
+    spark = blocks.sparkSession
+    sums = [F.sum(f"g{k}").alias(f"g{k}") for k in range(_N)]
+    schema = "feature int, " + ", ".join(f"g{k} double" for k in range(_N))
+
+    def evaluate(model: LinearTagger):
+        shared = spark.sparkContext.broadcast(model)
+        rows = blocks.mapInArrow(_gradients(shared), schema).groupBy("feature").agg(*sums).orderBy("feature").toPandas().to_numpy()
+        shared.unpersist()
+        last, rows = rows[0], rows[1:]
+        n = max(last[2], 1.0)
+        return last[1] / n, rows[:, 1:] / n, rows[:, 0].astype(np.int64)
+    return evaluate
+
+
+def minimise(evaluate: Callable, max_iter: int, reg: float, memory: int = 7, tolerance: float = 1e-6) -> LinearTagger:
+    """Limited-memory quasi-Newton search from zero; ``evaluate(model)`` is (mean loss, gradient rows, feature numbers).
+
+    The numbers are the same at every call: the features that occur.
+    """
+    loss, grad, features = evaluate(LinearTagger(np.zeros(0, np.int64), np.zeros((0, _N))))
+    w, steps = np.zeros_like(grad), []
+    for _ in range(max_iter):
+        if np.abs(grad).max(initial=0.0) <= tolerance:
+            break
+        direction, kept = -grad, []
+        for s, y in reversed(steps):
+            a = (s * direction).sum() / (s * y).sum()
+            kept.append(a)
+            direction = direction - a * y
+        if steps:
+            s, y = steps[-1]
+            direction = direction * ((s * y).sum() / (y * y).sum())
+        else:
+            direction = direction / max(1.0, np.abs(grad).sum()) * math.sqrt(grad.size)
+        for (s, y), a in zip(steps, reversed(kept)):
+            direction = direction + (a - (y * direction).sum() / (s * y).sum()) * s
+        slope, rate = float((grad * direction).sum()), 1.0
+        while True:
+            new = w + rate * direction
+            value, g, _ = evaluate(LinearTagger(features, new))
+            value, g = value + reg / 2 * float((new * new).sum()), g + reg * new
+            if value <= loss + 1e-4 * rate * slope or rate < 1e-6:
+                break
+            rate /= 2
+        if value >= loss:
+            break
+        if ((new - w) * (g - grad)).sum() > 1e-12:
+            steps = [*steps, (new - w, g - grad)][-memory:]
+        w, loss, grad = new, value, g
+    return LinearTagger(features, w)
+
+
+def packed(sentences: DataFrame, max_sentences: int = MAX_SENTENCES) -> DataFrame:
+    """The labelled sentences (tokens, tags) as blocks of features and labels, a table under the shared folder."""
+    spark = sentences.sparkSession
+    rows = sentences.select("tokens", tg.encode_tags("tags").alias("ids")).where(F.size("tokens") > 0)
+    if sentences.count() > max_sentences:
+        rows = rows.orderBy(F.xxhash64("tokens", "ids")).limit(max_sentences).repartition(spark.sparkContext.defaultParallelism)
+    path = scratch_path(spark, "tagger-blocks")
+    rows.mapInArrow(_pack, "features binary, labels binary").write.parquet(path)
+    return spark.read.schema("features binary, labels binary").parquet(path)
+
+
+def train_tagger(sentences: DataFrame, *, max_iter: int = 20, reg: float = 1e-6, max_sentences: int = MAX_SENTENCES) -> LinearTagger:
+    """H2: fit on BIO sentences (tokens, tags); an unknown tag is an error.  No token: every token is tagged ``O``."""
+    return minimise(_distributed(packed(sentences, max_sentences)), max_iter, reg)
+
+
+# ---------------------------------------------------------------- tagging
+
+def _labelled(shared, column: int):
+    """Batches with one more column: a digit per token of ``column`` (a text's characters, or an array of tokens)."""
+    def run(batches):
+        weights = shared.value.matrix()
+        for b in batches:
+            out = []
+            for x in b.column(column).to_pylist():
+                if x is None:
+                    out.append(None)
+                    continue
+                codes = (np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) if isinstance(x, str)
+                         else np.array([_PAD if t is None else token_code(t) for t in x], np.int64))
+                out.append((label_ids(weights, codes) + 48).astype(np.uint8).tobytes().decode())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "_labels"])
+    return run
+
+
+def _with_labels(model: LinearTagger, df: DataFrame, column: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*df.schema.fields, StructField("_labels", StringType())])
+    tags = F.transform(chars("_labels"), lambda c: F.get(tg.id2label(), c.cast("int")))
+    return df.mapInArrow(_labelled(shared, df.columns.index(column)), schema).withColumn("pred_tags", tags).drop("_labels")
+
+
+def predict_tags(model: LinearTagger, sentences: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Tag every token: ``sentences`` with ``pred_tags`` in token order (null tokens: null)."""
+    return _with_labels(model, sentences, tokens)
+
+
+def tag_notes(model: LinearTagger, df: DataFrame, key: str = "patient_id", text: str = "clinical_note",
               mode: str = "strict") -> DataFrame:
-    """H3: notes -> characters -> tags -> entities (key, start, end, type, text); whole notes."""
-    s = df.select(F.col(key), chars(text).alias("tokens")).where(F.size("tokens") > 0)
-    tagged = predict_tags(model, s, "tokens", keys=(key,))
+    """H3: notes -> characters -> tags -> entities (key, start, end, type, text); whole notes, no shuffle.
+
+    Null and empty notes have no entity.
+    """
+    notes = df.select(F.col(key), F.col(text).cast("string").alias(text)).where(F.length(text) > 0)
+    tagged = _with_labels(model, notes, text).withColumn("tokens", chars(text))
     from .bio import sentence_entities
     return sentence_entities(tagged, "tokens", "pred_tags", mode, keys=(key,))
 

@@ -200,7 +200,7 @@ _DOC_CHARS = f"""
                 CASE WHEN nxt IS NULL THEN 'O' ELSE {_TAG_SQL.format(c='nxt')} END AS pred FROM dn)"""
 
 
-def _islands(tag: str, keep: str, name: str) -> str:
+def islands(tag: str, keep: str, name: str) -> str:
     return f"""
   {name}_l AS (SELECT doc_id, pos, ch, {tag} AS tag,
                  lag({tag}) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM dt),
@@ -214,7 +214,7 @@ def _islands(tag: str, keep: str, name: str) -> str:
              FROM {name}_i GROUP BY doc_id, isl HAVING {keep.format(t='arg_min(tag, pos)')})"""
 
 
-_STRICT = "{t} LIKE 'B-%'"
+STRICT = "{t} LIKE 'B-%'"
 _LENIENT = "({t} LIKE 'B-%' OR {t} LIKE 'I-%')"
 
 _CONV_EX = """
@@ -280,11 +280,11 @@ ORACLE = {
     "bio_roundtrip": f"""
   WITH {_CONV_EX}
   SELECT tokens, tags FROM agg""",
-    "bio_decode": f"WITH {_DOC_CHARS}, {_islands('gold', _STRICT, 'ents')} SELECT * FROM ents",
-    "bio_decode_lenient": f"WITH {_DOC_CHARS}, {_islands('gold', _LENIENT, 'ents')} SELECT * FROM ents",
-    "bio_prf": f"WITH {_DOC_CHARS}, {_islands('gold', _LENIENT, 'g')}, {_islands('pred', _LENIENT, 'p')}"
+    "bio_decode": f"WITH {_DOC_CHARS}, {islands('gold', STRICT, 'ents')} SELECT * FROM ents",
+    "bio_decode_lenient": f"WITH {_DOC_CHARS}, {islands('gold', _LENIENT, 'ents')} SELECT * FROM ents",
+    "bio_prf": f"WITH {_DOC_CHARS}, {islands('gold', _LENIENT, 'g')}, {islands('pred', _LENIENT, 'p')}"
                + _prf_sql("g", "p"),
-    "bio_prf_strict_join": f"WITH {_DOC_CHARS}, {_islands('gold', _STRICT, 'g')}, {_islands('pred', _STRICT, 'p')}"
+    "bio_prf_strict_join": f"WITH {_DOC_CHARS}, {islands('gold', STRICT, 'g')}, {islands('pred', STRICT, 'p')}"
                            + _prf_sql("g", "p"),
     "bio_argmax": f"""
   WITH {_ARGMAX}
@@ -295,7 +295,7 @@ ORACLE = {
   sq AS (SELECT vec_id AS doc_id, k, ptag, gtag,
                 row_number() OVER (PARTITION BY vec_id ORDER BY k) - 1 AS pos FROM mk),
   dt AS (SELECT doc_id, pos, '' AS ch, gtag AS gold, ptag AS pred FROM sq),
-  {_islands('gold', _LENIENT, 'g')}, {_islands('pred', _LENIENT, 'p')}
+  {islands('gold', _LENIENT, 'g')}, {islands('pred', _LENIENT, 'p')}
   """ + _prf_sql("g", "p"),
     "bio_align": """
   WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS r

@@ -2,6 +2,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,79 @@ def test_tagger_learns_rule(spark):
     assert [(e.patient_id, e.start, e.end, e.text) for e in ents] == [("n1", 1, 2, "ab")]
 
 
+def _random_sentences(n, seed=4):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        toks = [rnd.choice(["a", "b", "x", "é", "\U0001F600", "long token"]) for _ in range(rnd.randint(0, 12))]
+        tags = ["B-DIS" if t == "a" else "I-DIS" if t == "b" and rnd.random() < 0.8 else "O" for t in toks]
+        out.append((i, toks, tags))
+    return out
+
+
+def test_distributed_fit_equals_a_plain_fit(spark):
+    sents = _random_sentences(150)
+    df = spark.createDataFrame(sents, "sent_id long, tokens array<string>, tags array<string>").repartition(5)
+    model = tagger.train_tagger(df, max_iter=12)
+    feats, labels = [], []
+    for _, toks, tags in sents:
+        codes = [tagger._PAD] * 2 + [tagger.token_code(t) for t in toks] + [tagger._PAD] * 2
+        for i, tag in enumerate(tags):
+            feats.append([(codes[i + s] * 5 + s) * 2654435761 % tagger.FEATURES for s in range(5)])
+            labels.append(tg.LABELS.index(tag))
+    feats, labels = np.array(feats), np.array(labels)
+    numbers = np.unique(feats)
+
+    def plain(m):
+        w, grad, loss = m.matrix(), np.zeros((tagger.FEATURES, len(tg.LABELS))), 0.0
+        for f, y in zip(feats, labels):
+            s = sum(w[k] for k in f)
+            p = np.exp(s - s.max())
+            p /= p.sum()
+            loss -= np.log(p[y])
+            p[y] -= 1
+            for k in f:
+                grad[k] += p
+        return loss / len(labels), grad[numbers] / len(labels), numbers
+    alone = tagger.minimise(plain, 12, 1e-6)
+    assert (model.features == alone.features).all() and np.abs(model.weights - alone.weights).max() < 1e-6
+    assert np.abs(model.weights).max() > 0.5
+
+
+def test_tagging_makes_no_shuffle_and_keeps_edges(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    model = tagger.LinearTagger(np.arange(tagger.FEATURES), rng.normal(size=(tagger.FEATURES, len(tg.LABELS))))
+    rnd = random.Random(3)
+    texts = [None, "", "a", "ab", "é\U0001F600x", "".join(rnd.choice("abc 病") for _ in range(tagger.CHUNK + 1000))]
+    notes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "patient_id int, clinical_note string")
+    ents = tagger.tag_notes(model, notes)
+    assert "Exchange" not in ents._jdf.queryExecution().executedPlan().toString()
+    w, want = model.matrix(), []
+    for i, t in enumerate(texts):
+        codes = [tagger._PAD] * 2 + [ord(c) for c in t or ""] + [tagger._PAD] * 2
+        tags = [tg.LABELS[int(np.argmax(sum(w[(codes[p + s] * 5 + s) * 2654435761 % tagger.FEATURES] for s in range(5))))] for p in range(len(codes) - 4)]
+        at = 0
+        while at < len(tags):
+            end = at + 1
+            if tags[at].startswith("B-"):
+                while end < len(tags) and tags[end] == "I-" + tags[at][2:]:
+                    end += 1
+                want.append((i, at, end - 1, tags[at][2:], t[at:end]))
+            at = end
+    assert sorted(map(tuple, ents.collect())) == sorted(want)
+    model.save(spark, str(tmp_path / "m"))
+    again = tagger.LinearTagger.load(spark, str(tmp_path / "m"))
+    assert (again.matrix() == w).all()
+    none = tagger.train_tagger(spark.createDataFrame([], "tokens array<string>, tags array<string>"))
+    assert tagger.tag_notes(none, notes).count() == 0
+
+
+def test_fit_is_bounded_by_its_parameter(spark):
+    df = spark.createDataFrame(_random_sentences(80), "sent_id long, tokens array<string>, tags array<string>")
+    n = sum(len(r.labels) for r in tagger.packed(df, 10).collect())
+    assert 0 < n < sum(len(r.labels) for r in tagger.packed(df).collect())
+
+
 def test_sources_corpus_requests(spark, tmp_path):
     (tmp_path / "c.txt").write_text("line one\n\nline three\n", encoding="utf-8")
     assert [r.text for r in bio_io.read_corpus(spark, str(tmp_path / "c.txt")).collect()] == ["line one", "", "line three"]

