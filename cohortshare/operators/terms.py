@@ -254,56 +254,58 @@ def match_rate(mapped: DataFrame) -> DataFrame:
 
 # --- H5: matching by embedding vectors -----------------------------------------------------
 
-def _cosine_best_udf(spark, block: pd.DataFrame):
-    mat = np.stack([np.asarray(v, dtype=np.float64) for v in block["vec"]])
-    bc = spark.sparkContext.broadcast((mat, np.linalg.norm(mat, axis=1), block["ord"].to_numpy(),
-                                       block["code"].tolist()))
-
-    @F.pandas_udf("struct<code string, score double, ord long>")
-    def best(vecs: pd.Series) -> pd.DataFrame:
-        mat, norms, ords, codes = bc.value
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in vecs]) if len(vecs) else \
-            np.zeros((0, mat.shape[1]))
-        xn = np.linalg.norm(x, axis=1)
-        den = np.outer(xn, norms)
-        sims = (x @ mat.T) / np.where(den == 0, 1.0, den)
-        i = np.argmax(sims, axis=1) if len(vecs) else np.zeros(0, dtype=int)  # first max = smallest ord
-        return pd.DataFrame({"code": [codes[j] for j in i], "score": sims[np.arange(len(i)), i],
-                             "ord": ords[i].astype("int64")})
-
-    return best
+TERM_ROWS = 65_536           # terms of a block
+VOCAB_ROWS = 16_384          # vocabulary entries of a block
+_PRODUCT_ROWS = 512          # terms multiplied at a time
+
+
+def _unit_rows(vectors: pd.Series, width: int) -> np.ndarray:
+    """A matrix of the vectors scaled to norm 1; null and zero vectors become zero rows."""
+    m = np.stack([np.zeros(width) if v is None else np.asarray(v, np.float64) for v in vectors])
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1.0, norms)
+
+
+def _best_in_block(key: str):
+    def run(terms: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
+        if terms.empty or vocab.empty:
+            return pd.DataFrame({key: pd.Series(dtype=object), "code": pd.Series(dtype=object),
+                                 "score": pd.Series(dtype=float), "ord": pd.Series(dtype="int64")})
+        vocab = vocab.sort_values("ord", kind="stable")
+        width = next((len(v) for v in [*vocab["vec"], *terms["vec"]] if v is not None), 0)
+        m, x = _unit_rows(vocab["vec"], width).T, _unit_rows(terms["vec"], width)
+        at, top = np.empty(len(x), np.int64), np.empty(len(x))
+        for a in range(0, len(x), _PRODUCT_ROWS):
+            sims = np.round(x[a:a + _PRODUCT_ROWS] @ m, 12)          # equal vectors tie whatever the order of additions
+            at[a:a + _PRODUCT_ROWS] = sims.argmax(axis=1)            # first maximum: smallest ord
+            top[a:a + _PRODUCT_ROWS] = sims.max(axis=1)
+        return pd.DataFrame({key: terms[key].astype(object), "code": vocab["code"].astype(object).to_numpy()[at], "score": top,
+                             "ord": vocab["ord"].to_numpy()[at]})
+    return run
 
 
 def match_by_embedding(terms: DataFrame, vocab: DataFrame, *, key: str = "term", vec: str = "vec",
-                       block_rows: int = 50_000) -> DataFrame:
-    """H5: best vocabulary entry by vector cosine -> (key, code, score).
-
-    ``vocab`` has (ord, code, vec).  The vocabulary is scored in blocks of at
-    most ``block_rows`` entries; each block goes to the executors as a broadcast
-    matrix and every batch of terms is scored by one matrix product (Arrow
-    batches).  Across blocks the best is kept by (score, -ord), so the result is
-    exact for any vocabulary size without a cross join.
+                       term_rows: int = TERM_ROWS, vocab_rows: int = VOCAB_ROWS) -> DataFrame:
+    """H5: best vocabulary entry by vector cosine -> (key, code, score), one row per distinct ``key``.
+
+    ``vocab`` has (ord, code, vec).  Both sides are dealt to blocks by hashes, of half the given rows on average; a term
+    goes to every vocabulary block and an entry to every term block, and each pair of blocks meets in one task, as one
+    matrix product.  Across the blocks the best is kept by (score, -ord) with partial maxima.  Neither side goes through
+    the driver, and no task holds more than two blocks.  Only scores above 0 win; a null or zero vector, and an empty
+    vocabulary, match nothing.
     """
-    n = vocab.count()
-    # hashed ordinals spread any ord pattern evenly; blocks average half the limit
-    nblocks = 1 if n <= block_rows else -(-2 * n // block_rows)
-    v = vocab.select(F.col("ord").cast("long").alias("ord"), "code", F.col(vec).alias("vec"))
-    parts = []
-    for b in range(nblocks):
-        blk = v.where(F.pmod(F.xxhash64("ord"), F.lit(nblocks)) == b) if nblocks > 1 else v
-        blk = blk.limit(block_rows + 1).toPandas().sort_values("ord")   # hard bound on what reaches the driver
-        if len(blk) > block_rows:
-            raise ValueError(f"vocabulary block over {block_rows} rows; raise block_rows or check ord values")
-        if blk.empty:
-            continue
-        udf = _cosine_best_udf(terms.sparkSession, blk)
-        parts.append(terms.select(key, udf(F.col(vec)).alias("b")))
-    if not parts:                                # an empty vocabulary matches nothing
-        return terms.select(key, F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("score"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    if len(parts) > 1:
-        res = res.groupBy(key).agg(F.max_by("b", F.struct(F.col("b.score"), -F.col("b.ord"))).alias("b"))
-    wins = F.col("b.score") > 0                  # only scores above 0 win, as for the hybrid score
-    return res.select(key, F.when(wins, F.col("b.code")).alias("code"), F.when(wins, F.col("b.score")).otherwise(F.lit(0.0)).alias("score"))
+    kind = terms.schema[key].dataType.simpleString()
+    t = terms.select(key, F.col(vec).cast("array<double>").alias("vec")).distinct()
+    v = vocab.select(F.col("ord").cast("long").alias("ord"), "code", F.col(vec).cast("array<double>").alias("vec"))
+    n_t, n_v = (max(1, -(-2 * df.count() // rows)) for df, rows in ((t, term_rows), (v, vocab_rows)))
+
+    def dealt(df, own, n_own, other, n_other):
+        return (df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(n_own)))
+                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long")))))
+    t, v = dealt(t, "_t", n_t, "_v", n_v), dealt(v, "_v", n_v, "_t", n_t)
+    met = (t.groupBy("_t", "_v").cogroup(v.groupBy("_t", "_v"))
+           .applyInPandas(_best_in_block(key), f"`{key}` {kind}, code string, score double, ord long"))
+    wins = met.where("score > 0").groupBy(key).agg(F.max_by(F.struct("code", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b"))
+    every = terms.select(key).distinct()
+    return every.join(wins, every[key].eqNullSafe(wins[key]), "left").select(
+        every[key], F.col("b.code").alias("code"), F.coalesce("b.score", F.lit(0.0)).alias("score"))

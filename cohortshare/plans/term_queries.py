@@ -74,15 +74,11 @@ def q_term_large_vocab(spark, sf_dir):
 
 
 def q_term_embedding(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    # vocabulary: one centroid per label (a concept vector), derived from the table
-    exploded = e.select("label", F.posexplode("embedding").alias("i", "x"))
-    cent = (exploded.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-            .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("xs"))
-            .select(F.col("label").alias("ord"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("code"),
-                    F.transform("xs", lambda s: s["x"]).alias("vec")))
-    terms = e.select("vec_id", F.col("embedding").alias("vec"))
-    res = tm.match_by_embedding(terms, cent, key="vec_id")
+    """H5: every vector against the vectors whose id ends in 0 as the vocabulary."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    vocab = e.where(F.col("vec_id") % 10 == 0).select(
+        F.col("vec_id").alias("ord"), F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("code"), "vec")
+    res = tm.match_by_embedding(e, vocab, key="vec_id")
     return res.select("vec_id", "code", F.round("score", 6).alias("score"))
 
 
@@ -157,18 +153,14 @@ ORACLE = {
          round(avg(CASE WHEN best >= 0.85 THEN 1.0 ELSE 0.0 END), 6) AS hybrid_rate
   FROM mapped""",
     "term_embedding": """
-  WITH ex AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings),
-  cent AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS c FROM ex GROUP BY label, i),
-  dots AS (SELECT ex.vec_id, cent.label, sum(CAST(ex.x AS DOUBLE) * cent.c) AS d
-           FROM ex JOIN cent ON ex.i = cent.i GROUP BY 1, 2),
-  vn AS (SELECT vec_id, sqrt(sum(CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS n FROM ex GROUP BY vec_id),
-  cn AS (SELECT label, sqrt(sum(c * c)) AS n FROM cent GROUP BY label),
-  sc AS (SELECT dots.vec_id, dots.label,
-                d / (CASE WHEN vn.n * cn.n = 0 THEN 1.0 ELSE vn.n * cn.n END) AS s
-         FROM dots JOIN vn ON dots.vec_id = vn.vec_id JOIN cn ON dots.label = cn.label)
-  SELECT vec_id, 'L' || CAST(label AS VARCHAR) AS code, round(s, 6) AS score FROM (
-    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label ASC) AS rn FROM sc) r
-  WHERE rn = 1""",
+  WITH u AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n
+             FROM (SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x FROM embeddings)),
+  sc AS (SELECT t.vec_id, v.vec_id AS ord,
+                round(list_sum(list_transform(list_zip(t.x, v.x), lambda z: z[1] * z[2]))
+                      / (CASE WHEN t.n * v.n = 0 THEN 1.0 ELSE t.n * v.n END), 12) AS s
+         FROM u t JOIN u v ON v.vec_id % 10 = 0),
+  best AS (SELECT vec_id, ord, s FROM sc WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, ord) = 1)
+  SELECT u.vec_id, 'V' || CAST(ord AS VARCHAR) AS code, round(coalesce(s, 0.0), 6) AS score FROM u LEFT JOIN best USING (vec_id)""",
 }
 
 _LONG_WORDS = """SELECT w, count(*) AS uses FROM (

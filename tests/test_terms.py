@@ -75,7 +75,7 @@ def test_embedding_blocks_equal_single_block(spark):
     terms = spark.createDataFrame([(j, [rnd.uniform(-1, 1) for _ in range(5)]) for j in range(100)],
                                   "term long, vec array<double>")
     a = {r.term: (r.code, round(r.score, 12)) for r in tm.match_by_embedding(terms, vocab).collect()}
-    b = {r.term: (r.code, round(r.score, 12)) for r in tm.match_by_embedding(terms, vocab, block_rows=7).collect()}
+    b = {r.term: (r.code, round(r.score, 12)) for r in tm.match_by_embedding(terms, vocab, term_rows=30, vocab_rows=7).collect()}
     assert a == b and len(a) == 100
 
 
@@ -91,6 +91,11 @@ def test_embedding_scores_above_zero_only(spark):
     t = spark.createDataFrame([("p", [2.0, 1.0]), ("n", [-1.0, -2.0])], "term string, vec array<double>")
     assert {r.term: (r.code, r.score > 0) for r in tm.match_by_embedding(t, v).collect()} == {"p": ("A", True), "n": (None, False)}
     assert {(r.code, r.score) for r in tm.match_by_embedding(t, v.limit(0)).collect()} == {(None, 0.0)}
+    odd = spark.createDataFrame([("z", [0.0, 0.0]), ("n", None), (None, [0.0, 3.0]), ("p", [0.0, 1.0]), ("p", [0.0, 1.0])], "term string, vec array<double>")
+    same = v.unionByName(spark.createDataFrame([(0, "C", [0.0, 5.0])], "ord long, code string, vec array<double>"))
+    assert {r.term: (r.code, round(r.score, 9)) for r in tm.match_by_embedding(odd, same).collect()} == {
+        "z": (None, 0.0), "n": (None, 0.0), None: ("C", 1.0), "p": ("C", 1.0)}
+    assert tm.match_by_embedding(odd.limit(0), v).count() == 0
 
 
 def _large_case(spark, alphabet, weights, n_names=500, n_terms=250):
