@@ -87,10 +87,17 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _tokenise(path: str, capacity: int):
+def _tokenise(path: str, capacity: int, forget: bool):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
+        try:
+            yield from pieces(batches)
+        finally:
+            if forget:
+                word_ids.cache_clear()
+
+    def pieces(batches):
         ids = word_ids(path)
         for b in batches:
             rows = []
@@ -106,9 +113,13 @@ def _tokenise(path: str, capacity: int):
     return run
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32. Null or empty text: the end id alone."""
-    return id_and_text(docs).mapInArrow(tidy(_tokenise(path or vocabulary_path(), capacity)), _PIECES)
+def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, forget: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32. Null or empty text: the end id alone.
+
+    A Python worker keeps the vocabulary and the words it has met for its next task; with ``forget`` it gives them up
+    at the end of each task, for jobs in which it does other work afterwards.
+    """
+    return id_and_text(docs).mapInArrow(tidy(_tokenise(path or vocabulary_path(), capacity, forget)), _PIECES)
 
 
 # ---------------------------------------------------------------- plan (lengths only)
@@ -259,7 +270,7 @@ def _number_rows(batches):
                                          [*b.schema.names, "part", "place"])
 
 
-def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, groups: int = GROUPS, forget: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Only documents of more than ``capacity`` tokens are cut, into full pieces and a last, maybe shorter one. A null
@@ -267,7 +278,7 @@ def best_fit_pack(docs: DataFrame, path: str | None = None, capacity: int = CAPA
     rows: no rows.
     """
     spark = docs.sparkSession
-    pieces = stored(token_pieces(docs, path, capacity), "token-pieces")
+    pieces = stored(token_pieces(docs, path, capacity, forget), "token-pieces")
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan(histogram, capacity, groups)
     ordered = pieces.repartitionByRange("length", "doc_id", "piece", "ids_crc32").sortWithinPartitions(
