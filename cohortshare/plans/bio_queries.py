@@ -72,6 +72,12 @@ def q_json_examples(spark, sf_dir):
     return _bio_out(ex, keys=("text",))
 
 
+def q_json_array_examples(spark, sf_dir):
+    path = scratch_path(spark, "examples-array")
+    bio_io.write_examples(conversation_examples(spark, sf_dir), path, array=True)
+    return _bio_out(bio.convert_examples(bio_io.read_examples(spark, path)), keys=("text",))
+
+
 def q_bio_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "bio")
     bio_io.write_bio(bio.convert_examples(conversation_examples(spark, sf_dir)), path)
@@ -176,6 +182,7 @@ QUERIES = {
     "bio_from_spans": q_bio_from_spans,
     "bio_example_count": q_bio_example_count,
     "json_examples": q_json_examples,
+    "json_array_examples": q_json_array_examples,
     "bio_roundtrip": q_bio_roundtrip,
     "bio_decode": q_bio_decode,
     "bio_decode_lenient": q_bio_decode_lenient,
@@ -343,6 +350,7 @@ def q_csv_roundtrip(spark, sf_dir):
 
 
 QUERIES["csv_roundtrip"] = q_csv_roundtrip
+ORACLE["json_array_examples"] = ORACLE["json_examples"]
 ORACLE["csv_roundtrip"] = """
   SELECT 'C' || CAST(c_custkey AS VARCHAR) AS patient_id,
          CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS age_months,

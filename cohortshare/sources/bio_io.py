@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tags import LABELS
 from ..schemas import EXAMPLE
+from .spanning import read_json_array
 
 
 def read_examples(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """A3: one JSON array of {text, entities[]} (or JSON Lines with ``multiline=False``).
+    """A3: one JSON array of {text, entities[]} a file (or JSON Lines with ``multiline=False``).
 
     Missing ``entities`` becomes an empty list.  One row per example, with
-    ``ex_id`` an opaque id taken right after the read.
+    ``ex_id`` an opaque id taken right after the read.  An array is read by as
+    many tasks as its file has splits.
     """
-    df = spark.read.schema(EXAMPLE).option("multiLine", multiline).json(path)
+    df = read_json_array(spark, path, EXAMPLE) if multiline else spark.read.schema(EXAMPLE).json(path)
     return df.select(F.monotonically_increasing_id().alias("ex_id"), "text",
                      F.coalesce("entities", F.array().cast(EXAMPLE["entities"].dataType)).alias("entities"))
 
 
-def write_examples(df: DataFrame, path: str) -> None:
-    """JSON Lines of {text, entities} (the splittable form of A3's input)."""
-    df.select("text", "entities").write.mode("overwrite").json(path)
+def _as_array(batches):
+    """The lines of a partition as one JSON array."""
+    mark = "["
+    for b in batches:
+        lines = [mark + line if i == 0 else "," + line for i, line in enumerate(b.column(0).to_pylist())]
+        if lines:
+            mark = ","
+            yield pa.RecordBatch.from_pydict({"value": lines})
+    yield pa.RecordBatch.from_pydict({"value": ["]" if mark == "," else "[]"]})
+
+
+def write_examples(df: DataFrame, path: str, array: bool = False) -> None:
+    """JSON Lines of {text, entities}, or with ``array`` one JSON array a file."""
+    df = df.select("text", "entities")
+    if array:
+        lines = df.select(F.to_json(F.struct("text", "entities")).alias("value"))
+        lines.mapInArrow(_as_array, "value string").write.mode("overwrite").text(path)
+    else:
+        df.write.mode("overwrite").json(path)
 
 
 def bio_text(pairs) -> F.Column:

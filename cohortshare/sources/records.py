@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RECORD
+from .spanning import read_csv
 
 # Texts read as missing (the CSV reader defaults the reference relies on).
 NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -23,9 +24,9 @@ def read_records(spark: SparkSession, path: str, numeric=None, fmt: str = "csv",
     as if it were missing: ``bad="fail"`` raises on it, ``bad="report"`` makes it
     NULL and lists it in a column ``bad_cells`` (``column=text``).
 
-    ``multiline`` allows quoted newlines in notes, for which a file is read by one
-    task; without them (``multiline=False``) files are split.  At scale keep records in
-    Parquet (``fmt='parquet'``).
+    ``multiline`` allows quoted newlines in notes: many tasks read a file, after a scan
+    for the quotes open at each split's start.  Files without quoted newlines
+    (``multiline=False``) need no such scan.
     """
     if bad not in ("fail", "report"):
         raise ValueError(f"bad must be fail or report, not {bad!r}")
@@ -34,8 +35,7 @@ def read_records(spark: SparkSession, path: str, numeric=None, fmt: str = "csv",
         df = spark.read.parquet(path)
         return df.withColumns({c: F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c))
                                for c in df.columns if c in numeric})
-    df = (spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-          .option("inferSchema", False).csv(path))
+    df = read_csv(spark, path) if multiline else spark.read.options(header=True, escape='"', inferSchema=False).csv(path)
     na = F.array(*[F.lit(x) for x in NA_VALUES])
     cols, unread = {}, []
     for c in df.columns:
