@@ -45,10 +45,14 @@ def _num(c: str) -> Column:
     return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
 
 
+def missing_cells(cols=NUMERIC_COLS) -> Column:
+    """D1 as an aggregate, also for ``observe``: the missing (NULL or NaN) cells over ``cols``."""
+    return reduce(lambda a, b: a + b, [F.count(F.when(_num(c).isNull(), 1)) for c in cols]).cast("bigint")
+
+
 def count_missing(df: DataFrame, cols=NUMERIC_COLS) -> DataFrame:
     """Total missing (NULL or NaN) cells over ``cols``."""
-    return df.agg(reduce(lambda a, b: a + b, [F.count(F.when(_num(c).isNull(), 1)) for c in cols])
-                  .cast("bigint").alias("n_missing"))
+    return df.agg(missing_cells(cols).alias("n_missing"))
 
 
 def missing_pattern(cols) -> Column:

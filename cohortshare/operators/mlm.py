@@ -6,7 +6,8 @@ whole text is used, and 15 % of the tokens are chosen; of those, 80 % become
 ``[MASK]``, 10 % a random vocabulary token and 10 % stay.  Labels exist only at
 chosen positions.  Every draw is a keyed hash of (salt, doc, block, position),
 so a re-run or a retried task gives the same rows; the vocabulary is the
-corpus's distinct characters in byte order, broadcast after a size check.
+corpus's distinct characters in byte order, a constant of the plan after a
+size check (there are at most 1,114,112 code points).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chars, is_space_char
+from ..functions.text import WHITESPACE_CHARS, chars, is_space_char
 
 MLM_PROBABILITY = 0.15
 MASK_TOKEN = "[MASK]"
@@ -56,39 +57,45 @@ def corpus_vocab(corpus: DataFrame, text: str = "text", limit: int = MAX_VOCAB)
     return sorted(got, key=lambda t: t.encode("utf-8"))
 
 
-def mlm_examples(corpus: DataFrame, key: str = "doc_id", text: str = "text", *, salt: str = "",
-                 probability: float = MLM_PROBABILITY, max_len: int = MAX_LEN) -> DataFrame:
-    """Sparse rows of the chosen positions: (key, block, pos, label, input)."""
-    vlist = corpus_vocab(corpus, text)
-    spark = corpus.sparkSession
-    vdf = F.broadcast(spark.createDataFrame(list(enumerate(vlist)), "ridx long, rtoken string"))
-    toks = corpus_tokens(corpus, key, text, max_len)
-    m = F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"), F.col("block").cast("string"),
-                          F.col("pos").cast("string")))
-    u = lambda a: (_h(F.col("_m"), a, 8).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
-    hashed = toks.select(key, "block", "pos", "token", m.alias("_m"))
-    # (h + 0.5) / 2^32 < p  <=>  h < T  <=>  the 8 hex digits sort below hex(T): no conversion per token
-    chosen = (hashed.where(F.substring("_m", 1, 8) < F.lit(_hex_threshold(probability)))
-              .select(key, "block", "pos", "token", u(9).alias("u_kind"),
-                      (_h(F.col("_m"), 17, 8) % F.lit(len(vlist))).alias("ridx")))
-    j = chosen.join(vdf, "ridx", "left")
-    inp = (F.when(F.col("u_kind") < 0.8, F.lit(MASK_TOKEN)).when(F.col("u_kind") < 0.9, F.col("rtoken"))
-           .otherwise(F.col("token")))
-    return j.select(key, "block", "pos", F.col("token").alias("label"), inp.alias("input"))
+def _drawn(corpus: DataFrame, key: str, text: str, salt: str, probability: float, max_len: int) -> DataFrame:
+    """(key, block, xs): per block an array of (token, label, input), label null where the position isn't chosen.
 
+    A text is cut into block strings first, so a row holds one block; the draws of its positions and the random tokens
+    (places in the vocabulary, a constant of the plan) are array expressions in the row.
+    """
+    vocab = corpus_vocab(corpus, text)
+    solid = F.translate(F.col(text), "".join(WHITESPACE_CHARS), "")
+    pieces = F.regexp_extract_all(solid, F.lit(f"(?s).{{1,{max_len - 2}}}"), F.lit(0))
+    blocks = (corpus.select(key, F.posexplode(pieces).alias("block", "_s"))
+              .select(key, F.col("block").cast("long").alias("block"), chars("_s").alias("_t")))
+    place = F.concat_ws("|", F.lit(salt), F.col(key).cast("string"), F.col("block").cast("string"))
+    hashed = F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.md5(
+        F.concat_ws("|", place, (i + 1).cast("string"))).alias("m")))
+    # (h + 0.5) / 2^32 < p  <=>  h < T  <=>  the 8 hex digits sort below hex(T): no conversion per token
+    chosen = lambda x: F.substring(x["m"], 1, 8) < F.lit(_hex_threshold(probability))
+    kind = lambda x: (_h(x["m"], 9, 8).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    other = lambda x: F.get(chars(F.lit("".join(vocab))), (_h(x["m"], 17, 8) % F.lit(len(vocab))).cast("int"))
+    draw = lambda x: F.struct(
+        x["token"].alias("token"), F.when(chosen(x), x["token"]).alias("label"),
+        F.when(~chosen(x), x["token"]).when(kind(x) < 0.8, F.lit(MASK_TOKEN)).when(kind(x) < 0.9, other(x))
+        .otherwise(x["token"]).alias("input"))
+    return blocks.select(key, "block", F.transform(hashed, draw).alias("xs"))
 
-def mlm_blocks(corpus: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """Dense training rows: (key, block, input_tokens, labels) with -100 semantics as NULL labels.
 
-    One group per block (at most ``max_len`` tokens), so no group is unbounded.
-    """
-    toks = corpus_tokens(corpus, key, text, kw.get("max_len", MAX_LEN))  # same blocks as the sparse rows
-    ch = mlm_examples(corpus, key, text, **kw)
-    full = toks.join(ch.select(key, "block", "pos", "label", "input"), [key, "block", "pos"], "left")
-    rows = full.groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct(
-        "pos", F.coalesce("input", "token").alias("inp"), "label"))).alias("xs"))
+def mlm_examples(corpus: DataFrame, key: str = "doc_id", text: str = "text", *, salt: str = "",
+                 probability: float = MLM_PROBABILITY, max_len: int = MAX_LEN) -> DataFrame:
+    """Sparse rows of the chosen positions: (key, block, pos, label, input).  No shuffle, no row per character."""
+    rows = _drawn(corpus, key, text, salt, probability, max_len)
+    picked = F.filter(F.transform("xs", lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x["label"].alias("label"),
+                                                              x["input"].alias("input"))), lambda x: x["label"].isNotNull())
+    return rows.select(key, "block", F.inline(picked))
+
+
+def mlm_blocks(corpus: DataFrame, key: str = "doc_id", text: str = "text", *, salt: str = "",
+               probability: float = MLM_PROBABILITY, max_len: int = MAX_LEN) -> DataFrame:
+    """Dense training rows: (key, block, input_tokens, labels) with -100 semantics as NULL labels; no shuffle."""
+    rows = _drawn(corpus, key, text, salt, probability, max_len)
+    none = F.array(F.lit(None).cast("string"))
     return rows.select(key, "block",
-                       F.concat(F.array(F.lit("[CLS]")), F.transform("xs", lambda x: x["inp"]),
-                                F.array(F.lit("[SEP]"))).alias("input_tokens"),
-                       F.concat(F.array(F.lit(None).cast("string")), F.transform("xs", lambda x: x["label"]),
-                                F.array(F.lit(None).cast("string"))).alias("labels"))
+                       F.concat(F.array(F.lit("[CLS]")), F.col("xs.input"), F.array(F.lit("[SEP]"))).alias("input_tokens"),
+                       F.concat(none, F.col("xs.label"), none).alias("labels"))

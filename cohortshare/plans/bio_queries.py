@@ -4,7 +4,7 @@
   some overlapping, some of unmapped type, some out of range, some missing.
 * documents -> character tags by a fixed rule on the character (gold), and the
   same rule shifted by one position (prediction).
-* embeddings -> 9 tokens x 7 logits per vector, gold ids from the label.
+* embeddings -> 10 tokens x 7 logits per vector of 64 components (the last token wraps around), gold ids from the label.
 """
 
 from __future__ import annotations
@@ -138,8 +138,9 @@ def q_bio_prf_strict_join(spark, sf_dir):
 
 def logits_table(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    logits = F.array(*[F.slice("embedding", 7 * k + 1, 7) for k in range(9)])
-    gold = F.transform(F.array(*[F.lit(k) for k in range(9)]), lambda k: F.when(
+    ring = F.concat("embedding", F.slice("embedding", 1, 6))          # the tenth token's logits go on at the start
+    logits = F.array(*[F.slice(ring, 7 * k + 1, 7) for k in range(10)])
+    gold = F.transform(F.array(*[F.lit(k) for k in range(10)]), lambda k: F.when(
         (F.col("vec_id") + k) % 5 == 0, F.lit(tg.IGNORE)).otherwise(((F.col("label") + k) % 7).cast("int")))
     return e.select("vec_id", logits.alias("logits"), gold.alias("labels"))
 
@@ -252,8 +253,8 @@ _CONV_EX = """
           FROM tg GROUP BY conv_id, turn)"""
 
 _ARGMAX = """
-  lk AS (SELECT vec_id, label, k, embedding[7 * k + 1 : 7 * k + 7] AS l
-         FROM embeddings, range(9) r(k)),
+  lk AS (SELECT vec_id, label, k, list_concat(embedding, embedding[1:6])[7 * k + 1 : 7 * k + 7] AS l
+         FROM embeddings, range(10) r(k)),
   pk AS (SELECT vec_id, k,
                 CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS pred,
                 CASE WHEN (vec_id + k) % 5 = 0 THEN -100 ELSE CAST((label + k) % 7 AS INTEGER) END AS gold

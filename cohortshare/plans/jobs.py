@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bio, deid, impute, terms
@@ -11,19 +11,20 @@ from ..sources.vocab import default_vocab
 
 
 def impute_job(spark: SparkSession, inp: str, out: str, fmt: str = "csv", **kw) -> int:
-    """Read records, count missing cells, impute, write.  Returns the count."""
-    df = records.read_records(spark, inp, fmt=fmt)
-    n = impute.count_missing(df).first().n_missing
+    """Read records, impute, write.  Returns the count of missing cells, observed in the pass that fits."""
+    seen = Observation()
+    df = records.read_records(spark, inp, fmt=fmt).observe(seen, impute.missing_cells().alias("n_missing"))
     records.write_records(impute.impute(df, **kw), out, fmt=fmt)
-    return int(n)
+    return int(seen.get["n_missing"])
 
 
 def convert_job(spark: SparkSession, inp: str, out: str, type_map: dict | None = None,
                 multiline: bool = True) -> int:
-    """Annotated examples (JSON) -> BIO text.  Returns the example count."""
-    ex = bio.convert_examples(bio_io.read_examples(spark, inp, multiline=multiline), type_map=type_map)
-    bio_io.write_bio(ex, out)
-    return int(bio.count_examples(ex).first().n_examples)
+    """Annotated examples (JSON) -> BIO text.  Returns the example count, observed while writing."""
+    seen = Observation()
+    ex = bio_io.read_examples(spark, inp, multiline=multiline).observe(seen, F.count(F.lit(1)).alias("n_examples"))
+    bio_io.write_bio(bio.convert_examples(ex, type_map=type_map), out)
+    return int(seen.get["n_examples"])
 
 
 def map_terms_job(spark: SparkSession, df: DataFrame, term_col: str = "disease_name_raw",

@@ -51,19 +51,26 @@ def q_tagger_fixed(spark, sf_dir):
 
 
 def q_mlm_examples(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return mlm.mlm_examples(d, "doc_id", "text", salt=SALT)
 
 
+def q_mlm_dense(spark, sf_dir):
+    """H4 as training rows: a block's inputs and labels, -100 where nothing is to be predicted."""
+    rows = mlm.mlm_blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", salt=SALT)
+    return rows.select("doc_id", "block", F.array_join("input_tokens", " ").alias("input_tokens"),
+                       F.array_join("labels", " ", "-100").alias("labels"))
+
+
 QUERIES = {
     "tagger_fit_tag": q_tagger_fit_tag,
     "tagger_prf": q_tagger_prf,
     "tagger_fixed": q_tagger_fixed,
     "mlm_examples": q_mlm_examples,
+    "mlm_dense": q_mlm_dense,
 }
 
-ORACLE = {
-    "mlm_examples": f"""
+_MLM_DRAWS = f"""
   WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i
              FROM documents WHERE length(text) > 0),
   t AS (SELECT doc_id, ch AS token, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ti
@@ -77,10 +84,18 @@ ORACLE = {
                (CAST(('0x' || substr(m, 1, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u_sel,
                (CAST(('0x' || substr(m, 9, 8)) AS BIGINT) + 0.5) / 4294967296.0 AS u_kind,
                CAST(('0x' || substr(m, 17, 8)) AS BIGINT) % (SELECT n FROM nv) AS ridx
-        FROM h)
-  SELECT doc_id, block, pos, token AS label,
-         CASE WHEN u_kind < 0.8 THEN '[MASK]' WHEN u_kind < 0.9 THEN v.rtoken ELSE token END AS input
-  FROM u LEFT JOIN v USING (ridx) WHERE u_sel < 0.15""",
+        FROM h),
+  d AS (SELECT doc_id, block, pos, token, u_sel < 0.15 AS chosen,
+               CASE WHEN u_sel >= 0.15 THEN token WHEN u_kind < 0.8 THEN '[MASK]' WHEN u_kind < 0.9 THEN v.rtoken
+                    ELSE token END AS input
+        FROM u LEFT JOIN v USING (ridx))"""
+
+ORACLE = {
+    "mlm_examples": _MLM_DRAWS + " SELECT doc_id, block, pos, token AS label, input FROM d WHERE chosen",
+    "mlm_dense": _MLM_DRAWS + """
+  SELECT doc_id, block, '[CLS] ' || string_agg(input, ' ' ORDER BY pos) || ' [SEP]' AS input_tokens,
+         '-100 ' || string_agg(CASE WHEN chosen THEN token ELSE '-100' END, ' ' ORDER BY pos) || ' -100' AS labels
+  FROM d GROUP BY doc_id, block""",
 }
 
 

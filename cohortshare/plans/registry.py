@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["deid_queries", "term_queries", "bio_queries", "ledger_queries", "impute_queries", "stream_queries", "learn_queries"]
+_MODULES = ["deid_queries", "term_queries", "bio_queries", "ledger_queries", "impute_queries", "stream_queries", "learn_queries",
+            "file_queries"]
 
 
 def _mods():

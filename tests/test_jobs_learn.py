@@ -252,3 +252,19 @@ def test_governance_run_returns_all_three_results(spark):
     assert all(r.status for r in rows) and any(r.entities for r in rows)
     assert {r.report.records_out for r in rows} == {len(rows)} and len({r.patient_id for r in rows}) == len(rows)
     assert all(e.text and len(e.text) == e.end - e.start + 1 for r in rows for e in r.entities)
+
+
+def test_mlm_dense_equals_sparse_without_shuffle(spark):
+    text = "ab  cd　e\n" * 30 + "𝒳é"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, " \n"), (5, "x")], "doc_id long, text string")
+    rows = mlm.mlm_blocks(docs, salt="q", max_len=12)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    sparse = {(r.doc_id, r.block, r.pos): r for r in mlm.mlm_examples(docs, salt="q", max_len=12).collect()}
+    texts = {1: "", 5: ""}
+    for r in sorted(rows.collect()):
+        assert r.input_tokens[0] == "[CLS]" and r.input_tokens[-1] == "[SEP]" and len(r.labels) <= 12
+        for pos, (token, label) in enumerate(zip(r.input_tokens, r.labels)):
+            got = sparse.pop((r.doc_id, r.block, pos), None)
+            assert (got is None) == (label is None) and (got is None or (got.label, got.input) == (label, token))
+        texts[r.doc_id] += "".join(b or a for a, b in zip(r.input_tokens[1:-1], r.labels[1:-1]))
+    assert not sparse and texts == {1: "".join(text.split()), 5: "x"}
