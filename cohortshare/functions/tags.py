@@ -33,31 +33,62 @@ def indices(arr: Column) -> Column:
     return F.transform(arr, lambda x, i: i)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once (an expression named in a lambda is computed per element)."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+_OPEN = "array<struct<k:int,s:int,t:string>>"
+_STRETCHES = "array<struct<from:int,size:int,s:int,t:string>>"
+
+
+def _stretches(ents: Column, n: Column) -> Column:
+    """The text cut where a span starts or ends: each stretch with the last span in the list that covers it, or none.
+
+    A sweep over the sorted ends keeps the spans open at a place.
+    """
+    ends = F.array_sort(F.flatten(F.transform(ents, lambda e, k: F.array(
+        F.struct(e["s"].alias("at"), k.alias("k"), F.lit(True).alias("opens"), e["s"].alias("s"), e["t"].alias("t")),
+        F.struct((e["e"] + 1).alias("at"), k.alias("k"), F.lit(False).alias("opens"), e["s"].alias("s"),
+                 e["t"].alias("t"))))))
+
+    def stretch(start, to, top):
+        return F.array(F.struct(start.alias("from"), (to - start).alias("size"), top["s"].alias("s"), top["t"].alias("t")))
+
+    def step(acc, x):
+        still = F.when(x["opens"], F.array_append(acc["open"], F.struct(x["k"].alias("k"), x["s"].alias("s"), x["t"].alias("t")))
+                       ).otherwise(F.filter(acc["open"], lambda o: o["k"] != x["k"]))
+        done = F.when(x["at"] > acc["from"], F.concat(acc["done"], stretch(acc["from"], x["at"], F.array_max(acc["open"]))))
+        return F.struct(x["at"].alias("from"), still.alias("open"), done.otherwise(acc["done"]).alias("done"))
+
+    none = F.array().cast(_OPEN)
+    start = F.struct(F.lit(0).alias("from"), none.alias("open"), F.array().cast(_STRETCHES).alias("done"))
+    return F.aggregate(ends, start, step, lambda acc: F.concat(
+        acc["done"], stretch(acc["from"], n, F.array_max(acc["open"]))))
+
+
 def spans_to_bio(text, entities, type_map: dict | None = None) -> Column:
     """B10-B12 + C3: array<struct<ch, tag>>, one entry per character of ``text``.
 
     Entities of unmapped/missing type or invalid span (start < 0, end >= len,
-    start > end; end inclusive) are ignored; the others are applied in list
-    order, later ones overwriting earlier ones (a fold over the entities, each
-    step one pass over the tag array: O(entities x length), every array
-    evaluated once).
+    start > end; end inclusive) are ignored; of the others the last one in the
+    list decides each character it covers.  The cost grows with the text and
+    with the spans times those open at one place, not with their product.
+    A null text gives null.
     """
     text = col_of(text)
     tm = map_lit(TYPE_MAP if type_map is None else type_map)
-    cs = chars(text)
-    n = F.size(cs)
-    ents = F.transform(F.coalesce(col_of(entities), F.array()),
-                       lambda e: F.struct(e["start_idx"].alias("s"), e["end_idx"].alias("e"),
-                                          F.element_at(tm, e["type"]).alias("t")))
-    ents = F.filter(ents, lambda e: e["t"].isNotNull() & (e["s"] >= 0) & (e["e"] < n) & (e["s"] <= e["e"]))
-    init = F.transform(cs, lambda c: F.lit("O"))
-
-    def apply(acc, e):
-        return F.transform(acc, lambda t, i: F.when(i == e["s"], F.concat(F.lit("B-"), e["t"]))
-                           .when((i > e["s"]) & (i <= e["e"]), F.concat(F.lit("I-"), e["t"]))
-                           .otherwise(t))
-    tags = F.aggregate(ents, init, apply)
-    return F.zip_with(cs, tags, lambda c, t: F.struct(c.alias("ch"), t.alias("tag")))
+
+    def tagged(n):
+        ents = F.transform(F.coalesce(col_of(entities), F.array()),
+                           lambda e: F.struct(e["start_idx"].cast("int").alias("s"), e["end_idx"].cast("int").alias("e"),
+                                              F.element_at(tm, e["type"]).alias("t")))
+        ents = F.filter(ents, lambda e: e["t"].isNotNull() & (e["s"] >= 0) & (e["e"] < n) & (e["s"] <= e["e"]))
+        return F.flatten(F.transform(_stretches(ents, n), lambda x: F.when(
+            x["t"].isNull(), F.array_repeat(F.lit("O"), x["size"])).otherwise(F.transform(
+                F.sequence(x["from"], x["from"] + x["size"] - 1),
+                lambda i: F.concat(F.when(i == x["s"], F.lit("B-")).otherwise(F.lit("I-")), x["t"])))))
+    return F.zip_with(chars(text), _let(F.length(text), tagged), lambda c, t: F.struct(c.alias("ch"), t.alias("tag")))
 
 
 def drop_whitespace(pairs) -> Column:

@@ -50,6 +50,19 @@ def test_spans_to_bio_brute_force(spark):
         assert [x.tag for x in r.p] == [_tag_at(i, text, ents, tg.TYPE_MAP) for i in range(len(text))]
 
 
+def test_spans_to_bio_long_text_many_spans(spark):
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abc ") for _ in range(60_000))
+    spans = [(s, s + rnd.randint(0, 40), rnd.choice(["dis", "sym"])) for s in rnd.choices(range(59_900), k=1_500)]
+    spans.append((100, 30_000, "sym"))                     # last in the list: covers all before it
+    want = ["O"] * len(text)
+    for start, end, kind in spans:
+        want[start:end + 1] = [f"B-{tg.TYPE_MAP[kind]}"] + [f"I-{tg.TYPE_MAP[kind]}"] * (end - start)
+    assert [t for _, t in _tags(spark, text, spans)] == want
+    df = spark.createDataFrame([(None, [(0, 0, "dis")])], EX_SCHEMA)
+    assert df.select(tg.spans_to_bio("text", "entities").alias("p")).first().p is None
+
+
 LETTER = {"O": ".", "B-DIS": "D", "I-DIS": "d", "B-SYM": "S", "I-SYM": "s"}
 ISLANDS = {"strict": "Dd*|Ss*", "lenient": "[Dd]d*|[Ss]s*"}
 
