@@ -72,8 +72,8 @@ def spans_to_bio(text, entities, type_map: dict | None = None) -> Column:
 
     Entities of unmapped/missing type or invalid span (start < 0, end >= len,
     start > end; end inclusive) are ignored; of the others the last one in the
-    list decides each character it covers.  The cost grows with the text and
-    with the spans times those open at one place, not with their product.
+    list decides each character it covers.  No pass over the text is made per
+    span; what the sweep carries is copied at each span's end.
     A null text gives null.
     """
     text = col_of(text)
