@@ -1,8 +1,10 @@
 """Suffix-array dedup by external induced sorting: bytes inside 50-byte strings that an earlier document has are removed.
 
-Shards: the 50-byte windows of all documents are dealt out by their minimiser (see ``super_kmers``), equal strings
-merged beforehand into one with the smallest and largest doc_id that holds it. Windows that could be equal are in
-one shard; minimisers that occur once in the corpus stay at home.
+Shards: the 50-byte windows of all documents are dealt out by their minimiser (see ``super_kmers``); equal strings
+of a batch travel once, with the places (document, position) where they stand, so that a shard answers every place
+itself. Windows that could be equal are in one shard; minimisers that occur once in the corpus stay at home. A
+minimiser that occurs ``HOT`` times or more could fill a shard alone: each of its windows goes its own way by its
+128-bit name instead (partial minima and a join), so what one minimiser brings into a shard is bounded.
 
 Inside a shard the suffixes of all strings are sorted by induction. The sorted S* suffixes (leftmost of ascending
 runs) give the order of all L suffixes in one pass from the smallest character up, these give the S suffixes in a
@@ -19,18 +21,21 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_or_null, raw_texts, stored
-from .repeats import repeat_filter
-from .super_kmers import (Scheme, byte_hashes, covered_ranges, first_minimisers, in_buckets, keyed_texts, minimiser_hashes,
-                          per_bucket, string_name, string_rows, with_ranges)
+from .common import NULL_ID, ids_of, raw_texts, stored, tidy
+from .repeats import releasing, repeat_levels
+from .super_kmers import (Scheme, byte_hashes, covered_ranges, first_minimisers, keyed_texts, minimiser_hashes, spread_hash,
+                          string_name, with_ranges)
 
 BYTES = 50
 MINIMISER = 24
 FILTER_BITS = 29             # 64 MB
 QUEUE_ITEMS = 1 << 22        # positions a run of the queue keeps in memory
+BUCKETS_PER_PARTITION = 4
+HOT = 1 << 16                # occurrences from which on a minimiser's windows are dealt one by one
 SIGMA = 257                  # end of a string, then the bytes
 
 
@@ -158,9 +163,8 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     return induce(t, s, star[_rank_names(names)])
 
 
-def smallest_owner(strings: dict[bytes, tuple], k: int):
-    """For the windows of all strings: (string, place in it, smallest number of a string that has the window)."""
-    items = list(strings)
+def smallest_owner(items: list[bytes], number: np.ndarray, k: int):
+    """For the windows of all strings: (string, place in it, smallest ``number`` of a string that has the window)."""
     n_windows = np.array([len(x) - k + 1 for x in items])
     size = np.array([len(x) + 1 for x in items])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -179,7 +183,6 @@ def smallest_owner(strings: dict[bytes, tuple], k: int):
     for at in [*range(0, k - 7, 8), k - 8]:
         shared &= words[a + at] == words[b + at]
     group = np.concatenate([[0], np.cumsum(~shared)]) if len(order) else np.zeros(0, np.int64)
-    number = np.array([n[0] for n in strings.values()], np.int64)
     low = np.full(int(group[-1]) + 1 if len(group) else 0, NULL_ID, np.int64)
     np.minimum.at(low, group, number[owner_of[order]])
     return owner_of[order], place_of[order], low[group]
@@ -194,54 +197,197 @@ def _apart(items: list[bytes], scheme: Scheme) -> np.ndarray:
     return n[which] == 1
 
 
-def _solve(scheme: Scheme):
-    k = scheme.k
-
-    def rows(items, strings, owner, place, low):
-        mn = np.array([strings[x][0] for x in items], np.int64)
-        mx = np.array([strings[x][1] for x in items], np.int64)
-        use = low < mx[owner]                          # else no document of the string is later than the owner
-        owner, place, low = owner[use], place[use], low[use]
-        if not len(owner):
-            return
-        order = np.lexsort((low, owner))
-        owner, place, low = owner[order], place[order], low[order]
-        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (low[1:] != low[:-1])]))
-        mask = np.bitwise_or.reduceat(np.int64(1) << place, new)
-        yield pa.RecordBatch.from_arrays([pa.array([string_name(items[i]) for i in owner[new]], pa.binary()),
-                                          pa.array(mask, pa.int64()), pa.array(low[new], pa.int64())], ["string", "mask", "owner_id"])
-
-    def run(strings):
-        items = list(strings)
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, a byte of all of them after the other: small numbers compress well so."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def pack_strings(strings: list[bytes], which, doc, first, ids, fps) -> bytes:
+    """Distinct strings and their places, compressed: place i is string ``which[i]`` at ``first[i]`` of document ``doc[i]``.
+
+    ``doc`` ascends; ``ids`` and ``fps`` name the documents it counts.
+    """
+    head = np.array([len(strings), len(which), len(ids)], "<i8").tobytes()
+    lens = np.fromiter(map(len, strings), np.int64, len(strings))
+    body = [head, _planes(lens), _planes(which), _planes(np.diff(doc, prepend=0)), _planes(first),
+            np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes(), fps.astype("<i8").tobytes(), *strings]
+    return zstandard.ZstdCompressor(3).compress(b"".join(body))
+
+
+def unpack_strings(blob: bytes):
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n, m, d = np.frombuffer(data, "<i8", 3).tolist()
+    lens, which = _from_planes(data, n, 24), _from_planes(data, m, 24 + 4 * n)
+    doc, first = np.cumsum(_from_planes(data, m, 24 + 4 * (n + m))), _from_planes(data, m, 24 + 4 * (n + 2 * m))
+    at = 24 + 4 * (n + 3 * m)
+    ids, fps = np.cumsum(np.frombuffer(data, "<i8", d, at)), np.frombuffer(data, "<i8", d, at + 8 * d)
+    cut = np.concatenate([[0], np.cumsum(lens)]) + at + 16 * d
+    return [data[a:z] for a, z in zip(cut[:-1].tolist(), cut[1:].tolist())], which, doc, first, ids, fps
+
+
+def _runs(scheme: Scheme, table, raw: bytes):
+    """(hashes, firsts, lengths in windows, hot or not) of a text's runs whose minimiser may occur elsewhere."""
+    minimisers, first, count = scheme.runs(byte_hashes(raw))
+    hashes = spread_hash(minimisers)
+    may = table.may_repeat(hashes)
+    hashes, first, count = hashes[may], first[may], count[may]
+    return hashes, first, count, table.hot(hashes)
+
+
+def _deal(scheme: Scheme, levels, n_buckets: int):
+    """Batches of (doc_id, text, fp) -> rows (bucket, packed strings): each string once per batch, with all its places."""
+    def run(batches):
+        for b in batches:
+            ids, fps = np.array(ids_of(b.column(0)), np.int64), np.array(b.column(2).to_pylist(), np.int64)
+            index: dict[bytes, int] = {}
+            home, which, doc, first = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, raw in enumerate(raw_texts(b.column(1))):
+                hashes, at, n, hot = _runs(scheme, levels.value, raw)
+                at, last = at[~hot], (at + n + scheme.k - 1)[~hot]
+                for h, x, y in zip((hashes[~hot] % np.uint64(n_buckets)).tolist(), at.tolist(), last.tolist()):
+                    s = raw[x:y]
+                    j = index.setdefault(s, len(home))
+                    if j == len(home):
+                        home.append(h)
+                    which.append(j)
+                doc.append(np.full(len(at), i, np.int64))
+                first.append(at)
+            items, home, which = list(index), np.array(home, np.int64), np.array(which, np.int64)
+            doc, first = np.concatenate(doc), np.concatenate(first)
+            place_home = home[which]
+            by_home, by_place = np.argsort(home, kind="stable"), np.argsort(place_home, kind="stable")
+            local = np.empty(len(home), np.int64)
+            buckets, starts = np.unique(home[by_home], return_index=True)
+            owned = []
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(home)]):
+                own = by_home[at:end]
+                local[own] = np.arange(len(own))
+                owned.append(own)
+            edges = np.searchsorted(place_home[by_place], np.append(buckets, n_buckets))
+            out = []
+            for own, x, y in zip(owned, edges[:-1], edges[1:]):
+                at = by_place[x:y]
+                rows, mine = np.unique(doc[at], return_inverse=True)
+                out.append(pack_strings([items[j] for j in own], local[which[at]], mine, first[at], ids[rows], fps[rows]))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(out, pa.binary())], ["bucket", "strings"])
+    return run
+
+
+class Shard:
+    """The distinct strings of a bucket and all their places."""
+
+    def __init__(self):
+        self.index: dict[bytes, int] = {}
+        self.parts = []
+
+    def add(self, blob: bytes) -> None:
+        strings, which, doc, first, ids, fps = unpack_strings(blob)
+        name = np.array([self.index.setdefault(s, len(self.index)) for s in strings], np.int64)
+        self.parts.append((name[which].astype(np.int32), first.astype(np.int32), ids[doc], fps[doc]))
+
+    def marks(self, scheme: Scheme):
+        """(doc_id, fp, first, mask) of the places whose windows (bits of ``mask``) an earlier document has."""
+        which, first, ids, fps = (np.concatenate(x) for x in zip(*self.parts))
+        items = list(self.index)
+        low_id, high_id = np.full(len(items), NULL_ID, np.int64), np.full(len(items), np.iinfo(np.int64).min)
+        np.minimum.at(low_id, which, ids)
+        np.maximum.at(high_id, which, ids)
         apart = _apart(items, scheme)
-        single = [x for x, y in zip(items, apart) if y and strings[x][0] < strings[x][1]]
-        if single:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(map(string_name, single), pa.binary()), pa.array([(1 << (len(x) - k + 1)) - 1 for x in single], pa.int64()),
-                 pa.array([strings[x][0] for x in single], pa.int64())], ["string", "mask", "owner_id"])
-        shared = {x: strings[x] for x, y in zip(items, apart) if not y}
-        if shared:
-            yield from rows(list(shared), shared, *smallest_owner(shared, k))
+        n = np.array([len(x) - scheme.k + 1 for x in items])
+        single = np.flatnonzero(apart)
+        string, mask, low = [single], [(np.int64(1) << n[single]) - 1], [low_id[single]]
+        shared = np.flatnonzero(~apart)
+        if len(shared):
+            owner, place, least = smallest_owner([items[j] for j in shared], low_id[shared], scheme.k)
+            owner = shared[owner]
+            use = least < high_id[owner]               # else no document of the string is later than the owner
+            owner, place, least = owner[use], place[use], least[use]
+            order = np.lexsort((least, owner))
+            owner, place, least = owner[order], place[order], least[order]
+            if len(owner):
+                new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])]))
+                string.append(owner[new])
+                mask.append(np.bitwise_or.reduceat(np.int64(1) << place, new))
+                low.append(least[new])
+        string, mask, low = np.concatenate(string), np.concatenate(mask), np.concatenate(low)
+        order = np.argsort(string, kind="stable")
+        mask, low = mask[order], low[order]
+        begin = np.searchsorted(string[order], np.arange(len(items) + 1))
+        found, marks = np.zeros(len(which), np.int64), np.diff(begin)[which]
+        for step in range(int(marks.max(initial=0))):  # one finding of each place's string at a time
+            has = np.flatnonzero(marks > step)
+            at = begin[which[has]] + step
+            later = low[at] < ids[has]
+            found[has[later]] |= mask[at[later]]
+        hit = np.flatnonzero(found)
+        return ids[hit], fps[hit], first[hit].astype(np.int64), found[hit]
+
+
+def _shard_marks(scheme: Scheme):
+    """Batches ordered by bucket -> the marks of each bucket."""
+    def rows(shard):
+        ids, fps, first, mask = shard.marks(scheme)
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(fps, pa.int64()),
+                                              pa.array(first, pa.int64()), pa.array(mask, pa.int64())], ["doc_id", "fp", "first", "mask"])
+
+    def run(batches):
+        at, shard = None, None
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket != at:
+                    if shard:
+                        yield from rows(shard)
+                    at, shard = bucket, Shard()
+                shard.add(blob)
+        if shard:
+            yield from rows(shard)
     return run
 
 
-def _ids(doc_id):
-    return (NULL_ID, NULL_ID) if doc_id is None else (doc_id, doc_id)
+def _hot_windows(scheme: Scheme, levels):
+    """Batches of (doc_id, text, fp) -> rows (doc_id, fp, first, 128-bit name) of the windows with a hot minimiser."""
+    def run(batches):
+        for b in batches:
+            sizes, firsts, names = [], [np.zeros(0, np.int64)], []
+            for raw in raw_texts(b.column(1)):
+                _, first, n, hot = _runs(scheme, levels.value, raw)
+                first, n = first[hot], n[hot]
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                sizes.append(len(at))
+                firsts.append(at)
+                names += [string_name(raw[x:x + scheme.k]) for x in at.tolist()]
+            row = pa.array(np.repeat(np.arange(b.num_rows), sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(row), b.column(2).take(row), pa.array(np.concatenate(firsts)), pa.array(names, pa.binary())],
+                ["doc_id", "fp", "first", "string"])
+    return run
 
 
-def _extremes(a, b):
-    return min(a[0], b[0]), max(a[1], b[1])
+def _hot_marks(texts: DataFrame, scheme: Scheme, levels) -> DataFrame:
+    """Marks of the windows with a hot minimiser: their owners by partial minima, met by a join on the window's name."""
+    rows = texts.mapInArrow(releasing(levels, _hot_windows(scheme, levels)), "doc_id long, fp long, first long, string binary")
+    number = F.coalesce("doc_id", F.lit(NULL_ID))
+    owners = (rows.groupBy("string").agg(F.min(number).alias("low"), F.max(number).alias("high"))
+              .where(F.col("low") < F.col("high")).select("string", "low"))
+    return rows.join(owners, "string").where(number > F.col("low")).select("doc_id", "fp", "first", F.lit(1).cast("long").alias("mask"))
 
 
-def earlier_ranges(docs: DataFrame, scheme: Scheme) -> DataFrame:
+def earlier_ranges(docs: DataFrame, scheme: Scheme, hot: int = HOT) -> DataFrame:
     """doc_id, fp, cut_from, cut_to (byte positions) covered by a string that a document with a smaller id has."""
-    repeats = repeat_filter(docs, minimiser_hashes(scheme), scheme.filter_bits)
-    owners = stored(in_buckets(docs, scheme, repeats, _ids, _extremes)
-                    .mapInArrow(per_bucket(_solve(scheme), _extremes), "string binary, mask long, owner_id long"), "string-owners")
-    rows = keyed_texts(docs).mapInArrow(string_rows(scheme, repeats), "doc_id long, fp long, first long, string binary")
-    later = F.coalesce("doc_id", F.lit(NULL_ID)) > F.col("owner_id")
-    return stored(covered_ranges(rows.join(owners, "string").where(later).select("doc_id", "fp", "first", "mask"), scheme.k),
-                  "earlier-ranges")
+    levels = repeat_levels(docs, minimiser_hashes(scheme), scheme.filter_bits, hot)
+    texts = keyed_texts(docs)
+    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
+    marks = (texts.mapInArrow(releasing(levels, _deal(scheme, levels, n_buckets)), "bucket int, strings binary")
+             .repartition("bucket").sortWithinPartitions("bucket")
+             .mapInArrow(tidy(_shard_marks(scheme)), "doc_id long, fp long, first long, mask long"))
+    if levels.value.any_hot():
+        marks = marks.unionByName(_hot_marks(texts, scheme, levels))
+    return stored(covered_ranges(marks, scheme.k), "earlier-ranges")
 
 
 def _cut_bytes(batches):
@@ -260,11 +406,12 @@ def _cut_bytes(batches):
                                          ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_earlier_strings(docs: DataFrame, k: int = BYTES, m: int = MINIMISER, filter_bits: int = FILTER_BITS) -> DataFrame:
+def remove_earlier_strings(docs: DataFrame, k: int = BYTES, m: int = MINIMISER, filter_bits: int = FILTER_BITS,
+                           hot: int = HOT) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, n_spans, kept_sha256, one row per document.
 
     Rows with the same id are the same document for this purpose (neither is earlier); a null id is later than
     every number. Null text: empty. Texts under ``k`` bytes stay. No rows: no rows.
     """
-    cut = with_ranges(docs, earlier_ranges(docs, Scheme(k, m, False, filter_bits)))
+    cut = with_ranges(docs, earlier_ranges(docs, Scheme(k, m, False, filter_bits), hot))
     return cut.mapInArrow(_cut_bytes, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

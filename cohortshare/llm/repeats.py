@@ -107,6 +107,26 @@ class Table:
         return self.flat()[places(hashes, self.bits)]
 
 
+class LevelTable(Table):
+    """Two bitmaps in every slice: places hit twice or more, and places hit so often that they are hot."""
+
+    def _bit(self, hashes: np.ndarray, plane: int) -> np.ndarray:
+        at = places(hashes, self.bits)
+        half = 1 << (self.bits - 11)               # bytes of one bitmap in a slice
+        byte = ((at >> (self.bits - 8)) * 2 + plane) * half + ((at & ((1 << (self.bits - 8)) - 1)) >> 3)
+        return (self.flat()[byte] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+    def may_repeat(self, hashes: np.ndarray) -> np.ndarray:
+        return self._bit(hashes, 0)
+
+    def hot(self, hashes: np.ndarray) -> np.ndarray:
+        return self._bit(hashes, 1)
+
+    def any_hot(self) -> bool:
+        half = 1 << (self.bits - 11)
+        return any(zstandard.ZstdDecompressor().decompress(x)[half:].count(0) < half for x in self.slices.values())
+
+
 def releasing(table, run):
     """``run``, a function over batches that reads a broadcast table, with the opened table given back at the task's end."""
     def wrapped(batches):
@@ -125,11 +145,11 @@ def _log_count(total):
     return np.where(total > 0, 1 + np.round(8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint8)
 
 
-def _table(rows: DataFrame, hashes_of, column: int, bits: int, width: int, finish, most: int):
+def _table(rows: DataFrame, hashes_of, column: int, bits: int, width: int, finish, most: int, kind=Table):
     lists = rows.mapInArrow(tidy(_place_lists(hashes_of, column, bits, most)), "slice int, steps binary, n binary")
     got = (lists.repartition("slice").sortWithinPartitions("slice")
            .mapInArrow(tidy(_slices(bits, finish)), "slice int, body binary").collect())
-    return rows.sparkSession.sparkContext.broadcast(Table(bits, width, {r["slice"]: bytes(r["body"]) for r in got}))
+    return rows.sparkSession.sparkContext.broadcast(kind(bits, width, {r["slice"]: bytes(r["body"]) for r in got}))
 
 
 def repeat_filter(docs: DataFrame, hashes_of, bits: int):
@@ -137,6 +157,13 @@ def repeat_filter(docs: DataFrame, hashes_of, bits: int):
     return _table(id_and_text(docs), hashes_of, 1, bits, 1, _twice, 2)
 
 
+def repeat_levels(docs: DataFrame, hashes_of, bits: int, hot: int):
+    """Broadcast ``LevelTable`` of 2 * 2^bits / 8 bytes: what may occur twice, and what may occur ``hot`` times or more."""
+    def finish(total):
+        return np.concatenate([np.packbits(total > 1), np.packbits(total >= hot)])
+    return _table(id_and_text(docs), hashes_of, 1, bits, 2, finish, hot, LevelTable)
+
+
 def count_sketch(rows: DataFrame, hashes_of, column: int, bits: int):
     """Broadcast table of 2^bits bytes: 1 + 8 log2(count) of each place's hashes, over a binary column of ``rows``."""
     return _table(rows, hashes_of, column, bits, 8, _log_count, 1 << 31)

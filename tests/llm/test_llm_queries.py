@@ -79,6 +79,29 @@ def test_matches_brute_force(spark, odd, empty, plain, name, op, plainly, width)
     assert op(empty).count() == 0
 
 
+def test_suffix_dedup_of_hot_minimisers(spark, odd, plain):
+    """Minimisers of three occurrences are hot already; a third of the rows share one amid different surroundings."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    def noise():
+        return "".join(rng.choice(letters) for _ in range(120))
+    header = "a header of over fifty bytes that every third text has somewhere "
+    core = "the minimiser's twenty-four bytes or so"
+    rows = plain[:60] + [(10_000 + i, noise() + (header if i % 3 == 0 else core if i % 3 == 1 else "") + noise()) for i in range(90)]
+    for pairs_of, docs in ((rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)), (pairs(odd), odd)):
+        for hot in (2, 3, 20):
+            check(induced_suffixes.remove_earlier_strings(docs, hot=hot).drop("kept"), brute.earlier_bytes(pairs_of), 5)
+
+
+def test_packed_strings_round_trip():
+    strings, which = [b"x" * 50, b"\0" * 51, bytes(range(60))], np.array([2, 0, 1, 1, 2])
+    doc, first = np.array([0, 0, 0, 2, 2]), np.array([0, 70_000, 1 << 25, 3, 4])
+    ids, fps = np.array([-5, (1 << 63) - 1, 7]), np.array([-1, 0, 1 << 62])
+    for args in ((strings, which, doc, first, ids, fps), ([], *[np.zeros(0, np.int64)] * 5)):
+        got = induced_suffixes.unpack_strings(induced_suffixes.pack_strings(*args))
+        assert got[0] == args[0] and all(a.tolist() == b.tolist() for a, b in zip(got[1:], args[1:]))
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
