@@ -25,17 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ids_of, raw_texts, stored, tidy
-from .repeats import releasing, repeat_levels
+from .common import NULL_ID, ids_of, raw_texts, small_or_shuffled, stored, tidy
+from .repeats import from_planes, planes, releasing, repeat_levels
 from .super_kmers import (Scheme, byte_hashes, covered_ranges, first_minimisers, keyed_texts, minimiser_hashes, spread_hash,
                           string_name, with_ranges)
 
 BYTES = 50
 MINIMISER = 24
-FILTER_BITS = 29             # 64 MB
+FILTER_BITS = 30             # 136 MB
 QUEUE_ITEMS = 1 << 22        # positions a run of the queue keeps in memory
 BUCKETS_PER_PARTITION = 4
 HOT = 1 << 16                # occurrences from which on a minimiser's windows are dealt one by one
+HOT_OWNERS = 200_000         # windows (24 bytes each) up to which the owners of hot ones are broadcast
 SIGMA = 257                  # end of a string, then the bytes
 
 
@@ -197,15 +198,6 @@ def _apart(items: list[bytes], scheme: Scheme) -> np.ndarray:
     return n[which] == 1
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, a byte of all of them after the other: small numbers compress well so."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _from_planes(data: bytes, n: int, at: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
-
-
 def pack_strings(strings: list[bytes], which, doc, first, ids, fps) -> bytes:
     """Distinct strings and their places, compressed: place i is string ``which[i]`` at ``first[i]`` of document ``doc[i]``.
 
@@ -213,7 +205,7 @@ def pack_strings(strings: list[bytes], which, doc, first, ids, fps) -> bytes:
     """
     head = np.array([len(strings), len(which), len(ids)], "<i8").tobytes()
     lens = np.fromiter(map(len, strings), np.int64, len(strings))
-    body = [head, _planes(lens), _planes(which), _planes(np.diff(doc, prepend=0)), _planes(first),
+    body = [head, planes(lens), planes(which), planes(np.diff(doc, prepend=0)), planes(first),
             np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes(), fps.astype("<i8").tobytes(), *strings]
     return zstandard.ZstdCompressor(3).compress(b"".join(body))
 
@@ -221,8 +213,8 @@ def pack_strings(strings: list[bytes], which, doc, first, ids, fps) -> bytes:
 def unpack_strings(blob: bytes):
     data = zstandard.ZstdDecompressor().decompress(blob)
     n, m, d = np.frombuffer(data, "<i8", 3).tolist()
-    lens, which = _from_planes(data, n, 24), _from_planes(data, m, 24 + 4 * n)
-    doc, first = np.cumsum(_from_planes(data, m, 24 + 4 * (n + m))), _from_planes(data, m, 24 + 4 * (n + 2 * m))
+    lens, which = from_planes(data, n, 24), from_planes(data, m, 24 + 4 * n)
+    doc, first = np.cumsum(from_planes(data, m, 24 + 4 * (n + m))), from_planes(data, m, 24 + 4 * (n + 2 * m))
     at = 24 + 4 * (n + 3 * m)
     ids, fps = np.cumsum(np.frombuffer(data, "<i8", d, at)), np.frombuffer(data, "<i8", d, at + 8 * d)
     cut = np.concatenate([[0], np.cumsum(lens)]) + at + 16 * d
@@ -370,11 +362,13 @@ def _hot_windows(scheme: Scheme, levels):
 
 def _hot_marks(texts: DataFrame, scheme: Scheme, levels) -> DataFrame:
     """Marks of the windows with a hot minimiser: their owners by partial minima, met by a join on the window's name."""
-    rows = texts.mapInArrow(releasing(levels, _hot_windows(scheme, levels)), "doc_id long, fp long, first long, string binary")
+    rows = stored(texts.mapInArrow(releasing(levels, _hot_windows(scheme, levels)), "doc_id long, fp long, first long, string binary"),
+                  "hot-windows")
     number = F.coalesce("doc_id", F.lit(NULL_ID))
-    owners = (rows.groupBy("string").agg(F.min(number).alias("low"), F.max(number).alias("high"))
-              .where(F.col("low") < F.col("high")).select("string", "low"))
-    return rows.join(owners, "string").where(number > F.col("low")).select("doc_id", "fp", "first", F.lit(1).cast("long").alias("mask"))
+    owners = stored(rows.groupBy("string").agg(F.min(number).alias("low"), F.max(number).alias("high"))
+                    .where(F.col("low") < F.col("high")).select("string", "low"), "hot-owners")
+    return (rows.join(small_or_shuffled(owners, HOT_OWNERS), "string").where(number > F.col("low"))
+            .select("doc_id", "fp", "first", F.lit(1).cast("long").alias("mask")))
 
 
 def earlier_ranges(docs: DataFrame, scheme: Scheme, hot: int = HOT) -> DataFrame:

@@ -24,14 +24,24 @@ def places(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> _U(64 - bits)).astype(np.int64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, a byte of all of them after the other: small numbers compress well so."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(values.astype("<u4").tobytes()) if len(values) else b""
+    return zstandard.ZstdCompressor(1).compress(planes(values)) if len(values) else b""
 
 
 def _unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.int64)
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4").astype(np.int64)
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    return from_planes(data, len(data) // 4)
 
 
 def _place_lists(hashes_of, column: int, bits: int, most: int):
@@ -86,9 +96,12 @@ class Table:
     def __setstate__(self, state):
         (self.bits, self.width, self.slices), self._flat = state, None
 
+    def slice_bytes(self) -> int:
+        return (1 << (self.bits - 8)) * self.width // 8
+
     def flat(self) -> np.ndarray:
         if self._flat is None:
-            size = (1 << (self.bits - 8)) * self.width // 8
+            size = self.slice_bytes()
             flat = np.zeros(size * SLICES, np.uint8)
             for i, blob in self.slices.items():
                 flat[i * size:(i + 1) * size] = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
@@ -107,24 +120,34 @@ class Table:
         return self.flat()[places(hashes, self.bits)]
 
 
+COARSE = 4                     # log2 of the places that share a bit of the bitmap of hot ones
+
+
 class LevelTable(Table):
-    """Two bitmaps in every slice: places hit twice or more, and places hit so often that they are hot."""
+    """Two bitmaps in every slice: places hit twice or more, and runs of 16 places of which one is hit so often that it is hot."""
+
+    def slice_bytes(self) -> int:
+        return super().slice_bytes() + (super().slice_bytes() >> COARSE)
+
+    def _bit(self, at: np.ndarray, begin: int) -> np.ndarray:
+        slices, inside = at
+        byte = slices * self.slice_bytes() + begin + (inside >> 3)
+        return (self.flat()[byte] >> (7 - (inside & 7)).astype(np.uint8)) & 1 == 1
 
-    def _bit(self, hashes: np.ndarray, plane: int) -> np.ndarray:
+    def _split(self, hashes: np.ndarray):
         at = places(hashes, self.bits)
-        half = 1 << (self.bits - 11)               # bytes of one bitmap in a slice
-        byte = ((at >> (self.bits - 8)) * 2 + plane) * half + ((at & ((1 << (self.bits - 8)) - 1)) >> 3)
-        return (self.flat()[byte] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return at >> (self.bits - 8), at & ((1 << (self.bits - 8)) - 1)
 
     def may_repeat(self, hashes: np.ndarray) -> np.ndarray:
-        return self._bit(hashes, 0)
+        return self._bit(self._split(hashes), 0)
 
     def hot(self, hashes: np.ndarray) -> np.ndarray:
-        return self._bit(hashes, 1)
+        slices, inside = self._split(hashes)
+        return self._bit((slices, inside >> COARSE), super().slice_bytes())
 
     def any_hot(self) -> bool:
-        half = 1 << (self.bits - 11)
-        return any(zstandard.ZstdDecompressor().decompress(x)[half:].count(0) < half for x in self.slices.values())
+        begin = super().slice_bytes()
+        return any(zstandard.ZstdDecompressor().decompress(x)[begin:].strip(b"\0") for x in self.slices.values())
 
 
 def releasing(table, run):
@@ -158,10 +181,10 @@ def repeat_filter(docs: DataFrame, hashes_of, bits: int):
 
 
 def repeat_levels(docs: DataFrame, hashes_of, bits: int, hot: int):
-    """Broadcast ``LevelTable`` of 2 * 2^bits / 8 bytes: what may occur twice, and what may occur ``hot`` times or more."""
+    """Broadcast ``LevelTable`` of 17/16 * 2^bits / 8 bytes: what may occur twice, and what may occur ``hot`` times or more."""
     def finish(total):
-        return np.concatenate([np.packbits(total > 1), np.packbits(total >= hot)])
-    return _table(id_and_text(docs), hashes_of, 1, bits, 2, finish, hot, LevelTable)
+        return np.concatenate([np.packbits(total > 1), np.packbits((total >= hot).reshape(-1, 1 << COARSE).any(axis=1))])
+    return _table(id_and_text(docs), hashes_of, 1, bits, 1, finish, hot, LevelTable)
 
 
 def count_sketch(rows: DataFrame, hashes_of, column: int, bits: int):
