@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, ids_of, raw_texts, small_or_shuffled, stored, tidy
 from .repeats import from_planes, planes, releasing, repeat_levels
-from .super_kmers import (Scheme, byte_hashes, covered_ranges, first_minimisers, keyed_texts, minimiser_hashes, spread_hash,
+from .super_kmers import (Scheme, byte_hashes, first_minimisers, keyed_texts, minimiser_hashes, spread_hash,
                           string_name, with_ranges)
 
 BYTES = 50
@@ -37,8 +37,12 @@ QUEUE_ITEMS = 1 << 22        # positions a run of the queue keeps in memory
 BUCKETS_PER_PARTITION = 4
 HOT = 1 << 16                # occurrences from which on a minimiser's windows are dealt one by one
 HOT_OWNERS = 200_000         # windows (24 bytes each) up to which the owners of hot ones are broadcast
+SPAN = np.dtype([("first", "<u4"), ("n", "u1")])   # first window, consecutive windows
+SPAN_WINDOWS = 255           # a longer run goes on in the next record
 SIGMA = 257                  # end of a string, then the bytes
 
+_SPANS = "doc_id long, fp long, spans binary"
+
 
 class CharacterQueue:
     """Priority queue of positions by (first character, order of arrival), emptied a character at a time."""
@@ -282,7 +286,7 @@ class Shard:
         self.parts.append((name[which].astype(np.int32), first.astype(np.int32), ids[doc], fps[doc]))
 
     def marks(self, scheme: Scheme):
-        """(doc_id, fp, first, mask) of the places whose windows (bits of ``mask``) an earlier document has."""
+        """(doc_id, fp, place of a window) for the windows that an earlier document has."""
         which, first, ids, fps = (np.concatenate(x) for x in zip(*self.parts))
         items = list(self.index)
         low_id, high_id = np.full(len(items), NULL_ID, np.int64), np.full(len(items), np.iinfo(np.int64).min)
@@ -316,16 +320,36 @@ class Shard:
             later = low[at] < ids[has]
             found[has[later]] |= mask[at[later]]
         hit = np.flatnonzero(found)
-        return ids[hit], fps[hit], first[hit].astype(np.int64), found[hit]
-
-
-def _shard_marks(scheme: Scheme):
-    """Batches ordered by bucket -> the marks of each bucket."""
+        row, bit = np.nonzero(np.unpackbits(found[hit].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        return ids[hit][row], fps[hit][row], first[hit][row].astype(np.int64) + bit
+
+
+def _spans(ids, fps, windows) -> pa.RecordBatch:
+    """Covered windows -> one row per document: doc_id, fp, its runs of windows as ``SPAN`` records."""
+    order = np.lexsort((windows, fps, ids))
+    ids, fps, windows = ids[order], fps[order], windows[order]
+    other = np.concatenate([[True], (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1])])
+    fresh = other | np.concatenate([[True], windows[1:] != windows[:-1]])
+    ids, fps, windows, other = ids[fresh], fps[fresh], windows[fresh], other[fresh]
+    gap = other | np.concatenate([[True], windows[1:] != windows[:-1] + 1])
+    inside = np.arange(len(windows)) - np.maximum.accumulate(np.where(gap, np.arange(len(windows)), 0))
+    new = np.flatnonzero(inside % SPAN_WINDOWS == 0)
+    spans = np.zeros(len(new), SPAN)
+    spans["first"], spans["n"] = windows[new], np.diff(np.append(new, len(windows)))
+    begin = np.flatnonzero(other)
+    offsets = np.append(np.searchsorted(new, begin), len(new)).astype(np.int32) * SPAN.itemsize
+    packed = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spans.tobytes())])
+    ids, fps = ids[begin], fps[begin]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(fps, pa.int64()), packed],
+                                      ["doc_id", "fp", "spans"])
+
+
+def _shard_spans(scheme: Scheme):
+    """Batches ordered by bucket -> the covered spans of each bucket."""
     def rows(shard):
-        ids, fps, first, mask = shard.marks(scheme)
+        ids, fps, windows = shard.marks(scheme)
         if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(fps, pa.int64()),
-                                              pa.array(first, pa.int64()), pa.array(mask, pa.int64())], ["doc_id", "fp", "first", "mask"])
+            yield _spans(ids, fps, windows)
 
     def run(batches):
         at, shard = None, None
@@ -341,6 +365,31 @@ def _shard_marks(scheme: Scheme):
     return run
 
 
+def _window_spans(batches):
+    """Batches of (doc_id, fp, first), a window a row -> spans."""
+    for b in batches:
+        if b.num_rows:
+            yield _spans(np.array(ids_of(b.column(0)), np.int64), np.asarray(b.column(1)), np.asarray(b.column(2)))
+
+
+def _merge_spans(k: int):
+    """(doc_id, fp, [spans]) -> (doc_id, fp, from, to): maximal covered byte ranges."""
+    def run(batches):
+        for b in batches:
+            froms, tos = [], []
+            for parts in b.column(2).to_pylist():
+                spans = np.frombuffer(b"".join(parts), SPAN)
+                spans = spans[np.argsort(spans["first"], kind="stable")]
+                a = spans["first"].astype(np.int64)
+                end = np.maximum.accumulate(a + spans["n"] + (k - 1))
+                new = np.flatnonzero(np.concatenate([[True], a[1:] > end[:-1]]))
+                froms.append(a[new].tolist())
+                tos.append(end[np.append(new[1:], len(a)) - 1].tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(froms, pa.list_(pa.int64())),
+                                              pa.array(tos, pa.list_(pa.int64()))], ["doc_id", "fp", "cut_from", "cut_to"])
+    return run
+
+
 def _hot_windows(scheme: Scheme, levels):
     """Batches of (doc_id, text, fp) -> rows (doc_id, fp, first, 128-bit name) of the windows with a hot minimiser."""
     def run(batches):
@@ -360,15 +409,15 @@ def _hot_windows(scheme: Scheme, levels):
     return run
 
 
-def _hot_marks(texts: DataFrame, scheme: Scheme, levels) -> DataFrame:
-    """Marks of the windows with a hot minimiser: their owners by partial minima, met by a join on the window's name."""
+def _hot_spans(texts: DataFrame, scheme: Scheme, levels) -> DataFrame:
+    """Spans of the windows with a hot minimiser: their owners by partial minima, met by a join on the window's name."""
     rows = stored(texts.mapInArrow(releasing(levels, _hot_windows(scheme, levels)), "doc_id long, fp long, first long, string binary"),
                   "hot-windows")
     number = F.coalesce("doc_id", F.lit(NULL_ID))
     owners = stored(rows.groupBy("string").agg(F.min(number).alias("low"), F.max(number).alias("high"))
                     .where(F.col("low") < F.col("high")).select("string", "low"), "hot-owners")
     return (rows.join(small_or_shuffled(owners, HOT_OWNERS), "string").where(number > F.col("low"))
-            .select("doc_id", "fp", "first", F.lit(1).cast("long").alias("mask")))
+            .select("doc_id", "fp", "first").mapInArrow(_window_spans, _SPANS))
 
 
 def earlier_ranges(docs: DataFrame, scheme: Scheme, hot: int = HOT) -> DataFrame:
@@ -376,12 +425,13 @@ def earlier_ranges(docs: DataFrame, scheme: Scheme, hot: int = HOT) -> DataFrame
     levels = repeat_levels(docs, minimiser_hashes(scheme), scheme.filter_bits, hot)
     texts = keyed_texts(docs)
     n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
-    marks = (texts.mapInArrow(releasing(levels, _deal(scheme, levels, n_buckets)), "bucket int, strings binary")
-             .repartition("bucket").sortWithinPartitions("bucket")
-             .mapInArrow(tidy(_shard_marks(scheme)), "doc_id long, fp long, first long, mask long"))
+    spans = (texts.mapInArrow(releasing(levels, _deal(scheme, levels, n_buckets)), "bucket int, strings binary")
+             .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_shard_spans(scheme)), _SPANS))
     if levels.value.any_hot():
-        marks = marks.unionByName(_hot_marks(texts, scheme, levels))
-    return stored(covered_ranges(marks, scheme.k), "earlier-ranges")
+        spans = spans.unionByName(_hot_spans(texts, scheme, levels))
+    merged = (spans.groupBy("doc_id", "fp").agg(F.collect_set("spans").alias("spans"))
+              .mapInArrow(_merge_spans(scheme.k), "doc_id long, fp long, cut_from array<long>, cut_to array<long>"))
+    return stored(merged, "earlier-ranges")
 
 
 def _cut_bytes(batches):
