@@ -32,7 +32,7 @@ from .super_kmers import (Scheme, byte_hashes, first_minimisers, keyed_texts, mi
 
 BYTES = 50
 MINIMISER = 24
-FILTER_BITS = 30             # 136 MB
+FILTER_BITS = 31             # 272 MB
 QUEUE_ITEMS = 1 << 22        # positions a run of the queue keeps in memory
 BUCKETS_PER_PARTITION = 4
 HOT = 1 << 16                # occurrences from which on a minimiser's windows are dealt one by one
