@@ -13,8 +13,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,122 @@ def csv_walk(sep: str = ",") -> Walk:
     return walk
 
 
+def _quote_marks(lines: pa.StringArray, sep: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines with a quote, lines that are inside quotes at their end when they start outside, lines to be walked for that).
+
+    From outside, the quotes of a line open and close in turn if every opening one is at a field's start or doubles the
+    one before it. Other lines have to be walked.
+    """
+    offsets = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset:lines.offset + len(lines) + 1]
+    raw = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    bounds = offsets - offsets[0]
+    at = np.flatnonzero(raw == ord('"'))
+    line = np.searchsorted(bounds, at, side="right") - 1
+    n = np.bincount(line, minlength=len(lines))
+    opens = (np.arange(len(at)) - (np.cumsum(n) - n)[line]) % 2 == 0
+    before = raw[at - 1] if len(raw) else raw
+    regular = (at == bounds[line]) | (before == ord(sep)) | (before == ord('"'))
+    walked = np.zeros(len(lines), bool)
+    walked[line[opens & ~regular]] = True
+    return n > 0, n % 2 == 1, walked
+
+
+def _line_ends(lines: pa.StringArray, walk: Walk, sep: str) -> Callable[[bool], np.ndarray]:
+    """Start state of some lines of CSV -> whether each line ends inside quotes."""
+    marked, opened, walked = _quote_marks(lines, sep)
+    for i in np.flatnonzero(walked):
+        opened[i] = walk(lines[i].as_py())[0][0]
+    marked_at, opened_at = np.flatnonzero(marked), np.flatnonzero(opened)
+
+    def ends(quoted: bool) -> np.ndarray:
+        out, i = np.zeros(len(lines), bool), 0
+        while i < len(lines):
+            where = marked_at if quoted else opened_at
+            k = np.searchsorted(where, i)
+            to = where[k] if k < len(where) else len(lines)
+            out[i:to] = quoted
+            if to < len(lines):
+                quoted = walk(lines[int(to)].as_py())[1][0] if quoted else True
+                out[to] = quoted
+            i = to + 1
+        return out
+    return ends
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """A batch cut where the split changes."""
+    start, file = (np.asarray(c) for c in (batch["start"], batch["file"].dictionary_encode().indices))
+    cuts = np.flatnonzero((np.diff(start) != 0) | (np.diff(file) != 0)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(start)]):
+        if b > a:
+            yield (batch["file"][a].as_py(), int(start[a])), batch.slice(a, b - a)
+
+
+def _csv_summaries(walk: Walk, sep: str):
+    """:func:`_summaries` of CSV lines, a batch at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            for split, part in _runs(batch):
+                if split != at:
+                    at = split
+                    rows.append([*at, False, 0, None, True, 0, None, None])
+                row, ends = rows[-1], _line_ends(part["value"], walk, sep)
+                for k in (2, 5):
+                    inside = ends(row[k])
+                    row[k] = bool(inside[-1])
+                    row[k + 2] = row[k + 2] if inside.all() else 0
+                tail = part["value"][-1].as_py()
+                row[8] = tail if len(tail) <= 64 else "..."
+        if rows:
+            names = [c.split()[0] for c in SUMMARY.split(", ")]
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(),
+                     pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+    return run
+
+
+def _csv_parts(walk: Walk, sep: str):
+    """:func:`_parts` of CSV lines, a batch at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def left():
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
+                (at[0], key, place, at[1], "\n".join(held) + "\n", False), _PART_ARROW)], schema=_PART_ARROW)
+
+        at, held = None, []
+        for batch in batches:
+            for split, part in _runs(batch):
+                if split != at:
+                    if held:
+                        yield left()
+                    at, held, place = split, [], 0
+                    inside, key = part["quoted"][0].as_py(), part["owner"][0].as_py()
+                    whole = not inside
+                lines = part["value"]
+                quoted = _line_ends(lines, walk, sep)(inside)
+                inside = bool(quoted[-1])
+                last = np.flatnonzero(~quoted)
+                done = int(last[-1]) + 1 if len(last) else 0
+                if done:
+                    bounds = pa.array(np.concatenate([[0], last + 1]), pa.int32())
+                    texts = pc.binary_join(pa.ListArray.from_arrays(bounds, lines.slice(0, done)), "\n")
+                    if held:
+                        first = "\n".join([*held, texts[0].as_py()])
+                        texts = pa.concat_arrays([pa.array([first], texts.type), texts.slice(1)])
+                    n = len(texts)
+                    keys, wholes = np.full(n, split[1]), np.ones(n, bool)
+                    keys[0], wholes[0] = key, whole
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(split[0], pa.string()), n), pa.array(keys, pa.int64()), pa.array(np.arange(place, place + n), pa.int64()),
+                         pa.repeat(pa.scalar(split[1], pa.int64()), n),
+                         pc.binary_join_element_wise(texts, "", "\n"), pa.array(wholes)], schema=_PART_ARROW)
+                    held, place, key, whole = [], place + n, split[1], True
+                held += lines.slice(done).to_pylist()
+        if held:
+            yield left()
+    return run
+
+
 def _pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return (spark.read.option("lineSep", separator).text(path)
             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -149,16 +267,18 @@ def _parts(walk: Walk, separator: str):
     return run
 
 
-def read_spanning(spark: SparkSession, path: str, separator: str, walk: Walk, array: bool = False) -> DataFrame:
+def read_spanning(spark: SparkSession, path: str, separator: str, summaries, whole_parts, array: bool = False) -> DataFrame:
     """One row per record: file, owner (byte at which its split starts), place in that split, text with its separator.
 
+    ``summaries`` and ``whole_parts`` are the passes over the pieces, by piece or by batch of lines.
+
     The broadcast table has one short row per split of the scan, of which the driver keeps as many itself to plan it.
     """
     pieces = _pieces(spark, path, separator)
-    states = (pieces.mapInArrow(_summaries(walk), SUMMARY)
+    states = (pieces.mapInArrow(summaries, SUMMARY)
               .groupBy("file").applyInPandas(_states(array), STATE))
     parts = (pieces.join(F.broadcast(states), ["file", "start"])
-             .select("file", "start", "quoted", "depth", "owner", "value").mapInArrow(_parts(walk, separator), PART))
+             .select("file", "start", "quoted", "depth", "owner", "value").mapInArrow(whole_parts, PART))
     crossing = (parts.where(~F.col("whole")).groupBy("file", "owner")
                 .agg(F.min_by("place", "start").alias("place"),
                      F.array_sort(F.collect_list(F.struct("start", "text"))).alias("p"))
@@ -171,7 +291,7 @@ def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
 
     An array's elements must be objects; anything else between them, or a file that doesn't end its array, is an error.
     """
-    units = read_spanning(spark, path, "}", walk_json, array=True)
+    units = read_spanning(spark, path, "}", _summaries(walk_json), _parts(walk_json, "}"), array=True)
     at = F.locate("{", F.col("text"))
     before = F.when(at > 0, F.substring_index("text", "{", 1)).otherwise(F.regexp_replace("text", r"\}$", ""))
     units = units.select(F.when(before.rlike(r"^[\s,\[\]\uFEFF]*$"), F.expr("substr(text, locate('{', text))"))
@@ -187,8 +307,9 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     skipped; a file that ends inside quotes is an error.
     """
     names = spark.read.options(header=True, multiLine=True, escape='"').csv(path).columns
-    units = read_spanning(spark, path, "\n", csv_walk())
+    units = read_spanning(spark, path, "\n", _csv_summaries(csv_walk(), ","), _csv_parts(csv_walk(), ","))
     text = F.regexp_replace("text", r"\r?\n$", "")
     units = units.where(~((F.col("owner") == 0) & (F.col("place") == 0))).select(text.alias("text")).where("text <> ''")
     columns = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
-    return units.select(F.from_csv("text", columns, {"multiLine": "true", "escape": '"'}).alias("r")).select("r.*")
+    # inlined, not selected: what is asked of a column later is never asked of a second parse of its record
+    return units.select(F.inline(F.array(F.from_csv("text", columns, {"multiLine": "true", "escape": '"'}))))
