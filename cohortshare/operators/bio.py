@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions import islands
 from ..functions import tags as tg
 from ..functions.text import chars
 
+ENTITY_FIELDS = [StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("type", StringType()),
+                 StructField("text", StringType())]
+
 
 def convert_examples(df: DataFrame, text: str = "text", entities: str = "entities",
                      type_map: dict | None = None, keep_whitespace: bool = False) -> DataFrame:
@@ -41,30 +46,14 @@ def sentence_entities(df: DataFrame, tokens: str = "tokens", tags: str = "tags",
                       keys=("sent_id",), joiner: str = "") -> DataFrame:
     """E2/E3 as rows: (keys..., start, end, type, text).
 
-    Only the island starts are found with a lambda; the islands themselves are
-    exploded as (start, next start) pairs and finished with plain column
-    functions, which run in generated code.  ``explode_outer`` keeps the
-    optimizer from inferring a size filter and pushing a second copy of the
-    starts computation below the projection.
+    The islands are found in Arrow batches, for all sentences of a batch at a time: no lambda runs per
+    token, and no array travels with the rows of its entities.  ``tokens`` may be a text,
+    whose characters are its tokens.  Null tags have no entity.
     """
-    if mode not in ("strict", "lenient"):
-        raise ValueError(f"mode must be strict or lenient, not {mode!r}")
-    staged = df.select(*keys, tokens, tags).withColumn("_st", tg.island_starts(tags))
-    nxt = F.concat(F.slice("_st", 2, F.greatest(F.size("_st") - 1, F.lit(0))), F.array(F.size(tags)))
-    ex = staged.select(*keys, tokens, tags,
-                       F.explode_outer(F.arrays_zip(F.col("_st").alias("s"), nxt.alias("nx"))).alias("z"))
-    # coalesce keeps the predicates out of null-constraint inference, which would otherwise
-    # push isnotnull(<tags expression>) below the projection and compute the tags twice
-    ex = ex.where(F.coalesce(F.col("z.s") >= 0, F.lit(False))).select(
-        *keys, tokens, F.col("z.s").cast("int").alias("start"), (F.col("z.nx") - 1).cast("int").alias("end"),
-        F.element_at(tags, F.col("z.s") + 1).alias("_t0"))
-    keep = F.col("_t0").startswith("B-")
-    if mode == "lenient":
-        keep = keep | F.col("_t0").startswith("I-")
-    keep = F.coalesce(keep, F.lit(False))
-    return ex.where(keep).select(
-        *keys, "start", "end", F.substring("_t0", 3, 1 << 20).alias("type"),
-        F.array_join(F.slice(tokens, F.col("start") + 1, F.col("end") - F.col("start") + 1), joiner).alias("text"))
+    islands.check_mode(mode)
+    df = df.select(*keys, tokens, tags)
+    out = StructType([*df.schema.fields[:-2], *ENTITY_FIELDS])
+    return df.mapInArrow(islands.decode(mode, joiner), out)
 
 
 def entity_prf(gold: DataFrame, pred: DataFrame, keys=("sent_id",)) -> DataFrame:
@@ -92,35 +81,15 @@ def _prf(counts: DataFrame) -> DataFrame:
                          f1.alias("f1"))
 
 
-def _spans(tags: Column, mode: str) -> Column:
-    """["start:next start:type"] of the islands of one tag array that ``mode`` counts as entities.
-
-    One fold-free pass: the island starts are bound once by the outer ``transform`` over a one-element array, so no
-    array expression is evaluated again inside a lambda. Strings, because set operations on arrays of them hash.
-    """
-    heads = F.transform(F.zip_with(tags, tg.shift_right(tags), lambda t, prev: F.struct(
-        t.alias("t"), F.coalesce(t.startswith("I-") & (prev.startswith("B-") | prev.startswith("I-"))
-                                 & (F.substring(prev, 3, 1 << 20) == F.substring(t, 3, 1 << 20)), F.lit(False)).alias("c"))),
-        lambda x, i: F.when(~x["c"], F.struct(i.alias("s"), x["t"].alias("t"))))
-    starts = F.filter(heads, lambda h: h.isNotNull())
-    nexts = F.transform(F.array(starts), lambda h: F.zip_with(
-        h, F.slice(h, F.lit(2), F.size(h)), lambda x, y: F.struct(x["s"].alias("s"), F.coalesce(y["s"], F.lit(-1)).alias("e"), x["t"].alias("t"))))
-    pattern = "^B-" if mode == "strict" else "^[BI]-"
-    kept = F.filter(F.get(nexts, F.lit(0)), lambda e: F.coalesce(e["t"].rlike(pattern), F.lit(False)))
-    return F.transform(kept, lambda e: F.concat_ws(":", e["s"], e["e"], F.substring(e["t"], 3, 1 << 20)))
-
-
 def prf_from_tags(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags", mode: str = "lenient") -> DataFrame:
     """D7 when gold and predicted tags sit in the same sentence row.
 
-    Both arrays are decoded and intersected inside the row; only three counts per
-    task are shuffled.
+    Both arrays are decoded and compared in Arrow batches; only three counts per
+    batch leave them.
     """
-    if mode not in ("strict", "lenient"):
-        raise ValueError(f"mode must be strict or lenient, not {mode!r}")
-    ents = df.select(_spans(F.col(gold), mode).alias("g"), _spans(F.col(pred), mode).alias("p"))
-    counts = ents.select(F.size("g").alias("g"), F.size("p").alias("p"), F.size(F.array_intersect("g", "p")).alias("tp"))
-    return _prf(counts.agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.sum("tp").alias("tp")).na.fill(0))
+    islands.check_mode(mode)
+    counts = df.select(gold, pred).mapInArrow(islands.counts(mode), "n_gold long, n_pred long, tp long")
+    return _prf(counts.agg(*[F.sum(c).alias(c) for c in counts.columns]).na.fill(0))
 
 
 def metrics_from_logits(df: DataFrame, logits: str = "logits", labels: str = "labels") -> DataFrame:

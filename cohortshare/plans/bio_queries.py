@@ -9,11 +9,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import islands as isl
 from ..functions import tags as tg
-from ..functions.text import chars
 from ..operators import bio
 from ..schemas import SPAN
 from ..session import scratch_path
@@ -85,40 +86,33 @@ def q_bio_roundtrip(spark, sf_dir):
     return back.select(F.array_join("tokens", "").alias("tokens"), F.array_join("tags", " ").alias("tags"))
 
 
-def _rule_codes():
-    """The gold rule as a character translation: letter -> private-use code of its tag (and such a code -> a plain dot)."""
-    labels = [f"{p}-{t}" for t in TYPES3 for p in ("B", "I")]
-    code = {lab: chr(0xE000 + i) for i, lab in enumerate(labels)}
-    src, dst = list(code.values()), ["."] * len(code)
+RULE_TAGS = ["O", *(f"{p}-{t}" for t in TYPES3 for p in ("B", "I"))]
+
+
+def _rule_table():
+    """First byte of a character -> number of its tag by the rule of :func:`char_tag`."""
+    table = np.zeros(256, np.int8)
     for c in map(chr, list(range(65, 91)) + list(range(97, 123))):
-        lab = ("B-" if c.lower() in "aeiou" else "I-") + TYPES3[ord(c) % 3]
-        src.append(c)
-        dst.append(code[lab])
-    return "".join(src), "".join(dst), {v: k for k, v in code.items()}
+        table[ord(c)] = RULE_TAGS.index(("B-" if c.lower() in "aeiou" else "I-") + TYPES3[ord(c) % 3])
+    return table
 
 
 def doc_tags(spark, sf_dir):
     """Gold tags by the rule of :func:`char_tag`, predicted tags = the rule one character ahead.
 
-    The rule runs as one ``translate`` over the text (generated code) and one
-    map lookup per character, instead of string work per character.
+    A character's tag is looked up by its first byte, for a batch of texts at a time.
     """
-    src, dst, back = _rule_codes()
-    d = table(spark, sf_dir, "documents")
-    d = d.select("doc_id", chars("text").alias("chs"), F.translate("text", src, dst).alias("_codes"))
-    m = tg.map_lit(back)
-    tag = lambda c: F.coalesce(F.element_at(m, c), F.lit("O"))
-    return d.select("doc_id", "chs", F.transform(chars("_codes"), tag).alias("gold_tags"),
-                    F.transform(chars(F.concat(F.substring("_codes", 2, 1 << 30), F.lit("O"))), tag)
-                    .alias("pred_tags"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return d.mapInArrow(isl.tags_by_first_byte(_rule_table(), RULE_TAGS), f"doc_id {kind}, text string, gold_tags array<string>, pred_tags array<string>")
 
 
 def q_bio_decode(spark, sf_dir):
-    return bio.sentence_entities(doc_tags(spark, sf_dir), "chs", "gold_tags", "strict", keys=("doc_id",))
+    return bio.sentence_entities(doc_tags(spark, sf_dir), "text", "gold_tags", "strict", keys=("doc_id",))
 
 
 def q_bio_decode_lenient(spark, sf_dir):
-    return bio.sentence_entities(doc_tags(spark, sf_dir), "chs", "gold_tags", "lenient", keys=("doc_id",))
+    return bio.sentence_entities(doc_tags(spark, sf_dir), "text", "gold_tags", "lenient", keys=("doc_id",))
 
 
 def _round_prf(df):
@@ -131,8 +125,8 @@ def q_bio_prf(spark, sf_dir):
 
 def q_bio_prf_strict_join(spark, sf_dir):
     d = doc_tags(spark, sf_dir)
-    g = bio.sentence_entities(d, "chs", "gold_tags", "strict", keys=("doc_id",))
-    p = bio.sentence_entities(d, "chs", "pred_tags", "strict", keys=("doc_id",))
+    g = bio.sentence_entities(d, "text", "gold_tags", "strict", keys=("doc_id",))
+    p = bio.sentence_entities(d, "text", "pred_tags", "strict", keys=("doc_id",))
     return _round_prf(bio.entity_prf(g, p, keys=("doc_id",)))
 
 
