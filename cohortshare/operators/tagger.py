@@ -13,7 +13,7 @@ hashed character-window features.
   gradient over its blocks, partial sums per feature row are added by Spark, and the
   driver sees one row per feature that occurs.
 * **Tagging**: whole notes go through Arrow batches, where a note's scores are sums of
-  matrix rows; what comes back is one label digit per character, decoded in the row.
+  matrix rows and its labels are decoded; what comes back is the entities.
   There is no row per character and no shuffle.
 """
 
@@ -25,12 +25,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..functions import islands
 from ..functions import tags as tg
-from ..functions.text import chars
 from ..session import scratch_path
 
 WINDOW = 2
@@ -38,6 +39,7 @@ SLOTS = 2 * WINDOW + 1
 FEATURES = 262_139           # rows of the coefficient matrix, a prime
 MAX_SENTENCES = 20_000       # labelled sentences of a fit; of more, those with the smallest hashes
 CHUNK = 1 << 16              # tokens scored at a time
+PORTION = 1 << 18            # tokens, or bytes of texts, tagged at a time; a longer row alone
 _MULTIPLIER = 2_654_435_761
 _PAD = 0x110000              # stands beside the first and last token
 _N = len(tg.LABELS)
@@ -62,16 +64,47 @@ def window_features(codes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def label_ids(weights: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The best label of each token of one sentence, the first of equals; long sentences chunk by chunk."""
+def label_ids(weights: np.ndarray, codes: np.ndarray, edges: np.ndarray | None = None) -> np.ndarray:
+    """The best label of each token, the first of equals; tokens lie in sentences ``edges[i]:edges[i + 1]`` (none given: one sentence).
+
+    The weights of the codes that occur are looked up once for each place in a window; a token's scores are sums of
+    such rows, added in the order of the places.
+    """
+    edges = np.array([0, len(codes)]) if edges is None else edges
+    known, at = _numbered(np.append(codes, _PAD))
+    pad = at[-1]
+    rows = [weights[(known * SLOTS + slot) * _MULTIPLIER % FEATURES].T.copy() for slot in range(SLOTS)]     # [label, code]
+    sentence = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    place = np.arange(len(codes)) + WINDOW * (sentence + 1)              # sentences stand apart by ``WINDOW`` places of padding
+    spaced = np.full(len(codes) + WINDOW * len(edges), pad)
+    spaced[place] = at[:-1]
     out = np.empty(len(codes), np.uint8)
     for a in range(0, len(codes), CHUNK):
-        lo, hi = max(0, a - WINDOW), min(len(codes), a + CHUNK + WINDOW)
-        f = window_features(codes[lo:hi], np.array([0, hi - lo]))[a - lo:a - lo + CHUNK]
-        out[a:a + CHUNK] = weights[f].sum(axis=1).argmax(axis=1)
+        beside = [spaced[place[a:a + CHUNK] + d] for d in range(-WINDOW, WINDOW + 1)]
+        best, label = None, np.zeros(len(beside[0]), np.uint8)
+        for k in range(_N):
+            score = rows[0][k][beside[0]]
+            for slot in range(1, SLOTS):
+                score = score + rows[slot][k][beside[slot]]
+            if best is None:
+                best = score
+            else:
+                label[score > best] = k
+                best = np.maximum(best, score)
+        out[a:a + CHUNK] = label
     return out
 
 
+def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the codes that occur, in order; the place of each code among them), without sorting all codes."""
+    seen = np.zeros(int(codes.max()) + 1, bool)
+    seen[codes] = True
+    known = np.flatnonzero(seen)
+    place = np.zeros(len(seen), np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    return known, place[codes]
+
+
 class LinearTagger:
     """Coefficients of a fitted tagger: a row of ``len(LABELS)`` weights for each feature that is not all zero."""
 
@@ -227,33 +260,59 @@ def train_tagger(sentences: DataFrame, *, max_iter: int = 20, reg: float = 1e-6,
 
 # ---------------------------------------------------------------- tagging
 
-def _labelled(shared, column: int):
-    """Batches with one more column: a digit per token of ``column`` (a text's characters, or an array of tokens)."""
+def _labels_of():
+    """Texts, or arrays of tokens -> (label numbers of all tokens, tokens of each row), a portion of a batch at a time."""
+    def run(weights: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if pa.types.is_list(column.type):
+            n, coded = islands.lengths(column), column.flatten().dictionary_encode()
+            numbers = np.array([*(token_code(t) for t in coded.dictionary.to_pylist()), _PAD], np.int64)
+            codes = numbers[pc.fill_null(coded.indices, len(numbers) - 1).to_numpy(zero_copy_only=False)]
+        else:
+            n = islands.characters(column)[1]
+            texts = pc.fill_null(column, "")
+            codes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) for x in texts.to_pylist())])
+        return label_ids(weights, codes, islands.bounds(n)), n
+    return run
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    """What :func:`islands.portions` goes by: tokens, or bytes of a text."""
+    if pa.types.is_list(column.type):
+        return islands.lengths(column)
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _tagged(shared, column: int):
+    """Batches with one more column: the tags of ``column``."""
     def run(batches):
-        weights = shared.value.matrix()
+        weights, labels, names = shared.value.matrix(), _labels_of(), pa.array(tg.LABELS)
         for b in batches:
-            out = []
-            for x in b.column(column).to_pylist():
-                if x is None:
-                    out.append(None)
-                    continue
-                codes = (np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) if isinstance(x, str)
-                         else np.array([_PAD if t is None else token_code(t) for t in x], np.int64))
-                out.append((label_ids(weights, codes) + 48).astype(np.uint8).tobytes().decode())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "_labels"])
+            for part in islands.portions(b, _sizes(b.column(column)), PORTION):
+                ids, n = labels(weights, part.column(column))
+                tags = islands.as_lists(names.take(pa.array(ids)), n, part.column(column).is_valid())
+                yield pa.RecordBatch.from_arrays([*part.columns, tags], [*b.schema.names, "pred_tags"])
     return run
 
 
-def _with_labels(model: LinearTagger, df: DataFrame, column: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*df.schema.fields, StructField("_labels", StringType())])
-    tags = F.transform(chars("_labels"), lambda c: F.get(tg.id2label(), c.cast("int")))
-    return df.mapInArrow(_labelled(shared, df.columns.index(column)), schema).withColumn("pred_tags", tags).drop("_labels")
+def _note_entities(shared, mode: str):
+    """Batches of (key, text) -> one row per entity of the text's characters."""
+    def run(batches):
+        weights, labels, tags = shared.value.matrix(), _labels_of(), islands.TagCodes(tg.LABELS)
+        for b in batches:
+            for part in islands.portions(b, _sizes(b.column(1)), PORTION):
+                key, texts = part.columns
+                ids, n = labels(weights, texts)
+                found = islands.entities(ids, n, tags, mode)
+                chs = islands.as_lists(islands.characters(texts)[0], n, texts.is_valid())
+                yield islands.entity_rows([key], b.schema.names[:1], found, tags, islands.joined(chs, found, ""))
+    return run
 
 
 def predict_tags(model: LinearTagger, sentences: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Tag every token: ``sentences`` with ``pred_tags`` in token order (null tokens: null)."""
-    return _with_labels(model, sentences, tokens)
+    shared = sentences.sparkSession.sparkContext.broadcast(model)
+    schema = StructType([*sentences.schema.fields, StructField("pred_tags", ArrayType(StringType()))])
+    return sentences.mapInArrow(_tagged(shared, sentences.columns.index(tokens)), schema)
 
 
 def tag_notes(model: LinearTagger, df: DataFrame, key: str = "patient_id", text: str = "clinical_note",
@@ -262,10 +321,12 @@ def tag_notes(model: LinearTagger, df: DataFrame, key: str = "patient_id", text:
 
     Null and empty notes have no entity.
     """
+    from .bio import ENTITY_FIELDS
+    islands.check_mode(mode)
     notes = df.select(F.col(key), F.col(text).cast("string").alias(text)).where(F.length(text) > 0)
-    tagged = _with_labels(model, notes, text).withColumn("tokens", chars(text))
-    from .bio import sentence_entities
-    return sentence_entities(tagged, "tokens", "pred_tags", mode, keys=(key,))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    out = StructType([*notes.schema.fields[:1], *ENTITY_FIELDS])
+    return notes.mapInArrow(_note_entities(shared, mode), out)
 
 
 _LOADED: dict = {}
