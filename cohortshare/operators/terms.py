@@ -21,6 +21,10 @@ inverted index of characters with score upper bounds:
    is dropped by the same bound for what can still be shared from there, and for the
    two lengths; the shared counts then bound the edit part before Levenshtein runs.
 
+A vocabulary that fits a matrix (names times characters within ``MATRIX_CELLS``) needs no
+index: blocks of terms are scored against all its names by products of character counts
+(:mod:`functions.term_blocks`), so that terms unlike any name cost no more than others.
+
 No pair that could win, or tie, is skipped: bounds are compared with a margin above
 rounding.  The vocabulary's side is broadcast only after a check of its postings;
 otherwise the joins shuffle on the character, and AQE splits hot characters.
@@ -33,6 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import term_blocks
 from ..functions.text import chars, col_of
 from ..sources.vocab import clean_vocab
 
@@ -44,6 +49,7 @@ THRESHOLD = 0.85
 BROADCAST_VOCAB_ROWS = 200_000     # postings (name, character) of a vocabulary that is broadcast
 SEEDS = 4                          # names per key that may set a term's lower bound
 SEED_CHARS = 2                     # rare characters of a term that seeds are looked up by
+MATRIX_CELLS = 1 << 21             # names times characters of a vocabulary that terms are scored against by matrix products
 _MARGIN = 1e-9
 
 
@@ -128,6 +134,18 @@ class VocabIndex:
         self.rarity, self.postings, self.seeds = (F.broadcast(x) if self.small else x for x in (rarity, postings, seeds))
 
 
+    def as_matrix(self) -> term_blocks.Names | None:
+        """A small vocabulary of names within a machine word, if names times characters is within ``MATRIX_CELLS``; else None."""
+        if not self.small:
+            return None
+        rows = self.entries.select("ord", "std_name", "code").collect()      # at most as many as the postings counted
+        rows.sort(key=lambda r: (r["ord"] is None, r["ord"] or 0))
+        chars_of = {c for r in rows for c in r["std_name"]}
+        if len(rows) * len(chars_of) > MATRIX_CELLS or any(len(r["std_name"]) > term_blocks.MAX_NAME for r in rows):
+            return None
+        return term_blocks.Names([(r["std_name"], r["code"]) for r in rows])
+
+
 def _ranked_chars(terms: DataFrame, index: VocabIndex) -> DataFrame:
     """term, bag_t, norm_t, len_t, and ``ranked``: its characters that the vocabulary has, rarest first, as (df, ch, bound).
 
@@ -219,8 +237,14 @@ def map_distinct_terms(terms: DataFrame, vocab: DataFrame, *, threshold: float =
         approx = rest.select("term", F.lit(None).cast("string").alias("code"), F.lit(0.0).alias("best"),
                              F.lit(None).cast("string").alias("match_type"))
     else:
-        best = best_candidate(_score(rest, index))
-        approx = (rest.join(best, "term", "left")
+        few = index.as_matrix()
+        if few is not None:
+            sc = terms.sparkSession.sparkContext
+            approx = (rest.repartition(4 * sc.defaultParallelism, "term")
+                      .mapInArrow(term_blocks.best_names(sc.broadcast(few), EDIT_WEIGHT, COSINE_WEIGHT), "term string, code string, best double"))
+        else:
+            approx = rest.join(best_candidate(_score(rest, index)), "term", "left")
+        approx = (approx
                   .select("term", "code", F.coalesce("best", F.lit(0.0)).alias("best"),
                           F.when(F.col("code").isNotNull(), F.lit("approximate")).alias("match_type")))
     res = exact.unionByName(approx)
