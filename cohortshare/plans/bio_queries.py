@@ -103,8 +103,9 @@ def doc_tags(spark, sf_dir):
     A character's tag is looked up by its first byte, for a batch of texts at a time.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kind = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(isl.tags_by_first_byte(_rule_table(), RULE_TAGS), f"doc_id {kind}, text string, gold_tags array<string>, pred_tags array<string>")
+    tags = [F.arrow_udf(isl.tags_by_first_byte(_rule_table(), RULE_TAGS, ahead), "array<string>")("text").alias(name)
+            for name, ahead in (("gold_tags", False), ("pred_tags", True))]
+    return d.select("doc_id", "text", *tags)
 
 
 def q_bio_decode(spark, sf_dir):
