@@ -12,9 +12,9 @@ in ``seq`` order per asset id with the contract's rules:
 Plan shape: no window holds all requests of an asset, so a hot asset never lands
 in one task.  An asset's life is cut into segments by its *anchors*: its first
 successful create and every ``init`` (plus the carried-in state in streaming).
-The anchors come from one partial aggregate per id.  Each request finds the
-latest anchor at or before it block by block of sequence numbers (see
-``_as_of``).  Valid grants are reduced to the earliest one per (id, anchor,
+The anchors come from one partial aggregate per id.  A request finds the only
+anchor of its id by a join, the latest of several block by block of sequence
+numbers (see ``_with_anchor``, ``_as_of``).  Valid grants are reduced to the earliest one per (id, anchor,
 grantee) by another partial aggregate, and reads are resolved by an equi-join
 against that small table.
 """
@@ -45,6 +45,8 @@ OK, ALREADY_EXISTS, NOT_FOUND, ACCESS_DENIED, NOT_OWNER, LATE, INVALID = (
     "ok", "already_exists", "not_found", "access_denied", "not_owner", "late", "invalid_op")
 
 REQ_COLS = [f.name for f in REQUEST.fields]
+ANCHOR_OPS = ("create", "init")
+ASKED = ["seq", "caller", "op", "id", "grantee"]           # what of a request decides its result
 
 
 def init_assets(spark: SparkSession, seq: int = 0, ts=None) -> DataFrame:
@@ -129,7 +131,7 @@ class LedgerResult:
 def _anchors(reqs: DataFrame, state: DataFrame | None) -> DataFrame:
     """(id, aseq, kind, owner, data_hash, description, ts) for every segment start."""
     payload = F.struct("seq", "caller", "data_hash", "description", "ts")
-    per_id = reqs.groupBy("id").agg(
+    per_id = reqs.where(F.col("op").isin(*ANCHOR_OPS)).groupBy("id").agg(
         F.min_by(payload, F.when(F.col("op") == "create", F.col("seq"))).alias("c"),
         F.min(F.when(F.col("op") == "create", F.col("seq"))).alias("cseq"),
         F.min(F.when(F.col("op") == "init", F.col("seq"))).alias("iseq"))
@@ -159,20 +161,21 @@ SEQ_BLOCK = 1 << 16          # sequence numbers per block of the as-of lookup
 
 
 def _as_of(reqs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Every request with the latest anchor ``a`` of its id at or before it (NULL without one); repeated requests stay.
+    """What decides each request's result (``ASKED``), with the latest anchor ``a`` of its id at or before it (NULL without
+    one); repeated requests stay. Hashes, descriptions and times stay with the anchors and are not moved here.
 
     An id's life is cut into blocks of ``SEQ_BLOCK`` sequence numbers. Each block's last anchor comes from a partial
     aggregate and is carried forward over the id's blocks; inside (id, block) a window finds the rest. So a hot id is
     spread over its blocks, and a request meets one row whatever the number of anchors. A request without an id or
     a seq has no anchor; it passes by the lookup.
     """
-    a = F.struct("aseq", "kind", "owner", "data_hash", "description", "ts")
+    a = F.struct("aseq", "owner")
     starts = (anchors.where(F.col("id").isNotNull() & F.col("aseq").isNotNull())
               .select("id", F.col("aseq").alias("at"), a.alias("a")))
     none = F.lit(None).cast(starts.schema["a"].dataType)
     placed = F.col("id").isNotNull() & F.col("seq").isNotNull()
-    unplaced = reqs.where(~placed).select(*REQ_COLS, none.alias("a"))
-    asked = reqs.where(placed).select("id", F.col("seq").alias("at"), none.alias("a"), F.struct(*REQ_COLS).alias("r"))
+    unplaced = reqs.where(~placed).select(*ASKED, none.alias("a"))
+    asked = reqs.where(placed).select("id", F.col("seq").alias("at"), none.alias("a"), F.struct(*ASKED).alias("r"))
     rows = asked.unionByName(starts.withColumn("r", F.lit(None).cast(asked.schema["r"].dataType)))
     rows = rows.withColumn("block", F.floor(F.col("at") / SEQ_BLOCK))
     earlier = Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -183,6 +186,21 @@ def _as_of(reqs: DataFrame, anchors: DataFrame) -> DataFrame:
             .where(F.col("r").isNotNull()).select("r.*", "a").unionByName(unplaced))
 
 
+def _with_anchor(reqs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows of :func:`_as_of`; of an id with one anchor they come by a join with the anchors' ids alone.
+
+    Only the requests of ids with several anchors are ordered. A hot id is one large key of a left join, which
+    adaptive execution splits.
+    """
+    per_id = (anchors.where(F.col("id").isNotNull() & F.col("aseq").isNotNull()).groupBy("id")
+              .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("aseq", "owner")).alias("a")))
+    joined = reqs.select(*ASKED).join(per_id, "id", "left")
+    one = (joined.where(F.coalesce("n", F.lit(1)) == 1)
+           .select(*ASKED, F.when(F.col("a.aseq") <= F.col("seq"), F.col("a")).alias("a")))
+    several = per_id.where(F.col("n") > 1).select("id")
+    return one.unionByName(_as_of(reqs.select(*ASKED).join(several, "id"), anchors.join(several, "id", "left_semi")))
+
+
 def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> LedgerResult:
     """L5 (and the per-batch step of L6): one RESULT per request plus the final state.
 
@@ -190,14 +208,21 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
     ``seq`` at or below an id's ``last_seq`` are answered ``late`` and ignored.
     """
     reqs = requests.select(*REQ_COLS)
-    late = None
+    late, cached = None, []
     if state is not None:
-        marked = reqs.join(state.select("id", F.col("last_seq").alias("_last")), "id", "left")
+        # both are asked several times below: the state is read, and the log joined with it, once;
+        # only requests that may anchor keep their payload
+        payload = {c: F.when(F.col("op").isin(*ANCHOR_OPS), F.col(c)).alias(c) for c in REQ_COLS if c not in ASKED}
+        reqs = reqs.select(*[payload.get(c, F.col(c)) for c in REQ_COLS])
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)
         is_late = F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False))
-        late = marked.where(is_late).select(*REQ_COLS)
-        reqs = marked.where(~is_late).select(*REQ_COLS)
+        marked = (reqs.join(state.select("id", F.col("last_seq").alias("_last")), "id", "left")
+                  .select(*REQ_COLS, is_late.alias("_late")).persist(StorageLevel.MEMORY_AND_DISK))
+        late = marked.where("_late").select(*REQ_COLS)
+        reqs = marked.where(~F.col("_late")).select(*REQ_COLS)
+        cached = [marked, state]
     anchors = _anchors(reqs, state).persist(StorageLevel.MEMORY_AND_DISK)
-    based = _as_of(reqs, anchors).persist(StorageLevel.MEMORY_AND_DISK)
+    based = _with_anchor(reqs, anchors).persist(StorageLevel.MEMORY_AND_DISK)
 
     op, caller, owner = F.col("op"), F.col("caller"), F.col("a.owner")
     has = F.col("a").isNotNull()
@@ -257,4 +282,4 @@ def apply_requests(requests: DataFrame, state: DataFrame | None = None) -> Ledge
         seen = (seen.unionByName(state.select("id", "last_seq"))
                 .groupBy("id").agg(F.max("last_seq").alias("last_seq")))
     new_state = seen.join(assets, "id", "left").select(*[f.name for f in LEDGER_STATE.fields])
-    return LedgerResult(results, assets, new_state, (based, anchors))
+    return LedgerResult(results, assets, new_state, (based, anchors, *cached))

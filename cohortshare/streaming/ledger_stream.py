@@ -8,7 +8,8 @@ asset its requests named, and an asset's state is its row of the latest epoch.
 * every step is the skew-safe batch plan (aggregates + equi-joins), never one
   Python group per asset;
 * an epoch reads only the buckets of its assets' ids (partition pruning) and
-  writes only its own assets, so its cost follows the batch;
+  writes only its own assets, so its cost follows the batch; it reads its part of the log twice, first the ids,
+  and the state and the log joined with it once (kept until the epoch is written);
 * a retried epoch rewrites its own folder and reads only those before it;
   lineage is cut at every epoch by the written tables;
 * the number of buckets is stored beside the state; a stream that is
@@ -72,8 +73,7 @@ def apply_requests_stream(requests: DataFrame, out_dir: str, checkpoint: str, *,
     _open_state(spark, out_dir, n_buckets)
 
     def step(batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist()
-        ids = batch.select("id").distinct()
+        ids = batch.select("id").distinct().persist()
         touched = [r.b for r in ids.select(bucket_of("id", n_buckets).alias("b")).distinct().collect()]   # <= n_buckets
         before = _versions(spark, out_dir).where((F.col("epoch") < epoch_id) & F.col("bucket").isin(touched))
         prev = _latest(before.join(ids, "id", "left_semi"))
@@ -82,7 +82,7 @@ def apply_requests_stream(requests: DataFrame, out_dir: str, checkpoint: str, *,
         (res.state.withColumn("bucket", bucket_of("id", n_buckets)).repartition("bucket")
          .write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(out_dir, "state", f"epoch={epoch_id}")))
         res.release()
-        batch.unpersist()
+        ids.unpersist()
 
     w = requests.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
