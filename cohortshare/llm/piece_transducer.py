@@ -54,14 +54,16 @@ class PieceTransducer:
         self.score = {p.piece: p.score for p in model.pieces if p.type in (_NORMAL, _USER)}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
         byte_of = {i: bytes([b]) for b, i in self.bytes.items()}
-        self.surface = [p.piece.encode() if p.type in (_NORMAL, _USER) else byte_of.get(i, b"") for i, p in enumerate(model.pieces)]
+        self.surface = pa.array([p.piece.encode() if p.type in (_NORMAL, _USER) else byte_of.get(i, b"") for i, p in enumerate(model.pieces)], pa.binary())
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == _UNKNOWN)
-        self.trie: dict = {}
-        for piece in self.ids:                       # the lexicon: characters in, a piece out at None
-            node = self.trie
+        self.trie: dict = {}                         # the lexicon: a character leads to [what follows, the piece that ends here]
+        for piece in self.ids:
+            node, at = self.trie, None
             for c in piece:
-                node = node.setdefault(c, {})
-            node[None] = piece
+                at = node.setdefault(c, [{}, None])
+                node = at[0]
+            if at:
+                at[1] = piece
         self.beside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.word_parts = not any(b[1] == SPACE and b[0] != SPACE for b in self.beside)
         self.worst = max(-s for s in self.score.values()) + _UNKNOWN_WEIGHT
@@ -74,13 +76,17 @@ class PieceTransducer:
 
     def merged(self, text: str) -> list[str]:
         """What merging reaches from the characters: the best-scored neighbours first, the leftmost of equals."""
-        out = list(text)
-        while True:
-            best = max(((self.score.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(out, out[1:]))), default=(-np.inf, 0))
-            if best[0] == -np.inf:
-                return out
-            i = -best[1]
+        out, score = list(text), self.score.get
+        gains = [score(a + b, -np.inf) for a, b in zip(out, out[1:])]
+        while gains and (best := max(gains)) != -np.inf:
+            i = gains.index(best)
             out[i:i + 2] = [out[i] + out[i + 1]]
+            del gains[i]
+            if i < len(gains):
+                gains[i] = score(out[i] + out[i + 1], -np.inf)
+            if i:
+                gains[i - 1] = score(out[i - 1] + out[i], -np.inf)
+        return out
 
     def weight(self, before: str | None, piece: str) -> float:
         """Weight of an arc for ``piece`` after the piece ``before`` (None: a start or a character in bytes)."""
@@ -102,20 +108,32 @@ class PieceTransducer:
         cost = [np.inf] * (n + 1)
         back: list = [None] * (n + 1)                # (start, piece or None for bytes)
         cost[0] = 0.0
+        bpe, known = self.bpe, self.pairs.get
         for i in range(n):
-            if cost[i] == np.inf:
+            here = cost[i]
+            if here == np.inf:
                 continue
             before = back[i][1] if i else None
-            node, j = self.trie, i
-            while j < n and (node := node.get(part[j])) is not None:
-                j += 1
-                piece = node.get(None)
-                if piece is not None:
-                    w = cost[i] + self.weight(before, piece)
-                    if w < cost[j]:
-                        cost[j], back[j] = w, (i, piece)
-            if part[i] not in self.trie or None not in self.trie[part[i]]:
-                w = cost[i] + (0.0 if self.bpe else self.worst)
+            node, single = self.trie, False
+            for j in range(i, n):
+                at = node.get(part[j])
+                if at is None:
+                    break
+                node, piece = at
+                if piece is None:
+                    continue
+                single = single or j == i
+                if bpe:                              # weights are 0 or infinite: what is reached stays
+                    if cost[j + 1] <= here:
+                        continue
+                    w = known((before, piece))
+                    w = here + (self.weight(before, piece) if w is None else w)
+                else:
+                    w = here + self.weight(before, piece)
+                if w < cost[j + 1]:
+                    cost[j + 1], back[j + 1] = w, (i, piece)
+            if not single:
+                w = here + (0.0 if bpe else self.worst)
                 if w < cost[i + 1]:
                     cost[i + 1], back[i + 1] = w, (i, None)
         out, j = [], n
@@ -146,7 +164,8 @@ class PieceTransducer:
 
     def decode(self, ids) -> str:
         """Text of ids: pieces' characters, bytes put together (ill-formed ones as U+FFFD), U+2581 as a space."""
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+        raw = self.surface.take(pa.array(np.asarray(ids, np.int64))).buffers()[2]
+        text = (raw.to_pybytes() if raw else b"").decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -212,7 +231,7 @@ def _check(path: str):
                 ids = t.encode(text or "")
                 n.append(len(ids) // 4)
                 crc.append(crc32(ids))
-                same.append(t.decode(np.frombuffer(ids, "<u4").tolist()) == (text or "").replace(SPACE, " "))
+                same.append(t.decode(np.frombuffer(ids, "<u4")) == (text or "").replace(SPACE, " "))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
                                              ["doc_id", "n_ids", "ids_crc32", "round_trip"])
     return run
