@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, ids_of, raw_texts, small_or_shuffled, stored, tidy
 from .repeats import from_planes, planes, releasing, repeat_levels
-from .super_kmers import (Scheme, byte_hashes, first_minimisers, keyed_texts, minimiser_hashes, spread_hash,
+from .super_kmers import (Scheme, byte_hashes, first_minimisers, ids_repeat, keyed_texts, minimiser_hashes, spread_hash,
                           string_name, with_ranges)
 
 BYTES = 50
@@ -420,10 +420,14 @@ def _hot_spans(texts: DataFrame, scheme: Scheme, levels) -> DataFrame:
             .select("doc_id", "fp", "first").mapInArrow(_window_spans, _SPANS))
 
 
-def earlier_ranges(docs: DataFrame, scheme: Scheme, hot: int = HOT) -> DataFrame:
-    """doc_id, fp, cut_from, cut_to (byte positions) covered by a string that a document with a smaller id has."""
+def earlier_ranges(docs: DataFrame, scheme: Scheme, hot: int = HOT, by_text: bool = True) -> DataFrame:
+    """doc_id, fp, cut_from, cut_to (byte positions) covered by a string that a document with a smaller id has.
+
+    ``by_text`` as in :func:`keyed_texts`: a shard's packs name every document they touch, so eight bytes of
+    fingerprint for each of them are a good part of what is shuffled.
+    """
     levels = repeat_levels(docs, minimiser_hashes(scheme), scheme.filter_bits, hot)
-    texts = keyed_texts(docs)
+    texts = keyed_texts(docs, by_text)
     n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS_PER_PARTITION
     spans = (texts.mapInArrow(releasing(levels, _deal(scheme, levels, n_buckets)), "bucket int, strings binary")
              .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_shard_spans(scheme)), _SPANS))
@@ -457,5 +461,6 @@ def remove_earlier_strings(docs: DataFrame, k: int = BYTES, m: int = MINIMISER,
     Rows with the same id are the same document for this purpose (neither is earlier); a null id is later than
     every number. Null text: empty. Texts under ``k`` bytes stay. No rows: no rows.
     """
-    cut = with_ranges(docs, earlier_ranges(docs, Scheme(k, m, False, filter_bits), hot))
+    by_text = ids_repeat(docs)
+    cut = with_ranges(docs, earlier_ranges(docs, Scheme(k, m, False, filter_bits), hot, by_text), by_text=by_text)
     return cut.mapInArrow(_cut_bytes, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -233,8 +233,14 @@ def string_rows(scheme: Scheme, repeats):
     return run
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    return id_and_text(docs).withColumn("fp", F.xxhash64("text"))
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether any doc_id has several rows, so that it takes a text's fingerprint to tell them apart."""
+    return not id_and_text(docs).groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def keyed_texts(docs: DataFrame, by_text: bool = True) -> DataFrame:
+    """doc_id, text, fp; without ``by_text`` (no id repeats) fp is 0, which costs nothing where rows are packed."""
+    return id_and_text(docs).withColumn("fp", F.xxhash64("text") if by_text else F.lit(0).cast("long"))
 
 
 def in_buckets(docs: DataFrame, scheme: Scheme, repeats, number_of, combine, buckets_per_partition: int = 4) -> DataFrame:
@@ -276,9 +282,9 @@ def covered_ranges(marks: DataFrame, k: int) -> DataFrame:
     return grouped.mapInArrow(_merge_marks(k), "doc_id long, fp long, cut_from array<long>, cut_to array<long>")
 
 
-def with_ranges(docs: DataFrame, ranges: DataFrame, max_rows: int = 200_000) -> DataFrame:
+def with_ranges(docs: DataFrame, ranges: DataFrame, max_rows: int = 200_000, by_text: bool = True) -> DataFrame:
     """(doc_id, text, cut_from, cut_to) of every document; ``ranges`` is a stored table, broadcast while small."""
     found = small_or_shuffled(ranges, max_rows).select(F.col("doc_id").alias("r_id"), F.col("fp").alias("r_fp"), "cut_from", "cut_to")
-    rows = keyed_texts(docs)
+    rows = keyed_texts(docs, by_text)
     on = rows["doc_id"].eqNullSafe(found["r_id"]) & (rows["fp"] == found["r_fp"])
     return rows.join(found, on, "left").select("doc_id", "text", "cut_from", "cut_to")
