@@ -7,9 +7,8 @@ hashed character-window features.
 * A token's features are its own character and its two neighbours on either side,
   each hashed with its place in the window to one of ``FEATURES`` rows of a
   coefficient matrix.
-* **Fit**: the labelled sentences (a documented bound, ``MAX_SENTENCES``) are packed
-  once into blocks of feature numbers and label ids under the shared folder.  Every
-  step of a limited-memory quasi-Newton search is one job: each task adds up the
+* **Fit**: all labelled sentences are packed once into blocks of feature numbers and
+  label ids under the shared folder.  Every step of a limited-memory quasi-Newton search is one job: each task adds up the
   gradient over its blocks, partial sums per feature row are added by Spark, and the
   driver sees one row per feature that occurs.
 * **Tagging**: whole notes go through Arrow batches, where a note's scores are sums of
@@ -32,12 +31,11 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import islands
 from ..functions import tags as tg
-from ..session import scratch_path
+from ..session import scratch_path, spread
 
 WINDOW = 2
 SLOTS = 2 * WINDOW + 1
 FEATURES = 262_139           # rows of the coefficient matrix, a prime
-MAX_SENTENCES = 20_000       # labelled sentences of a fit; of more, those with the smallest hashes
 CHUNK = 1 << 16              # tokens scored at a time
 PORTION = 1 << 18            # tokens, or bytes of texts, tagged at a time; a longer row alone
 _MULTIPLIER = 2_654_435_761
@@ -242,20 +240,23 @@ def minimise(evaluate: Callable, max_iter: int, reg: float, memory: int = 7, tol
     return LinearTagger(features, w)
 
 
-def packed(sentences: DataFrame, max_sentences: int = MAX_SENTENCES) -> DataFrame:
-    """The labelled sentences (tokens, tags) as blocks of features and labels, a table under the shared folder."""
+def packed(sentences: DataFrame, max_sentences: int | None = None) -> DataFrame:
+    """All labelled sentences (tokens, tags) as blocks of features and labels, a table under the shared folder.
+
+    Only a caller who asks for it by ``max_sentences`` gets a part: those with the smallest hashes.  No fit does.
+    """
     spark = sentences.sparkSession
-    rows = sentences.select("tokens", tg.encode_tags("tags").alias("ids")).where(F.size("tokens") > 0)
-    if sentences.count() > max_sentences:
+    rows = spread(sentences.select("tokens", tg.encode_tags("tags").alias("ids")).where(F.size("tokens") > 0))
+    if max_sentences is not None:
         rows = rows.orderBy(F.xxhash64("tokens", "ids")).limit(max_sentences).repartition(spark.sparkContext.defaultParallelism)
     path = scratch_path(spark, "tagger-blocks")
     rows.mapInArrow(_pack, "features binary, labels binary").write.parquet(path)
     return spark.read.schema("features binary, labels binary").parquet(path)
 
 
-def train_tagger(sentences: DataFrame, *, max_iter: int = 20, reg: float = 1e-6, max_sentences: int = MAX_SENTENCES) -> LinearTagger:
-    """H2: fit on BIO sentences (tokens, tags); an unknown tag is an error.  No token: every token is tagged ``O``."""
-    return minimise(_distributed(packed(sentences, max_sentences)), max_iter, reg)
+def train_tagger(sentences: DataFrame, *, max_iter: int = 20, reg: float = 1e-6) -> LinearTagger:
+    """H2: fit on all BIO sentences (tokens, tags); an unknown tag is an error.  No token: every token is tagged ``O``."""
+    return minimise(_distributed(packed(sentences)), max_iter, reg)
 
 
 # ---------------------------------------------------------------- tagging
