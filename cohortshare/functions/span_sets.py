@@ -2,8 +2,8 @@
 
 A span's row would carry its key, positions and type through the shuffle by itself. A pack carries the key once, and
 each span in ``SMALL`` (or ``WIDE``) bytes beside the names of the pack's own types. Packs of the same key and block
-meet in one task, in order, and are reduced to their distinct spans as they pass; so what is held is one batch
-and the distinct spans of one block.
+meet in one task, in order, and are reduced to their distinct spans as they pass; so what is opened is a portion of
+a batch, and what is held the distinct spans of one block.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .islands import kinds_of_rows
+from . import passes
+from .islands import kinds_of_rows, portions, text_sizes
 
 BLOCK_BITS = 12              # a block is 4,096 token positions
+BYTES = 1 << 21              # bytes of packed spans opened at a time; a longer pack alone
 NOWHERE = -(1 << 40)         # stands for a null position
 SMALL = np.dtype([("start", "<u2"), ("length", "<u2"), ("type", "<u2")])
 WIDE = np.dtype([("start", "<u2"), ("length", "<i8"), ("type", "<i4")])
@@ -68,20 +70,20 @@ def _packed(shared: list[pa.Array], names: list[str], pred: np.ndarray, row: np.
     return pa.RecordBatch.from_arrays([*shared, pa.array(pred), types, pa.array(np.full(n, wide)), data], names)
 
 
-def pack(pred: bool):
-    """Batches of (key columns..., start long, end long, type) -> key columns and ``PACK``."""
+def pack(pred: bool, names: list[str] | None = None):
+    """Batches of (key columns..., start, end, type) -> key columns (``names``, or their own) and ``PACK``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             *keys, start, end, kind = batch.columns
-            start, end = (x.to_numpy(zero_copy_only=False) for x in (start, end))
+            start, end = (x.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for x in (start, end))
             block = start >> BLOCK_BITS
             heads = _heads([*keys, pa.array(block)], len(block))
             first = pa.array(np.flatnonzero(heads))
-            kind = kind.dictionary_encode(null_encoding="encode")
+            kind = kind if pa.types.is_dictionary(kind.type) and not kind.null_count else passes.plain(kind).dictionary_encode(null_encoding="encode")
             yield _packed([*(k.take(first) for k in keys), pa.array(block).take(first)],
-                          [*batch.schema.names[:-3], "block", "pred", "types", "wide", "data"],
+                          [*(names or batch.schema.names[:-3]), "block", "pred", "types", "wide", "data"],
                           np.full(len(first), pred), np.cumsum(heads) - 1, start - (block << BLOCK_BITS), end - start,
                           kind.indices.to_numpy(zero_copy_only=False).astype(np.int64), kind.dictionary)
     return run
@@ -131,10 +133,8 @@ def agreement(n_keys: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            packs = batch if held is None else pa.concat_batches([held, batch])
+        for part in (p for b in batches for p in portions(b, text_sizes(b.column(b.schema.get_field_index("data"))), BYTES)):
+            packs = part if held is None else pa.concat_batches([held, part])
             heads = _heads(packs.columns[:n_shared], packs.num_rows)
             last = int(np.flatnonzero(heads)[-1])
             if last:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions import islands, span_sets
+from ..functions import islands, passes, span_sets
 from ..functions import tags as tg
 from ..functions.text import chars
 
@@ -48,10 +48,18 @@ def sentence_entities(df: DataFrame, tokens: str = "tokens", tags: str = "tags",
 
     The islands are found in Arrow batches, for all sentences of a batch at a time: no lambda runs per
     token, and no array travels with the rows of its entities.  Where the tags are an Arrow UDF's
-    result, Spark runs both in one pass and the tags stay in the worker.  ``tokens`` may be a text,
-    whose characters are its tokens.  Null tags have no entity.
+    result, or made by a pass (:mod:`..functions.passes`), both run in one pass and the tags stay in the
+    worker.  ``tokens`` may be a text, whose characters are its tokens.  Null tags have no entity.
     """
     islands.check_mode(mode)
+    if passes.is_made(df):
+        fields = [*(df.schema[k] for k in keys), *ENTITY_FIELDS]
+
+        def make(wanted):
+            source, before = passes.taken(df, [*keys, tags, *([tokens] if "text" in wanted else [])])
+            find = islands.of_tags(mode, len(keys), [keys.index(c) if c in keys else c for c in wanted], joiner)
+            return source, passes.then(before, find)
+        return passes.made(StructType(fields), make)
     find = F.arrow_udf(islands.find(mode), islands.FOUND)
     df = df.select(*keys, tokens, find(F.col(tags)).alias("_found"))
     out = StructType([*df.schema.fields[:-2], *ENTITY_FIELDS])
@@ -71,7 +79,11 @@ def entity_prf(gold: DataFrame, pred: DataFrame, keys=("sent_id",)) -> DataFrame
     def packs(side: DataFrame, pred: bool) -> DataFrame:
         rows = side.select(*keyed, *place, F.col("type").cast("string").alias("type"))
         out = StructType([*rows.schema.fields[:-3], *StructType.fromDDL(span_sets.PACK).fields])
-        return rows.mapInArrow(span_sets.pack(pred), out)
+        pack = span_sets.pack(pred, [f"k{i}" for i in range(len(keyed))])
+        if not passes.is_made(side):
+            return rows.mapInArrow(pack, out)
+        source, before = passes.taken(side, [*keys, "start", "end", "type"])       # packed where the entities are found
+        return source.mapInArrow(passes.then(before, pack), out)
 
     both = packs(gold, False).unionByName(packs(pred, True))
     shared = both.columns[:len(keyed) + 1]
@@ -95,10 +107,11 @@ def prf_from_tags(df: DataFrame, gold: str = "gold_tags", pred: str = "pred_tags
     """D7 when gold and predicted tags sit in the same sentence row.
 
     Both arrays are decoded and compared in Arrow batches; only three counts per
-    batch leave them.
+    batch leave them.  Tags made by a pass are compared in it and never written out.
     """
     islands.check_mode(mode)
-    counts = df.select(gold, pred).mapInArrow(islands.counts(mode), "n_gold long, n_pred long, tp long")
+    source, before = passes.taken(df, (gold, pred))
+    counts = source.mapInArrow(passes.then(before, islands.counts(mode)), "n_gold long, n_pred long, tp long")
     return _prf(counts.agg(*[F.sum(c).alias(c) for c in counts.columns]).na.fill(0))
 
 

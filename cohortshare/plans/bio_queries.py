@@ -100,12 +100,11 @@ def _rule_table():
 def doc_tags(spark, sf_dir):
     """Gold tags by the rule of :func:`char_tag`, predicted tags = the rule one character ahead.
 
-    A character's tag is looked up by its first byte, for a batch of texts at a time.
+    A character's tag is looked up by its first byte, for a portion of a batch of texts at a time, in a pass that
+    goes on with what reads the tags.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    tags = [F.arrow_udf(isl.tags_by_first_byte(_rule_table(), RULE_TAGS, ahead), "array<string>")("text").alias(name)
-            for name, ahead in (("gold_tags", False), ("pred_tags", True))]
-    return d.select("doc_id", "text", *tags)
+    return isl.tagged_texts(d, "text", _rule_table(), RULE_TAGS, gold_tags=False, pred_tags=True)
 
 
 def q_bio_decode(spark, sf_dir):
