@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from ..functions import islands
+from ..functions import islands, passes
 from ..functions import tags as tg
 from ..session import scratch_path, spread
 
@@ -74,23 +74,25 @@ def label_ids(weights: np.ndarray, codes: np.ndarray, edges: np.ndarray | None =
     rows = [weights[(known * SLOTS + slot) * _MULTIPLIER % FEATURES].T.copy() for slot in range(SLOTS)]     # [label, code]
     sentence = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
     place = np.arange(len(codes)) + WINDOW * (sentence + 1)              # sentences stand apart by ``WINDOW`` places of padding
-    spaced = np.full(len(codes) + WINDOW * len(edges), pad)
+    spaced = np.full(len(codes) + WINDOW * len(edges), pad, np.int64)
     spaced[place] = at[:-1]
-    out = np.empty(len(codes), np.uint8)
-    for a in range(0, len(codes), CHUNK):
-        beside = [spaced[place[a:a + CHUNK] + d] for d in range(-WINDOW, WINDOW + 1)]
-        best, label = None, np.zeros(len(beside[0]), np.uint8)
+    out = np.zeros(len(spaced), np.uint8)
+    n = len(spaced) - 2 * WINDOW
+    best, score, part = (np.empty(min(CHUNK, max(n, 0))) for _ in range(3))
+    for a in range(0, n, CHUNK):
+        m = min(CHUNK, n - a)
+        label = out[a + WINDOW:a + WINDOW + m]
         for k in range(_N):
-            score = rows[0][k][beside[0]]
+            np.take(rows[0][k], spaced[a:a + m], out=score[:m], mode="clip")        # every index is one of the codes that occur
             for slot in range(1, SLOTS):
-                score = score + rows[slot][k][beside[slot]]
-            if best is None:
-                best = score
+                np.take(rows[slot][k], spaced[a + slot:a + slot + m], out=part[:m], mode="clip")
+                np.add(score[:m], part[:m], out=score[:m])
+            if k:
+                label[score[:m] > best[:m]] = k
+                np.maximum(best[:m], score[:m], out=best[:m])
             else:
-                label[score > best] = k
-                best = np.maximum(best, score)
-        out[a:a + CHUNK] = label
-    return out
+                best[:m] = score[:m]
+    return out[place]
 
 
 def _numbered(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,9 +271,8 @@ def _labels_of():
             numbers = np.array([*(token_code(t) for t in coded.dictionary.to_pylist()), _PAD], np.int64)
             codes = numbers[pc.fill_null(coded.indices, len(numbers) - 1).to_numpy(zero_copy_only=False)]
         else:
-            n = islands.characters(column)[1]
-            texts = pc.fill_null(column, "")
-            codes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) for x in texts.to_pylist())])
+            chs, n = islands.characters(column)
+            codes = islands.code_points(chs)
         return label_ids(weights, codes, islands.bounds(n)), n
     return run
 
@@ -283,18 +284,6 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _tagged(shared, column: int):
-    """Batches with one more column: the tags of ``column``."""
-    def run(batches):
-        weights, labels, names = shared.value.matrix(), _labels_of(), pa.array(tg.LABELS)
-        for b in batches:
-            for part in islands.portions(b, _sizes(b.column(column)), PORTION):
-                ids, n = labels(weights, part.column(column))
-                tags = islands.as_lists(names.take(pa.array(ids)), n, part.column(column).is_valid())
-                yield pa.RecordBatch.from_arrays([*part.columns, tags], [*b.schema.names, "pred_tags"])
-    return run
-
-
 def _note_entities(shared, mode: str):
     """Batches of (key, text) -> one row per entity of the text's characters."""
     def run(batches):
@@ -312,8 +301,25 @@ def _note_entities(shared, mode: str):
 def predict_tags(model: LinearTagger, sentences: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Tag every token: ``sentences`` with ``pred_tags`` in token order (null tokens: null)."""
     shared = sentences.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*sentences.schema.fields, StructField("pred_tags", ArrayType(StringType()))])
-    return sentences.mapInArrow(_tagged(shared, sentences.columns.index(tokens)), schema)
+    given = sentences.columns
+
+    def make(wanted):
+        own = [c for c in wanted if c != "pred_tags"]
+        own = own if tokens in own else [*own, tokens]
+        source, before = passes.taken(sentences, own)
+
+        def run(batches):
+            weights, labels, names = shared.value.matrix(), _labels_of(), pa.array(tg.LABELS)
+            for b in before(batches):
+                for part in islands.portions(b, _sizes(b.column(own.index(tokens))), PORTION):
+                    column = part.column(own.index(tokens))
+                    ids, n = labels(weights, column)
+                    tags = islands.as_lists(pa.DictionaryArray.from_arrays(pa.array(ids), names), n, column.is_valid())
+                    yield pa.RecordBatch.from_arrays([tags if c == "pred_tags" else part.column(own.index(c)) for c in wanted], list(wanted))
+        return source, run
+    if "pred_tags" in given:
+        raise ValueError("the sentences have a column pred_tags already")
+    return passes.made(StructType([*sentences.schema.fields, StructField("pred_tags", ArrayType(StringType()))]), make)
 
 
 def tag_notes(model: LinearTagger, df: DataFrame, key: str = "patient_id", text: str = "clinical_note",
