@@ -14,6 +14,7 @@ one task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 from pyspark import StorageLevel
@@ -121,9 +122,12 @@ def laplace_noise(df: DataFrame, cols=NUMERIC_COLS, epsilon: float = DP_EPSILON,
             sens = sensitivity.get(c)
             if sens is None:  # column entirely missing: left unchanged
                 continue
-        u = keyed_uniform(key, salt, c) if key else F.rand(column_seed(seed, c)) - F.lit(0.5)
+        u, drawn = F.rand(column_seed(seed, c)) - F.lit(0.5), ()
+        if key:                    # a column of its own: the hash is taken once, though the draw is read twice
+            drawn = (f"_draw_{c}",)
+            out, u = out.withColumn(drawn[0], keyed_uniform(key, salt, c)), F.col(drawn[0])
         noisy = x + laplace_from_uniform(u, sens / float(epsilon))
-        out = out.withColumn(c, F.when(x.isNull(), x).otherwise(noisy))
+        out = out.withColumn(c, F.when(x.isNull(), x).otherwise(noisy)).drop(*drawn)
     return out
 
 
@@ -217,7 +221,10 @@ def deidentify(df: DataFrame, *, k: int = K, epsilon: float = DP_EPSILON, width:
         row = stats.first()
         sens = {c: _sensitivity(row[f"_lo_{c}"], row[f"_hi_{c}"]) for c in nums}
     keep = classes.where(kept).select(*qi)
-    anonymised = gen.join(keep, list(qi), "left_semi")
+    # null-safe, though no generalised value is null: else the optimiser asks for that in a copy of all expressions below
+    names = [f"{c}_kept" for c in qi]
+    same = reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.col(f"`{n}`")) for c, n in zip(qi, names)))
+    anonymised = gen.join(keep.toDF(*names), same, "left_semi").select(*qi, *(f"`{c}`" for c in gen.columns if c not in qi))
     anonymised = laplace_noise(anonymised, nums, epsilon, key=key, salt=salt, seed=seed,
                                sensitivity=sens, bounds=bounds)
     return Deidentified(anonymised.drop(*drop), report, (classes,))

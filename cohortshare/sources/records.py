@@ -36,11 +36,10 @@ def read_records(spark: SparkSession, path: str, numeric=None, fmt: str = "csv",
         return df.withColumns({c: F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c))
                                for c in df.columns if c in numeric})
     df = read_csv(spark, path) if multiline else spark.read.options(header=True, escape='"', inferSchema=False).csv(path)
-    na = F.array(*[F.lit(x) for x in NA_VALUES])
+    refs = {c: F.col(f"`{c}`") for c in df.columns}            # headers may hold dots or spaces
+    df = df.withColumns({c: F.when(ref.isin(NA_VALUES), F.lit(None).cast("string")).otherwise(ref) for c, ref in refs.items()})
     cols, unread = {}, []
-    for c in df.columns:
-        ref = F.col(f"`{c}`")                      # headers may hold dots or spaces
-        v = F.when(F.array_contains(na, ref), F.lit(None).cast("string")).otherwise(ref)
+    for c, v in refs.items():
         if c in numeric:
             d = v.try_cast("double")
             wrong = v.isNotNull() & d.isNull()
@@ -49,7 +48,7 @@ def read_records(spark: SparkSession, path: str, numeric=None, fmt: str = "csv",
             v = F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
             if bad == "fail":
                 v = F.when(wrong, F.raise_error(F.concat(F.lit("not a number: "), told)).cast("double")).otherwise(v)
-        cols[c] = v
+            cols[c] = v
     if bad == "report":
         cols["bad_cells"] = F.array_compact(F.array(*unread)) if unread else F.array().cast("array<string>")
     return df.withColumns(cols)

@@ -4,8 +4,10 @@ Spark's text source cuts a file into splits at a separator (``}`` or the line en
 piece ends a record depends on all text before it: on being inside quotes, and for JSON on the depth of open braces.
 So the file is scanned for both states it may be in at a split's start; a split's outcome is then a row of a few
 numbers, and the splits of a file are put in order to find the state each really starts in. With it every task puts its
-own records together. Only a record that crosses splits is shuffled. The text is scanned three times (states, records
-inside a split, crossing records) and never shuffled as a whole; memory is bounded by a batch and one record.
+own records together. Only a record that crosses splits is shuffled. The text is scanned once for the states, and again
+for the records inside a split, for crossing records and for plain splits, each where the states show any; it is never
+shuffled as a whole, and memory is bounded by a batch and one record. A split of CSV in which every line is a record is
+plain: its lines are taken as they are and don't go through Python again.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUMMARY = ("file string, start long, quoted_0 boolean, depth_0 long, low_0 long, "
-           "quoted_1 boolean, depth_1 long, low_1 long, tail string")
-STATE = "file string, start long, quoted boolean, depth long, owner long"
+           "quoted_1 boolean, depth_1 long, low_1 long, tail string, spans boolean, head string, heads long")
+STATE = "file string, start long, quoted boolean, depth long, owner long, crosses boolean, plain boolean, head string"
+HEAD = 1 << 16               # characters of a header that a split's state holds; a split with a longer one is not plain
 PART = "file string, owner long, place long, start long, text string, whole boolean"
 _PART_ARROW = pa.schema([("file", pa.string()), ("owner", pa.int64()), ("place", pa.int64()), ("start", pa.int64()),
                          ("text", pa.string()), ("whole", pa.bool_())])
@@ -127,22 +130,30 @@ def _csv_summaries(walk: Walk, sep: str):
             for split, part in _runs(batch):
                 if split != at:
                     at = split
-                    rows.append([*at, False, 0, None, True, 0, None, None])
+                    head = part["value"][0].as_py() if at[1] == 0 else None
+                    rows.append([*at, False, 0, None, True, 0, None, None, False, head if head and len(head) <= HEAD else None, 0])
                 row, ends = rows[-1], _line_ends(part["value"], walk, sep)
                 for k in (2, 5):
                     inside = ends(row[k])
                     row[k] = bool(inside[-1])
                     row[k + 2] = row[k + 2] if inside.all() else 0
+                    if k == 2:
+                        row[9] = row[9] or bool(inside.any())
+                if row[10] is not None:
+                    row[11] += pc.sum(pc.equal(part["value"], row[10])).as_py()
                 tail = part["value"][-1].as_py()
                 row[8] = tail if len(tail) <= 64 else "..."
         if rows:
-            names = [c.split()[0] for c in SUMMARY.split(", ")]
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(),
-                     pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+            yield _summary_rows(rows)
     return run
 
 
+def _summary_rows(rows: list[list]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    names, types = zip(*(c.split() for c in SUMMARY.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, k in zip(zip(*rows), types)], names=list(names))
+
+
 def _csv_parts(walk: Walk, sep: str):
     """:func:`_parts` of CSV lines, a batch at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +205,7 @@ def _summaries(walk: Walk):
     """One row per split: state at its end and lowest depth at a piece's end outside quotes, for both start states."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row():
-            return [*at, *ends[0], *ends[1], tail]
+            return [*at, *ends[0], *ends[1], tail, True, None, 0]
 
         at, rows = None, []
         for batch in batches:
@@ -213,29 +224,32 @@ def _summaries(walk: Walk):
         if at is not None:
             rows.append(row())
         if rows:
-            names = [c.split()[0] for c in SUMMARY.split(", ")]
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(),
-                     pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
+            yield _summary_rows(rows)
     return run
 
 
 def _states(array: bool):
-    """The splits of one file in order: the state each starts in, and the split in which the record open there began."""
+    """The splits of one file in order: the state each starts in, and the split in which the record open there began.
+
+    For CSV also whether a record crosses an end of the split, and whether every line is a record (``plain``; the first
+    split's header must be the only line like it, to be known again by ``head``).
+    """
     def run(splits: pd.DataFrame) -> pd.DataFrame:
         quoted, depth, owner, out = False, 0, None, []
         for s in splits.sort_values("start").itertuples():
             inside = quoted or depth > 0
-            out.append((s.file, s.start, quoted, depth, owner if inside else s.start))
+            starts = (s.file, s.start, quoted, depth, owner if inside else s.start)
+            plain = not (array or inside or s.spans or (s.start == 0 and s.heads != 1))
             low = s.low_1 if quoted else s.low_0
             ends = not pd.isna(low) and depth + low <= 0
             quoted, change = (s.quoted_1, s.depth_1) if quoted else (s.quoted_0, s.depth_0)
             depth = max(depth + int(change), 0)
             if ends or not inside:
                 owner = s.start
+            out.append((*starts, array or inside or quoted, plain, s.head if plain and s.start == 0 else None))
         if quoted or depth > 0 or (array and not _ARRAY_END.fullmatch(s.tail)):
             raise ValueError(f"{s.file} ends inside a record" + (" or is no JSON array" if array else ""))
-        return pd.DataFrame(out, columns=["file", "start", "quoted", "depth", "owner"])
+        return pd.DataFrame(out, columns=[c.split()[0] for c in STATE.split(", ")])
     return run
 
 
@@ -270,6 +284,8 @@ def _parts(walk: Walk, separator: str):
 def read_spanning(spark: SparkSession, path: str, separator: str, summaries, whole_parts, array: bool = False) -> DataFrame:
     """One row per record: file, owner (byte at which its split starts), place in that split, text with its separator.
 
+    Lines of a plain split all have place 1, and its header is left out.
+
     ``summaries`` and ``whole_parts`` are the passes over the pieces, by piece or by batch of lines.
 
     The broadcast table has one short row per split of the scan, of which the driver keeps as many itself to plan it.
@@ -277,13 +293,22 @@ def read_spanning(spark: SparkSession, path: str, separator: str, summaries, who
     pieces = _pieces(spark, path, separator)
     states = (pieces.mapInArrow(summaries, SUMMARY)
               .groupBy("file").applyInPandas(_states(array), STATE))
-    parts = (pieces.join(F.broadcast(states), ["file", "start"])
-             .select("file", "start", "quoted", "depth", "owner", "value").mapInArrow(whole_parts, PART))
-    crossing = (parts.where(~F.col("whole")).groupBy("file", "owner")
+
+    def of(which):
+        return pieces.join(F.broadcast(states.where(which)), ["file", "start"])
+
+    def parts(which):
+        return of(which).select("file", "start", "quoted", "depth", "owner", "value").mapInArrow(whole_parts, PART)
+    crossing = (parts("crosses").where(~F.col("whole")).groupBy("file", "owner")
                 .agg(F.min_by("place", "start").alias("place"),
                      F.array_sort(F.collect_list(F.struct("start", "text"))).alias("p"))
                 .select("file", "owner", "place", F.array_join("p.text", "").alias("text")))
-    return parts.where("whole").select("file", "owner", "place", "text").unionByName(crossing)
+    records = parts("NOT plain").where("whole").select("file", "owner", "place", "text").unionByName(crossing)
+    if array:
+        return records
+    lines = of("plain").where("start <> 0 OR value <> head")
+    return records.unionByName(lines.select("file", F.col("start").alias("owner"), F.lit(1).cast("long").alias("place"),
+                                            F.concat("value", F.lit(separator)).alias("text")))
 
 
 def read_json_array(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -308,7 +333,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     names = spark.read.options(header=True, multiLine=True, escape='"').csv(path).columns
     units = read_spanning(spark, path, "\n", _csv_summaries(csv_walk(), ","), _csv_parts(csv_walk(), ","))
-    text = F.regexp_replace("text", r"\r?\n$", "")
+    text = F.expr(r"left(text, length(text) - if(endswith(text, '\r\n'), 2, 1))")          # every text ends with a newline
     units = units.where(~((F.col("owner") == 0) & (F.col("place") == 0))).select(text.alias("text")).where("text <> ''")
     columns = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
     # inlined, not selected: what is asked of a column later is never asked of a second parse of its record
