@@ -3,6 +3,8 @@
 import random
 
 import corpus_brute as brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortshare.llm import multi_order_join
@@ -42,3 +44,27 @@ def test_shingles_of_a_text_are_stored_once(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and len(got) == 240
     assert held["shingle-sets"] == 4
     assert multi_order_join.keep_one_of_each(docs, 4, 85).count() == 1
+
+
+class _Always:
+    """Stands for a broadcast table: every token may be shared, the nodes ``known`` follow a leader."""
+
+    def __init__(self, known=()):
+        self.value, self.known = self, known
+
+    def level(self, hashes):
+        return np.full(len(hashes), 2, np.uint8)
+
+    def may_repeat(self, hashes):
+        return np.isin(hashes, multi_order_join._node_hashes(pa.array(self.known, pa.binary()))) if self.known else np.zeros(len(hashes), bool)
+
+
+def test_a_set_travels_once_a_round_and_no_more_once_it_follows():
+    nodes = [bytes([i]) * 16 for i in range(6)]
+    sets = [np.arange(5 + i, dtype="<u8").tobytes() for i in range(6)]
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "tokens"])
+    seed = multi_order_join.ORDERS[0]
+    (first,) = multi_order_join._leader_keys(_Always(), seed, None)([batch])
+    assert first.column(1).to_pylist() == nodes
+    (later,) = multi_order_join._leader_keys(_Always(), seed, _Always(nodes[1:5]))([batch])
+    assert later.column(1).to_pylist() == [nodes[0], nodes[5]]
